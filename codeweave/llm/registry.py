@@ -5,17 +5,41 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codeweave.llm.common import documents
+from codeweave.llm.common import documents, keyed_remainder
 from codeweave.llm.jaccard_join import jaccard_components
+from codeweave.llm.toxicity import fit as fit_toxicity
+from codeweave.llm.toxicity import labelled_sample, toxicity
+
+#: Labelled rows of either class that a classifier is fitted on, at most.
+TOXIC_SAMPLE = 2000
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def toxicity_model(docs: DataFrame, marked: DataFrame) -> dict:
+    return fit_toxicity(*labelled_sample(docs, marked, "toxic", "crc32(cast(doc_id as string)) % 4 <> 2", TOXIC_SAMPLE))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scored = toxicity(docs, toxicity_model(docs, labels(spark, sf_dir)))
+    held = F.coalesce(keyed_remainder("doc_id", 4) == 2, F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"), "clauses")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_jaccard_join": op10_jaccard_join}
+    return {
+        "op9_toxicity": op9_toxicity,
+        "op10_jaccard_join": op10_jaccard_join,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
