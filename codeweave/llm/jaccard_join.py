@@ -190,10 +190,11 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(h[i : i + 200_000].view(np.int64)), pa.array(comps[owner[i : i + 200_000]])], ["h", "comp"])
 
 
-def _shared_counter(shared: np.ndarray, percent: int):
-    """Keep rows (…, grams last) of which the threshold's part lies in the sorted array."""
+def _shared_counter(broadcast, percent: int):
+    """Keep rows (…, grams last) of which the threshold's part lies in the broadcast sorted array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared = np.frombuffer(broadcast.value, U64)
         for batch in batches:
             keep = []
             for x in batch.column(batch.num_columns - 1):
@@ -285,7 +286,8 @@ def jaccard_components(docs: DataFrame, percent: int = 80, orders: int = 3) -> D
     across = spread.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h")
     across = materialize(across, "across")
     if across.count() <= BROADCAST_ROWS:
-        shared = np.sort(across.toPandas()["h"].to_numpy(np.int64).view(U64)) if across.count() else np.zeros(0, U64)
+        shared = np.sort(across.toArrow()["h"].to_numpy().view(U64))
+        shared = spark.sparkContext.broadcast(shared.tobytes())
         rest = owned.select("doc_id", "n", "comp", "grams").mapInArrow(_shared_counter(shared, percent), "doc_id long, n long, comp long, grams binary")
     else:
         hit = owned.select("doc_id", "n", "comp", "grams").mapInArrow(_spread, "doc_id long, n long, comp long, h long").join(across, "h", "left_semi")
