@@ -6,12 +6,15 @@ The result is one row per document with its component, so no group of copies is
 1. *Support*: a linked document shares at least ``percent`` / 100 of its shingles with others. Blocks of documents send each
    distinct shingle once (four bytes and its bucket), already marked where the block itself holds it twice; a bucket finds the
    shingles that one document alone has. Documents with too many of those can have no link and leave.
-2. *Copies*: equal sets collapse to the smallest id. Under each global order (a random permutation of all shingles) a document
-   meets the smallest document with the same first token, and the pair is verified: near copies fall into components.
+2. *Copies*: equal sets collapse to the smallest id. Under each global order (a random permutation of all shingles) documents
+   with the same first token meet in blocks of about ``MEET`` and all pairs of a block are verified at once; a block gives at most
+   one link a document, so near copies fall into components.
 3. *Support across components*: a shingle found in one component only can't link to another. Documents left with less than
    the threshold of shared shingles leave again; all links between components lie among the rest.
 4. *Orders*: the rest is joined by prefix tokens. Each global order sorts by document frequency and breaks ties by its own
-   permutation; two documents are candidates only if their prefixes meet under *every* order. Candidates are verified exactly.
+   permutation; two documents of different components are candidates only if their prefixes meet under *every* order and the
+   shingles that either has alone leave room for the threshold. Candidates are verified exactly. Where more than ``MEET_ROWS``
+   rows share a prefix token, they are verified in blocks instead of pairs.
 
 Nothing is sampled or capped: every stage only drops pairs that can't reach the threshold or lie in one component already.
 Shingles are compared by 64-bit hashes.
@@ -32,6 +35,9 @@ from codeweave.llm.components import connected_components
 from codeweave.session import materialize
 
 BLOCK = 2_000_000
+MEET = 512
+#: Rows that share a prefix token are paired by a join up to this number; beyond it they are verified in blocks.
+MEET_ROWS = 64
 #: Up to so many ids or hashes go to each executor as one array (8 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 _SEEDS = [U64(0x243F6A8885A308D3), U64(0x13198A2E03707344), U64(0xA4093822299F31D0), U64(0x082EFA98EC4E6C89)]
@@ -176,6 +182,71 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.mapInArrow(_verify(percent), "a long, b long")
 
 
+def link_forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest (index, index) of the links among all pairs of the sets."""
+    sizes = np.array([len(s) for s in sets])
+    tokens, at, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    kept = df[at] > 1
+    row, column = row[kept], (np.cumsum(df > 1) - 1)[at[kept]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int((df > 1).sum()), 4096):
+        a, b = np.searchsorted(column, [low, low + 4096])
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[row[a:b], column[a:b] - low] = 1
+        both += part @ part.T
+    both = np.rint(both).astype(np.int64)
+    linked = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+    out, free = [], np.ones(len(sets), bool)
+    for root in range(len(sets)):
+        if free[root]:
+            free[root] = False
+            todo = [root]
+            while todo:
+                new = np.flatnonzero(linked[todo].any(0) & free)
+                free[new] = False
+                todo = new.tolist()
+                out += [(i, root) for i in todo]
+    return out
+
+
+def _meet(percent: int):
+    """Rows (k, h, block, doc_id, grams) sorted by the first three to links (a, b)."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def solve(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        return [(ids[i], ids[j]) for i, j in link_forest(sets, percent)] if len(ids) > 1 else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, sets, out = None, [], [], []
+        for batch in batches:
+            for k, h, block, i, grams in zip(*(batch.column(c).to_pylist() for c in range(5))):
+                if (k, h, block) != key:
+                    out += solve(ids, sets)
+                    key, ids, sets = (k, h, block), [], []
+                ids.append(i)
+                sets.append(np.frombuffer(grams, U64))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out)], schema=schema)
+                out = []
+        if out := solve(ids, sets):
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out)], schema=schema)
+
+    return run
+
+
+def first_token_links(reps: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among sets(doc_id, n, grams, firsts) whose first tokens agree under an order; at most one a row and order."""
+    keyed = reps.select("doc_id", F.posexplode("firsts").alias("k", "h"))
+    sizes = keyed.groupBy("k", "h").agg(F.count("*").alias("rows")).where("rows > 1")
+    met = keyed.join(sizes, ["k", "h"]).withColumn("block", F.expr(f"pmod(xxhash64(doc_id, k), cast(ceil(rows / {MEET}) as bigint))"))
+    full = met.select("doc_id", "k", "h", "block").join(reps.select("doc_id", "grams"), "doc_id")
+    dealt = full.select("k", "h", "block", "doc_id", "grams").repartition("k", "h", "block").sortWithinPartitions("k", "h", "block")
+    return dealt.mapInArrow(_meet(percent), "a long, b long")
+
+
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(comp, grams) to (h, comp), each hash once in a batch and component; hashes as signed longs."""
     for batch in batches:
@@ -224,27 +295,71 @@ def _prefixes(percent: int, orders: int):
         parts = [h[np.lexsort((mix64(h.view(U64) ^ seed), df))[:length]] for seed in _SEEDS[:orders]]
         m = sum(map(len, parts))
         whole = {k: np.full(m, int(table[k][0].as_py()), np.int64) for k in ("doc_id", "n", "comp")}
+        whole["most"] = np.full(m, n - int((df == 1).sum()), np.int64)
         return pa.table(whole | {"k": np.repeat(np.arange(orders, dtype=np.int32), [len(p) for p in parts]), "h": np.concatenate(parts)})
 
     return run
 
 
-def order_candidates(rest: DataFrame, percent: int, orders: int) -> DataFrame:
-    """Pairs (a, b) of different components whose prefixes meet under every one of the global orders.
+def order_prefixes(rest: DataFrame, percent: int, orders: int) -> DataFrame:
+    """Prefix tokens (doc_id, n, comp, most, k, h, rows) of rest(doc_id, n, comp, grams) under each order k.
 
-    rest(doc_id, n, comp, grams). An order sorts by the number of rows that hold the shingle, rarest first, then by its own
-    permutation; a linked pair shares a token among the first n - ceil(n * percent / 100) + 1 under any such order.
+    An order sorts by the number of rows of rest that hold the shingle, rarest first, then by its own permutation; a linked pair
+    shares a token among the first n - ceil(n * percent / 100) + 1 under any such order. most: shingles that any other row of
+    rest has; rows: rows that have the token in their prefix.
     """
-    rows = rest.select("doc_id", "n", "comp", "grams").mapInArrow(_spread, "doc_id long, n long, comp long, h long")
-    df = rows.groupBy("h").agg(F.count("*").alias("df"))
-    prefix = rows.join(df, "h").groupBy("doc_id").applyInArrow(_prefixes(percent, orders), "doc_id long, n long, comp long, k int, h long")
+    spread = rest.select("doc_id", "n", "comp", "grams").mapInArrow(_spread, "doc_id long, n long, comp long, h long")
+    df = spread.groupBy("h").agg(F.count("*").alias("df"))
+    prefix = spread.join(df, "h").groupBy("doc_id").applyInArrow(_prefixes(percent, orders), "doc_id long, n long, comp long, most long, k int, h long")
     prefix = materialize(prefix, "prefixes")
-    a = prefix.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), "k", "h")
-    b = prefix.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), "k", "h")
-    near = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
-    met = a.join(b, ["k", "h"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near)
-    bits = met.groupBy("a", "b").agg(F.bit_or(F.shiftleft(F.lit(1), F.col("k"))).alias("seen")) if orders > 31 else met.groupBy("a", "b").agg(F.bit_or(F.expr("shiftleft(1, k)")).alias("seen"))
-    return bits.where(F.col("seen") == (1 << orders) - 1).select("a", "b")
+    sizes = prefix.groupBy("k", "h").agg(F.count("*").alias("rows"))
+    return materialize(prefix.join(sizes, ["k", "h"]), "prefixes")
+
+
+def order_candidates(prefix: DataFrame, percent: int, orders: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a token of at most MEET_ROWS rows and whose prefixes may meet under every order.
+
+    Under an order where both have tokens of more rows, they are taken to meet. Pairs that share such tokens only are left to
+    ``crowd_links``.
+    """
+    crowded = prefix.where(f"rows > {MEET_ROWS}").groupBy("doc_id").agg(F.bit_or(F.expr("shiftleft(1, k)")).alias("crowded"))
+    few = prefix.where(f"rows <= {MEET_ROWS}").join(crowded, "doc_id", "left").withColumn("crowded", F.coalesce("crowded", F.lit(0)))
+    side = lambda x: few.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("comp").alias(f"c{x}"), F.col("most").alias(f"m{x}"), F.col("crowded").alias(f"w{x}"), "k", "h")
+    # An intersection is no larger than the shingles of either that another row has.
+    near = F.least("ma", "mb") * 100 >= percent * (F.col("na") + F.col("nb") - F.least("ma", "mb"))
+    met = side("a").join(side("b"), ["k", "h"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near)
+    seen = met.groupBy("a", "b").agg(F.bit_or(F.expr("shiftleft(1, k)")).alias("seen"), F.first(F.col("wa").bitwiseAND(F.col("wb"))).alias("crowded"))
+    return seen.where(F.col("seen").bitwiseOR(F.col("crowded")) == (1 << orders) - 1).select("a", "b")
+
+
+def crowd_links(prefix: DataFrame, rest: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among rows that share prefix tokens of more than MEET_ROWS rows under the first order.
+
+    Rows whose crowded tokens hang together form a crowd. It is cut into blocks, large components into blocks of their own, and
+    each pair of blocks that may link different components is verified in one piece; only a spanning forest comes out.
+    """
+    own = prefix.where(f"k = 0 and rows > {MEET_ROWS}").select("doc_id", "comp", "h")
+    first = own.groupBy("doc_id", "comp").agg(F.min("h").alias("first"))
+    ties = own.join(first.select("doc_id", "first"), "doc_id").select(F.col("first").alias("a"), F.col("h").alias("b")).distinct()
+    crowds = connected_components(ties).select(F.col("vertex").alias("first"), F.col("component").alias("found"))
+    member = materialize(first.join(crowds, "first", "left").select("doc_id", "comp", F.coalesce("found", "first").alias("crowd")), "crowds")
+    sizes = member.groupBy("crowd", "comp").agg(F.count("*").alias("rows")).withColumn("large", F.expr(f"rows > {MEET // 2}"))
+    smalls = sizes.where("not large").groupBy("crowd").agg(F.sum("rows").alias("small_rows"))
+    sized = member.join(sizes, ["crowd", "comp"]).join(smalls, "crowd", "left")
+    large = f"xxhash64(comp, pmod(xxhash64(doc_id), cast(ceil(rows / {MEET}) as bigint)))"
+    small = f"pmod(xxhash64(comp), cast(ceil(small_rows / {MEET}) as bigint))"
+    placed = sized.select("doc_id", "crowd", F.expr("if(large, comp, null)").alias("owner"), F.expr(f"if(large, {large}, {small})").alias("part"))
+    placed = materialize(placed, "placed")
+    blocks = placed.select("crowd", "owner", "part").distinct()
+    left = blocks.select("crowd", F.col("owner").alias("oa"), F.col("part").alias("pa"))
+    right = blocks.select("crowd", F.col("owner").alias("ob"), F.col("part").alias("pb"))
+    rank = lambda o, p: F.struct(F.col(o).isNotNull(), F.coalesce(o, F.lit(0)), p)
+    pairs = left.join(right, "crowd").where((rank("oa", "pa") <= rank("ob", "pb")) & ~F.coalesce(F.col("oa") == F.col("ob"), F.lit(False)))
+    pairs = pairs.withColumn("h", F.xxhash64("crowd", "oa", "pa", "ob", "pb"))
+    ends = pairs.select("crowd", F.col("oa").alias("owner"), F.col("pa").alias("part"), "h").union(pairs.select("crowd", "ob", "pb", "h")).distinct()
+    dealt = placed.join(ends, (placed["crowd"] == ends["crowd"]) & placed["owner"].eqNullSafe(ends["owner"]) & (placed["part"] == ends["part"])).select("doc_id", "h")
+    full = dealt.join(rest.select("doc_id", "grams"), "doc_id").select(F.lit(0).alias("k"), "h", F.lit(0).alias("block"), "doc_id", "grams")
+    return full.repartition("h").sortWithinPartitions("h").mapInArrow(_meet(percent), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, percent: int = 80, orders: int = 3) -> DataFrame:
@@ -272,12 +387,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, orders: int = 3) -> D
     reps = copies.where("a = b").select(F.col("a").alias("doc_id")).distinct()
     reps = sets.join(reps, "doc_id", "left_semi")
 
-    keyed = reps.select("doc_id", "n", F.posexplode("firsts").alias("k", "h"))
-    heads = keyed.groupBy("k", "h").agg(F.min(F.struct("doc_id", "n")).alias("head"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
-    near = f"n * 100 >= head.n * {percent} and head.n * 100 >= n * {percent}"
-    stars = keyed.join(heads, ["k", "h"]).where("doc_id <> head.doc_id").where(near)
-    stars = stars.select(F.col("doc_id").alias("a"), F.col("head.doc_id").alias("b")).distinct()
-    links = materialize(copies.where("a <> b").union(verified(stars, reps, percent)), "links")
+    links = materialize(copies.where("a <> b").union(first_token_links(reps, percent)), "links")
     comps = connected_components(links)
 
     owned = reps.join(comps.withColumnRenamed("vertex", "doc_id"), "doc_id", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("comp"), "grams")
@@ -295,7 +405,11 @@ def jaccard_components(docs: DataFrame, percent: int = 80, orders: int = 3) -> D
         rest = owned.join(enough.select("doc_id"), "doc_id", "left_semi")
     rest = materialize(rest, "rest")
     if rest.limit(1).count():
-        more = materialize(verified(order_candidates(rest, percent, orders), rest, percent), "more")
+        prefix = order_prefixes(rest, percent, orders)
+        more = verified(order_candidates(prefix, percent, orders), rest, percent)
+        if prefix.where(f"rows > {MEET_ROWS}").limit(1).count():
+            more = more.union(crowd_links(prefix, rest, percent))
+        more = materialize(more, "more")
         if more.limit(1).count():
             comps = connected_components(links.union(more))
     named = support.join(comps.withColumnRenamed("vertex", "doc_id"), "doc_id", "left")
