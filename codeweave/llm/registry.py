@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweave.llm.common import documents, keyed_remainder
+from codeweave.llm.decontaminate import contaminations
 from codeweave.llm.jaccard_join import jaccard_components
+from codeweave.llm.packing import pack
 from codeweave.llm.toxicity import fit as fit_toxicity
 from codeweave.llm.toxicity import labelled_sample, toxicity
 
@@ -24,6 +26,14 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminations(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def toxicity_model(docs: DataFrame, marked: DataFrame) -> dict:
     return fit_toxicity(*labelled_sample(docs, marked, "toxic", "crc32(cast(doc_id as string)) % 4 <> 2", TOXIC_SAMPLE))
 
@@ -37,6 +47,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_best_fit_packing": op5_best_fit_packing,
+        "op8_decontaminate": op8_decontaminate,
         "op9_toxicity": op9_toxicity,
         "op10_jaccard_join": op10_jaccard_join,
     }
