@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeweave.llm import pii
 from codeweave.llm.common import documents, keyed_remainder
 from codeweave.llm.decontaminate import contaminations
 from codeweave.llm.jaccard_join import jaccard_components
@@ -30,6 +31,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return pii.personal_data(docs, pii.fit(docs))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminations(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -48,6 +54,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_best_fit_packing": op5_best_fit_packing,
+        "op6_pii": op6_pii,
         "op8_decontaminate": op8_decontaminate,
         "op9_toxicity": op9_toxicity,
         "op10_jaccard_join": op10_jaccard_join,
