@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweave.llm import pii
+from codeweave.llm import pii, tiff, warc
 from codeweave.llm.common import documents, keyed_remainder
 from codeweave.llm.decontaminate import contaminations
 from codeweave.llm.jaccard_join import jaccard_components
 from codeweave.llm.packing import pack
 from codeweave.llm.toxicity import fit as fit_toxicity
 from codeweave.llm.toxicity import labelled_sample, toxicity
+from codeweave.session import materialize
 
 #: Labelled rows of either class that a classifier is fitted on, at most.
 TOXIC_SAMPLE = 2000
@@ -27,6 +28,15 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op1_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = materialize(tiff.stored_texts(documents(spark, sf_dir)), "media")
+    return tiff.text_features(tiff.pages(media))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_archive(spark, warc.write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
@@ -53,6 +63,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_tiff": op1_tiff,
+        "op3_warc": op3_warc,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_pii": op6_pii,
         "op8_decontaminate": op8_decontaminate,
@@ -62,4 +74,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_warc": warc.ORACLE_SQL}
