@@ -12,12 +12,15 @@ from codeweave.llm.common import documents, keyed_remainder
 from codeweave.llm.decontaminate import contaminations
 from codeweave.llm.jaccard_join import jaccard_components
 from codeweave.llm.packing import pack
+from codeweave.llm.quality import fit as fit_quality
+from codeweave.llm.quality import quality
 from codeweave.llm.toxicity import fit as fit_toxicity
 from codeweave.llm.toxicity import labelled_sample, toxicity
 from codeweave.session import materialize
 
 #: Labelled rows of either class that a classifier is fitted on, at most.
 TOXIC_SAMPLE = 2000
+QUALITY_SAMPLE = 1500
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +49,13 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(docs, pii.fit(docs))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    params = fit_quality(*labelled_sample(docs, labels(spark, sf_dir), "quality", "crc32(cast(doc_id as string)) % 5 <> 0", QUALITY_SAMPLE))
+    held = F.coalesce(keyed_remainder("doc_id", 5) == 0, F.lit(False))
+    return quality(docs, params).select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminations(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -67,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_warc": op3_warc,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_pii": op6_pii,
+        "op7_quality": op7_quality,
         "op8_decontaminate": op8_decontaminate,
         "op9_toxicity": op9_toxicity,
         "op10_jaccard_join": op10_jaccard_join,
