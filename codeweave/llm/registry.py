@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweave.llm import pii, tiff, warc
+from codeweave.llm import langid, pii, tiff, warc
 from codeweave.llm.common import documents, keyed_remainder
 from codeweave.llm.decontaminate import contaminations
 from codeweave.llm.jaccard_join import jaccard_components
@@ -21,6 +21,8 @@ from codeweave.session import materialize
 #: Labelled rows of either class that a classifier is fitted on, at most.
 TOXIC_SAMPLE = 2000
 QUALITY_SAMPLE = 1500
+#: Rows a language that the language model is fitted on, at most.
+LANGUAGE_SAMPLE = 300
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +42,13 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(spark, warc.write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet")))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = langid.fit(*langid.labelled_texts(docs, "crc32(cast(doc_id as string)) % 3 <> 1", LANGUAGE_SAMPLE))
+    held = F.coalesce(keyed_remainder("doc_id", 3) == 1, F.lit(False))
+    return langid.languages(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
@@ -75,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_tiff": op1_tiff,
         "op3_warc": op3_warc,
+        "op4_language_id": op4_language_id,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_pii": op6_pii,
         "op7_quality": op7_quality,
