@@ -32,12 +32,13 @@ CAPACITY = 2048
 END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker remembers.
-CACHE = 300_000
+CACHE = 1_000_000
 ROUNDS = 40
 #: As many pieces at most go to best fit at the end; more are solved by the program again.
 LEFT_OVER = 20_000
 
 _tokenizers: dict[str, object] = {}
+_words: dict[str, WordIds] = {}
 
 
 def tokenizer(path: str):
@@ -49,8 +50,9 @@ def tokenizer(path: str):
     return _tokenizers[path]
 
 
-#: Words of these letters are one token group each and end in a token that closes a word, so many are encoded in one call.
-PLAIN = re.compile("[a-zß-öø-ÿ]+")
+#: Words of these letters (ASCII and the letters of Latin-1, in UTF-8) are one token group that ends in a token that closes a word,
+#: so many are encoded in one call; punctuation that follows is one more group.
+PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
 
 
 class WordIds:
@@ -65,7 +67,6 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.marks = {m: self._each([m.decode()])[0] for m in (b".", b",")}
 
     def _each(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -83,23 +84,27 @@ class WordIds:
             at = end
 
     def _learn(self, new: set[bytes]) -> None:
-        plain, odd, marked = set(), [], []
+        plain, odd, marked, match, known = set(), set(), [], PLAIN.fullmatch, self.known
         for w in new:
-            core = w[:-1] if w[-1:] in self.marks else w
-            if core and PLAIN.fullmatch(core.decode()):
-                if core not in self.known:
-                    plain.add(core)
-                if core is not w:
-                    marked.append((w, core))
-            else:
-                odd.append(w)
+            m = match(w)
+            if m is None:
+                odd.add(w)
+                continue
+            core, marks = m.groups()
+            if core not in known:
+                plain.add(core)
+            if marks:
+                marked.append((w, core, marks))
+                if marks not in known:
+                    odd.add(marks)
         if plain:
             plain = list(plain)
-            self.known.update(zip(plain, self._together([w.decode() for w in plain])))
+            known.update(zip(plain, self._together(b" ".join(plain).decode().split(" "))))
         if odd:
-            self.known.update(zip(odd, self._each([w.decode() for w in odd])))
-        for w, core in marked:
-            self.known[w] = self.known[core] + self.marks[w[-1:]]
+            odd = list(odd)
+            known.update(zip(odd, self._each([w.decode() for w in odd])))
+        for w, core, marks in marked:
+            known[w] = known[core] + known[marks]
 
     def ids(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -114,6 +119,13 @@ class WordIds:
             yield b"".join(map(get, words))
 
 
+def word_ids(path: str) -> WordIds:
+    """One a worker process, so that what it knows outlives a task."""
+    if path not in _words:
+        _words[path] = WordIds(path)
+    return _words[path]
+
+
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 _PIECES_SQL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -124,7 +136,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, name: str = TOKENIZER) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        words = WordIds(public_tokenizers.path(name))
+        words = word_ids(public_tokenizers.path(name))
         end = np.array([END_ID], "<u4").tobytes()
         step = 4 * capacity
         for batch in common.by_bytes(batches, most=1 << 20):
