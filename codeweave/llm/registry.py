@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from codeweave.llm import langid, pii, tiff, warc
 from codeweave.llm.common import documents, keyed_remainder
+from codeweave.llm.context_tree import corpus_scores
 from codeweave.llm.decontaminate import contaminations
 from codeweave.llm.jaccard_join import jaccard_components
 from codeweave.llm.packing import pack
@@ -38,6 +39,10 @@ def op1_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.text_features(tiff.pages(media))
 
 
+def op2_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_scores(documents(spark, sf_dir).withColumn("train", keyed_remainder("doc_id", 5) != 1))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(spark, warc.write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet")))
 
@@ -83,6 +88,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_tiff": op1_tiff,
+        "op2_context_tree": op2_context_tree,
         "op3_warc": op3_warc,
         "op4_language_id": op4_language_id,
         "op5_best_fit_packing": op5_best_fit_packing,
