@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -128,9 +129,26 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = 5) -> Iterator[
             yield np.zeros(0, U64)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on after its task, and its peak would stay with it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def modest_batches(df: DataFrame, rows: int = 1000) -> None:
+    """Let the session send at most ``rows`` rows of text to a worker at once: Arrow batches are cut by rows, not bytes."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(key, "10000")) <= rows:
+        conf.set(key, str(rows))
+
+
 def by_bytes(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that each holds about ``most`` bytes of text, or one row."""
+    """Cut record batches so that each holds about ``most`` bytes of text, or one row; gives memory back after each batch."""
     for batch in batches:
+        give_back()
         if not batch.num_rows:
             continue
         _, offsets = text_buffer(batch.column(batch.schema.get_field_index(text)))
@@ -139,6 +157,7 @@ def by_bytes(batches: Iterator[pa.RecordBatch], text: str = "text", most: int =
             j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
             yield batch.slice(i, j - i)
             i = j
+    give_back()
 
 
 def keyed_remainder(doc_id: Column | str, modulus: int) -> Column:

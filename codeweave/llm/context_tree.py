@@ -1,15 +1,16 @@
 """Language-model scoring by context-tree weighting over bytes.
 
 A token is the bytes of a word and a space; the end of a text is one byte of its own. Each byte is decomposed into eight binary
-decisions; the context of a decision is the up to ``DEPTH`` bytes before it within the token (spaces before its start) and the
-decisions taken in the byte. Every context of every depth has a Krichevsky-Trofimov estimate from the training counts, and the
-weighted tree mixes the estimates of all depths of a path. A context that training never saw takes no part: the mixture ends at
-the deepest one seen.
-
-Contexts don't leave a token, so the tree is built from distinct words with their counts, and each distinct word is scored once:
-counts are summed by a shuffle, never in one place. Subtrees below the two nearest bytes are weighted in parallel; what lies above
-has at most 256 contexts and is weighted on the driver. Documents look up the most frequent words in a table of bounded size and
-join the others.
+decisions; the context of a decision is the ``DEPTH`` bytes before it and the decisions taken in the byte. Contexts reach into the
+word before and no farther (spaces stand for what lies beyond). Every context of every depth has a Krichevsky-Trofimov estimate
+from the training counts, and the weighted tree mixes the estimates of all depths of a path. A context that training never saw
+takes no part: the mixture ends at the deepest one seen.
+
+The tree needs counts of pairs of a context and a byte. The first four bytes of a token (its head, with the end of the word
+before) are counted as they stand; the others depend on the word alone and are counted, and later scored, once a distinct word.
+Counts are summed by a shuffle, never in one place. Subtrees below the two nearest bytes are weighted in parallel; what lies above
+has at most 256 contexts and is weighted on the driver. Documents look up the most frequent words and pairs in tables of bounded
+size and join the others.
 """
 
 from __future__ import annotations
@@ -30,8 +31,11 @@ DEPTH = 5
 END = b"\n"
 #: Words that every executor gets at most (24 bytes each), and pairs of context and byte (16 bytes each).
 TOP_WORDS = 400_000
-TOP_PAIRS = 4_000_000
+TOP_PAIRS = 3_000_000
 _SPACE = 0x20
+#: Fills heads of words of fewer than HEAD - 1 bytes; no word has this byte.
+_NONE = 0x0B
+HEAD = DEPTH - 1
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -52,13 +56,6 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - 1.1447298858494002 - log_gamma(zeros + ones + 1.0)
 
 
-def distinct_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a text buffer: starts and ends of the distinct words, their hashes, the number of each token, the rows' offsets."""
-    starts, ends, at = common.word_bounds(data, offsets)
-    h, first, number = np.unique(common.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-    return starts[first], ends[first], h, number, at
-
-
 def slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     """A binary array of the lowered bytes between starts and ends."""
     size = ends - starts
@@ -67,8 +64,52 @@ def slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(LOWER[data[where]].tobytes())])
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c): every distinct token of docs(text, train) with its count in training rows, the end token as END."""
+def head_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the heads of all tokens, then of the rows' end tokens, and the row of each.
+
+    A key holds the first HEAD bytes of the token with its space in the low half, first lowest, and the last HEAD bytes of the word
+    before in the high half, last lowest.
+    """
+    rows = len(at) - 1
+    n = len(starts)
+    row = np.repeat(np.arange(rows), np.diff(at))
+    before = np.concatenate([np.arange(n) - 1, at[1:] - 1])
+    row_all = np.concatenate([row, np.arange(rows)])
+    has = before >= at[row_all]
+    key = np.full(n + rows, int.from_bytes(END + bytes([_NONE] * (HEAD - 1)), "little"), U64)
+    low = np.zeros(n, U64)
+    for k in range(HEAD):
+        place = starts + k
+        byte = np.where(place < ends, LOWER[data[np.minimum(place, max(0, len(data) - 1))]] if n else 0, np.where(place == ends, _SPACE, _NONE))
+        low |= byte.astype(U64) << U64(8 * k)
+    key[:n] = low
+    last = np.where(has, before, 0)
+    for k in range(HEAD):
+        if n:
+            place = ends[last] - 1 - k
+            byte = np.where(has & (place >= starts[last]), LOWER[data[np.maximum(place, 0)]], _SPACE)
+        else:
+            byte = np.full(rows, _SPACE)
+        key |= byte.astype(U64) << U64(8 * (HEAD + k))
+    return key, row_all
+
+
+def head_pairs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (keys, HEAD) of the bytes of each head, and which of them there are."""
+    byte = lambda i: key >> U64(8 * i) & U64(255)
+    pairs = np.zeros((len(key), HEAD), U64)
+    for i in range(HEAD):
+        pairs[:, i] = byte(i)
+        for k in range(1, DEPTH + 1):
+            near = byte(i - k) if k <= i else U64(_SPACE) if k == i + 1 else byte(HEAD + k - i - 2)
+            pairs[:, i] |= near << U64(8 * k)
+    there = np.stack([byte(i) != _NONE for i in range(HEAD)], 1)
+    return pairs, there
+
+
+def token_counts(docs: DataFrame) -> DataFrame:
+    """(word, pair, c): training counts of every distinct token (pair null; the end token as END) and of every pair in a head (word null)."""
+    schema = pa.schema([("word", pa.binary()), ("pair", pa.int64()), ("c", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends_seen, any_row = 0, False
@@ -76,38 +117,47 @@ def word_counts(docs: DataFrame) -> DataFrame:
             data, offsets = common.text_buffer(batch.column(0))
             train = batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
             ends_seen, any_row = ends_seen + int(train.sum()), True
-            starts, ends, _, number, at = distinct_words(data, offsets)
-            c = np.bincount(number, np.repeat(train, np.diff(at)), len(starts)).astype(np.int64)
-            for i in range(0, len(starts), 100_000):
+            starts, ends, at = common.word_bounds(data, offsets)
+            key, row = head_keys(data, starts, ends, at)
+            key, number = np.unique(key, return_inverse=True)
+            c = np.bincount(number, train[row], len(key))
+            pairs, there = head_pairs(key)
+            pairs, number = np.unique(pairs[there], return_inverse=True)
+            c = np.bincount(number, np.broadcast_to(c[:, None], there.shape)[there], len(pairs)).astype(np.int64)
+            for i in range(0, len(pairs), 200_000):
+                part = slice(i, i + 200_000)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(c[part]), pa.binary()), pa.array(pairs[part].view(np.int64)), pa.array(c[part])], schema=schema)
+            _, first, number = np.unique(common.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+            c = np.bincount(number, np.repeat(train, np.diff(at)), len(first)).astype(np.int64)
+            starts, ends = starts[first], ends[first]
+            for i in range(0, len(first), 100_000):
                 part = slice(i, i + 100_000)
-                yield pa.RecordBatch.from_arrays([slices(data, starts[part], ends[part]), pa.array(c[part])], ["word", "c"])
+                yield pa.RecordBatch.from_arrays([slices(data, starts[part], ends[part]), pa.nulls(len(c[part]), pa.int64()), pa.array(c[part])], schema=schema)
         if any_row:
-            yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([ends_seen], pa.int64())], ["word", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.nulls(1, pa.int64()), pa.array([ends_seen], pa.int64())], schema=schema)
 
-    return docs.select("text", "train").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.select("text", "train").mapInArrow(run, "word binary, pair long, c long").groupBy("word", "pair").agg(F.sum("c").alias("c"))
 
 
 def pairs_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """For every byte of every token: its pair key (DEPTH bytes before it, nearest lowest, shifted over the byte), and its word."""
+    """For every byte of every token after its head: its pair (the byte, then the DEPTH bytes before it, nearest first) and its word."""
     data, offsets = common.text_buffer(words)
     size = np.diff(offsets)
-    is_end = (size == 1) & (data[np.minimum(offsets[:-1], max(0, len(data) - 1))] == END[0]) if len(data) else np.zeros(len(size), bool)
-    # Each word between DEPTH spaces before and one after it; the end token has no space after it.
-    span = size + DEPTH + 1
-    begin = np.concatenate([[0], np.cumsum(span)])
+    # Each word after a space and before one.
+    begin = np.concatenate([[0], np.cumsum(size + 2)])
     buffer = np.full(begin[-1], _SPACE, np.uint8)
-    buffer[np.repeat(begin[:-1] + DEPTH - offsets[:-1], size) + np.arange(len(data))] = data
-    n = size + 1 - is_end
+    buffer[np.repeat(begin[:-1] + 1 - offsets[:-1], size) + np.arange(len(data))] = data
+    n = np.maximum(0, size + 1 - HEAD)
     word = np.repeat(np.arange(len(n)), n)
-    place = np.repeat(begin[:-1] + DEPTH - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(n.sum())
+    place = np.repeat(begin[:-1] + 1 + HEAD - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(n.sum())
     key = buffer[place].astype(U64)
     for d in range(1, DEPTH + 1):
         key |= buffer[place - d].astype(U64) << U64(8 * d)
     return key, word
 
 
-def pair_counts(words: DataFrame) -> DataFrame:
-    """(pair, c): every pair of a context of DEPTH bytes and a byte in words(word, c), with its weight in training."""
+def pair_counts(words: DataFrame, heads: DataFrame) -> DataFrame:
+    """(pair, c): every pair in words(word, c) after the heads, and in heads(pair, c), with its count in training."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -128,10 +178,11 @@ def pair_counts(words: DataFrame) -> DataFrame:
             if size > 2_000_000:
                 yield from flush()
                 held, size = [], 0
-        if held:
+        if size:
             yield from flush()
 
-    return words.select("word", "c").mapInArrow(run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c"))
+    inner = words.select("word", "c").mapInArrow(run, "pair long, c long")
+    return inner.union(heads.select("pair", "c")).groupBy("pair").agg(F.sum("c").alias("c"))
 
 
 class Subtree:
@@ -219,21 +270,31 @@ def pair_scores(pairs: DataFrame) -> DataFrame:
     return grouped.groupBy("near").applyInArrow(score, "pair long, score double")
 
 
-def word_scores(words: DataFrame) -> DataFrame:
-    """(word, c, score) for words(word, c): the log10 probability of each token under the tree that the counts give."""
-    pairs = materialize(pair_counts(words), "pairs")
-    scored = materialize(pair_scores(pairs), "pair-scores")
-    if scored.count() <= TOP_PAIRS:
-        table = scored.toArrow()
-        key, value = table["pair"].to_numpy(), table["score"].to_numpy()
-        order = np.argsort(key)
-        shared = words.sparkSession.sparkContext.broadcast((key[order].tobytes(), value[order].tobytes()))
+def most_frequent(table: DataFrame, most: int) -> DataFrame:
+    """The rows of table(c, ...) with the largest counts: all from the least count on that leaves at most ``most`` rows."""
+    cap = 1_000_000
+    histogram = table.groupBy(F.least("c", F.lit(cap)).alias("c")).count().collect()
+    least, total = cap + 1, 0
+    for c, times in sorted(((r[0], r[1]) for r in histogram), reverse=True):
+        total += times
+        if total > most:
+            break
+        least = c
+    return table.where(F.col("c") >= least)
+
+
+def word_scores(words: DataFrame, scored: DataFrame, shared, whole: bool) -> DataFrame:
+    """(word, c, score) for words(word, c): the log10 probability of what follows each token's head.
+
+    scored(pair, score); ``shared``: broadcast sorted pairs and scores, used if they are ``whole``.
+    """
+    if whole:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            key, value = (np.frombuffer(b, k) for b, k in zip(shared.value, (np.int64, np.float64)))
+            key, value = np.frombuffer(shared.value[0], U64), np.frombuffer(shared.value[1])
             for batch in batches:
                 pair, word = pairs_of(batch.column(0))
-                total = np.bincount(word, value[np.searchsorted(key, pair.view(np.int64))], batch.num_rows)
+                total = np.bincount(word, value[np.searchsorted(key, pair)], batch.num_rows)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(total)], ["word", "c", "score"])
 
         return words.select("word", "c").mapInArrow(run, "word binary, c long, score double")
@@ -242,46 +303,71 @@ def word_scores(words: DataFrame) -> DataFrame:
         for batch in batches:
             pair, word = pairs_of(batch.column(0))
             for i in range(0, len(pair), 100_000):
-                at = pa.array(word[i : i + 100_000])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(pair[i : i + 100_000].view(np.int64))], ["word", "c", "pair"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(word[i : i + 100_000])), pa.array(pair[i : i + 100_000].view(np.int64))], ["word", "pair"])
 
-    rows = words.select("word", "c").mapInArrow(spread, "word binary, c long, pair long").join(scored, "pair")
-    return rows.groupBy("word").agg(F.max("c").alias("c"), F.sum("score").alias("score"))
+    rows = words.select("word", "c").mapInArrow(spread, "word binary, pair long").join(scored, "pair")
+    sums = rows.groupBy("word").agg(F.sum("score").alias("score"))
+    return words.select("word", "c").join(sums, "word", "left").select("word", "c", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-_LOOKED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("word", pa.binary()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-_LOOKED_SQL = "row long, doc_id long, held_out boolean, word binary, n_tokens long, n_known long, base_score double, score double"
+_LOOKED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("word", pa.binary()), ("pair", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+_LOOKED_SQL = "row long, doc_id long, held_out boolean, word binary, pair long, n_tokens long, n_known long, base_score double, score double"
 
 
-def _look_up(shared):
-    """A row a document with the sums over the frequent words, and one for each other distinct word (n_tokens: its count)."""
+def _rest(rows: np.ndarray, times: np.ndarray, word: pa.Array | None = None, pair: np.ndarray | None = None) -> pa.RecordBatch:
+    """Rows for what the tables don't hold: n_tokens is its count in the document."""
+    n = len(rows)
+    none = pa.nulls(n, pa.float64())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(rows), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.binary()) if word is None else word, pa.nulls(n, pa.int64()) if pair is None else pa.array(pair.view(np.int64)), pa.array(times.astype(np.int64)), pa.nulls(n, pa.int64()), none, none],
+        schema=_LOOKED,
+    )
+
+
+def _look_up(top_words, top_pairs):
+    """A row a document with the sums over frequent words and pairs, and one for each other distinct word and pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, c, score, low, end = shared.value
-        known, c, score = np.frombuffer(known, U64), np.frombuffer(c, np.int64), np.frombuffer(score, np.float64)
+        known, c, score, low, end = top_words.value
+        known, c, score = np.frombuffer(known, U64), np.frombuffer(c, np.int64), np.frombuffer(score)
+        pair_key, pair_score = np.frombuffer(top_pairs.value[0], U64), np.frombuffer(top_pairs.value[1])
         base = np.log10(c + 0.5) + low
         row = TaskContext.get().partitionId() << 40
         for batch in common.by_bytes(batches, most=12 << 20):
             data, offsets = common.text_buffer(batch.column(1))
-            starts, ends, h, number, at = distinct_words(data, offsets)
             n = batch.num_rows
+            rows = np.arange(row, row + n)
+            row += n
+            starts, ends, at = common.word_bounds(data, offsets)
+
+            key, owner = head_keys(data, starts, ends, at)
+            key, number = np.unique(key, return_inverse=True)
+            pairs, there = head_pairs(key)
+            k = np.searchsorted(pair_key, pairs)
+            k = np.minimum(k, max(0, len(pair_key) - 1))
+            found = there & (pair_key[k] == pairs) if len(pair_key) else np.zeros_like(there)
+            value = np.where(found, pair_score[k], 0.0).sum(1) if len(pair_key) else np.zeros(len(key))
+            heads = np.bincount(owner, value[number], n)
+            for i in range(HEAD):
+                lost = (there & ~found)[:, i]
+                if lost.any():
+                    at_token = lost[number]
+                    both = np.unique(np.stack([owner[at_token].astype(U64), pairs[number[at_token], i]], 1), axis=0, return_counts=True)
+                    yield _rest(rows[both[0][:, 0].astype(np.int64)], both[1], pair=both[0][:, 1])
+
+            h, first, number = np.unique(common.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
             k = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
             hit = known[k] == h if len(known) else np.zeros(len(h), bool)
             doc = np.repeat(np.arange(n), np.diff(at))
             here = hit[number]
             sums = [np.bincount(doc[here], v, n) for v in ((c > 0)[k][number][here], base[k][number][here], score[k][number][here])] if len(known) else [np.zeros(n)] * 3
-            has_end = end[0] > 0
-            fixed = [np.diff(at) + 1, sums[0].astype(np.int64) + has_end, sums[1] + np.log10(end[0] + 0.5) + low, sums[2] + end[1]]
-            rows = np.arange(row, row + n)
-            yield pa.RecordBatch.from_arrays([pa.array(rows), batch.column(0), batch.column(2), pa.nulls(n, pa.binary()), pa.array(fixed[0]), pa.array(fixed[1]), pa.array(fixed[2]), pa.array(fixed[3])], schema=_LOOKED)
-            rare = doc[~here].astype(np.int64) * (len(h) + 1) + number[~here]
-            rare, times = np.unique(rare, return_counts=True)
+            fixed = [np.diff(at) + 1, sums[0].astype(np.int64) + (end > 0), sums[1] + np.log10(end + 0.5) + low, sums[2] + heads]
+            yield pa.RecordBatch.from_arrays([pa.array(rows), batch.column(0), batch.column(2), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), *map(pa.array, fixed)], schema=_LOOKED)
+            rare, times = np.unique(doc[~here].astype(np.int64) * (len(h) + 1) + number[~here], return_counts=True)
             doc, number = np.divmod(rare, len(h) + 1)
             for i in range(0, len(rare), 100_000):
-                d, w, t = doc[i : i + 100_000], number[i : i + 100_000], times[i : i + 100_000]
-                none = pa.nulls(len(d), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(rows[d]), pa.nulls(len(d), pa.int64()), pa.nulls(len(d), pa.bool_()), slices(data, starts[w], ends[w]), pa.array(t.astype(np.int64)), pa.nulls(len(d), pa.int64()), none, none], schema=_LOOKED)
-            row += n
+                part = slice(i, i + 100_000)
+                yield _rest(rows[doc[part]], times[part], word=slices(data, starts[first[number[part]]], ends[first[number[part]]]))
 
     return run
 
@@ -291,40 +377,45 @@ def corpus_scores(docs: DataFrame) -> DataFrame:
 
     A null text is empty (its one token is the end); texts of any length are read whole; repeated rows and null ids give rows like
     others (a null train counts as training); other columns are ignored; an empty table gives an empty result. Without training
-    rows every score is that of an empty tree.
+    rows every byte has the probability that an empty tree gives it.
     """
     spark = docs.sparkSession
+    common.modest_batches(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("train"), F.lit(True)).alias("train"))
-    words = materialize(word_counts(docs), "words")
+    counts = materialize(token_counts(docs), "counts")
+    words, heads = counts.where("word is not null"), counts.where("word is null")
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
     low = -float(np.log10(n + 0.5 * (v + 1)))
-    scored = materialize(word_scores(words), "word-scores")
-    end = scored.where(F.col("word") == F.lit(END)).select("c", "score").first() or (0, 0.0)
-    # The least count that leaves at most TOP_WORDS words; counts beyond a million are one entry.
-    histogram = sorted(((r[0], r[1]) for r in scored.groupBy(F.least("c", F.lit(1_000_000)).alias("c")).count().collect()), reverse=True)
-    least, total = 1_000_001, 0
-    for c, times in histogram:
-        total += times
-        if total > TOP_WORDS:
-            break
-        least = c
-    top = scored.where((F.col("c") >= least) & (F.col("word") != F.lit(END))).toArrow()
+    pairs = materialize(pair_counts(words, heads), "pairs")
+    scored = materialize(pair_scores(pairs), "pair-scores")
+    whole = scored.count() <= TOP_PAIRS
+    table = scored if whole else most_frequent(pairs, TOP_PAIRS).select("pair").join(scored, "pair")
+    table = table.toArrow()
+    key, value = table["pair"].to_numpy().view(U64), table["score"].to_numpy()
+    order = np.argsort(key)
+    top_pairs = spark.sparkContext.broadcast((key[order].tobytes(), value[order].tobytes()))
+    del table, key, value, order
+    named = materialize(word_scores(words, scored, top_pairs, whole), "word-scores")
+    end = named.where(F.col("word") == F.lit(END)).select("c").first()
+    top = most_frequent(named.where(F.col("word") != F.lit(END)), TOP_WORDS).toArrow()
     data, offsets = common.text_buffer(top["word"])
     h = common.word_hashes(data, offsets[:-1], offsets[1:])
     order = np.argsort(h)
-    shared = spark.sparkContext.broadcast((h[order].tobytes(), top["c"].to_numpy()[order].tobytes(), top["score"].to_numpy()[order].tobytes(), low, (int(end[0]), float(end[1]))))
-    looked = docs.select("doc_id", "text", (~F.col("train")).alias("held_out")).mapInArrow(_look_up(shared), _LOOKED_SQL)
+    top_words = spark.sparkContext.broadcast((h[order].tobytes(), top["c"].to_numpy()[order].tobytes(), top["score"].to_numpy()[order].tobytes(), low, int(end[0]) if end else 0))
+    looked = docs.select("doc_id", "text", (~F.col("train")).alias("held_out")).mapInArrow(_look_up(top_words, top_pairs), _LOOKED_SQL)
     looked = materialize(looked, "looked-up")
-    rare = looked.where("word is not null").select("row", "word", F.col("n_tokens").alias("n")).join(scored, "word")
-    rare = rare.select(
+    empty = [F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(0).cast("long").alias("n_tokens")]
+    of_words = looked.where("word is not null").select("row", "word", F.col("n_tokens").alias("n")).join(named, "word")
+    of_words = of_words.select(
         "row",
-        F.lit(None).cast("long").alias("doc_id"),
-        F.lit(None).cast("boolean").alias("held_out"),
-        F.lit(0).cast("long").alias("n_tokens"),
+        *empty,
         F.when(F.col("c") > 0, F.col("n")).otherwise(0).cast("long").alias("n_known"),
         (F.col("n") * (F.log10(F.col("c") + 0.5) + F.lit(low))).alias("base_score"),
         (F.col("n") * F.col("score")).alias("score"),
     )
-    whole = looked.where("word is null").drop("word").unionByName(rare).groupBy("row")
-    whole = whole.agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score"))
-    return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    parts = looked.where("word is null and pair is null").drop("word", "pair").unionByName(of_words)
+    if not whole:
+        of_pairs = looked.where("pair is not null").select("row", "pair", F.col("n_tokens").alias("n")).join(scored, "pair")
+        parts = parts.unionByName(of_pairs.select("row", *empty, F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("base_score"), (F.col("n") * F.col("score")).alias("score")))
+    total = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score"))
+    return total.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

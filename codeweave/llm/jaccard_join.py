@@ -34,7 +34,7 @@ from codeweave.llm.common import U64, mix64
 from codeweave.llm.components import connected_components
 from codeweave.session import materialize
 
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 MEET = 512
 #: Rows that share a prefix token are paired by a join up to this number; beyond it they are verified in blocks.
 MEET_ROWS = 64
@@ -371,6 +371,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, orders: int = 3) -> D
     doc_id.
     """
     spark: SparkSession = docs.sparkSession
+    common.modest_batches(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     support = materialize(shingle_support(docs), "support")
     able = support.where(f"n > 0 and (n - lone) * 100 >= {percent} * n").select("doc_id")

@@ -301,6 +301,7 @@ def languages(docs: DataFrame, model: Crf) -> DataFrame:
     length are read whole; repeated rows and null ids give rows like others; ties go to the label that sorts first; other columns
     are ignored; an empty table gives an empty result.
     """
+    common.modest_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast((model.labels, model.p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,6 +319,7 @@ def languages(docs: DataFrame, model: Crf) -> DataFrame:
 
 def stretches(docs: DataFrame, model: Crf) -> DataFrame:
     """(doc_id, first_word, words, lang, score): runs of words with one most likely label, for code-switched text."""
+    common.modest_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast((model.labels, model.p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -295,6 +295,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, name: str = TOKENIZER) -> Da
     and repeated rows are packed like others; other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
+    common.modest_batches(docs)
     cut = materialize(pieces(docs, capacity, name), "pieces")
     histogram = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}
     salts = max(64, -(-sum(histogram.values()) // 100_000))

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeweave.llm import common
+
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -248,7 +250,7 @@ def shaped(text: str, kind: str) -> bool:
     return 10 <= digits <= 15 and text[-1:].isdigit() and not any(c.isalpha() for c in text)
 
 
-def model_spans(tagger: Tagger, texts: list[str], base: list[list[tuple[int, int, str]]], most: int = 4096) -> list[list[tuple[int, int, str]]]:
+def model_spans(tagger: Tagger, texts: list[str], base: list[list[tuple[int, int, str]]], most: int = 1024) -> list[list[tuple[int, int, str]]]:
     """What the model adds to each text's base spans."""
     added: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     jobs = []
@@ -371,12 +373,12 @@ def personal_data(docs: DataFrame, params: dict) -> DataFrame:
     Offsets count code points. Null and empty texts have no spans; texts of any length are read whole; repeated rows and null ids
     give rows like others; other columns are ignored; an empty table gives an empty result.
     """
+    common.modest_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(params)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+        for part in common.by_bytes(batches, most=1 << 20):
+            if part.num_rows:
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 base, added = _found(shared.value, texts)
                 rows = []
@@ -400,14 +402,14 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 def redacted(docs: DataFrame, params: dict) -> DataFrame:
     """docs with personal data in ``text`` replaced; null texts stay null, all other columns pass through."""
+    common.modest_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(params)
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            k = batch.schema.get_field_index("text")
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+        for part in common.by_bytes(batches, most=1 << 20):
+            k = part.schema.get_field_index("text")
+            if part.num_rows:
                 raw = part.column(k).to_pylist()
                 texts = [t or "" for t in raw]
                 base, added = _found(shared.value, texts)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeweave.llm.common import mix64, shingle_sets
+from codeweave.llm.common import by_bytes, mix64, modest_batches, shingle_sets
 
 # Closed word classes of the grammar, in English, German, French and Spanish.
 THREATS = ("kill", "hurt", "destroy", "shoot", "burn", "attack", "smash", "töten", "umbringen", "schlagen", "vernichten", "tuer", "frapper", "détruire", "brûler", "matar", "golpear", "destruir", "quemar")
@@ -234,12 +234,13 @@ def toxicity(docs: DataFrame, model: dict) -> DataFrame:
     each; null ids are carried; other columns are ignored; an empty table gives an empty result.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("clauses", pa.int64())])
+    modest_batches(docs)
     coef, bias = np.array(model["coef"]), model["bias"]
     shared = docs.sparkSession.sparkContext.broadcast(model["lexicon"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Grammar(shared.value)
-        for batch in batches:
+        for batch in by_bytes(batches):
             scores, counts = [], []
             for text in batch.column(1):
                 x, n = machine.features(text.as_py() or "")
