@@ -32,7 +32,7 @@ CAPACITY = 2048
 END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker remembers.
-CACHE = 1_000_000
+CACHE = 300_000
 ROUNDS = 40
 #: As many pieces at most go to best fit at the end; more are solved by the program again.
 LEFT_OVER = 20_000
