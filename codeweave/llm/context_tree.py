@@ -294,7 +294,7 @@ def word_scores(words: DataFrame, scored: DataFrame, shared, whole: bool) -> Dat
             key, value = np.frombuffer(shared.value[0], U64), np.frombuffer(shared.value[1])
             for batch in batches:
                 pair, word = pairs_of(batch.column(0))
-                total = np.bincount(word, value[np.searchsorted(key, pair)], batch.num_rows)
+                total = np.bincount(word, value[np.searchsorted(key, pair)], batch.num_rows).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(total)], ["word", "c", "score"])
 
         return words.select("word", "c").mapInArrow(run, "word binary, c long, score double")
@@ -347,7 +347,7 @@ def _look_up(top_words, top_pairs):
             k = np.minimum(k, max(0, len(pair_key) - 1))
             found = there & (pair_key[k] == pairs) if len(pair_key) else np.zeros_like(there)
             value = np.where(found, pair_score[k], 0.0).sum(1) if len(pair_key) else np.zeros(len(key))
-            heads = np.bincount(owner, value[number], n)
+            heads = np.bincount(owner, value[number], n).astype(np.float64)
             for i in range(HEAD):
                 lost = (there & ~found)[:, i]
                 if lost.any():
@@ -360,7 +360,7 @@ def _look_up(top_words, top_pairs):
             hit = known[k] == h if len(known) else np.zeros(len(h), bool)
             doc = np.repeat(np.arange(n), np.diff(at))
             here = hit[number]
-            sums = [np.bincount(doc[here], v, n) for v in ((c > 0)[k][number][here], base[k][number][here], score[k][number][here])] if len(known) else [np.zeros(n)] * 3
+            sums = [np.bincount(doc[here], v, n).astype(np.float64) for v in ((c > 0)[k][number][here], base[k][number][here], score[k][number][here])] if len(known) else [np.zeros(n)] * 3
             fixed = [np.diff(at) + 1, sums[0].astype(np.int64) + (end > 0), sums[1] + np.log10(end + 0.5) + low, sums[2] + heads]
             yield pa.RecordBatch.from_arrays([pa.array(rows), batch.column(0), batch.column(2), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), *map(pa.array, fixed)], schema=_LOOKED)
             rare, times = np.unique(doc[~here].astype(np.int64) * (len(h) + 1) + number[~here], return_counts=True)
