@@ -166,9 +166,9 @@ class Network:
         return out
 
     def _scores(self, texts: list[np.ndarray]) -> np.ndarray:
-        # A text of n bytes has chunks at 0, STEP, 2 STEP, ... until one reaches its end and the zeros that keep texts apart.
-        count = [1 + max(0, -(-(len(t) + TAPS - CHUNK) // STEP)) for t in texts]
-        size = np.array([CHUNK + (c - 1) * STEP for c in count])
+        # A text of n bytes has chunks at 0, STEP, 2 STEP, ... until one reaches its end; zeros of a segment keep texts apart.
+        count = [1 + max(0, -(-(len(t) - CHUNK) // STEP)) for t in texts]
+        size = np.array([CHUNK + (c - 1) * STEP + SEGMENT for c in count])
         at = np.concatenate([[0], np.cumsum(size)])
         raw = np.zeros(at[-1] + TAPS - 1, np.uint8)
         back = np.zeros(at[-1], np.uint8)
