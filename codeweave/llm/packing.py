@@ -31,8 +31,8 @@ from codeweave.session import materialize
 CAPACITY = 2048
 END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a worker remembers.
-CACHE = 300_000
+#: Words of each of the two generations whose ids a worker remembers.
+CACHE = 250_000
 ROUNDS = 40
 #: As many pieces at most go to best fit at the end; more are solved by the program again.
 LEFT_OVER = 20_000
@@ -64,6 +64,7 @@ class WordIds:
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -110,8 +111,12 @@ class WordIds:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         if len(self.known) > CACHE:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         new = {w for words in split for w in words if w not in self.known}
+        if new and self.older:
+            back = new & self.older.keys()
+            self.known.update(zip(back, map(self.older.__getitem__, back)))
+            new -= back
         if new:
             self._learn(new)
         get = self.known.__getitem__
