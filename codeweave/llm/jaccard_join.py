@@ -128,6 +128,8 @@ def _support_receiver(table: pa.Table) -> pa.Table:
     total = np.bincount(at, weights=cat(lone), minlength=len(out)).astype(np.int64)
     largest = np.zeros(len(out), np.int64)
     np.maximum.at(largest, at, cat(sizes))
+    del pres, res, every, again, lone
+    common.give_back()
     return pa.table({"doc_id": out, "lone": total, "n": largest})
 
 
@@ -170,6 +172,7 @@ def _verify(percent: int):
             kept = batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
             if kept.num_rows:
                 yield kept
+            common.give_back()
 
     return run
 
@@ -233,6 +236,7 @@ def _meet(percent: int):
                 out = []
         if out := solve(ids, sets):
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out)], schema=schema)
+        common.give_back()
 
     return run
 
@@ -259,6 +263,7 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, owner = h[new], owner[new]
         for i in range(0, len(h), 200_000):
             yield pa.RecordBatch.from_arrays([pa.array(h[i : i + 200_000].view(np.int64)), pa.array(comps[owner[i : i + 200_000]])], ["h", "comp"])
+        common.give_back()
 
 
 def _shared_counter(broadcast, percent: int):
