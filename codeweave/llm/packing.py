@@ -31,8 +31,8 @@ from codeweave.session import materialize
 CAPACITY = 2048
 END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
-#: Words of each of the two generations whose ids a worker remembers.
-CACHE = 250_000
+#: Words of each of the two generations whose ids a worker remembers, about 200 bytes each.
+CACHE = 600_000
 ROUNDS = 40
 #: As many pieces at most go to best fit at the end; more are solved by the program again.
 LEFT_OVER = 20_000
@@ -65,6 +65,7 @@ class WordIds:
         self.tokenizer = tokenizer(path)
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.cache = CACHE
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -110,7 +111,7 @@ class WordIds:
     def ids(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        if len(self.known) > CACHE:
+        if len(self.known) > self.cache:
             self.known, self.older = {}, self.known
         new = {w for words in split for w in words if w not in self.known}
         if new and self.older:
@@ -135,13 +136,14 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa
 _PIECES_SQL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, name: str = TOKENIZER) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = CAPACITY, name: str = TOKENIZER, cache: int = CACHE) -> DataFrame:
     """One row a piece of at most ``capacity`` ids of docs(doc_id, text): the text's ids, then END_ID. Null texts are empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
         words = word_ids(public_tokenizers.path(name))
+        words.cache = cache
         end = np.array([END_ID], "<u4").tobytes()
         step = 4 * capacity
         for batch in common.by_bytes(batches, most=1 << 20):
@@ -293,7 +295,7 @@ def _place(shared):
     return run
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, name: str = TOKENIZER) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, name: str = TOKENIZER, cache: int = CACHE) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): every piece of every row, placed in a sequence.
 
     Null and empty texts are one piece of one id; texts of any length are cut only where they exceed the capacity; null ids
@@ -301,7 +303,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, name: str = TOKENIZER) -> Da
     """
     spark = docs.sparkSession
     common.modest_batches(docs)
-    cut = materialize(pieces(docs, capacity, name), "pieces")
+    cut = materialize(pieces(docs, capacity, name, cache), "pieces")
     histogram = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}
     salts = max(64, -(-sum(histogram.values()) // 100_000))
     salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))

@@ -15,6 +15,8 @@ from codeweave.llm.registry import labels, toxicity_model
 from codeweave.llm.toxicity import toxicity
 from codeweave.session import materialize
 
+#: Words that a packing worker remembers twice over: fewer than alone, as the stages before have used the same workers.
+WORD_CACHE = 150_000
 #: Ids that are joined by broadcast, at most (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -54,7 +56,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token pieces of all rows, placed in sequences."""
-    return pack(docs)
+    return pack(docs, cache=WORD_CACHE)
 
 
 STAGES = [
