@@ -2,7 +2,7 @@
 
 Fixed masks pick some of the tokens of a window and ignore the others, so a window still hashes alike when ignored tokens were
 substituted. Test items and training documents meet on these hashes; around each hit the two are aligned token by token on the
-hit's diagonal and the best-scoring stretch (match +1, mismatch ``-MISMATCH``) is verified against the thresholds.
+hit's diagonal, and of all its stretches with ``LEAST_SHARE`` of matches the one with the most is verified against the thresholds.
 
 Tokens are words, A-Z lowered, without punctuation at their ends. The items' seeds go to the executors when there are at most
 ``BROADCAST_SEEDS`` of them (16 bytes each); beyond that the documents' windows that pass a fixed-size bit filter are joined to
@@ -25,10 +25,11 @@ from codeweave.llm.common import U64, mix64
 MASKS = ("11011011", "1110010111", "1010110011")
 #: Items of fewer words than this use their whole sequence as one more seed.
 SHORT = 12
-MISMATCH = 2
 #: A stretch counts from so many matching words (or the whole of a shorter item) and this share of matches.
 LEAST_WORDS = 10
 LEAST_SHARE = 0.75
+#: What a mismatch takes off where a match adds 1: a stretch's sum is 0 or more just where its share is ``LEAST_SHARE`` or more.
+MISMATCH = 3
 #: Words to either side of a hit that verification looks at.
 REACH = 256
 BROADCAST_SEEDS = 2_000_000
@@ -117,15 +118,18 @@ def filtered_windows(words: np.ndarray, at: np.ndarray, passes: np.ndarray, shor
 
 
 def best_stretch(same: np.ndarray) -> tuple[int, int]:
-    """Matches and length of the stretch with the highest score; the first and longest of equals."""
-    if not same.any():
+    """Matches and length of the stretch with the most matches of those with ``LEAST_SHARE`` of them; the shortest of equals."""
+    hits = np.flatnonzero(same)
+    if not len(hits):
         return 0, 0
     total = np.concatenate([[0], np.cumsum(np.where(same, 1, -MISMATCH))])
-    low = np.minimum.accumulate(total)
-    gain = total - low
-    end = int(np.argmax(gain))
-    begin = int(np.argmax(total[: end + 1] == low[end]))
-    return int(same[begin:end].sum()), end - begin
+    count = np.concatenate([[0], np.cumsum(same)])
+    # The earliest begin whose sum to each end is not negative has the most matches for that end.
+    begin = np.searchsorted(-np.minimum.accumulate(total), -total)
+    matches = count - count[begin]
+    ends = np.flatnonzero(matches == matches.max())
+    length = ends - hits[count[begin[ends]]]
+    return int(matches[ends[0]]), int(length.min())
 
 
 def accepted(matches: int, length: int, item_words: int) -> bool:

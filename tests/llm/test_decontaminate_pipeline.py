@@ -62,6 +62,34 @@ def test_best_stretch():
     assert D.best_stretch(np.zeros(4, bool)) == (0, 0)
 
 
+def by_rule(same, item_words):
+    """(matches, length) of the stretch with the most matches (the shortest of equals) of all that meet the stated rule, or None."""
+    found = [(int(same[a:b].sum()), a - b) for a in range(len(same)) for b in range(a + 1, len(same) + 1)]
+    found = [(m, n) for m, n in found if m >= min(10, item_words) and 4 * m >= 3 * -n]
+    return (max(found)[0], -max(found)[1]) if found else None
+
+
+def test_stretches_by_the_rule():
+    rng = np.random.RandomState(4)
+    met = 0
+    for _ in range(600):
+        same = rng.rand(rng.randint(1, 45)) < rng.choice([0.5, 0.7, 0.8, 0.9])
+        found, want = D.best_stretch(same), by_rule(same, len(same))
+        assert D.accepted(*found, len(same)) == (want is not None), same
+        assert want is None or found == want, same
+        met += want is not None
+    assert 100 < met < 500
+
+
+@pytest.mark.parametrize("bound", [D.BROADCAST_SEEDS, 0])
+def test_a_cleaner_core_does_not_hide_a_stretch(spark, docs_of, bound):
+    item = [f"w{k}" for k in range(17)]
+    copied = item[:9] + ["x", "y", "z"] + item[12:]
+    table = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    docs = docs_of([(1, "so " + " ".join(copied) + " on"), (2, " ".join(item[:9] + ["x", "y", "z", "v", "u"] + item[14:]))])
+    assert [tuple(r) for r in D.contaminations(docs, table, bound).collect()] == [(1, 7, 14, 17)]
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path, corpus):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     from codeweave.llm import packing, pii, toxicity
