@@ -1,10 +1,10 @@
 """Personal data: exact base patterns, and a character-level bidirectional LSTM with CRF transitions that adds spans.
 
-The base finds email, ip, card and phone by pattern, leftmost and non-overlapping per kind. The model (numpy) reads characters
-around digits and at-signs, which every kind contains, in overlapping windows; each character takes its tag from the window in
-which it is most central, so spans across window borders come out whole. Model spans count when they have their kind's shape
-and touch no base span. It is trained from labelled spans: base spans of at most ``sample`` rows, some rewritten (no plus sign
-before a phone, a spelled-out at-sign), so that it also finds what the patterns can't.
+The base finds email, ip, card and phone by pattern, leftmost and non-overlapping per kind. The model (numpy) reads every text
+whole, in overlapping windows; each character takes its tag from the window in which it is most central, so spans across window
+borders come out whole. Model spans count when they have their kind's shape and touch no base span. It is trained from labelled
+spans: base spans of at most ``sample`` rows, some rewritten (no plus sign before a phone, a spelled-out at-sign), so that it also
+finds what the patterns can't, and windows of the same rows anywhere, so that prose stays as it is.
 """
 
 from __future__ import annotations
@@ -82,6 +82,8 @@ SPECIAL = "@.-+()_%,:/'\"#*="
 CLASSES = 6 + len(SPECIAL)
 TAGS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
 WINDOW, STRIDE, AROUND = 96, 64, 28
+#: Windows a matrix product of the prediction: so few that BLAS starts no threads, which cost more CPU time than they save.
+BLOCK = 128
 
 _class_table = np.full(0x250, 5, np.int8)
 for _c in range(0x250):
@@ -204,9 +206,64 @@ class Tagger:
                     self.p[k] = self.p[k] - rate * (m[k] / (1 - 0.9**n)) / (np.sqrt(v[k] / (1 - 0.999**n)) + 1e-8)
         return loss
 
+    def states(self, x: np.ndarray, d: str) -> np.ndarray:
+        """What ``lstm`` gives for classes (T, n * BLOCK), as (T, n, H, BLOCK). All gates share one tanh, as sigmoid(z) = (1 + tanh(z / 2)) / 2."""
+        hidden = self.p[f"wh_{d}"].shape[0]
+        table = self.p["emb"] @ self.p[f"wx_{d}"] + self.p[f"b_{d}"]
+        w = np.concatenate([self.p[f"wh_{d}"], table]).T.astype(np.float32)
+        w[: 3 * hidden] *= 0.5
+        n = x.shape[1] // BLOCK
+        block, column = np.divmod(np.arange(x.shape[1]), BLOCK)
+        # Hidden states above the one-hot classes.
+        s = np.zeros((n, hidden + len(table), BLOCK), np.float32)
+        z, c, new = np.empty((n, 4 * hidden, BLOCK), np.float32), np.zeros((n, hidden, BLOCK), np.float32), np.empty((n, hidden, BLOCK), np.float32)
+        out = np.empty((len(x), n, hidden, BLOCK), np.float32)
+        before = None
+        for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
+            if before is not None:
+                s[block, before, column] = 0
+            before = x[t].astype(np.int64) + hidden
+            s[block, before, column] = 1
+            np.tanh(np.matmul(w, s, out=z), out=z)
+            gates = z[:, : 3 * hidden]
+            gates *= 0.5
+            gates += 0.5
+            c *= z[:, hidden : 2 * hidden]
+            c += np.multiply(z[:, :hidden], z[:, 3 * hidden :], out=new)
+            s[:, :hidden] = np.multiply(z[:, 2 * hidden : 3 * hidden], np.tanh(c, out=new), out=out[t])
+        return out
+
     def decode(self, x: np.ndarray) -> np.ndarray:
         """Viterbi tags (B, T)."""
-        e, _ = self.emissions(x)
+        batch, steps = x.shape
+        xt = np.zeros((steps, -(-batch // BLOCK) * BLOCK), np.int8)
+        xt[:, :batch] = x.T
+        wo = self.p["wo"].T.astype(np.float32)
+        hidden = wo.shape[1] // 2
+        e = wo[:, :hidden] @ self.states(xt, "f")
+        e += wo[:, hidden:] @ self.states(xt, "b")
+        e += self.p["bo"].astype(np.float32)[:, None]
+        e = e.transpose(0, 2, 1, 3).reshape(steps, len(wo), -1)[:, :, :batch]
+        out = np.zeros(x.shape, np.int8)
+        some = np.flatnonzero(self.may_tag(e))
+        if len(some):
+            out[some] = self.viterbi(np.ascontiguousarray(e[:, :, some].transpose(0, 2, 1)))
+        return out
+
+    def may_tag(self, e: np.ndarray, slack: float = 0.01) -> np.ndarray:
+        """Whether the best path over e (T, tags, B) may leave O: false only where an upper bound of all paths that do is below O's score."""
+        trans = self.p["trans"] - self.p["trans"][0, 0]
+        enter, stay, leave = trans[0, 1:].max(), trans[1:, 1:].max(), trans[1:, 0].max()
+        gain = e[:, 1:].max(1) - e[:, 0]
+        inside = gain[0]
+        may = inside + leave > -slack
+        for t in range(1, len(e)):
+            inside = np.maximum(enter, inside + stay) + gain[t]
+            may |= inside + leave > -slack
+        return may | (inside > -slack)
+
+    def viterbi(self, e: np.ndarray) -> np.ndarray:
+        """Tags (B, T) of the best path over e (T, B, tags)."""
         steps, batch, tags = e.shape
         back = np.empty((steps, batch, tags), np.int8)
         score = e[0]
@@ -214,7 +271,7 @@ class Tagger:
             full = score[:, :, None] + self.p["trans"]
             back[t] = full.argmax(1)
             score = full.max(1) + e[t]
-        out = np.empty((batch, steps), np.int64)
+        out = np.empty((batch, steps), np.int8)
         out[:, -1] = score.argmax(1)
         for t in range(steps - 1, 0, -1):
             out[:, t - 1] = back[t][np.arange(batch), out[:, t]]
@@ -253,39 +310,30 @@ def shaped(text: str, kind: str) -> bool:
 def model_spans(tagger: Tagger, texts: list[str], base: list[list[tuple[int, int, str]]], most: int = 1024) -> list[list[tuple[int, int, str]]]:
     """What the model adds to each text's base spans."""
     added: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    jobs = []
-    for k, text in enumerate(texts):
-        for low, high in regions(text):
-            # Where the base has found all the digits of a region there is nothing to add.
-            if all(any(a <= m.start() < b for a, b, _ in base[k]) for m in TRIGGER.finditer(text, low, high)):
-                continue
-            jobs.append((k, low, high, window_starts(low, high)))
+    jobs = [(k, len(window_starts(0, len(text)))) for k, text in enumerate(texts) if text]
+    half = (WINDOW - STRIDE) // 2
     i = 0
     while i < len(jobs):
         j, n = i, 0
-        while j < len(jobs) and (j == i or n + len(jobs[j][3]) <= most):
-            n += len(jobs[j][3])
+        while j < len(jobs) and (j == i or n + jobs[j][1] <= most):
+            n += jobs[j][1]
             j += 1
-        x = np.zeros((n, WINDOW), np.int64)
+        x = np.zeros((n, WINDOW), np.int8)
         r = 0
-        for k, low, high, starts in jobs[i:j]:
-            codes = classes(texts[k][low:high])
-            for s in starts:
-                part = codes[s - low : s - low + WINDOW]
-                x[r, : len(part)] = part
-                r += 1
+        for k, m in jobs[i:j]:
+            codes = np.zeros((m - 1) * STRIDE + WINDOW, np.int8)
+            codes[: len(texts[k])] = classes(texts[k])
+            x[r : r + m] = np.lib.stride_tricks.sliding_window_view(codes, WINDOW)[::STRIDE]
+            r += m
         tags = np.concatenate([tagger.decode(x[a : a + most]) for a in range(0, n, most)])
         r = 0
-        for k, low, high, starts in jobs[i:j]:
-            # Each character takes its tag from the window whose middle is nearest.
-            tag = np.zeros(high - low, np.int64)
-            half = (WINDOW - STRIDE) // 2
-            for q, s in enumerate(starts):
-                a = s - low + (half if q else 0)
-                b = min(high - low, s - low + WINDOW)
-                tag[a:b] = tags[r + q, a - (s - low) : b - (s - low)]
-            r += len(starts)
-            added[k] += [(low + a, low + b, kind) for a, b, kind in tagged(tag) if free(low + a, low + b, base[k]) and shaped(texts[k][low + a : low + b], kind)]
+        for k, m in jobs[i:j]:
+            own = tags[r : r + m]
+            r += m
+            if own.any():
+                # Each character takes its tag from the window whose middle is nearest.
+                tag = np.concatenate([own[0, :half], own[:, half : half + STRIDE].ravel(), own[-1, half + STRIDE :]])[: len(texts[k])]
+                added[k] += [(a, b, kind) for a, b, kind in tagged(tag) if free(a, b, base[k]) and shaped(texts[k][a:b], kind)]
         i = j
     return added
 
@@ -306,43 +354,54 @@ def tagged(tags: np.ndarray) -> Iterator[tuple[int, int, str]]:
             start, kind = i, now
 
 
+def training_window(text: str, low: int, spans: list[tuple[int, int, str]], rng: np.random.RandomState) -> tuple[np.ndarray, np.ndarray]:
+    """Classes and tags of a window from ``low`` on; spans that lie in it whole may be rewritten."""
+    high = min(len(text), low + WINDOW)
+    piece, tag = [], []
+    at = low
+    for a, b, kind in spans:
+        if b <= at or a >= high or low < a < at:
+            continue
+        first, last = max(a, low), min(b, high)
+        piece.append(text[at:first])
+        tag += [0] * (first - at)
+        span, roll = text[first:last], rng.rand()
+        if (first, last) == (a, b):
+            if kind == "phone" and roll < 0.3:
+                span = span[1:]
+            elif kind == "email" and roll < 0.3:
+                span = span.replace("@", " at " if roll < 0.1 else "(at)" if roll < 0.2 else " (at) ", 1)
+        piece.append(span)
+        k = 2 * KINDS.index(kind) + 1
+        tag += [k if first == a else k + 1] + [k + 1] * (len(span) - 1)
+        at = last
+    piece.append(text[at:high])
+    tag += [0] * (high - at)
+    codes = classes("".join(piece))[:WINDOW]
+    x, y = np.zeros(WINDOW, np.int64), np.zeros(WINDOW, np.int64)
+    x[: len(codes)] = codes
+    y[: len(codes)] = tag[:WINDOW]
+    return x, y
+
+
 def training_windows(texts: list[str], seed: int = 5, most: int = 2500) -> tuple[np.ndarray, np.ndarray]:
-    """Windows and tags from base spans, some rewritten; at most ``most``."""
+    """Windows and tags from base spans, some rewritten; at most ``most`` around digits and at-signs and half as many anywhere."""
     rng = np.random.RandomState(seed)
-    xs, ys = [], []
+    near, plain = [], []
     for text in texts:
         spans = base_spans(text)
         for low, high in regions(text)[:40]:
-            inside = [s for s in spans if low <= s[0] and s[1] <= high]
-            piece, tag = [], []
-            at = low
-            for a, b, kind in inside:
-                if a < at:
-                    continue
-                piece.append(text[at:a])
-                tag += [0] * (a - at)
-                span, roll = text[a:b], rng.rand()
-                if kind == "phone" and roll < 0.3:
-                    span = span[1:]
-                elif kind == "email" and roll < 0.3:
-                    span = span.replace("@", " at " if roll < 0.15 else "(at)", 1)
-                piece.append(span)
-                k = 2 * KINDS.index(kind) + 1
-                tag += [k] + [k + 1] * (len(span) - 1)
-                at = b
-            piece.append(text[at:high])
-            tag += [0] * (high - at)
-            codes = classes("".join(piece))
-            shift = int(rng.randint(0, 12))
-            x, y = np.zeros(WINDOW, np.int64), np.zeros(WINDOW, np.int64)
-            part = codes[shift : shift + WINDOW]
-            x[: len(part)] = part
-            y[: len(part)] = tag[shift : shift + WINDOW]
-            xs.append(x)
-            ys.append(y)
-            if len(xs) >= most:
-                return np.array(xs), np.array(ys)
-    return np.array(xs).reshape(-1, WINDOW), np.array(ys).reshape(-1, WINDOW)
+            # Spans are few, so each is seen in more than one form and place.
+            for _ in range(3 if any(low <= a < high for a, _, _ in spans) else 1):
+                near.append(training_window(text, max(0, low - int(rng.randint(-12, AROUND))), spans, rng))
+        lows = [int(rng.randint(0, max(1, len(text) - WINDOW)))]
+        if " at " in text:
+            lows.append(max(0, text.index(" at ") - int(rng.randint(0, WINDOW))))
+        plain += [training_window(text, low, spans, rng) for low in lows if text]
+        if len(near) >= most:
+            break
+    every = near[:most] + plain[: most // 2]
+    return np.array([x for x, _ in every]).reshape(-1, WINDOW), np.array([y for _, y in every]).reshape(-1, WINDOW)
 
 
 def fit(docs: DataFrame, sample: int = 4000, epochs: int = 24) -> dict[str, np.ndarray]:

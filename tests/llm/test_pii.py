@@ -72,6 +72,34 @@ def test_the_model_adds_what_the_patterns_miss(trained):
     assert all(P.free(a, b, base) for a, b, _ in added)
 
 
+def test_addresses_without_a_digit_or_an_at_sign():
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 8)))
+    mail = lambda: f"{word()}@{word()}.example.com"
+    some = [mail, mail, lambda: "+1 (724) 555-" + "".join(rng.choice("0123456789") for _ in range(4))]
+    tagger = P.Tagger.fresh()
+    tagger.fit(*P.training_windows([" ".join(rng.choice(some)() if rng.random() < 0.1 else word() for _ in range(60)) for _ in range(90)]), 18)
+    prose = "she sat at noon and then tea " * 9
+    texts = [prose + f"write {who} {prose}" for who in ("ana (at) mail.example.com", "ana(at)mail.example.com", "ana at mail.example.com")]
+    texts += [prose + "bob@mail.example.com or ana(at)mail.example.com " + prose, prose]
+    base = [P.base_spans(t) for t in texts]
+    added = P.model_spans(tagger, texts, base)
+    assert [[t[a:b] for a, b, _ in more] for t, more in zip(texts, added)] == [["ana (at) mail.example.com"], ["ana(at)mail.example.com"], ["ana at mail.example.com"], ["ana(at)mail.example.com"], []]
+    assert P.redact(texts[0], base[0] + added[0]) == prose + "write [EMAIL] " + prose
+
+
+def test_decode_equals_viterbi_over_all_windows(trained):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abc 0123.@+-()") if rng.random() < 0.3 else rng.choice("etaoin ") for _ in range(P.WINDOW)) for _ in range(60)] + ["tea " * 24] * 4
+    x = np.array([P.classes(t) for t in texts])
+    e, (xt, h, _, _) = trained.emissions(x)
+    padded = np.pad(xt, ((0, 0), (0, P.BLOCK - len(x))))
+    for d, part in (("f", h[..., :12]), ("b", h[..., 12:])):
+        assert np.abs(trained.states(padded, d)[:, 0].transpose(0, 2, 1)[:, : len(x)] - part).max() < 1e-3
+    may = trained.may_tag(e.transpose(0, 2, 1))
+    assert (trained.decode(x) == trained.viterbi(e)).all() and not may[-4:].any() and may.any()
+
+
 def test_windows_cover_a_long_region(trained):
     assert [s for s in P.window_starts(10, 500)][-1] + P.WINDOW >= 500
     long = "7 " * 400 + "+1 (724) 555-7058"
