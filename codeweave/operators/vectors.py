@@ -92,11 +92,13 @@ def trigram_embedding(dim: int = 256):
 
 
 def hashed_neighbours(vectors: DataFrame, queries: DataFrame, k: int, tables: int = 12, bits: int = 5, seed: int = 4) -> DataFrame:
-    """(query, id, score): about the k nearest of each query by random hyperplanes, re-ranked by exact dot products."""
+    """(query, id, score): about the k nearest of each query by random hyperplanes and probes one bit away, re-ranked by exact dot products."""
     dim = len(vectors.select("embedding").first()[0])
     planes = np.random.RandomState(seed).randn(tables, bits, dim)
     sign = lambda t: F.concat(*(F.when(dot(F.col("embedding"), F.array(*map(F.lit, planes[t, i].tolist()))) >= 0, "1").otherwise("0") for i in range(bits)))
     keyed = lambda d: d.select("id", "embedding", F.explode(F.array(*(F.concat(F.lit(f"{t}:"), sign(t)) for t in range(tables)))).alias("key"))
-    a = keyed(queries).select(F.col("id").alias("query"), F.col("embedding").alias("q"), "key")
+    # A query also looks into the buckets that differ from its own in one bit.
+    flipped = lambda i: F.expr(f"concat(left(key, length(key) - {i + 1}), translate(substr(key, -{i + 1}, 1), '01', '10'), right(key, {i}))")
+    a = keyed(queries).select(F.col("id").alias("query"), F.col("embedding").alias("q"), F.explode(F.array("key", *map(flipped, range(bits)))).alias("key"))
     met = a.join(keyed(vectors), "key").where("query <> id").dropDuplicates(["query", "id"]).select("query", "id", dot(F.col("q"), F.col("embedding")).alias("score"))
     return met.groupBy("query").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", (-F.col("id")).alias("minus"))), asc=False), 1, k).alias("best")).select("query", F.explode("best").alias("x")).select("query", (-F.col("x.minus")).alias("id"), "x.score")

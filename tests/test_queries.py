@@ -42,3 +42,14 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_lsh_recall_against_brute_force(spark, sf):
+    d = SF.replace("sf0.001", sf)
+    v = {r.vec_id: r.embedding for r in spark.read.parquet(f"{d}/embeddings.parquet").collect()}
+    score = lambda a, b: sum(x * y for x, y in zip(v[a], v[b]))
+    want = {(q, i) for q in v if q % 100 == 0 for i in sorted(v.keys() - {q}, key=lambda i: (-score(q, i), i))[:5]}
+    got = {(r.query, r.id) for r in catalog.QUERIES["lsh_neighbours"](spark, d).collect()}
+    print(sf, "recall", len(got & want) / len(want))
+    assert len(got & want) >= 0.9 * len(want)
