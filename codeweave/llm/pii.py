@@ -1,16 +1,18 @@
 """Personal data: exact base patterns, and a character-level bidirectional LSTM with CRF transitions that adds spans.
 
 The base finds email, ip, card and phone by pattern, leftmost and non-overlapping per kind. The model (numpy) reads every text
-whole, in overlapping windows; each character takes its tag from the window in which it is most central, so spans across window
-borders come out whole. Model spans count when they have their kind's shape and touch no base span. It is trained from labelled
-spans: base spans of at most ``sample`` rows, some rewritten (no plus sign before a phone, a spelled-out at-sign), so that it also
-finds what the patterns can't, and windows of the same rows anywhere, so that prose stays as it is.
+whole, in overlapping windows. Where two windows overlap their emissions are merged, the more central window weighing more, and one
+Viterbi path is decoded over the merged emissions of the whole text, so no window decides alone. Model spans count when they have
+their kind's shape and touch no base span. It is trained from labelled spans: base spans of at most ``sample`` rows, some rewritten
+(no plus sign before a phone, a spelled-out at-sign), so that it also finds what the patterns can't, and windows drawn from all
+characters of the same rows, so that prose stays as it is.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeweave.llm import common
+from codeweave.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -81,9 +84,13 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 SPECIAL = "@.-+()_%,:/'\"#*="
 CLASSES = 6 + len(SPECIAL)
 TAGS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
-WINDOW, STRIDE, AROUND = 96, 64, 28
+#: Characters of a window in training, and of a window and of what two neighbours share in prediction.
+TRAINED, WINDOW, SHARED = 96, 224, 32
+STRIDE = WINDOW - SHARED
 #: Windows a matrix product of the prediction: so few that BLAS starts no threads, which cost more CPU time than they save.
 BLOCK = 128
+#: Windows whose states are held at once, and the gain of a character that lies in no text.
+HELD, OUTSIDE = 1024, -1e4
 
 _class_table = np.full(0x250, 5, np.int8)
 for _c in range(0x250):
@@ -94,14 +101,12 @@ for _c in range(0x250):
 def classes(text: str) -> np.ndarray:
     """Class of each code point; 0 is padding; letters beyond the table count as lower-case letters."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    return np.where(points < 0x250, _class_table[np.minimum(points, 0x24F)], 2).astype(np.int64)
+    return np.where(points < 0x250, _class_table[np.minimum(points, 0x24F)], 2).astype(np.int8)
 
 
 class Tagger:
     """Embedding, forward and backward LSTM, linear emissions, CRF transitions; forward, gradients and Viterbi in numpy."""
 
-    NAMES = ("emb", "wx_f", "wh_f", "b_f", "wx_b", "wh_b", "b_b", "wo", "bo", "trans")
-
     def __init__(self, params: dict[str, np.ndarray]):
         self.p = params
 
@@ -115,80 +120,88 @@ class Tagger:
             p[f"b_{d}"][hidden : 2 * hidden] = 1
         return cls(p)
 
-    def lstm(self, x: np.ndarray, d: str, keep: bool = False):
-        """Hidden states (T, B, H) over x (T, B) in one direction; with ``keep`` also what gradients need."""
-        wh = self.p[f"wh_{d}"]
-        hidden = wh.shape[0]
-        table = self.p["emb"] @ self.p[f"wx_{d}"] + self.p[f"b_{d}"]
-        steps = range(len(x)) if d == "f" else range(len(x) - 1, -1, -1)
-        h = np.zeros((x.shape[1], hidden), np.float32)
-        c = np.zeros_like(h)
-        out = np.empty((*x.shape, hidden), np.float32)
-        kept = []
-        for t in steps:
-            z = table[x[t]] + h @ wh
-            gates = 1 / (1 + np.exp(-np.clip(z[:, : 3 * hidden], -30, 30)))
-            i, f, o = gates[:, :hidden], gates[:, hidden : 2 * hidden], gates[:, 2 * hidden :]
-            g = np.tanh(z[:, 3 * hidden :])
-            before, c = (h, c), f * c + i * g
-            h = o * np.tanh(c)
-            out[t] = h
-            if keep:
-                kept.append((t, i, f, o, g, before, c))
-        return out, kept
-
-    def emissions(self, x: np.ndarray, keep: bool = False):
-        """(T, B, tags) for classes (B, T)."""
+    def tables(self) -> np.ndarray:
+        """What each class adds to the gates, (2, classes, 4 H): forward, backward."""
+        return np.stack([self.p["emb"] @ self.p[f"wx_{d}"] + self.p[f"b_{d}"] for d in "fb"])
+
+    def lstm(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Over classes (T, B), both directions at once: per step (the backward one counts from the end) gates, candidates, cells and states."""
+        steps, batch = x.shape
+        wh = np.stack([self.p["wh_f"], self.p["wh_b"]])
+        hidden = wh.shape[1]
+        table = self.tables()
+        put = np.stack([table[0][x], table[1][x[::-1]]], 1)
+        gates, cand = np.empty((steps, 2, batch, 3 * hidden), table.dtype), np.empty((steps, 2, batch, hidden), table.dtype)
+        cells, states = np.zeros((steps + 1, 2, batch, hidden), table.dtype), np.zeros((steps + 1, 2, batch, hidden), table.dtype)
+        for t in range(steps):
+            z = put[t] + states[t] @ wh
+            gates[t] = 0.5 + 0.5 * np.tanh(0.5 * z[..., : 3 * hidden])
+            cand[t] = np.tanh(z[..., 3 * hidden :])
+            cells[t + 1] = gates[t][..., hidden : 2 * hidden] * cells[t] + gates[t][..., :hidden] * cand[t]
+            states[t + 1] = gates[t][..., 2 * hidden :] * np.tanh(cells[t + 1])
+        return gates, cand, cells, states
+
+    def emissions(self, x: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """(T, B, tags) for classes (B, T), and what gradients need."""
         x = np.ascontiguousarray(x.T)
-        hf, kf = self.lstm(x, "f", keep)
-        hb, kb = self.lstm(x, "b", keep)
-        h = np.concatenate([hf, hb], 2)
-        return h @ self.p["wo"] + self.p["bo"], (x, h, kf, kb)
+        kept = self.lstm(x)
+        h = np.concatenate([kept[3][1:, 0], kept[3][:0:-1, 1]], 2)
+        return h @ self.p["wo"] + self.p["bo"], (x, h, kept)
 
     def loss_and_grads(self, x: np.ndarray, y: np.ndarray):
         """Mean negative log likelihood a character of tags y (B, T), and the gradient of each parameter."""
-        e, (xt, h, kf, kb) = self.emissions(x, True)
-        e = e.astype(np.float64)
+        e, (xt, h, (gates, cand, cells, states)) = self.emissions(x)
         steps, batch, tags = e.shape
+        # The field in probabilities, scaled at each step.
         trans = self.p["trans"].astype(np.float64)
-        alpha, beta = np.empty_like(e), np.zeros_like(e)
-        lse = lambda a, axis: (m := a.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(a - m).sum(axis))
-        alpha[0] = e[0]
-        for t in range(1, steps):
-            alpha[t] = e[t] + lse(alpha[t - 1][:, :, None] + trans, 1)
+        peak, top = e.max(2, keepdims=True).astype(np.float64), trans.max()
+        likely, move = np.exp(e - peak), np.exp(trans - top)
+        alpha, beta, scale = np.empty((steps, batch, tags)), np.ones((steps, batch, tags)), np.empty((steps, batch, 1))
+        for t in range(steps):
+            a = likely[t] if t == 0 else (alpha[t - 1] @ move) * likely[t]
+            scale[t] = a.sum(1, keepdims=True)
+            alpha[t] = a / scale[t]
         for t in range(steps - 2, -1, -1):
-            beta[t] = lse(trans + (e[t + 1] + beta[t + 1])[:, None, :], 2)
-        z = lse(alpha[-1], 1)
+            beta[t] = (likely[t + 1] * beta[t + 1]) @ move.T / scale[t + 1]
+        z = (np.log(scale) + peak).sum((0, 2)) + (steps - 1) * top
         yt = y.T
-        gold = e[np.arange(steps)[:, None], np.arange(batch)[None], yt].sum(0) + trans[yt[:-1], yt[1:]].sum(0)
-        scale = 1.0 / (steps * batch)
-        de = np.exp(alpha + beta - z[None, :, None])
-        de[np.arange(steps)[:, None], np.arange(batch)[None], yt] -= 1
-        dtrans = np.zeros((tags, tags))
-        for t in range(steps - 1):
-            dtrans += np.exp(alpha[t][:, :, None] + trans + (e[t + 1] + beta[t + 1])[:, None, :] - z[:, None, None]).sum(0)
-        np.add.at(dtrans, (yt[:-1].ravel(), yt[1:].ravel()), -1)
-        de = (de * scale).astype(np.float32)
-        g = {"trans": (dtrans * scale).astype(np.float32), "wo": np.tensordot(h, de, ((0, 1), (0, 1))), "bo": de.sum((0, 1))}
+        gold = np.take_along_axis(e, yt[..., None], 2).sum((0, 2)) + trans[yt[:-1], yt[1:]].sum(0)
+        share = 1.0 / (steps * batch)
+        de = alpha * beta
+        np.put_along_axis(de, yt[..., None], np.take_along_axis(de, yt[..., None], 2) - 1, 2)
+        later = likely[1:] * beta[1:] / scale[1:]
+        dtrans = (alpha[:-1].reshape(-1, tags).T @ later.reshape(-1, tags)) * move
+        dtrans -= np.bincount(yt[:-1].ravel() * tags + yt[1:].ravel(), minlength=tags * tags).reshape(tags, tags)
+        de = (de * share).astype(h.dtype)
+        g = {"trans": (dtrans * share).astype(h.dtype), "wo": h.reshape(-1, h.shape[2]).T @ de.reshape(-1, tags), "bo": de.sum((0, 1))}
         dh = de @ self.p["wo"].T
-        hidden = self.p["wh_f"].shape[0]
-        demb = np.zeros_like(self.p["emb"])
-        for d, kept, part in (("f", kf, dh[..., :hidden]), ("b", kb, dh[..., hidden:])):
-            wh, wx = self.p[f"wh_{d}"], self.p[f"wx_{d}"]
-            gh, gc = np.zeros((batch, hidden), np.float32), np.zeros((batch, hidden), np.float32)
-            gwh, gtable = np.zeros_like(wh), np.zeros((len(demb), 4 * hidden), np.float32)
-            for t, i, f, o, gg, (h0, c0), c in reversed(kept):
-                gh = gh + part[t]
-                tc = np.tanh(c)
-                gc = gc + gh * o * (1 - tc * tc)
-                dz = np.concatenate([gc * gg * i * (1 - i), gc * c0 * f * (1 - f), gh * tc * o * (1 - o), gc * i * (1 - gg * gg)], 1)
-                gwh += h0.T @ dz
-                np.add.at(gtable, xt[t], dz)
-                gh, gc = dz @ wh.T, gc * f
-            g[f"wh_{d}"], g[f"b_{d}"], g[f"wx_{d}"] = gwh, gtable.sum(0), self.p["emb"].T @ gtable
-            demb += gtable @ wx.T
-        g["emb"] = demb
-        return float((z - gold).sum() * scale), g
+        wh = np.stack([self.p["wh_f"], self.p["wh_b"]])
+        hidden = wh.shape[1]
+        dh = np.stack([dh[..., :hidden], dh[::-1, :, hidden:]], 1)
+        bent = np.tanh(cells[1:])
+        i, f, o = (gates[..., k * hidden : (k + 1) * hidden] for k in range(3))
+        # What a change of the cell does to each gate, and one of the state to the output gate and the cell.
+        by_cell = np.concatenate([cand * i * (1 - i), cells[:-1] * f * (1 - f), np.zeros_like(i), i * (1 - cand * cand)], 3)
+        by_state, to_cell = bent * o * (1 - o), o * (1 - bent * bent)
+        dz = np.empty_like(by_cell)
+        back = wh.transpose(0, 2, 1)
+        gh, gc = np.zeros_like(dh[0]), np.zeros_like(dh[0])
+        for t in range(steps - 1, -1, -1):
+            gh = gh + dh[t]
+            gc = gc + gh * to_cell[t]
+            np.multiply(by_cell[t].reshape(2, batch, 4, hidden), gc[:, :, None], out=dz[t].reshape(2, batch, 4, hidden))
+            dz[t][..., 2 * hidden : 3 * hidden] = gh * by_state[t]
+            gh, gc = dz[t] @ back, gc * f[t]
+        g["emb"] = np.zeros_like(self.p["emb"])
+        one_hot = np.zeros((steps * batch, len(self.p["emb"])), h.dtype)
+        one_hot[np.arange(steps * batch), xt.ravel()] = 1
+        for k, d in enumerate("fb"):
+            own = dz[:, k].reshape(-1, 4 * hidden)
+            ordered = (dz[:, k] if d == "f" else dz[::-1, k]).reshape(-1, 4 * hidden)
+            by_class = one_hot.T @ ordered
+            g[f"wh_{d}"], g[f"b_{d}"], g[f"wx_{d}"] = states[:-1, k].reshape(-1, hidden).T @ own, by_class.sum(0), self.p["emb"].T @ by_class
+            g["emb"] += by_class @ self.p[f"wx_{d}"].T
+        return float((z - gold).sum() * share), g
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int, batch: int = 64, rate: float = 0.02, seed: int = 3) -> float:
         """Adam; returns the last loss."""
@@ -207,9 +220,9 @@ class Tagger:
         return loss
 
     def states(self, x: np.ndarray, d: str) -> np.ndarray:
-        """What ``lstm`` gives for classes (T, n * BLOCK), as (T, n, H, BLOCK). All gates share one tanh, as sigmoid(z) = (1 + tanh(z / 2)) / 2."""
+        """The states of direction d for classes (T, n * BLOCK), as (T, n, H, BLOCK). All gates share one tanh, as sigmoid(z) = (1 + tanh(z / 2)) / 2."""
         hidden = self.p[f"wh_{d}"].shape[0]
-        table = self.p["emb"] @ self.p[f"wx_{d}"] + self.p[f"b_{d}"]
+        table = self.tables()["fb".index(d)]
         w = np.concatenate([self.p[f"wh_{d}"], table]).T.astype(np.float32)
         w[: 3 * hidden] *= 0.5
         n = x.shape[1] // BLOCK
@@ -233,8 +246,8 @@ class Tagger:
             s[:, :hidden] = np.multiply(z[:, 2 * hidden : 3 * hidden], np.tanh(c, out=new), out=out[t])
         return out
 
-    def decode(self, x: np.ndarray) -> np.ndarray:
-        """Viterbi tags (B, T)."""
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """Emissions (T, tags, B) for classes (B, T): those of ``emissions``, in less time."""
         batch, steps = x.shape
         xt = np.zeros((steps, -(-batch // BLOCK) * BLOCK), np.int8)
         xt[:, :batch] = x.T
@@ -243,56 +256,150 @@ class Tagger:
         e = wo[:, :hidden] @ self.states(xt, "f")
         e += wo[:, hidden:] @ self.states(xt, "b")
         e += self.p["bo"].astype(np.float32)[:, None]
-        e = e.transpose(0, 2, 1, 3).reshape(steps, len(wo), -1)[:, :, :batch]
-        out = np.zeros(x.shape, np.int8)
-        some = np.flatnonzero(self.may_tag(e))
-        if len(some):
-            out[some] = self.viterbi(np.ascontiguousarray(e[:, :, some].transpose(0, 2, 1)))
-        return out
+        return e.transpose(0, 2, 1, 3).reshape(steps, len(wo), -1)[:, :, :batch]
 
-    def may_tag(self, e: np.ndarray, slack: float = 0.01) -> np.ndarray:
-        """Whether the best path over e (T, tags, B) may leave O: false only where an upper bound of all paths that do is below O's score."""
-        trans = self.p["trans"] - self.p["trans"][0, 0]
-        enter, stay, leave = trans[0, 1:].max(), trans[1:, 1:].max(), trans[1:, 0].max()
-        gain = e[:, 1:].max(1) - e[:, 0]
-        inside = gain[0]
-        may = inside + leave > -slack
-        for t in range(1, len(e)):
-            inside = np.maximum(enter, inside + stay) + gain[t]
-            may |= inside + leave > -slack
-        return may | (inside > -slack)
-
-    def viterbi(self, e: np.ndarray) -> np.ndarray:
-        """Tags (B, T) of the best path over e (T, B, tags)."""
+    def viterbi(self, e: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Tags (B, T) of the best path over the first ``lengths`` steps of e (T, B, tags); ties go to the tag that comes first."""
         steps, batch, tags = e.shape
         back = np.empty((steps, batch, tags), np.int8)
         score = e[0]
         for t in range(1, steps):
             full = score[:, :, None] + self.p["trans"]
-            back[t] = full.argmax(1)
-            score = full.max(1) + e[t]
+            on = (t < lengths)[:, None]
+            back[t] = np.where(on, full.argmax(1), np.arange(tags))
+            score = np.where(on, full.max(1) + e[t], score)
         out = np.empty((batch, steps), np.int8)
         out[:, -1] = score.argmax(1)
         for t in range(steps - 1, 0, -1):
             out[:, t - 1] = back[t][np.arange(batch), out[:, t]]
         return out
 
+    def undecided(self, gain: np.ndarray, first: np.ndarray, last: np.ndarray, slack: float = 0.01) -> np.ndarray:
+        """Which characters the best path may tag: the others lie in no stretch outside O whose upper bound reaches O's score.
 
-def regions(text: str) -> list[tuple[int, int]]:
-    """Merged stretches within AROUND characters of a digit or at-sign."""
-    out: list[list[int]] = []
-    for m in TRIGGER.finditer(text):
-        low, high = max(0, m.start() - AROUND), min(len(text), m.start() + AROUND)
-        if out and low <= out[-1][1]:
-            out[-1][1] = high
-        else:
-            out.append([low, high])
-    return [(a, b) for a, b in out]
+        gain: upper bounds of what any tag scores above O, OUTSIDE between texts; first, last: the texts' first and last characters.
+        """
+        trans = self.p["trans"].astype(np.float64) - self.p["trans"][0, 0]
+        enter, stay, leave = trans[0, 1:].max(), trans[1:, 1:].max(), trans[1:, 0].max()
+        gain = gain.astype(np.float64)
+        # Nothing is entered before a text's first character nor left after its last.
+        gain[first] -= enter
+        gain[last] -= leave
+        # The best stretch that ends at t: a running sum of (gain + stay) less its least value before, one pass either way.
+        total = np.concatenate([[0.0], np.cumsum(gain + stay)])
+        until = enter - stay + total[1:] - np.minimum.accumulate(total[:-1])
+        since = leave - stay + np.maximum.accumulate(total[:0:-1])[::-1] - total[:-1]
+        return until + since - gain > -slack
+
+
+def window_counts(lengths: np.ndarray) -> np.ndarray:
+    """Windows that cover a text of each length (1 at least): STRIDE apart, neighbours share SHARED characters."""
+    return np.maximum(1, -(-(lengths - SHARED) // STRIDE))
+
+
+class Windows:
+    """The overlapping windows of some texts, and the slots of their characters: STRIDE a window and one more STRIDE a text."""
+
+    def __init__(self, texts: list[str]):
+        lengths = np.array([len(t) for t in texts])
+        counts = window_counts(lengths)
+        self.text = np.repeat(np.arange(len(texts)), counts)
+        self.n = len(self.text)
+        # The slot of each text's first character, and the stride of slots in which each window begins.
+        self.base = (np.cumsum(counts) - counts + np.arange(len(texts))) * STRIDE
+        self.place = np.arange(self.n) + self.text
+        self.slots = (self.n + len(texts)) * STRIDE
+        self.codes = np.zeros(self.slots, np.int8)
+        self.inside = np.zeros(self.slots, bool)
+        for t, at in zip(texts, self.base.tolist()):
+            self.codes[at : at + len(t)] = classes(t)
+            self.inside[at : at + len(t)] = True
+        self.lengths = lengths
+        # Weights of a window's first and last SHARED characters: halves of a ramp, but whole at a text's ends.
+        ramp = ((np.arange(SHARED) + 0.5) / SHARED).astype(np.float32)
+        new = np.concatenate([[True], self.text[1:] != self.text[:-1]]) if self.n else np.zeros(0, bool)
+        old = np.concatenate([new[1:], [True]]) if self.n else new
+        self.left = np.where(new[:, None], np.float32(1), ramp)
+        self.right = np.where(old[:, None], np.float32(1), 1 - ramp)
+
+    def rows(self, windows: np.ndarray) -> np.ndarray:
+        """Classes (windows, WINDOW)."""
+        return self.codes[(self.place[windows] * STRIDE)[:, None] + np.arange(WINDOW)]
+
+    def gains(self, tagger: Tagger) -> np.ndarray:
+        """For each slot an upper bound of what any tag's merged emission is above O's: a mean of maxima is no less than the maximum of means."""
+        out = np.zeros((self.slots // STRIDE, STRIDE), np.float32)
+        for a in range(0, self.n, HELD):
+            w = np.arange(a, min(a + HELD, self.n))
+            e = tagger.scores(self.rows(w))
+            g = np.ascontiguousarray((e[:, 1:].max(1) - e[:, 0]).T)
+            g[:, :SHARED] *= self.left[w]
+            g[:, STRIDE:] *= self.right[w]
+            out[self.place[w]] += g[:, :STRIDE]
+            out[self.place[w] + 1, :SHARED] += g[:, STRIDE:]
+        out = out.ravel()
+        out[~self.inside] = OUTSIDE
+        return out
 
+    def merged(self, tagger: Tagger, slots: np.ndarray) -> np.ndarray:
+        """Merged emissions (slots, tags) of the given slots."""
+        place, at = np.divmod(slots, STRIDE)
+        window = np.full(self.slots // STRIDE, -1)
+        window[self.place] = np.arange(self.n)
+        own, before = window[place], np.where(place > 0, window[place - 1], -1)
+        shared = (at < SHARED) & (before >= 0)
+        needed = np.unique(np.concatenate([own[own >= 0], before[shared]]))
+        out = np.zeros((len(slots), len(tagger.p["bo"])), np.float32)
+        for a in range(0, len(needed), HELD):
+            w = needed[a : a + HELD]
+            e = tagger.scores(self.rows(w))
+            for at_window, there, add, weights in ((own, own >= 0, 0, self.left), (before, shared, STRIDE, self.right)):
+                k = np.searchsorted(w, at_window)
+                k = np.minimum(k, len(w) - 1)
+                s = np.flatnonzero(there & (w[k] == at_window))
+                value = e[at[s] + add, :, k[s]]
+                weight = weights[at_window[s], np.minimum(at[s], SHARED - 1)]
+                out[s] += value * np.where(at[s] < SHARED, weight, np.float32(1))[:, None]
+        return out
 
-def window_starts(low: int, high: int) -> list[int]:
-    """Overlapping windows that cover [low, high)."""
-    return list(range(low, max(low + 1, high - (WINDOW - STRIDE)), STRIDE))
+
+def decoded(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, str]]]:
+    """The spans on the best path over the merged emissions of each text (none empty)."""
+    out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+    windows = Windows(texts)
+    ends = windows.base + windows.lengths - 1
+    may = tagger.undecided(windows.gains(tagger), windows.base, ends) & windows.inside
+    slots = np.flatnonzero(may)
+    if not len(slots):
+        return out
+    e = windows.merged(tagger, slots)
+    edge = np.flatnonzero(np.concatenate([[True], np.diff(slots) > 1]))
+    low, size = slots[edge], np.diff(np.append(edge, len(slots)))
+    text = np.searchsorted(windows.base, low, "right") - 1
+    starts, stops = low == windows.base[text], low + size - 1 == ends[text]
+    # Stretches are decoded between characters that are surely O, in batches of about one size.
+    order = np.argsort(size, kind="stable")
+    pieces, i = [], 0
+    while i < len(order):
+        j = i + 1
+        while j < len(order) and size[order[j]] <= 2 * size[order[i]] + 16 and (j - i + 1) * size[order[j]] <= 200_000:
+            j += 1
+        own = order[i:j]
+        lead = (~starts[own]).astype(int)
+        steps = int((size[own] + lead + ~stops[own]).max())
+        x = np.full((steps, len(own), e.shape[1]), OUTSIDE, np.float32)
+        x[:, :, 0] = 0
+        for b, k in enumerate(own.tolist()):
+            x[lead[b] : lead[b] + size[k], b] = e[edge[k] : edge[k] + size[k]]
+        tags = tagger.viterbi(x, size[own] + lead + ~stops[own])
+        for b, k in enumerate(own.tolist()):
+            pieces.append((int(low[k]), int(text[k]), tags[b, lead[b] : lead[b] + size[k]]))
+        i = j
+    for at, k, tags in sorted(pieces, key=lambda p: p[0]):
+        if tags.any():
+            shift = at - int(windows.base[k])
+            out[k] += [(a + shift, b + shift, kind) for a, b, kind in tagged(tags)]
+    return out
 
 
 def shaped(text: str, kind: str) -> bool:
@@ -307,34 +414,12 @@ def shaped(text: str, kind: str) -> bool:
     return 10 <= digits <= 15 and text[-1:].isdigit() and not any(c.isalpha() for c in text)
 
 
-def model_spans(tagger: Tagger, texts: list[str], base: list[list[tuple[int, int, str]]], most: int = 1024) -> list[list[tuple[int, int, str]]]:
+def model_spans(tagger: Tagger, texts: list[str], base: list[list[tuple[int, int, str]]]) -> list[list[tuple[int, int, str]]]:
     """What the model adds to each text's base spans."""
+    some = [k for k, t in enumerate(texts) if t]
     added: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    jobs = [(k, len(window_starts(0, len(text)))) for k, text in enumerate(texts) if text]
-    half = (WINDOW - STRIDE) // 2
-    i = 0
-    while i < len(jobs):
-        j, n = i, 0
-        while j < len(jobs) and (j == i or n + jobs[j][1] <= most):
-            n += jobs[j][1]
-            j += 1
-        x = np.zeros((n, WINDOW), np.int8)
-        r = 0
-        for k, m in jobs[i:j]:
-            codes = np.zeros((m - 1) * STRIDE + WINDOW, np.int8)
-            codes[: len(texts[k])] = classes(texts[k])
-            x[r : r + m] = np.lib.stride_tricks.sliding_window_view(codes, WINDOW)[::STRIDE]
-            r += m
-        tags = np.concatenate([tagger.decode(x[a : a + most]) for a in range(0, n, most)])
-        r = 0
-        for k, m in jobs[i:j]:
-            own = tags[r : r + m]
-            r += m
-            if own.any():
-                # Each character takes its tag from the window whose middle is nearest.
-                tag = np.concatenate([own[0, :half], own[:, half : half + STRIDE].ravel(), own[-1, half + STRIDE :]])[: len(texts[k])]
-                added[k] += [(a, b, kind) for a, b, kind in tagged(tag) if free(a, b, base[k]) and shaped(texts[k][a:b], kind)]
-        i = j
+    for k, spans in zip(some, decoded(tagger, [texts[k] for k in some]) if some else []):
+        added[k] = [(a, b, kind) for a, b, kind in spans if free(a, b, base[k]) and shaped(texts[k][a:b], kind)]
     return added
 
 
@@ -354,9 +439,17 @@ def tagged(tags: np.ndarray) -> Iterator[tuple[int, int, str]]:
             start, kind = i, now
 
 
+# --- training --------------------------------------------------------------------------------------------------------
+
+#: Windows of each sort that a tagger is trained on, at most: with spans, with digits or at-signs but no span, and any.
+TRAINING_WINDOWS = (1500, 700, 1500)
+#: One window of the third sort is drawn for so many characters of a row.
+PLAIN_EVERY = 2000
+
+
 def training_window(text: str, low: int, spans: list[tuple[int, int, str]], rng: np.random.RandomState) -> tuple[np.ndarray, np.ndarray]:
     """Classes and tags of a window from ``low`` on; spans that lie in it whole may be rewritten."""
-    high = min(len(text), low + WINDOW)
+    high = min(len(text), low + TRAINED)
     piece, tag = [], []
     at = low
     for a, b, kind in spans:
@@ -377,41 +470,58 @@ def training_window(text: str, low: int, spans: list[tuple[int, int, str]], rng:
         at = last
     piece.append(text[at:high])
     tag += [0] * (high - at)
-    codes = classes("".join(piece))[:WINDOW]
-    x, y = np.zeros(WINDOW, np.int64), np.zeros(WINDOW, np.int64)
+    codes = classes("".join(piece))[:TRAINED]
+    x, y = np.zeros(TRAINED, np.int8), np.zeros(TRAINED, np.int8)
     x[: len(codes)] = codes
-    y[: len(codes)] = tag[:WINDOW]
+    y[: len(codes)] = tag[:TRAINED]
     return x, y
 
 
-def training_windows(texts: list[str], seed: int = 5, most: int = 2500) -> tuple[np.ndarray, np.ndarray]:
-    """Windows and tags from base spans, some rewritten; at most ``most`` around digits and at-signs and half as many anywhere."""
+def training_windows(text: str, seed: int) -> Iterator[tuple[int, float, np.ndarray, np.ndarray]]:
+    """(sort, order, classes, tags) of windows of a text: three at each base span, one at each digit or at-sign that is in none and
+    90 characters from the last such, one at each " at ", and one anywhere for each PLAIN_EVERY characters. The order is random."""
     rng = np.random.RandomState(seed)
-    near, plain = [], []
-    for text in texts:
-        spans = base_spans(text)
-        for low, high in regions(text)[:40]:
-            # Spans are few, so each is seen in more than one form and place.
-            for _ in range(3 if any(low <= a < high for a, _, _ in spans) else 1):
-                near.append(training_window(text, max(0, low - int(rng.randint(-12, AROUND))), spans, rng))
-        lows = [int(rng.randint(0, max(1, len(text) - WINDOW)))]
-        if " at " in text:
-            lows.append(max(0, text.index(" at ") - int(rng.randint(0, WINDOW))))
-        plain += [training_window(text, low, spans, rng) for low in lows if text]
-        if len(near) >= most:
-            break
-    every = near[:most] + plain[: most // 2]
-    return np.array([x for x, _ in every]).reshape(-1, WINDOW), np.array([y for _, y in every]).reshape(-1, WINDOW)
-
-
-def fit(docs: DataFrame, sample: int = 4000, epochs: int = 24) -> dict[str, np.ndarray]:
-    """Parameters of a tagger trained on the base spans of at most ``sample`` rows, chosen by the hash of doc_id."""
+    spans = base_spans(text)
+    for a, b, _ in spans:
+        # Spans are few, so each is seen in more than one form and place.
+        for _ in range(3):
+            yield 0, rng.rand(), *training_window(text, max(0, int(rng.randint(min(a, max(0, b - TRAINED)), a + 1))), spans, rng)
+    last, k = -TRAINED, 0
+    for m in TRIGGER.finditer(text):
+        while k < len(spans) and spans[k][1] <= m.start():
+            k += 1
+        if m.start() - last >= 90 and not (k < len(spans) and spans[k][0] <= m.start()):
+            last = m.start()
+            yield 1, rng.rand(), *training_window(text, max(0, last - int(rng.randint(0, TRAINED))), spans, rng)
+    lows = [int(rng.randint(0, max(1, len(text) - TRAINED))) for _ in range(-(-len(text) // PLAIN_EVERY))]
+    lows += [max(0, m.start() - int(rng.randint(0, TRAINED))) for m in re.finditer(" at ", text)]
+    for low in lows:
+        yield 2, rng.rand(), *training_window(text, low, spans, rng)
+
+
+def fit(docs: DataFrame, sample: int = 4000, windows: tuple[int, int, int] = TRAINING_WINDOWS, epochs: int = 24) -> dict[str, np.ndarray]:
+    """Parameters of a tagger trained on the base spans of at most ``sample`` rows, chosen by the hash of doc_id.
+
+    The rows are cut into labelled windows where they lie; of each sort at most ``windows`` reach the driver, drawn by a random
+    number, 2 * TRAINED bytes each. Null ids and texts are no training rows; without any the network stays as it began.
+    """
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    few = docs.sparkSession.createDataFrame(ids.toPandas().astype("int64"), "doc_id long")
-    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(few), "doc_id").toPandas()
-    got = got.sort_values(["doc_id", "text"])
+    few = docs.sparkSession.createDataFrame(ids.toArrow())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(few), "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in common.by_bytes(batches, most=1 << 20):
+            for text in part.column(1).to_pylist():
+                found = list(training_windows(text, zlib.crc32(text.encode())))
+                for i in range(0, len(found), 2000):
+                    sort, order, x, y = zip(*found[i : i + 2000])
+                    yield pa.RecordBatch.from_arrays([pa.array(sort, pa.int32()), pa.array(order, pa.float64()), pa.array([a.tobytes() for a in x], pa.binary()), pa.array([a.tobytes() for a in y], pa.binary())], ["sort", "order", "x", "y"])
+
+    cut = materialize(rows.mapInArrow(run, "sort int, order double, x binary, y binary"), "training")
+    parts = [cut.where(F.col("sort") == k).orderBy("order", "x", "y").limit(n) for k, n in enumerate(windows)]
+    got = parts[0].unionAll(parts[1]).unionAll(parts[2]).toArrow().sort_by([("sort", "ascending"), ("order", "ascending"), ("x", "ascending"), ("y", "ascending")])
     tagger = Tagger.fresh()
-    x, y = training_windows(got["text"].tolist())
+    x, y = (np.frombuffer(b"".join(got[c].to_pylist()), np.int8).reshape(-1, TRAINED).astype(np.int64) for c in ("x", "y"))
     if len(x):
         tagger.fit(x, y, epochs)
     return tagger.p
