@@ -1,12 +1,13 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 Fixed masks pick some of the tokens of a window and ignore the others, so a window still hashes alike when ignored tokens were
-substituted. Test items and training documents meet on these hashes; around each hit the two are aligned token by token on the
-hit's diagonal, and of all its stretches with ``LEAST_SHARE`` of matches the one with the most is verified against the thresholds.
+substituted. Test items and training documents meet on these hashes; each hit names a diagonal, on which the two are aligned token by
+token from end to end, and of all its stretches with ``LEAST_SHARE`` of matches the one with the most is verified against the
+thresholds.
 
 Tokens are words, A-Z lowered, without punctuation at their ends. The items' seeds go to the executors when there are at most
 ``BROADCAST_SEEDS`` of them (16 bytes each); beyond that the documents' windows that pass a fixed-size bit filter are joined to
-the seeds by a shuffle. Both ways verify the same stretches.
+the seeds by a shuffle, and words meet only for the pairs that share a seed. Both ways verify the same diagonals.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ from pyspark.sql import functions as F
 
 from codeweave.llm import common
 from codeweave.llm.common import U64, mix64
+from codeweave.plans.joins import dealt_join
+from codeweave.session import materialize
 
 # The masks; 1 keeps a token, 0 ignores it.
-MASKS = ("11011011", "1110010111", "1010110011")
+MASKS = ("11011011", "1110010111", "1010110011", "1110111", "110100111")
 #: Items of fewer words than this use their whole sequence as one more seed.
 SHORT = 12
 #: A stretch counts from so many matching words (or the whole of a shorter item) and this share of matches.
@@ -30,8 +33,6 @@ LEAST_WORDS = 10
 LEAST_SHARE = 0.75
 #: What a mismatch takes off where a match adds 1: a stretch's sum is 0 or more just where its share is ``LEAST_SHARE`` or more.
 MISMATCH = 3
-#: Words to either side of a hit that verification looks at.
-REACH = 256
 BROADCAST_SEEDS = 2_000_000
 FILTER_BITS = 22
 
@@ -45,12 +46,16 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     starts, ends, at = common.word_bounds(data, offsets)
     if not len(starts):
         return np.zeros(0, U64), at
-    for _ in range(4):
-        trim = (ends > starts) & PUNCTUATION[data[ends - 1]]
-        lead = (ends - trim > starts) & PUNCTUATION[data[np.minimum(starts, len(data) - 1)]]
-        if not trim.any() and not lead.any():
-            break
-        ends, starts = ends - trim, starts + lead
+    marks = PUNCTUATION[data]
+    trimmed = np.flatnonzero(marks[starts] | marks[ends - 1])
+    if len(trimmed):
+        # A word loses all marks before its first and after its last other byte.
+        solid = np.flatnonzero(~marks)
+        low, high = np.searchsorted(solid, starts[trimmed]), np.searchsorted(solid, ends[trimmed])
+        none = low == high
+        solid = np.append(solid, 0)
+        starts[trimmed] = np.where(none, ends[trimmed], solid[np.where(none, -1, low)])
+        ends[trimmed] = np.where(none, ends[trimmed], solid[high - 1] + 1)
     kept = ends > starts
     counts = np.concatenate([[0], np.cumsum(kept)])
     return common.word_hashes(data, starts[kept], ends[kept]), counts[at]
@@ -136,11 +141,10 @@ def accepted(matches: int, length: int, item_words: int) -> bool:
     return matches >= min(LEAST_WORDS, item_words) and matches >= LEAST_SHARE * length
 
 
-def align(doc: np.ndarray, p: int, item: np.ndarray, q: int) -> tuple[int, int]:
-    """Best stretch of item against doc with item[q] at doc[p], within REACH words of the hit."""
-    left = min(p, q, REACH)
-    right = min(len(doc) - p, len(item) - q, REACH)
-    return best_stretch(doc[p - left : p + right] == item[q - left : q + right])
+def align(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int]:
+    """Best stretch of the diagonal that lays item[0] on doc[shift], over all words that the two have there."""
+    a, b = max(0, shift), min(len(doc), shift + len(item))
+    return best_stretch(doc[a:b] == item[a - shift : b - shift])
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("matched", pa.int64()), ("span", pa.int64())])
@@ -159,13 +163,11 @@ def _local(shared):
             k = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             item, q = seeds.item[k], seeds.position[k]
             doc = np.searchsorted(at, p, "right") - 1
-            # Hits on one diagonal within reach of each other see the same stretch; the first in each reach is verified.
-            triples = np.unique(np.stack([doc, item, p - q, q // REACH], 1), axis=0, return_index=True)[1] if len(p) else []
+            pairs = np.unique(np.stack([doc, item, p - at[doc] - q], 1), axis=0) if len(p) else np.zeros((0, 3), np.int64)
             best: dict[tuple[int, int], tuple[int, int]] = {}
-            for t in triples:
-                d, i = int(doc[t]), int(item[t])
+            for d, i, shift in pairs.tolist():
                 own = seeds.words[seeds.at[i] : seeds.at[i + 1]]
-                found = align(words[at[d] : at[d + 1]], int(p[t] - at[d]), own, int(q[t]))
+                found = align(words[at[d] : at[d + 1]], own, shift)
                 if accepted(*found, len(own)):
                     best[d, i] = max(best.get((d, i), (0, 0)), found)
             if best:
@@ -178,11 +180,11 @@ def _local(shared):
 def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in common.by_bytes(batches):
         words, at = words_of(*common.text_buffer(batch.column(1)))
-        seeds = Seeds(batch.column(0).to_numpy(), words, at)
-        reach = [seeds.words[seeds.at[i] : seeds.at[i + 1]].tobytes() for i in range(len(seeds.ids))]
-        for k in range(0, len(seeds.hash), 20_000):
-            part = slice(k, k + 20_000)
-            yield pa.RecordBatch.from_arrays([pa.array(seeds.hash[part].view(np.int64)), pa.array(seeds.ids[seeds.item[part]]), pa.array(seeds.position[part]), pa.array([reach[i] for i in seeds.item[part]], pa.binary())], ["h", "item_id", "q", "item"])
+        seeds = Seeds(np.arange(batch.num_rows), words, at)
+        for k in range(0, len(seeds.hash), 100_000):
+            part = slice(k, k + 100_000)
+            owner = pa.array(seeds.item[part])
+            yield pa.RecordBatch.from_arrays([pa.array(seeds.hash[part].view(np.int64)), batch.column(0).take(owner), batch.column(2).take(owner), pa.array(seeds.position[part])], ["h", "item_id", "item_key", "q"])
 
 
 def _doc_rows(passes, shorts: list[int]):
@@ -192,26 +194,59 @@ def _doc_rows(passes, shorts: list[int]):
             words, at = words_of(*common.text_buffer(batch.column(1)))
             h, p = filtered_windows(words, at, bits, shorts)
             doc = np.searchsorted(at, p, "right") - 1
-            low, high = np.maximum(at[doc], p - REACH), np.minimum(at[doc + 1], p + REACH)
-            for k in range(0, len(h), 5_000):
-                part = range(k, min(k + 5_000, len(h)))
-                yield pa.RecordBatch.from_arrays([pa.array(h[k : k + 5_000].view(np.int64)), batch.column(0).take(pa.array(doc[k : k + 5_000])), pa.array((p - low)[k : k + 5_000]), pa.array([words[low[i] : high[i]].tobytes() for i in part], pa.binary())], ["h", "doc_id", "p", "near"])
+            for k in range(0, len(h), 100_000):
+                part = slice(k, k + 100_000)
+                owner = pa.array(doc[part])
+                yield pa.RecordBatch.from_arrays([pa.array(h[part].view(np.int64)), batch.column(0).take(owner), batch.column(2).take(owner), pa.array((p - at[doc])[part])], ["h", "doc_id", "doc_key", "p"])
 
     return run
 
 
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text, key) to (id, key, words): eight bytes a word."""
+    for batch in common.by_bytes(batches):
+        words, at = words_of(*common.text_buffer(batch.column(1)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([words[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], ["id", "key", "words"])
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, doc_key, item_id, shift, words) sorted by document: its own words first (item_id null), then its pairs."""
+    own = np.zeros(0, U64)
     for batch in batches:
         rows = []
-        for doc, item_id, p, q, near, item in zip(*(batch.column(k).to_pylist() for k in range(6))):
-            own = np.frombuffer(item, U64)
-            found = align(np.frombuffer(near, U64), p, own, q)
-            if accepted(*found, len(own)):
-                rows.append((doc, item_id, *found))
+        for doc, item, shift, words in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4))):
+            if shift is None:
+                own = np.frombuffer(words, U64)
+                continue
+            found = align(own, np.frombuffer(words, U64), shift)
+            if accepted(*found, len(words) // 8):
+                rows.append((doc, item, *found))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows)], schema=_OUT)
 
 
+def _by_shuffle(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """What ``_local`` finds, with seeds, pairs and words joined by shuffles; a row's key is a hash of its text, as ids may repeat."""
+    keyed = lambda df: df.withColumn("key", F.xxhash64("text"))
+    docs, items = keyed(docs), keyed(items)
+    seeds = materialize(items.mapInArrow(_item_rows, "h long, item_id long, item_key long, q long"), "seeds")
+    passes = np.zeros(1 << FILTER_BITS, bool)
+    # At most 2 ** FILTER_BITS rows, whatever the number of items.
+    for part in seeds.select(F.shiftrightunsigned("h", 64 - FILTER_BITS).alias("slot")).distinct().toLocalIterator(prefetchPartitions=True):
+        passes[part[0]] = True
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(passes).tobytes())
+    windows = materialize(docs.mapInArrow(_doc_rows(shared, list(range(1, SHORT))), "h long, doc_id long, doc_key long, p long"), "windows")
+    pairs = dealt_join(windows, seeds, ["h"]).select("doc_id", "doc_key", "item_id", "item_key", (F.col("p") - F.col("q")).alias("shift")).distinct()
+    pairs = materialize(pairs, "pairs")
+    item_words = items.mapInArrow(_words, "item_id long, item_key long, words binary").dropDuplicates(["item_id", "item_key"])
+    sides = dealt_join(pairs, item_words, ["item_id", "item_key"]).select("doc_id", "doc_key", "item_id", "shift", "words")
+    chosen = docs.withColumnRenamed("key", "doc_key").join(pairs.select("doc_id", "doc_key").distinct(), ["doc_id", "doc_key"], "left_semi").dropDuplicates(["doc_id", "doc_key"])
+    doc_words = chosen.select("doc_id", "text", "doc_key").mapInArrow(_words, "doc_id long, doc_key long, words binary")
+    whole = doc_words.select("doc_id", "doc_key", F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("long").alias("shift"), "words")
+    dealt = whole.unionByName(sides).repartition("doc_id", "doc_key").sortWithinPartitions("doc_id", "doc_key", F.col("shift").asc_nulls_first())
+    return dealt.mapInArrow(_verify, _OUT_SQL)
+
+
 def contaminations(docs: DataFrame, items: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """(doc_id, item_id, matched, span): each verified overlap of a document with a test item, one row a pair.
 
@@ -231,13 +266,6 @@ def contaminations(docs: DataFrame, items: DataFrame, broadcast_seeds: int = BRO
         shared = spark.sparkContext.broadcast(Seeds(table["item_id"].to_numpy(), words, at))
         found = docs.mapInArrow(_local(shared), _OUT_SQL)
     else:
-        rows = items.mapInArrow(_item_rows, "h long, item_id long, q long, item binary")
-        slots = rows.select(F.shiftrightunsigned("h", 64 - FILTER_BITS).alias("slot")).distinct()
-        passes = np.zeros(1 << FILTER_BITS, bool)
-        for part in slots.toLocalIterator(prefetchPartitions=True):
-            passes[part[0]] = True
-        shared = spark.sparkContext.broadcast(np.packbits(passes).tobytes())
-        hits = docs.mapInArrow(_doc_rows(shared, list(range(1, SHORT))), "h long, doc_id long, p long, near binary").join(rows, "h")
-        found = hits.select("doc_id", "item_id", "p", "q", "near", "item").mapInArrow(_verify, _OUT_SQL)
+        found = _by_shuffle(docs, items)
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", "span")).alias("best"))
     return best.select("doc_id", "item_id", "best.matched", "best.span")

@@ -81,6 +81,42 @@ def test_stretches_by_the_rule():
     assert 100 < met < 500
 
 
+def test_words_lose_all_marks_at_their_ends():
+    assert (words_of("wait...... ((((((Ab.c)))))) ?!?!?!?! it's") == words_of("WAIT ab.c it's")).all()
+    assert len(words_of(" .. ,,,, ")) == 0 and len(words_of("")) == 0
+
+
+@pytest.mark.parametrize("bound", [D.BROADCAST_SEEDS, 0])
+@pytest.mark.parametrize("n", [300, 2000])
+def test_long_overlaps_count_whole(spark, docs_of, bound, n):
+    item = [f"w{k}" for k in range(n)]
+    copied = ["x" if k % 9 == 4 else w for k, w in enumerate(item)]
+    table = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    docs = docs_of([(1, "so " + " ".join(copied) + " on"), (1, "other text"), (2, " ".join(item[n // 2 :])), (2, " ".join(item[: n // 3]))])
+    same = n - sum(k % 9 == 4 for k in range(n))
+    got = sorted(tuple(r) for r in D.contaminations(docs, table, bound).collect())
+    assert got == [(1, 7, same, n - (n % 9 == 5)), (2, 7, n - n // 2, n - n // 2)]
+
+
+def test_seeds_reach_nearly_all_overlaps():
+    """Against every diagonal: items of 12 to 60 words in a document, words substituted at random, the rule met by some stretch."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    met = seeded = 0
+    for _ in range(900):
+        item = [word() for _ in range(rng.randint(12, 60))]
+        share = rng.choice([0.1, 0.15, 0.2, 0.25])
+        doc = [word() for _ in range(10)] + [word() if rng.random() < share else w for w in item] + [word() for _ in range(10)]
+        d, i = words_of(" ".join(doc)), words_of(" ".join(item))
+        diagonals = [D.align(d, i, shift) for shift in range(-len(i) + 1, len(d))]
+        if any(D.accepted(*f, len(i)) for f in diagonals):
+            met += 1
+            seeds = D.Seeds(np.array([0]), i, np.array([0, len(i)]))
+            h, _ = seeds.windows(d, np.array([0, len(d)]))
+            seeded += bool(np.isin(h, seeds.hash).any())
+    assert met > 600 and seeded / met >= 0.97
+
+
 @pytest.mark.parametrize("bound", [D.BROADCAST_SEEDS, 0])
 def test_a_cleaner_core_does_not_hide_a_stretch(spark, docs_of, bound):
     item = [f"w{k}" for k in range(17)]
