@@ -6,8 +6,8 @@ at most ``capacity`` entries whatever the corpus holds:
 * a configuration is a multiset of lengths that fits a sequence; the program covers all pieces with the fewest of them;
 * multiplicative weights price the lengths: a length covered ahead of schedule gets cheaper, one behind dearer. One knapsack
   dynamic program a round prices all configurations and yields the best one around every length;
-* the fractional solution is rounded down to whole copies and solved anew for what is left; the last few pieces are placed
-  by best fit, longest first.
+* the fractional solution is rounded down to whole copies of configurations that no piece left over could extend, and solved anew
+  for what is left; the last pieces are placed by best fit, longest first, all equal sequences at once.
 
 The plan then is a table of intervals of ranks within each length, so each piece finds its sequence and offset from its own rank.
 Ranks come from counts of salted groups: one length may hold any share of the pieces.
@@ -34,8 +34,8 @@ TOKENIZER = "word_bpe_49k.json"
 #: Words of each of the two generations whose ids a worker remembers, about 200 bytes each.
 CACHE = 600_000
 ROUNDS = 40
-#: As many pieces at most go to best fit at the end; more are solved by the program again.
-LEFT_OVER = 20_000
+#: So many pieces or fewer go to best fit at once; of more, the program is solved again, TURNS times at most.
+LEFT_OVER, TURNS = 20_000, 12
 
 _tokenizers: dict[str, object] = {}
 _words: dict[str, WordIds] = {}
@@ -216,20 +216,35 @@ def fractional(need: np.ndarray, capacity: int, rounds: int = ROUNDS) -> dict[tu
 
 
 def best_fit(need: np.ndarray, capacity: int) -> dict[tuple, int]:
-    """Whole configurations for the last pieces: longest first, each into the fullest sequence that has room."""
-    space: list[list[list[int]]] = [[] for _ in range(capacity + 1)]
-    for length in range(capacity, 0, -1):
-        for _ in range(int(need[length])):
-            room = next((s for s in range(length, capacity) if space[s]), None)
-            held = space[room].pop() if room is not None else []
-            held.append(length)
-            space[(capacity if room is None else room) - length].append(held)
+    """Whole configurations for the last pieces: longest first, each into the fullest sequence that has room.
+
+    Sequences with equal contents are filled together, so the work depends on the number of lengths, not of pieces.
+    """
+    #: By room left: contents as (length, count) pairs, and how many sequences have them.
+    groups: dict[int, dict[tuple, int]] = {capacity: {}}
+    for length in np.flatnonzero(need)[::-1].tolist():
+        n = int(need[length])
+        for room in sorted(r for r in groups if r >= length):
+            # One sequence takes so many before the next best one gets any.
+            each = room // length
+            there = groups[room]
+            while n and (there or room == capacity):
+                held, copies = there.popitem() if there else ((), -(-n // each))
+                full = min(copies, n // each)
+                short = n - full * each if full < copies else 0
+                for m, k in ((each, full), (short, 1)):
+                    if m and k:
+                        new = groups.setdefault(room - m * length, {})
+                        c = (*held, (length, m))
+                        new[c] = new.get(c, 0) + k
+                n -= full * each + short
+                copies -= full + bool(short)
+                if held and copies:
+                    there[held] = there.get(held, 0) + copies
     out: dict[tuple, int] = {}
-    for part in space:
-        for held in part:
-            if held:
-                c = tuple((k, held.count(k)) for k in dict.fromkeys(held))
-                out[c] = out.get(c, 0) + 1
+    for part in groups.values():
+        for c, copies in part.items():
+            out[c] = out.get(c, 0) + copies
     return out
 
 
@@ -242,18 +257,22 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
     if need[capacity]:
         out.append((((capacity, 1),), int(need[capacity])))
         need[capacity] = 0
-    for turn in range(12):
+    for turn in range(TURNS):
         if not need.any() or (turn and need.sum() <= LEFT_OVER):
             break
         before = need.sum()
         solved = fractional(need, capacity)
         for c, x in sorted(solved.items(), key=lambda e: (-e[1], e[0])):
+            room = capacity - sum(k * m for k, m in c)
             whole = min(int(x), *(int(need[k]) // m for k, m in c))
-            # A configuration with empty room waits for best fit, unless its first piece is alone in the program too.
-            if whole > 0 and sum(k * m for k, m in c) >= capacity - 2:
-                out.append((c, whole))
+            if whole > 0:
+                left = need.copy()
                 for k, m in c:
-                    need[k] -= m * whole
+                    left[k] -= m * whole
+                # What a piece left over could still extend is left to the next turn, but for a room of two.
+                if room <= 2 or not left[1 : room + 1].any():
+                    out.append((c, whole))
+                    need = left
         if need.sum() > 0.9 * before:
             break
     out += sorted(best_fit(need, capacity).items())
