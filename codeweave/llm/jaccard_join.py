@@ -6,15 +6,16 @@ The result is one row per document with its component, so no group of copies is
 1. *Support*: a linked document shares at least ``percent`` / 100 of its shingles with others. Blocks of documents send each
    distinct shingle once (four bytes and its bucket), already marked where the block itself holds it twice; a bucket finds the
    shingles that one document alone has. Documents with too many of those can have no link and leave.
-2. *Copies*: equal sets collapse to the smallest id. Under each global order (a random permutation of all shingles) documents
-   with the same first token meet in blocks of about ``MEET`` and all pairs of a block are verified at once; a block gives at most
-   one link a document, so near copies fall into components.
+2. *Copies*: equal sets collapse to the smallest id and take no part in what follows; at the end each copy looks up its set's
+   component. Under each global order (a random permutation of all shingles) documents with the same first token meet in blocks of
+   about ``MEET`` and all pairs of a block are verified at once; a block gives at most one link a document, so near copies fall
+   into components.
 3. *Support across components*: a shingle found in one component only can't link to another. Documents left with less than
    the threshold of shared shingles leave again; all links between components lie among the rest.
 4. *Orders*: the rest is joined by prefix tokens. Each global order sorts by document frequency and breaks ties by its own
    permutation; two documents of different components are candidates only if their prefixes meet under *every* order and the
    shingles that either has alone leave room for the threshold. Candidates are verified exactly. Where more than ``MEET_ROWS``
-   rows share a prefix token, they are verified in blocks instead of pairs.
+   rows share a prefix token, they are verified in blocks instead of pairs; only blocks whose set sizes may reach the threshold meet.
 
 Nothing is sampled or capped: every stage only drops pairs that can't reach the threshold or lie in one component already.
 Shingles are compared by 64-bit hashes.
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 from codeweave.llm import common
 from codeweave.llm.common import U64, mix64
 from codeweave.llm.components import connected_components
+from codeweave.plans.joins import counted, dealt_join, frequent, looked_up
 from codeweave.session import materialize
 
 BLOCK = 1_000_000
@@ -178,10 +180,10 @@ def _verify(percent: int):
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of documents whose sets(doc_id, grams) reach the threshold."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb"))
-    full = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ga", "gb")
+    """The pairs (a, b) of rows of sets(row, doc_id, grams) that reach the threshold, as pairs of documents."""
+    left = sets.select(F.col("row").alias("a"), F.col("doc_id").alias("da"), F.col("grams").alias("ga"))
+    right = sets.select(F.col("row").alias("b"), F.col("doc_id").alias("db"), F.col("grams").alias("gb"))
+    full = pairs.select("a", "b").join(left, "a").join(right, "b").select("da", "db", "ga", "gb")
     return full.mapInArrow(_verify(percent), "a long, b long")
 
 
@@ -242,11 +244,10 @@ def _meet(percent: int):
 
 
 def first_token_links(reps: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) among sets(doc_id, n, grams, firsts) whose first tokens agree under an order; at most one a row and order."""
-    keyed = reps.select("doc_id", F.posexplode("firsts").alias("k", "h"))
-    sizes = keyed.groupBy("k", "h").agg(F.count("*").alias("rows")).where("rows > 1")
-    met = keyed.join(sizes, ["k", "h"]).withColumn("block", F.expr(f"pmod(xxhash64(doc_id, k), cast(ceil(rows / {MEET}) as bigint))"))
-    full = met.select("doc_id", "k", "h", "block").join(reps.select("doc_id", "grams"), "doc_id")
+    """Links (a, b) among sets(row, doc_id, n, grams, firsts) whose first tokens agree under an order; at most one a row and order."""
+    keyed = counted(reps.select("row", "doc_id", F.posexplode("firsts").alias("k", "h")), ["k", "h"], "rows")
+    met = keyed.where("rows > 1").withColumn("block", F.expr(f"pmod(xxhash64(row, k), cast(ceil(rows / {MEET}) as bigint))"))
+    full = met.select("row", "doc_id", "k", "h", "block").join(reps.select("row", "grams"), "row")
     dealt = full.select("k", "h", "block", "doc_id", "grams").repartition("k", "h", "block").sortWithinPartitions("k", "h", "block")
     return dealt.mapInArrow(_meet(percent), "a long, b long")
 
@@ -289,7 +290,7 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, n, comp, x in zip(*(batch.column(k) for k in range(4))):
             g = np.frombuffer(x.as_buffer(), np.int64)
             m = len(g)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, v.as_py(), np.int64)) for v in (i, n, comp)] + [pa.array(g)], ["doc_id", "n", "comp", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, v.as_py(), np.int64)) for v in (i, n, comp)] + [pa.array(g)], ["row", "n", "comp", "h"])
 
 
 def _prefixes(percent: int, orders: int):
@@ -299,7 +300,7 @@ def _prefixes(percent: int, orders: int):
         length = n - -(-percent * n // 100) + 1
         parts = [h[np.lexsort((mix64(h.view(U64) ^ seed), df))[:length]] for seed in _SEEDS[:orders]]
         m = sum(map(len, parts))
-        whole = {k: np.full(m, int(table[k][0].as_py()), np.int64) for k in ("doc_id", "n", "comp")}
+        whole = {k: np.full(m, int(table[k][0].as_py()), np.int64) for k in ("row", "n", "comp")}
         whole["most"] = np.full(m, n - int((df == 1).sum()), np.int64)
         return pa.table(whole | {"k": np.repeat(np.arange(orders, dtype=np.int32), [len(p) for p in parts]), "h": np.concatenate(parts)})
 
@@ -307,29 +308,27 @@ def _prefixes(percent: int, orders: int):
 
 
 def order_prefixes(rest: DataFrame, percent: int, orders: int) -> DataFrame:
-    """Prefix tokens (doc_id, n, comp, most, k, h, rows) of rest(doc_id, n, comp, grams) under each order k.
+    """Prefix tokens (row, n, comp, most, k, h, rows) of rest(row, n, comp, grams) under each order k.
 
     An order sorts by the number of rows of rest that hold the shingle, rarest first, then by its own permutation; a linked pair
     shares a token among the first n - ceil(n * percent / 100) + 1 under any such order. most: shingles that any other row of
     rest has; rows: rows that have the token in their prefix.
     """
-    spread = rest.select("doc_id", "n", "comp", "grams").mapInArrow(_spread, "doc_id long, n long, comp long, h long")
-    df = spread.groupBy("h").agg(F.count("*").alias("df"))
-    prefix = spread.join(df, "h").groupBy("doc_id").applyInArrow(_prefixes(percent, orders), "doc_id long, n long, comp long, most long, k int, h long")
+    spread = rest.select("row", "n", "comp", "grams").mapInArrow(_spread, "row long, n long, comp long, h long")
+    prefix = counted(spread, ["h"], "df").groupBy("row").applyInArrow(_prefixes(percent, orders), "row long, n long, comp long, most long, k int, h long")
     prefix = materialize(prefix, "prefixes")
-    sizes = prefix.groupBy("k", "h").agg(F.count("*").alias("rows"))
-    return materialize(prefix.join(sizes, ["k", "h"]), "prefixes")
+    return materialize(counted(prefix, ["k", "h"], "rows"), "prefixes")
 
 
 def order_candidates(prefix: DataFrame, percent: int, orders: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a token of at most MEET_ROWS rows and whose prefixes may meet under every order.
+    """Pairs (a, b) of rows of different components that share a token of at most MEET_ROWS rows and whose prefixes may meet under every order.
 
     Under an order where both have tokens of more rows, they are taken to meet. Pairs that share such tokens only are left to
     ``crowd_links``.
     """
-    crowded = prefix.where(f"rows > {MEET_ROWS}").groupBy("doc_id").agg(F.bit_or(F.expr("shiftleft(1, k)")).alias("crowded"))
-    few = prefix.where(f"rows <= {MEET_ROWS}").join(crowded, "doc_id", "left").withColumn("crowded", F.coalesce("crowded", F.lit(0)))
-    side = lambda x: few.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("comp").alias(f"c{x}"), F.col("most").alias(f"m{x}"), F.col("crowded").alias(f"w{x}"), "k", "h")
+    crowded = prefix.where(f"rows > {MEET_ROWS}").groupBy("row").agg(F.bit_or(F.expr("shiftleft(1, k)")).alias("crowded"))
+    few = prefix.where(f"rows <= {MEET_ROWS}").join(crowded, "row", "left").withColumn("crowded", F.coalesce("crowded", F.lit(0)))
+    side = lambda x: few.select(F.col("row").alias(x), F.col("n").alias(f"n{x}"), F.col("comp").alias(f"c{x}"), F.col("most").alias(f"m{x}"), F.col("crowded").alias(f"w{x}"), "k", "h")
     # An intersection is no larger than the shingles of either that another row has.
     near = F.least("ma", "mb") * 100 >= percent * (F.col("na") + F.col("nb") - F.least("ma", "mb"))
     met = side("a").join(side("b"), ["k", "h"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near)
@@ -338,32 +337,37 @@ def order_candidates(prefix: DataFrame, percent: int, orders: int) -> DataFrame:
 
 
 def crowd_links(prefix: DataFrame, rest: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) among rows that share prefix tokens of more than MEET_ROWS rows under the first order.
+    """Links (a, b) among documents that share prefix tokens of more than MEET_ROWS rows under the first order.
 
-    Rows whose crowded tokens hang together form a crowd. It is cut into blocks, large components into blocks of their own, and
-    each pair of blocks that may link different components is verified in one piece; only a spanning forest comes out.
+    Rows whose crowded tokens hang together form a crowd. It is cut by set size into bands of ratio percent / 100, so that a link's
+    ends lie in one band or in neighbours, and each band into blocks, large components into blocks of their own. Each pair of blocks
+    that may link different components is verified in one piece; only a spanning forest comes out.
     """
-    own = prefix.where(f"k = 0 and rows > {MEET_ROWS}").select("doc_id", "comp", "h")
-    first = own.groupBy("doc_id", "comp").agg(F.min("h").alias("first"))
-    ties = own.join(first.select("doc_id", "first"), "doc_id").select(F.col("first").alias("a"), F.col("h").alias("b")).distinct()
+    own = prefix.where(f"k = 0 and rows > {MEET_ROWS}").select("row", "n", "comp", "h")
+    first = own.groupBy("row", "n", "comp").agg(F.min("h").alias("first"))
+    ties = own.join(first.select("row", "first"), "row").select(F.col("first").alias("a"), F.col("h").alias("b")).distinct()
     crowds = connected_components(ties).select(F.col("vertex").alias("first"), F.col("component").alias("found"))
-    member = materialize(first.join(crowds, "first", "left").select("doc_id", "comp", F.coalesce("found", "first").alias("crowd")), "crowds")
-    sizes = member.groupBy("crowd", "comp").agg(F.count("*").alias("rows")).withColumn("large", F.expr(f"rows > {MEET // 2}"))
-    smalls = sizes.where("not large").groupBy("crowd").agg(F.sum("rows").alias("small_rows"))
-    sized = member.join(sizes, ["crowd", "comp"]).join(smalls, "crowd", "left")
-    large = f"xxhash64(comp, pmod(xxhash64(doc_id), cast(ceil(rows / {MEET}) as bigint)))"
+    first = materialize(first.withColumn("band", F.expr(f"cast(floor(ln(n) / (1.000001 * ln(100.0 / {percent}))) as int)")), "crowds")
+    member = looked_up(first, crowds, ["first"], frequent(first, ["first"]))
+    member = materialize(member.select("row", "comp", "band", F.coalesce("found", "first").alias("crowd")), "crowds")
+    sizes = member.groupBy("crowd", "comp", "band").agg(F.count("*").alias("rows")).withColumn("large", F.expr(f"rows > {MEET // 2}"))
+    smalls = sizes.where("not large").groupBy("crowd", "band").agg(F.sum("rows").alias("small_rows"))
+    sized = sizes.join(smalls, ["crowd", "band"], "left")
+    sized = looked_up(member, sized, ["crowd", "comp", "band"], frequent(member, ["crowd", "comp", "band"]))
+    large = f"xxhash64(comp, pmod(xxhash64(row), cast(ceil(rows / {MEET}) as bigint)))"
     small = f"pmod(xxhash64(comp), cast(ceil(small_rows / {MEET}) as bigint))"
-    placed = sized.select("doc_id", "crowd", F.expr("if(large, comp, null)").alias("owner"), F.expr(f"if(large, {large}, {small})").alias("part"))
+    placed = sized.select("row", "crowd", "band", F.expr("if(large, comp, null)").alias("owner"), F.expr(f"if(large, {large}, {small})").alias("part"))
     placed = materialize(placed, "placed")
-    blocks = placed.select("crowd", "owner", "part").distinct()
-    left = blocks.select("crowd", F.col("owner").alias("oa"), F.col("part").alias("pa"))
-    right = blocks.select("crowd", F.col("owner").alias("ob"), F.col("part").alias("pb"))
-    rank = lambda o, p: F.struct(F.col(o).isNotNull(), F.coalesce(o, F.lit(0)), p)
-    pairs = left.join(right, "crowd").where((rank("oa", "pa") <= rank("ob", "pb")) & ~F.coalesce(F.col("oa") == F.col("ob"), F.lit(False)))
-    pairs = pairs.withColumn("h", F.xxhash64("crowd", "oa", "pa", "ob", "pb"))
-    ends = pairs.select("crowd", F.col("oa").alias("owner"), F.col("pa").alias("part"), "h").union(pairs.select("crowd", "ob", "pb", "h")).distinct()
-    dealt = placed.join(ends, (placed["crowd"] == ends["crowd"]) & placed["owner"].eqNullSafe(ends["owner"]) & (placed["part"] == ends["part"])).select("doc_id", "h")
-    full = dealt.join(rest.select("doc_id", "grams"), "doc_id").select(F.lit(0).alias("k"), "h", F.lit(0).alias("block"), "doc_id", "grams")
+    blocks = placed.select("crowd", "band", "owner", "part").distinct()
+    left = blocks.select("crowd", F.col("band").alias("ba"), F.col("owner").alias("oa"), F.col("part").alias("pa"), F.explode(F.array("band", F.col("band") + 1)).alias("bb"))
+    right = blocks.select("crowd", F.col("band").alias("bb"), F.col("owner").alias("ob"), F.col("part").alias("pb"))
+    rank = lambda b, o, p: F.struct(F.col(b), F.col(o).isNotNull(), F.coalesce(o, F.lit(0)), p)
+    pairs = left.join(right, ["crowd", "bb"]).where((rank("ba", "oa", "pa") <= rank("bb", "ob", "pb")) & ~F.coalesce(F.col("oa") == F.col("ob"), F.lit(False)))
+    pairs = materialize(pairs.withColumn("h", F.xxhash64("crowd", "ba", "oa", "pa", "bb", "ob", "pb")), "block-pairs")
+    block = lambda x: F.xxhash64("crowd", f"b{x}", f"o{x}", f"p{x}").alias("block")
+    ends = materialize(pairs.select(block("a"), "h").union(pairs.select(block("b"), "h")).distinct(), "block-ends")
+    dealt = dealt_join(ends, placed.select("row", F.xxhash64("crowd", "band", "owner", "part").alias("block")), ["block"]).select("row", "h")
+    full = dealt.join(rest.select("row", "doc_id", "grams"), "row").select(F.lit(0).alias("k"), "h", F.lit(0).alias("block"), "doc_id", "grams")
     return full.repartition("h").sortWithinPartitions("h").mapInArrow(_meet(percent), "a long, b long")
 
 
@@ -385,18 +389,19 @@ def jaccard_components(docs: DataFrame, percent: int = 80, orders: int = 3) -> D
     able = able.union(repeated).distinct()
     small = able.count() <= BROADCAST_ROWS
     chosen = docs.join(F.broadcast(able) if small else able, "doc_id", "left_semi")
-    sets = materialize(chosen.mapInArrow(_sets(orders), "doc_id long, n long, sig binary, grams binary, firsts array<long>").where("n > 0"), "sets")
-
-    first = sets.groupBy("sig", "n").agg(F.min("doc_id").alias("rep"))
-    copies = sets.select("doc_id", "sig", "n").join(first, ["sig", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    copies = materialize(copies, "copies")
-    reps = copies.where("a = b").select(F.col("a").alias("doc_id")).distinct()
-    reps = sets.join(reps, "doc_id", "left_semi")
-
-    links = materialize(copies.where("a <> b").union(first_token_links(reps, percent)), "links")
+    sets = chosen.mapInArrow(_sets(orders), "doc_id long, n long, sig binary, grams binary, firsts array<long>").where("n > 0")
+    sets = materialize(sets.withColumn("row", F.monotonically_increasing_id()), "sets")
+
+    groups = sets.groupBy("sig", "n").agg(F.min(F.struct("doc_id", "row")).alias("rep"), F.count("*").alias("rows"))
+    groups = materialize(groups.select("sig", "n", F.col("rep.doc_id").alias("rep"), F.col("rep.row").alias("row"), "rows"), "groups")
+    reps = sets.join(groups.select("row"), "row", "left_semi")
+    copies = materialize(dealt_join(sets.select("doc_id", "sig", "n"), groups.where("rows > 1").select("sig", "n", "rep"), ["sig", "n"]), "copies")
+    # Different sets of one document hang together by its id, a copy of another's set by its representative's.
+    again = looked_up(copies.select("doc_id", "rep"), repeated.withColumn("again", F.lit(True)), ["doc_id"], None).where("again and doc_id <> rep")
+    links = materialize(again.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).union(first_token_links(reps, percent)), "links")
     comps = connected_components(links)
 
-    owned = reps.join(comps.withColumnRenamed("vertex", "doc_id"), "doc_id", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("comp"), "grams")
+    owned = reps.join(comps.withColumnRenamed("vertex", "doc_id"), "doc_id", "left").select("row", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp"), "grams")
     owned = materialize(owned, "owned")
     spread = owned.select("comp", "grams").mapInArrow(_explode, "h long, comp long")
     across = spread.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h")
@@ -404,11 +409,12 @@ def jaccard_components(docs: DataFrame, percent: int = 80, orders: int = 3) -> D
     if across.count() <= BROADCAST_ROWS:
         shared = np.sort(across.toArrow()["h"].to_numpy().view(U64))
         shared = spark.sparkContext.broadcast(shared.tobytes())
-        rest = owned.select("doc_id", "n", "comp", "grams").mapInArrow(_shared_counter(shared, percent), "doc_id long, n long, comp long, grams binary")
+        rest = owned.mapInArrow(_shared_counter(shared, percent), owned.schema)
     else:
-        hit = owned.select("doc_id", "n", "comp", "grams").mapInArrow(_spread, "doc_id long, n long, comp long, h long").join(across, "h", "left_semi")
-        enough = hit.groupBy("doc_id").agg(F.count("*").alias("hits"), F.first("n").alias("n")).where(f"hits * 100 >= {percent} * n")
-        rest = owned.join(enough.select("doc_id"), "doc_id", "left_semi")
+        hit = materialize(owned.select("row", "n", "comp", "grams").mapInArrow(_spread, "row long, n long, comp long, h long").select("row", "n", "h"), "spread")
+        hit = dealt_join(hit, across, ["h"], "left_semi")
+        enough = hit.groupBy("row").agg(F.count("*").alias("hits"), F.first("n").alias("n")).where(f"hits * 100 >= {percent} * n")
+        rest = owned.join(enough.select("row"), "row", "left_semi")
     rest = materialize(rest, "rest")
     if rest.limit(1).count():
         prefix = order_prefixes(rest, percent, orders)
@@ -418,5 +424,29 @@ def jaccard_components(docs: DataFrame, percent: int = 80, orders: int = 3) -> D
         more = materialize(more, "more")
         if more.limit(1).count():
             comps = connected_components(links.union(more))
-    named = support.join(comps.withColumnRenamed("vertex", "doc_id"), "doc_id", "left")
-    return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    own = comps.withColumnRenamed("vertex", "doc_id").withColumnRenamed("component", "own")
+    of_rep = comps.select(F.col("vertex").alias("rep"), "component")
+    through = looked_up(copies.where("doc_id <> rep").select("doc_id", "rep").distinct(), of_rep, ["rep"], frequent(copies, ["rep"]))
+    through = through.groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("through"))
+    named = support.join(own, "doc_id", "left").join(through, "doc_id", "left")
+    return named.select("doc_id", F.col("n").alias("n_shingles"), F.least("doc_id", F.coalesce("own", "doc_id"), F.coalesce("through", "doc_id")).alias("component_id"))
+
+
+#: Every pair that shares a shingle, then all that the links reach; documents of one shingle set are first told by their smallest id.
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [hash(w)]
+  ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: hash(w[i:i + 4])))) END AS g FROM d),
+r AS (SELECT min(doc_id) AS rep, g FROM s WHERE len(g) > 0 GROUP BY g),
+t AS (SELECT rep, len(g) AS n, unnest(g) AS h FROM r),
+links AS (
+  SELECT a.rep AS a, b.rep AS b FROM t a JOIN t b ON a.h = b.h AND a.rep < b.rep
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a AS v, least(a, b) AS low FROM both_ways UNION SELECT b.b, r.low FROM reach r JOIN both_ways b ON b.a = r.v WHERE r.low < b.b),
+comp AS (SELECT v, min(low) AS low FROM reach GROUP BY v)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, coalesce(comp.low, r.rep, s.doc_id) AS component_id
+FROM s LEFT JOIN r ON s.g = r.g LEFT JOIN comp ON comp.v = r.rep
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweave.llm import langid, pii, tiff, warc
+from codeweave.llm import jaccard_join, langid, pii, tiff, warc
 from codeweave.llm.common import documents, keyed_remainder
 from codeweave.llm.context_tree import corpus_scores
 from codeweave.llm.decontaminate import contaminations
@@ -101,4 +101,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": warc.ORACLE_SQL}
+    return {"op3_warc": warc.ORACLE_SQL, "op10_jaccard_join": jaccard_join.ORACLE_SQL}

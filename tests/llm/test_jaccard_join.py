@@ -52,6 +52,37 @@ def test_beyond_the_broadcast_bound(docs_of, corpus, monkeypatch):
     assert {r[0]: (r[1], r[2]) for r in J.jaccard_components(docs_of(corpus)).collect()} == brute(corpus)
 
 
+@pytest.mark.parametrize("meet_rows", [64, 1])
+def test_repeated_ids_near_the_threshold(spark, docs_of, monkeypatch, meet_rows):
+    """Without the links by first tokens all must come out of the prefixes, for documents of several rows too."""
+    monkeypatch.setattr(J, "MEET_ROWS", meet_rows)
+    monkeypatch.setattr(J, "first_token_links", lambda reps, percent: spark.createDataFrame([], "a long, b long"))
+    rows = []
+    for g in range(12):
+        w = [f"g{g}w{k}" for k in range(104)]
+        near = w[:-11] + [f"g{g}x{k}" for k in range(11)]
+        rows += [(10 * g, " ".join(w)), (10 * g, " ".join(w)), (10 * g + 1, " ".join(near)), (10 * g + 2, " ".join(w[::-1])), (10 * g + 2, " ".join(near))]
+        rows += [(10 * g + 3, " ".join(reversed(w)))] if g % 2 else [(10 * g + 1, " ".join(near)), (None, " ".join(w))]
+    got = {r[0]: (r[1], r[2]) for r in J.jaccard_components(docs_of(rows)).collect()}
+    assert got == brute(rows) and got[1] == (100, 0) and got[13] == (100, 10)
+
+
+def test_many_copies_and_hubs(docs_of, monkeypatch):
+    """Groups far above what a task takes of one key."""
+    from codeweave.plans import joins
+
+    monkeypatch.setattr(joins.frequent, "__defaults__", (5,))
+    rng = np.random.RandomState(1)
+    base = [[f"b{b}w{k}" for k in range(60)] for b in range(3)]
+    rows = [(i, " ".join(base[0])) for i in range(5, 45)]
+    for i in range(60):
+        w = list(base[1 + i % 2])
+        w[rng.randint(60)] = f"edit{i}"
+        rows.append((100 + i, " ".join(w)))
+    got = {r[0]: (r[1], r[2]) for r in J.jaccard_components(docs_of(rows)).collect()}
+    assert got == brute(rows)
+
+
 def test_empty_table(docs_of):
     assert J.jaccard_components(docs_of([])).collect() == []
 
@@ -62,6 +93,16 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{i: 0 for i in range(61)}, 70: 70, 71: 70}
 
 
+@pytest.mark.parametrize("rows", [3, 500])
+def test_components_of_hubs(spark, monkeypatch, rows):
+    from codeweave.plans import joins
+
+    monkeypatch.setattr(joins.frequent, "__defaults__", (rows,))
+    edges = [(5, i) for i in range(6, 60)] + [(59, 100), (100, 3)] + [(200 + i, 200 + i + 1) for i in range(9)] + [(208, i) for i in range(300, 320)]
+    got = dict(tuple(r) for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert got == {i: 3 for i in [3, *range(5, 60), 100]} | {i: 200 for i in [*range(200, 210), *range(300, 320)]}
+
+
 def test_forest_joins_what_links():
     rng = np.random.RandomState(0)
     base = np.unique(rng.randint(0, 1 << 60, 100).astype(np.uint64))
