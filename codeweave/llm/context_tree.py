@@ -8,9 +8,10 @@ takes no part: the mixture ends at the deepest one seen.
 
 The tree needs counts of pairs of a context and a byte. The first four bytes of a token (its head, with the end of the word
 before) are counted as they stand; the others depend on the word alone and are counted, and later scored, once a distinct word.
-Counts are summed by a shuffle, never in one place. Subtrees below the two nearest bytes are weighted in parallel; what lies above
-has at most 256 contexts and is weighted on the driver. Documents look up the most frequent words and pairs in tables of bounded
-size and join the others.
+Counts are summed by a shuffle, never in one place. Subtrees below the two nearest bytes (three, where two have many pairs) are
+weighted in parallel, once; their sums give the contexts of two bytes, summed and weighted in the executors too. What lies above has
+at most 256 contexts and is weighted on the driver. Documents look up the most frequent words and pairs in tables of bounded size and
+join the others.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ END = b"\n"
 #: Words that every executor gets at most (24 bytes each), and pairs of context and byte (16 bytes each).
 TOP_WORDS = 400_000
 TOP_PAIRS = 3_000_000
+#: Pairs with the same two nearest bytes that are weighted as one group; more are parted by the third (at most 256 ** 3 pairs a part).
+GROUP_PAIRS = 20_000
 _SPACE = 0x20
 #: Fills heads of words of fewer than HEAD - 1 bytes; no word has this byte.
 _NONE = 0x0B
@@ -213,101 +216,152 @@ class Subtree:
                 below = first, weighted
                 self.nodes[d, j] = key, number, zeros, ones, beta, weighted
 
-    def predictions(self, above: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], nearest: np.ndarray) -> np.ndarray:
-        """log10 probability of each pair's byte; ``above``: for depths under ``top``, dense (KT of one, beta, seen) by context and node."""
-        out = np.zeros(len(self.byte))
+    def below(self) -> np.ndarray:
+        """For each pair and bit of its byte (n, 8) the probability of a one that the contexts of ``top`` bytes and more give; NaN if none was seen."""
+        out = np.full((len(self.byte), 8), np.nan)
         for j in range(8):
-            node = (1 << j) | self.byte >> (8 - j)
-            bit = self.byte >> (7 - j) & 1
-            one, known = np.full(len(out), 0.5), np.zeros(len(out), bool)
-            for d in range(DEPTH, -1, -1):
-                if d >= self.top:
-                    _, number, zeros, ones, beta, _ = self.nodes[d, j]
-                    kt, b, seen = ((ones + 0.5) / (zeros + ones + 1))[number], beta[number], (zeros + ones > 0)[number]
-                else:
-                    kt, b, seen = (a[nearest if d else np.zeros_like(nearest), node] for a in above[d])
-                one = np.where(seen, np.where(known, b * kt + (1 - b) * one, kt), one)
-                known |= seen
-            out += np.log10(np.where(bit == 1, one, 1 - one))
+            for d in range(DEPTH, self.top - 1, -1):
+                _, number, zeros, ones, beta, _ = self.nodes[d, j]
+                kt, b, seen = ((ones + 0.5) / (zeros + ones + 1))[number], beta[number], (zeros + ones > 0)[number]
+                out[:, j] = np.where(seen, mixed(out[:, j], kt, b), out[:, j])
         return out
 
 
-def _roots(table: pa.Table) -> pa.Table:
-    tree = Subtree(table["pair"].to_numpy(), table["c"].to_numpy().astype(np.float64), 2)
-    parts = [tree.nodes[2, j] for j in range(8)]
-    return pa.table({"key": np.concatenate([p[0] for p in parts]).view(np.int64), "zeros": np.concatenate([p[2] for p in parts]), "ones": np.concatenate([p[3] for p in parts]), "weighted": np.concatenate([p[5] for p in parts])})
+def mixed(one: np.ndarray, kt: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    """What a context makes of the probability from those that hold it; the estimate itself where there is none (NaN)."""
+    return np.where(np.isnan(one), kt, beta * kt + (1 - beta) * one)
+
+
+_WEIGHED = pa.schema([("near", pa.int64()), ("bucket", pa.int64()), ("pair", pa.int64()), ("below", pa.binary()), ("node", pa.int64()), ("zeros", pa.float64()), ("ones", pa.float64()), ("under", pa.float64())])
+_WEIGHED_SQL = "near long, bucket long, pair long, below binary, node long, zeros double, ones double, under double"
+_LEVEL = pa.schema([("near", pa.int64()), ("node", pa.int64()), ("zeros", pa.float64()), ("ones", pa.float64()), ("beta", pa.float64()), ("weighted", pa.float64())])
+_LEVEL_SQL = "near long, node long, zeros double, ones double, beta double, weighted double"
+
+
+def _weigh(table: pa.Table) -> pa.Table:
+    """A group of pairs to a row a pair with what lies below, and a row a node with the sums over its contexts of three bytes."""
+    pair = table["pair"].to_numpy()
+    near, bucket = table["near"][0].as_py(), table["bucket"][0].as_py()
+    tree = Subtree(pair, table["c"].to_numpy().astype(np.float64), 3)
+    sums = np.zeros((4, 256))
+    for j in range(8):
+        key, _, zeros, ones, _, weighted = tree.nodes[3, j]
+        node = (key & U64(255)).astype(np.int64)
+        for k, value in enumerate((zeros, ones, weighted, np.ones(len(node)))):
+            sums[k] += np.bincount(node, value, 256)
+    below = tree.below()
+    nodes = np.flatnonzero(sums[3])
+    n, m = len(pair), len(nodes)
+    of_pairs = [np.full(n, near), np.full(n, bucket), pair, pa.array([r.tobytes() for r in below], pa.binary()), *(pa.nulls(n, t) for t in (pa.int64(), pa.float64(), pa.float64(), pa.float64()))]
+    of_nodes = [np.full(m, near), np.full(m, bucket), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), nodes, *(sums[k][nodes] for k in range(3))]
+    return pa.concat_tables(pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(part, _WEIGHED)], schema=_WEIGHED) for part in (of_pairs, of_nodes))
+
+
+def _weigh_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        zeros, ones, under = (batch.column(k).to_numpy() for k in (2, 3, 4))
+        beta, weighted = weighed(zeros, ones, under)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(beta), pa.array(weighted)], schema=_LEVEL)
+
+
+def weighed(zeros: np.ndarray, ones: np.ndarray, under: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Share of a context's own estimate in its mixture, and its weighted log probability; under: the sum of those one byte longer."""
+    own = log_kt(zeros, ones)
+    return 1 / (1 + np.exp(np.clip(under - own, -700, 700))), np.logaddexp(own, under) - np.log(2.0)
 
 
-def upper_levels(roots: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Depths 1 and 0 from the nodes of depth 2: (KT of one, beta, seen), each (contexts, 256 nodes)."""
-    key = roots["key"].to_numpy().astype(np.int64)
-    node, nearest = key & 255, key >> 8 & 255
-    place = nearest * 256 + node
-    sums = [np.bincount(place, roots[k].to_numpy(), 256 * 256).reshape(256, 256) for k in ("zeros", "ones", "weighted")]
+def upper_levels(level: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Depths 1 and 0 from sums (near, node, zeros, ones, under) over the contexts of two bytes by the nearest: (KT of one, beta, seen), each (contexts, 256 nodes)."""
+    place = level["near"].to_numpy() * 256 + level["node"].to_numpy()
+    sums = [np.bincount(place, level[k].to_numpy(), 256 * 256).reshape(256, 256) for k in ("zeros", "ones", "under")]
     out = {}
     for d in (1, 0):
-        if d == 0:
-            sums = [s.sum(0, keepdims=True) for s in (sums[0], sums[1], weighted)]  # noqa: F821
         zeros, ones, under = sums
-        own = log_kt(zeros, ones)
-        beta = 1 / (1 + np.exp(np.clip(under - own, -700, 700)))
-        weighted = np.where(zeros + ones > 0, np.logaddexp(own, under) - np.log(2.0), 0.0)
+        beta, weighted = weighed(zeros, ones, under)
         out[d] = ((ones + 0.5) / (zeros + ones + 1), beta, zeros + ones > 0)
+        sums = [s.sum(0, keepdims=True) for s in (zeros, ones, np.where(zeros + ones > 0, weighted, 0.0))]
     return out
 
 
 def pair_scores(pairs: DataFrame) -> DataFrame:
     """(pair, score): log10 probability of the byte after its context, for every pair, seen in training or not."""
-    grouped = pairs.withColumn("near", F.expr("shiftright(pair, 8) & 65535"))
-    roots = grouped.groupBy("near").applyInArrow(_roots, "key long, zeros double, ones double, weighted double").toArrow()
-    shared = pairs.sparkSession.sparkContext.broadcast(upper_levels(roots))
-
-    def score(table: pa.Table) -> pa.Table:
-        pair = table["pair"].to_numpy()
-        tree = Subtree(pair, table["c"].to_numpy().astype(np.float64), 2)
-        return pa.table({"pair": pair, "score": tree.predictions(shared.value, pair >> 8 & 255)})
+    near = pairs.withColumn("near", F.expr("shiftright(pair, 8) & 65535"))
+    # At most 65536 of them, whatever the pairs.
+    many = F.broadcast(near.groupBy("near").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_PAIRS).select("near", F.lit(True).alias("many")))
+    bucket = F.when(F.col("many"), F.expr("shiftright(pair, 24) & 255")).otherwise(-1).cast("long")
+    grouped = near.join(many, "near", "left").select("pair", "c", "near", bucket.alias("bucket"))
+    weights = materialize(grouped.groupBy("near", "bucket").applyInArrow(_weigh, _WEIGHED_SQL), "subtrees")
+    sums = weights.where("node is not null").groupBy("near", "node").agg(*(F.sum(k).alias(k) for k in ("zeros", "ones", "under")))
+    level = materialize(sums.mapInArrow(_weigh_nodes, _LEVEL_SQL), "level")
+    # At most 256 nearest bytes with 255 nodes.
+    first = level.groupBy(F.expr("near & 255").alias("near"), "node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("under"))
+    shared = pairs.sparkSession.sparkContext.broadcast(upper_levels(first.toArrow()))
+
+    def score(own: pa.Table, nodes: pa.Table) -> pa.Table:
+        pair = own["pair"].to_numpy()
+        parts = np.frombuffer(b"".join(own["below"].to_pylist())).reshape(-1, 8)
+        zeros, ones, beta = np.zeros(256), np.zeros(256), np.ones(256)
+        at = nodes["node"].to_numpy()
+        for k, value in (("zeros", zeros), ("ones", ones), ("beta", beta)):
+            value[at] = nodes[k].to_numpy()
+        byte, nearest, out = pair & 255, pair >> 8 & 255, np.zeros(len(pair))
+        for j in range(8):
+            node = (1 << j) | byte >> (8 - j)
+            one = parts[:, j]
+            for kt, b, seen in (((ones + 0.5) / (zeros + ones + 1), beta, zeros + ones > 0), *(tuple(a[nearest if d else 0] for a in shared.value[d]) for d in (1, 0))):
+                kt, b, seen = (a[np.arange(len(node)), node] if a.ndim == 2 else a[node] for a in (kt, b, seen))
+                one = np.where(seen, mixed(one, kt, b), one)
+            one = np.where(np.isnan(one), 0.5, one)
+            out += np.log10(np.where(byte >> (7 - j) & 1 == 1, one, 1 - one))
+        return pa.table({"pair": pair, "score": out})
 
-    return grouped.groupBy("near").applyInArrow(score, "pair long, score double")
+    parts = weights.where("pair is not null").select("near", "bucket", "pair", "below")
+    groups = parts.select(F.col("near").alias("near"), F.col("bucket").alias("bucket")).distinct()
+    dealt = level.join(groups, "near").select("near", "bucket", "node", "zeros", "ones", "beta")
+    return parts.groupBy("near", "bucket").cogroup(dealt.groupBy("near", "bucket")).applyInArrow(score, "pair long, score double")
 
 
 def most_frequent(table: DataFrame, most: int) -> DataFrame:
-    """The rows of table(c, ...) with the largest counts: all from the least count on that leaves at most ``most`` rows."""
-    cap = 1_000_000
-    histogram = table.groupBy(F.least("c", F.lit(cap)).alias("c")).count().collect()
-    least, total = cap + 1, 0
-    for c, times in sorted(((r[0], r[1]) for r in histogram), reverse=True):
+    """The rows of table(c, ...) with the largest counts: as many bins of counts, from the top, as have at most ``most`` rows together."""
+    # Sixteen bins a doubling, so a thousand rows at most.
+    binned = table.withColumn("bin", F.floor(F.log2(F.greatest(F.col("c"), F.lit(1)).cast("double")) * 16).cast("int"))
+    histogram = binned.groupBy("bin").count().collect()
+    least, total = 1 << 30, 0
+    for b, times in sorted(((r[0], r[1]) for r in histogram), reverse=True):
         total += times
         if total > most:
             break
-        least = c
-    return table.where(F.col("c") >= least)
+        least = b
+    return binned.where(F.col("bin") >= least).drop("bin")
 
 
 def word_scores(words: DataFrame, scored: DataFrame, shared, whole: bool) -> DataFrame:
     """(word, c, score) for words(word, c): the log10 probability of what follows each token's head.
 
-    scored(pair, score); ``shared``: broadcast sorted pairs and scores, used if they are ``whole``.
+    scored(pair, score); ``shared``: broadcast sorted pairs and scores, of all pairs if ``whole``, else of the most frequent; the
+    other pairs are joined.
     """
-    if whole:
+    schema = pa.schema([("word", pa.binary()), ("c", pa.int64()), ("pair", pa.int64()), ("score", pa.float64())])
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            key, value = np.frombuffer(shared.value[0], U64), np.frombuffer(shared.value[1])
-            for batch in batches:
-                pair, word = pairs_of(batch.column(0))
-                total = np.bincount(word, value[np.searchsorted(key, pair)], batch.num_rows).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(total)], ["word", "c", "score"])
-
-        return words.select("word", "c").mapInArrow(run, "word binary, c long, score double")
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, value = np.frombuffer(shared.value[0], U64), np.frombuffer(shared.value[1])
         for batch in batches:
             pair, word = pairs_of(batch.column(0))
+            k = np.minimum(np.searchsorted(key, pair), max(0, len(key) - 1))
+            found = key[k] == pair if len(key) else np.zeros(len(pair), bool)
+            total = np.bincount(word[found], value[k[found]], batch.num_rows).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.nulls(batch.num_rows, pa.int64()), pa.array(total)], schema=schema)
+            pair, word = pair[~found], word[~found]
             for i in range(0, len(pair), 100_000):
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(word[i : i + 100_000])), pa.array(pair[i : i + 100_000].view(np.int64))], ["word", "pair"])
+                n = len(pair[i : i + 100_000])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(word[i : i + n])), pa.nulls(n, pa.int64()), pa.array(pair[i : i + n].view(np.int64)), pa.nulls(n, pa.float64())], schema=schema)
 
-    rows = words.select("word", "c").mapInArrow(spread, "word binary, pair long").join(scored, "pair")
-    sums = rows.groupBy("word").agg(F.sum("score").alias("score"))
-    return words.select("word", "c").join(sums, "word", "left").select("word", "c", F.coalesce("score", F.lit(0.0)).alias("score"))
+    rows = words.select("word", "c").mapInArrow(run, "word binary, c long, pair long, score double")
+    if whole:
+        return rows.select("word", "c", "score")
+    rows = materialize(rows, "word-pairs")
+    sums = rows.where("pair is not null").select("word", "pair").join(scored, "pair").groupBy("word").agg(F.sum("score").alias("more"))
+    return rows.where("pair is null").join(sums, "word", "left").select("word", "c", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
 
 
 _LOOKED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("word", pa.binary()), ("pair", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])

@@ -68,8 +68,9 @@ def brute(rows):
 ROWS = [(1, "The cat sat on the mat", True), (2, "the dog sat on the LOG", True), (3, "a cat and a dog\x00x", False), (4, None, True), (5, "", False), (6, "éàü the caterpillars", False), (7, "caterpillar the the", True), (7, "caterpillar the the", True)]
 
 
-@pytest.mark.parametrize("words, pairs", [(400_000, 3_000_000), (0, 3_000_000), (3, 40)])
-def test_equals_the_recursive_definition(spark, monkeypatch, words, pairs):
+@pytest.mark.parametrize("words, pairs, group", [(400_000, 3_000_000, 20_000), (0, 3_000_000, 2), (3, 40, 0)])
+def test_equals_the_recursive_definition(spark, monkeypatch, words, pairs, group):
+    monkeypatch.setattr(C, "GROUP_PAIRS", group)
     monkeypatch.setattr(C, "TOP_WORDS", words)
     monkeypatch.setattr(C, "TOP_PAIRS", pairs)
     docs = spark.createDataFrame(ROWS, "doc_id long, text string, train boolean").withColumn("word", F.lit("clash"))
