@@ -1,9 +1,10 @@
 """A content-addressed web archive: WARC headers and payloads in tables of their own.
 
 ``write_archive`` stores every payload once, under the SHA-256 of its bytes, and every record's header exactly as a WARC/1.1
-reader expects it; a record whose payload an earlier one holds becomes a revisit that refers to it. ``read_archive`` parses the
-headers, checks each stored payload against its digest and joins the two; ``reconstruct`` gives back whole records. Payloads are
-read twice and written once; only digests and ids are shuffled, and no group of equal payloads is gathered anywhere.
+reader expects it; a record whose payload an earlier one holds becomes a revisit that refers to it. ``reconstruct`` joins the two to
+whole records, byte for byte as in a WARC file. ``read_archive`` parses those bytes, checks the length and the digest that each
+header states against what follows it, and answers from them. Payloads are shuffled once, when they are read; a digest that many
+records share is dealt over several tasks.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeweave.plans.joins import dealt_join, frequent, looked_up
 from codeweave.session import materialize, shared_folder
 
 #: Payloads of fewer bytes are always stored as responses.
@@ -22,6 +24,7 @@ BROADCAST_IDS = 1_000_000
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
+END = b"\r\n\r\n"
 
 
 def _header(kind: Column) -> Column:
@@ -55,52 +58,66 @@ def write_archive(pages: DataFrame, folder: str | None = None) -> str:
     rows = pages.select("page_id", "url", F.sha2(F.col("html").cast("binary"), 256).alias("digest"), F.octet_length("html").cast("long").alias("bytes"))
     rows = materialize(rows, "digests")
     groups = materialize(rows.groupBy("digest", "bytes").agg(F.min("page_id").alias("holder"), F.count("*").alias("rows")).where("rows > 1").drop("rows"), "groups")
-    named = rows.join(F.broadcast(groups) if groups.count() <= BROADCAST_IDS // 4 else groups, ["digest", "bytes"], "left")
+    few = groups.count() <= BROADCAST_IDS // 4
+    named = rows.join(F.broadcast(groups), ["digest", "bytes"], "left") if few else looked_up(rows, groups, ["digest", "bytes"], frequent(rows, ["digest", "bytes"]))
     kind = F.when((F.col("bytes") >= LEAST_REVISIT) & (F.col("holder") < F.col("page_id")), "revisit").otherwise("response")
     named.withColumn("kind", kind).select("page_id", _header(F.col("kind")).alias("header")).write.parquet(f"{folder}/headers")
     others = materialize(named.where("holder < page_id").select("page_id", "digest").distinct(), "others")
     body = pages.select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("digest"), F.col("html").cast("binary").alias("payload"))
     body = body.join(F.broadcast(others) if others.count() <= BROADCAST_IDS else others, ["page_id", "digest"], "left_anti")
-    repeated = rows.groupBy("page_id", "digest").agg(F.count("*").alias("rows")).where("rows > 1")
+    repeated = materialize(rows.groupBy("page_id", "digest").agg(F.count("*").alias("rows")).where("rows > 1").drop("rows"), "repeated")
     if repeated.limit(1).count():
-        body = body.dropDuplicates(["digest"])
+        # Only rows that repeat their page and payload are shuffled.
+        again = F.broadcast(repeated) if repeated.count() <= BROADCAST_IDS else repeated
+        body = body.join(again, ["page_id", "digest"], "left_anti").unionByName(body.join(again, ["page_id", "digest"], "left_semi").dropDuplicates(["page_id", "digest"]))
     body.select("digest", "payload").write.option("compression", "zstd").parquet(f"{folder}/payloads")
     return folder
 
 
+def fields(header: str) -> dict[str, Column]:
+    """The fields of a column of headers that records are read by."""
+    get = lambda pattern: F.regexp_extract(header, pattern, 1)
+    number = lambda pattern: F.nullif(get(pattern), F.lit("")).cast("long")
+    return {
+        "page_id": number(r"\r\nWARC-Record-ID: <urn:page:(-?[0-9]+)>\r\n"),
+        "record_type": get(r"\r\nWARC-Type: ([a-z]+)\r\n"),
+        "digest": get(r"\r\nWARC-Payload-Digest: sha256:([0-9a-f]{64})\r\n"),
+        "refers_to": number(r"\r\nWARC-Refers-To: <urn:page:(-?[0-9]+)>\r\n"),
+        "length": number(r"\r\nContent-Length: ([0-9]+)\r\n"),
+    }
+
+
 def headers(spark: SparkSession, folder: str) -> DataFrame:
-    """The parsed headers: page_id, record_type, digest, refers_to and the exact header."""
+    """The parsed headers: page_id, record_type, digest, refers_to, length of the block and the exact header."""
     raw = spark.read.schema("page_id long, header string").parquet(f"{folder}/headers")
-    get = lambda pattern: F.regexp_extract("header", pattern, 1)
-    number = lambda pattern: F.nullif(get(pattern), F.lit("")).cast("long")
-    return raw.select(
-        number(r"\r\nWARC-Record-ID: <urn:page:(-?[0-9]+)>\r\n").alias("page_id"),
-        get(r"\r\nWARC-Type: ([a-z]+)\r\n").alias("record_type"),
-        get(r"\r\nWARC-Payload-Digest: sha256:([0-9a-f]{64})\r\n").alias("digest"),
-        number(r"\r\nWARC-Refers-To: <urn:page:(-?[0-9]+)>\r\n").alias("refers_to"),
-        "header",
-    )
+    return raw.select(*(c.alias(k) for k, c in fields("header").items()), "header")
 
 
-def payloads(spark: SparkSession, folder: str) -> DataFrame:
-    """The stored payloads with digests computed from their bytes; one that doesn't match its name fails the query."""
+def reconstruct(spark: SparkSession, folder: str) -> DataFrame:
+    """(page_id, record, payload): whole records as stored in a WARC file, and each page's payload, for revisits too."""
     stored = spark.read.schema("digest string, payload binary").parquet(f"{folder}/payloads")
-    found = F.sha2("payload", 256)
-    wrong = F.raise_error(F.concat(F.lit("payload doesn't match its digest "), F.col("digest"))).cast("string")
-    return stored.select(F.when(found == F.col("digest"), found).otherwise(wrong).alias("digest"), "payload")
+    told = materialize(headers(spark, folder).select("page_id", "record_type", "digest", "header"), "headers")
+    whole = dealt_join(told, stored, ["digest"], "left")
+    block = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
+    return whole.select("page_id", F.concat(F.col("header").cast("binary"), block, F.lit(END)).alias("record"), "payload")
 
 
 def read_archive(spark: SparkSession, folder: str) -> DataFrame:
-    """One row a record: page_id, payload_bytes and payload_digest of its full stored payload, record_type, refers_to."""
-    sizes = payloads(spark, folder).select("digest", F.octet_length("payload").cast("long").alias("payload_bytes"))
-    return headers(spark, folder).join(sizes, "digest").select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
-
+    """One row a record, from its rebuilt bytes: page_id, payload_bytes and payload_digest of its full payload, record_type, refers_to.
 
-def reconstruct(spark: SparkSession, folder: str) -> DataFrame:
-    """(page_id, record, payload): whole records as stored in a WARC file, and each page's payload, for revisits too."""
-    whole = headers(spark, folder).join(payloads(spark, folder), "digest")
-    block = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return whole.select("page_id", F.concat(F.col("header").cast("binary"), block, F.lit(b"\r\n\r\n")).alias("record"), "payload")
+    A record without a payload, or whose block or payload doesn't have the length or the digest that its header states, fails the query.
+    """
+    whole = reconstruct(spark, folder)
+    # The header ends at the first empty line; what follows, but for the record's end, is the block.
+    whole = whole.withColumn("head", F.concat(F.substring_index(F.col("record").cast("string"), "\r\n\r\n", 1), F.lit("\r\n\r\n")))
+    size = F.octet_length("record") - F.octet_length("head") - len(END)
+    whole = whole.withColumn("block", F.substring(F.col("record"), F.octet_length("head") + 1, size))
+    parsed = fields("head")
+    full = F.when(parsed["record_type"] == "response", F.col("block")).otherwise(F.col("payload"))
+    whole = whole.select(F.col("page_id").alias("told"), *(c.alias(k) for k, c in parsed.items()), F.octet_length("block").cast("long").alias("block_bytes"), F.octet_length(full).cast("long").alias("payload_bytes"), F.sha2(full, 256).alias("found"))
+    good = F.coalesce((F.col("found") == F.col("digest")) & (F.col("block_bytes") == F.col("length")), F.lit(False))
+    wrong = F.raise_error(F.concat(F.lit("record doesn't match its header: page "), F.col("told").cast("string"))).cast("string")
+    return whole.select("page_id", "payload_bytes", F.when(good, F.col("found")).otherwise(wrong).alias("payload_digest"), "record_type", "refers_to")
 
 
 ORACLE_SQL = """

@@ -26,7 +26,7 @@ def test_records(spark, monkeypatch, bound):
             revisit = len(raw) >= 100 and first < i
             want.append((i, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if revisit else "response", first if revisit else None))
     assert got == sorted(want, key=lambda r: tuple((x is None, x) for x in r[:4]))
-    assert warc.payloads(spark, folder).count() == 4
+    assert spark.read.parquet(f"{folder}/payloads").count() == 4
 
 
 def test_reconstructed_records(spark):
@@ -39,13 +39,24 @@ def test_reconstructed_records(spark):
     assert bytes(records[5].payload) == BIG.encode()
 
 
-def test_damage_is_found(spark):
+@pytest.mark.parametrize("damage", ["cast('other' as binary) as payload", "substring(payload, 1, 5) as payload", None])
+def test_damage_is_found(spark, damage):
     folder = archive(spark, ROWS[:1])
-    stored = spark.read.parquet(f"{folder}/payloads").selectExpr("digest", "cast('other' as binary) as payload").collect()
+    stored = spark.read.parquet(f"{folder}/payloads").selectExpr("digest", damage).collect() if damage else []
     spark.createDataFrame(stored, "digest string, payload binary").write.mode("overwrite").parquet(f"{folder}/payloads")
-    with pytest.raises(Exception, match="match its digest"):
+    with pytest.raises(Exception, match="match its header"):
         warc.read_archive(spark, folder).collect()
 
 
+def test_one_payload_in_many_records(spark, monkeypatch):
+    from codeweave.plans import joins
+
+    monkeypatch.setattr(joins.dealt_join, "__defaults__", ("inner", 5))
+    monkeypatch.setattr(joins.frequent, "__defaults__", (5,))
+    monkeypatch.setattr(warc, "BROADCAST_IDS", 0)
+    got = warc.read_archive(spark, archive(spark, [(i, "u", "" if i % 2 else BIG) for i in range(60)])).collect()
+    assert len(got) == 60 and sum(r.record_type == "revisit" and r.refers_to == 0 for r in got) == 29
+
+
 def test_empty(spark):
     assert warc.read_archive(spark, archive(spark, [])).collect() == []
