@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -29,12 +30,33 @@ def local_session(cpus: int | None = None, memory: str = "8g", app: str = "codew
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a local one is made only where that is unset."""
+    """The folder of this application's tables below ``spark.checkpoint.dir``, which all executors share; it is deleted at the end.
+
+    A folder of the machine is taken only where the setting is missing and the master is local; a cluster without it is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = os.path.join(tempfile.gettempdir(), f"codeweave-checkpoints-{os.getuid()}")
         spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    folder = f"{path.rstrip('/')}/codeweave-{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_delete, spark, folder)
+    return folder
+
+
+_folders: set[str] = set()
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder wherever it lies; at the end of the program the session may be gone, and the folder is then left."""
+    try:
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark._jsc.hadoopConfiguration() if spark._jsc else spark._jvm.org.apache.hadoop.conf.Configuration()).delete(place, True)
+    except Exception:  # noqa: BLE001 - whatever py4j raises once its process has gone
+        pass
 
 
 def materialize(df: DataFrame, name: str = "table", partition_by: list[str] | None = None) -> DataFrame:
@@ -45,4 +67,13 @@ def materialize(df: DataFrame, name: str = "table", partition_by: list[str] | No
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._stored_in = path
+    return stored
+
+
+def discard(stored: DataFrame) -> None:
+    """Delete a table that ``materialize`` wrote, once nothing that is still to run reads it; other DataFrames are left alone."""
+    path = getattr(stored, "_stored_in", None)
+    if path:
+        _delete(stored.sparkSession, path)
