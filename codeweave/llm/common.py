@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 PIECE = 1 << 20
+#: Longer texts are no training rows of the classifiers, which bring whole texts of a bounded number of rows to the driver.
+TRAINING_BYTES = 1 << 16
 
 #: The white space of the word pattern ``[^\x20\x09-\x0D]+``.
 WHITE = np.zeros(256, bool)
@@ -138,11 +142,31 @@ def give_back() -> None:
         pass
 
 
-def modest_batches(df: DataFrame, rows: int = 1000) -> None:
-    """Let the session send at most ``rows`` rows of text to a worker at once: Arrow batches are cut by rows, not bytes."""
-    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
-    if not 0 < int(conf.get(key, "10000")) <= rows:
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Tables written inside send at most ``rows`` rows of text to a worker at once; the session's setting is put back at the end.
+
+    Without it a batch ends at the session's limit of bytes (64 MB by default).
+    """
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf
+    before = conf.get(key)
+    if not 0 < int(before) <= rows:
         conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        conf.set(key, before)
+
+
+def in_small_batches(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator that writes tables of its own, all of them in small batches; its first argument is a table."""
+
+    @wraps(f)
+    def run(docs: DataFrame, *more, **named) -> DataFrame:
+        with small_batches(docs.sparkSession):
+            return f(docs, *more, **named)
+
+    return run
 
 
 def by_bytes(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:

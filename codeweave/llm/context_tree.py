@@ -426,6 +426,7 @@ def _look_up(top_words, top_pairs):
     return run
 
 
+@common.in_small_batches
 def corpus_scores(docs: DataFrame) -> DataFrame:
     """One row for each row of docs(doc_id, text, train): held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -434,7 +435,6 @@ def corpus_scores(docs: DataFrame) -> DataFrame:
     rows every byte has the probability that an empty tree gives it.
     """
     spark = docs.sparkSession
-    common.modest_batches(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("train"), F.lit(True)).alias("train"))
     counts = materialize(token_counts(docs), "counts")
     words, heads = counts.where("word is not null"), counts.where("word is null")

@@ -255,7 +255,6 @@ def contaminations(docs: DataFrame, items: DataFrame, broadcast_seeds: int = BRO
     length are read whole; other columns are ignored; with an empty table on either side the result is empty.
     """
     spark = docs.sparkSession
-    common.modest_batches(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null").distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]

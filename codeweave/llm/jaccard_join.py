@@ -371,6 +371,7 @@ def crowd_links(prefix: DataFrame, rest: DataFrame, percent: int) -> DataFrame:
     return full.repartition("h").sortWithinPartitions("h").mapInArrow(_meet(percent), "a long, b long")
 
 
+@common.in_small_batches
 def jaccard_components(docs: DataFrame, percent: int = 80, orders: int = 3) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per distinct doc_id of docs(doc_id, text, ...).
 
@@ -380,7 +381,6 @@ def jaccard_components(docs: DataFrame, percent: int = 80, orders: int = 3) -> D
     doc_id.
     """
     spark: SparkSession = docs.sparkSession
-    common.modest_batches(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     support = materialize(shingle_support(docs), "support")
     able = support.where(f"n > 0 and (n - lone) * 100 >= {percent} * n").select("doc_id")

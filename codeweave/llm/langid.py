@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweave.llm import common
@@ -279,17 +279,17 @@ def _likelihood_grads(e: np.ndarray, y: np.ndarray, trans: np.ndarray, start: np
 
 
 def labelled_texts(docs: DataFrame, train: str, sample: int) -> tuple[list[str], list[str]]:
-    """Texts and languages of at most ``sample`` rows a language, chosen by the hash of doc_id; ``train``: a SQL condition."""
+    """Texts and languages of at most ``sample`` rows a language, chosen by the hash of doc_id; ``train``: a SQL condition.
+
+    Languages are a closed set of a few names. Texts of more than ``common.TRAINING_BYTES`` bytes are no training rows, so what
+    reaches the driver has a bound.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).where("doc_id is not null and lang is not null").where(train).distinct()
-    known = [r[0] for r in rows.select("lang").distinct().orderBy("lang").collect()]
-    picked = None
-    for k in known:
-        part = rows.where(F.col("lang") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-        picked = part if picked is None else picked.union(part)
-    if picked is None:
-        return [], []
-    few = docs.sparkSession.createDataFrame(picked.toPandas(), "doc_id long, lang string")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("text is not null")
+    # Each task keeps its own first rows of a language before any are shuffled.
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("rank") <= sample)
+    few = docs.sparkSession.createDataFrame(ranked.select("doc_id", "lang").toArrow())
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    texts = texts.where(F.octet_length("text") <= common.TRAINING_BYTES)
     got = texts.join(F.broadcast(few), ["doc_id", "lang"]).toPandas().sort_values(["doc_id", "lang", "text"])
     return got["text"].tolist(), got["lang"].tolist()
 
@@ -301,7 +301,6 @@ def languages(docs: DataFrame, model: Crf) -> DataFrame:
     length are read whole; repeated rows and null ids give rows like others; ties go to the label that sorts first; other columns
     are ignored; an empty table gives an empty result.
     """
-    common.modest_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast((model.labels, model.p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,7 +318,6 @@ def languages(docs: DataFrame, model: Crf) -> DataFrame:
 
 def stretches(docs: DataFrame, model: Crf) -> DataFrame:
     """(doc_id, first_word, words, lang, score): runs of words with one most likely label, for code-switched text."""
-    common.modest_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast((model.labels, model.p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -314,6 +314,7 @@ def _place(shared):
     return run
 
 
+@common.in_small_batches
 def pack(docs: DataFrame, capacity: int = CAPACITY, name: str = TOKENIZER, cache: int = CACHE) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): every piece of every row, placed in a sequence.
 
@@ -321,7 +322,6 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, name: str = TOKENIZER, cache
     and repeated rows are packed like others; other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    common.modest_batches(docs)
     cut = materialize(pieces(docs, capacity, name, cache), "pieces")
     histogram = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}
     salts = max(64, -(-sum(histogram.values()) // 100_000))

@@ -542,7 +542,6 @@ def personal_data(docs: DataFrame, params: dict) -> DataFrame:
     Offsets count code points. Null and empty texts have no spans; texts of any length are read whole; repeated rows and null ids
     give rows like others; other columns are ignored; an empty table gives an empty result.
     """
-    common.modest_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(params)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -571,7 +570,6 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 def redacted(docs: DataFrame, params: dict) -> DataFrame:
     """docs with personal data in ``text`` replaced; null texts stay null, all other columns pass through."""
-    common.modest_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(params)
     schema = docs.schema
 

@@ -210,7 +210,6 @@ def quality(docs: DataFrame, params: dict[str, np.ndarray]) -> DataFrame:
     A null text is scored as an empty one; texts of any length are read whole; repeated rows and null ids give rows like others;
     other columns are ignored; an empty table gives an empty result.
     """
-    common.modest_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(params)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

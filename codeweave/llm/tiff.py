@@ -1,7 +1,8 @@
 """TIFF: a reader that walks image directories and a writer for 8-bit images; one row a page.
 
-The reader takes either byte order, strips or tiles, no compression, PackBits, LZW or deflate, horizontal predictors and 8- or
-16-bit samples in chunky or planar order. Truncated, looping or unknown files give an error text, never a crash.
+The reader takes either byte order, strips or tiles, no compression, PackBits, LZW or deflate, horizontal and floating-point
+predictors, and samples of 1, 2, 4, 8, 16 or 32 bits or 32-bit floats in chunky or planar order. Truncated, looping, malformed or
+unknown files give an error text, never a crash, and no block is unpacked beyond the size that its image gives it.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from codeweave.llm import common
 
 # Fixed values of the format: tag numbers, field sizes, compression schemes.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
-TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 322, 323, 324, 325
+TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, FILL_ORDER, SAMPLE_FORMAT = 322, 323, 324, 325, 266, 339
+#: Tags that the reader goes by: they must hold unsigned 16- or 32-bit numbers.
+STRUCTURE = (WIDTH, HEIGHT, BITS, COMPRESSION, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, FILL_ORDER, SAMPLE_FORMAT)
 LENGTH_TAG = 65000
 FIELDS = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i", 11: "f", 12: "d"}
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
@@ -32,9 +35,10 @@ class TiffError(ValueError):
     """A file that can't be read."""
 
 
-def unpack_bits(data: bytes) -> bytes:
+def unpack_bits(data: bytes, need: int | None = None) -> bytes:
+    """Whole runs until ``need`` bytes are there."""
     out, i = bytearray(), 0
-    while i < len(data):
+    while i < len(data) and (need is None or len(out) < need):
         n = data[i]
         if n < 128:
             out += data[i + 1 : i + 2 + n]
@@ -63,8 +67,8 @@ def pack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def unpack_lzw(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, most significant first; the width grows one code early."""
+def unpack_lzw(data: bytes, need: int | None = None) -> bytes:
+    """Codes of 9 to 12 bits, most significant first; the width grows one code early. Whole codes until ``need`` bytes are there."""
     out, table, width, bits, held, before = bytearray(), [bytes((i,)) for i in range(256)] + [b"", b""], 9, 0, 0, None
     for byte in data:
         held, bits = held << 8 | byte, bits + 8
@@ -92,6 +96,8 @@ def unpack_lzw(data: bytes) -> bytes:
                 raise TiffError("lzw: bad code")
             table.append(before + entry[:1])
         out += entry
+        if need is not None and len(out) >= need:
+            break
         before = entry
         width = 9 if len(table) < 511 else 10 if len(table) < 1023 else 11 if len(table) < 2047 else 12
     return bytes(out)
@@ -137,16 +143,17 @@ def pack_lzw(data: bytes) -> bytes:
     return bytes(out)
 
 
-def decompress(data: bytes, scheme: int) -> bytes:
+def decompress(data: bytes, scheme: int, need: int) -> bytes:
+    """At least ``need`` bytes, if the data hold them, and little more."""
     if scheme == NONE:
         return data
     if scheme == PACKBITS:
-        return unpack_bits(data)
+        return unpack_bits(data, need)
     if scheme == LZW:
-        return unpack_lzw(data)
+        return unpack_lzw(data, need)
     if scheme in (DEFLATE, OLD_DEFLATE):
         try:
-            return zlib.decompress(data)
+            return zlib.decompressobj().decompress(data, need)
         except zlib.error as e:
             raise TiffError(f"deflate: {e}") from e
     raise TiffError(f"compression {scheme} is not supported")
@@ -187,7 +194,9 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
             for k in range(n):
                 tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
                 code = FIELDS.get(kind)
-                if code is None:
+                if code is None or (tag in STRUCTURE and code not in "HI"):
+                    if tag in STRUCTURE:
+                        raise TiffError(f"tag {tag} has field type {kind}")
                     continue
                 if count * struct.calcsize(code) > len(data):
                     raise TiffError(f"tag {tag} is longer than the file")
@@ -206,17 +215,39 @@ def undo_predictor(block: np.ndarray) -> np.ndarray:
     return np.cumsum(block, axis=1, dtype=block.dtype)
 
 
+def undo_float_predictor(raw: bytes, rows: int, columns: int, samples: int) -> np.ndarray:
+    """Rows of byte differences, most significant bytes of all samples first, to 32-bit floats (rows, columns, samples)."""
+    planes = np.cumsum(np.frombuffer(raw, np.uint8).reshape(rows, -1, samples), axis=1, dtype=np.uint8)
+    planes = planes.reshape(rows, 4, columns * samples).transpose(0, 2, 1)
+    return np.ascontiguousarray(planes).view(">f4").astype(np.float32).reshape(rows, columns, samples)
+
+
+def unpack_samples(raw: bytes, rows: int, columns: int, samples: int, bits: int) -> np.ndarray:
+    """Samples of 1, 2 or 4 bits, rows padded to whole bytes, as 8-bit numbers (rows, columns, samples)."""
+    line = -(-columns * samples * bits // 8)
+    each = np.unpackbits(np.frombuffer(raw, np.uint8, rows * line).reshape(rows, line), axis=1)
+    each = each[:, : columns * samples * bits].reshape(rows, columns, samples, bits)
+    return (each << np.arange(bits - 1, -1, -1, dtype=np.uint8)).sum(3, dtype=np.uint8)
+
+
+_REVERSED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
+
+
 def read_page(data: bytes, order: str, tags: dict[int, tuple]) -> Page:
     one = lambda tag, default=None: tags[tag][0] if tags.get(tag) else default
     width, height, samples = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
-    bits, scheme, predictor, planar = one(BITS, 1), one(COMPRESSION, 1), one(PREDICTOR, 1), one(PLANAR, 1)
+    bits, scheme, predictor, planar, form = one(BITS, 1), one(COMPRESSION, 1), one(PREDICTOR, 1), one(PLANAR, 1), one(SAMPLE_FORMAT, 1)
     if not width or not height or not samples:
         raise TiffError("no image size")
-    if bits not in (8, 16) or len(set(tags.get(BITS, (bits,)))) > 1:
+    if bits not in (1, 2, 4, 8, 16, 32) or len(set(tags.get(BITS, (bits,)))) > 1:
         raise TiffError(f"{bits} bits a sample are not supported")
-    if predictor not in (1, 2):
+    if form not in (1, 3, 4) or (form == 3 and bits != 32) or len(set(tags.get(SAMPLE_FORMAT, (form,)))) > 1:
+        raise TiffError(f"sample format {form} is not supported")
+    if predictor not in (1, 2, 3) or (predictor == 2 and (bits < 8 or form == 3)) or (predictor == 3 and form != 3):
         raise TiffError(f"predictor {predictor} is not supported")
-    kind = np.dtype(np.uint8 if bits == 8 else order + "u2")
+    if planar not in (1, 2):
+        raise TiffError(f"planar configuration {planar} is not supported")
+    kind = np.dtype(np.uint8 if bits <= 8 else f"{order}f4" if form == 3 else f"{order}u{bits // 8}")
     tiled = TILE_OFFSETS in tags
     bw, bh = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
     offsets, counts = tags.get(TILE_OFFSETS if tiled else STRIP_OFFSETS, ()), tags.get(TILE_COUNTS if tiled else STRIP_COUNTS, ())
@@ -226,7 +257,8 @@ def read_page(data: bytes, order: str, tags: dict[int, tuple]) -> Page:
     planes, deep = (samples, 1) if planar == 2 else (1, samples)
     if len(offsets) < across * down * planes or len(counts) < len(offsets):
         raise TiffError("missing strips or tiles")
-    if width * height * samples * kind.itemsize > max(1 << 30, 2000 * len(data)):
+    most = max(1 << 30, 2000 * len(data))
+    if width * height * samples * kind.itemsize > most or bw * bh * deep * kind.itemsize > most:
         raise TiffError("image size doesn't fit the file")
     out = np.zeros((height, width, samples), kind.newbyteorder("="))
     for k in range(across * down * planes):
@@ -235,11 +267,19 @@ def read_page(data: bytes, order: str, tags: dict[int, tuple]) -> Page:
         rows = bh if tiled else min(bh, height - top)
         if offsets[k] + counts[k] > len(data):
             raise TiffError("strip or tile lies beyond the file")
-        raw = decompress(data[offsets[k] : offsets[k] + counts[k]], scheme)
-        need = rows * bw * deep * kind.itemsize
+        raw = data[offsets[k] : offsets[k] + counts[k]]
+        if one(FILL_ORDER, 1) == 2:
+            raw = raw.translate(_REVERSED)
+        need = rows * -(-bw * deep * bits // 8)
+        raw = decompress(raw, scheme, need)
         if len(raw) < need:
             raise TiffError("strip or tile is too short")
-        block = np.frombuffer(raw, kind, rows * bw * deep).reshape(rows, bw, deep).astype(out.dtype)
+        if bits < 8:
+            block = unpack_samples(raw, rows, bw, deep, bits)
+        elif predictor == 3:
+            block = undo_float_predictor(raw[:need], rows, bw, deep)
+        else:
+            block = np.frombuffer(raw, kind, rows * bw * deep).reshape(rows, bw, deep).astype(out.dtype)
         if predictor == 2:
             block = undo_predictor(block)
         h, w = min(rows, height - top), min(bw, width - left)
@@ -301,6 +341,10 @@ _PAGE = pa.schema([("id", pa.int64()), ("page", pa.int32()), ("width", pa.int64(
 PAGE_SQL = "id long, page int, width long, height long, samples int, bits int, compression string, pixels binary, length_tag long, media_bytes long, media_sha256 string, error string"
 
 
+def _whole(values: tuple | None) -> int | None:
+    return values[0] if values and isinstance(values[0], int) else None
+
+
 def _rows(doc: int | None, data: bytes | None) -> Iterator[tuple]:
     data = data or b""
     tail = (len(data), hashlib.sha256(data).hexdigest())
@@ -308,10 +352,11 @@ def _rows(doc: int | None, data: bytes | None) -> Iterator[tuple]:
     try:
         for order, tags in directories(data):
             p = read_page(data, order, tags)
-            yield doc, n, p.width, p.height, p.samples, p.bits, NAMES[p.compression], p.pixels.tobytes(), (tags.get(LENGTH_TAG) or (None,))[0], *tail, None
+            yield doc, n, p.width, p.height, p.samples, p.bits, NAMES[p.compression], p.pixels.tobytes(), _whole(tags.get(LENGTH_TAG)), *tail, None
             n += 1
-    except TiffError as e:
-        yield doc, n, None, None, None, None, None, None, None, *tail, str(e)
+    except Exception as e:  # noqa: BLE001 - no file may stop the others, whatever is wrong with it
+        said = str(e) if isinstance(e, TiffError) else f"{type(e).__name__}: {e}"
+        yield doc, n, None, None, None, None, None, None, None, *tail, said
 
 
 def pages(media: DataFrame) -> DataFrame:
@@ -321,8 +366,6 @@ def pages(media: DataFrame) -> DataFrame:
     repeated rows and null ids give rows like others; other columns are ignored; an empty table gives an empty result.
     """
 
-    common.modest_batches(media, 200)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, held = [], 0
@@ -344,7 +387,11 @@ LINE = 64
 
 
 def stored_texts(docs: DataFrame) -> DataFrame:
-    """(id, media): each whole text of docs(doc_id, text) in UTF-8, padded with zeros, as an 8-bit image of LINE columns."""
+    """(id, media): each whole text of docs(doc_id, text, ...) in UTF-8, padded with zeros, as an 8-bit image of LINE columns.
+
+    A null text is stored as an empty one, which is one row of zeros; texts of any length are stored whole; repeated rows and null ids
+    give rows like others; other columns are ignored; an empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -379,7 +426,10 @@ def feature(pixels: bytes) -> str:
 
 
 def text_features(read_back: DataFrame) -> DataFrame:
-    """Digests and features of the texts that ``stored_texts`` stored, from the pages read back; an unreadable one fails the query."""
+    """Digests and features of the texts that ``stored_texts`` stored, from the pages read back; an unreadable one fails the query.
+
+    One row a page, null ids and repeated rows included; an empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeweave.llm.common import by_bytes, mix64, modest_batches, shingle_sets
+from codeweave.llm.common import TRAINING_BYTES, by_bytes, mix64, shingle_sets
 
 # Closed word classes of the grammar, in English, German, French and Spanish.
 THREATS = ("kill", "hurt", "destroy", "shoot", "burn", "attack", "smash", "töten", "umbringen", "schlagen", "vernichten", "tuer", "frapper", "détruire", "brûler", "matar", "golpear", "destruir", "quemar")
@@ -210,7 +210,8 @@ def fit(texts: list[str], labels: list[int], pull: float = 2.0, steps: int = 400
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, train: str, sample: int) -> tuple[list[str], list[int]]:
     """Texts and labels of at most ``sample`` rows of either class, chosen by the hash of doc_id among the training rows.
 
-    ``train`` is a SQL condition over doc_id. Null labels, ids and texts are no training rows.
+    ``train`` is a SQL condition over doc_id. Null labels, ids and texts are no training rows, nor are texts of more than
+    TRAINING_BYTES bytes: what reaches the driver has a bound.
     """
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").where(train)
     rows = rows.groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -222,7 +223,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, train: str,
     if not len(ids):
         return [], []
     few = docs.sparkSession.createDataFrame(ids)
-    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(few), "doc_id").toPandas()
+    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.octet_length("text") <= TRAINING_BYTES).join(F.broadcast(few), "doc_id").toPandas()
     got = got.sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
     return got["text"].tolist(), got["y"].astype(int).tolist()
 
@@ -234,7 +235,6 @@ def toxicity(docs: DataFrame, model: dict) -> DataFrame:
     each; null ids are carried; other columns are ignored; an empty table gives an empty result.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("clauses", pa.int64())])
-    modest_batches(docs)
     coef, bias = np.array(model["coef"]), model["bias"]
     shared = docs.sparkSession.sparkContext.broadcast(model["lexicon"])
 
