@@ -1,10 +1,14 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Four sequential transducers are composed into one: a lexer names each token (insult, threat, target, negation, report, other),
-a reported-speech machine marks what follows a verb of saying or stands in quotation marks, a negation machine marks a short
-scope after a negator, and a pattern machine turns the marked stream into clause patterns (insult, insult at a target, threat
-at a target, each plain, negated or reported). A document's score is a logistic function of the summed weights of its matched
-clauses, by pattern; a word outside such a clause counts nothing.
+Four sequential transducers are composed into one: a lexer names each token (insult, threat, target, negation, report, quotation
+mark, clause border, other), a reported-speech machine marks what follows a verb of saying or stands in quotation marks, a negation
+machine marks a short scope after a negator, and a pattern machine turns the marked stream into clause patterns (insult, insult at
+a target, threat at a target, each plain, negated or reported). Reported speech and negation reach over the clause borders of a
+sentence, and quotations over the sentences of a line; patterns are matched within a clause. A document's score is a logistic
+function of the summed weights of its matched clauses, by pattern; a word outside such a clause counts nothing.
+
+Learned are the insults and all weights; the other word classes (threats, targets, negations, verbs of saying) are small closed
+classes of the grammar and stand as fixed values.
 
 Learned: the insult lexicon (words and word beginnings, kept as a trie of weighted arcs) by log odds of document frequencies,
 and the patterns' coefficients, both from at most ``sample`` labelled rows of either class. Everything else is grammar.
@@ -32,11 +36,15 @@ NEGATIONS = ("not", "never", "no", "without", "isn't", "aren't", "nicht", "nie",
 REPORTS = ("said", "says", "wrote", "claimed", "reported", "quoted", "sagte", "schrieb", "behauptete", "disait", "écrivait", "affirmait", "dijo", "escribió", "afirmó")
 QUOTES = "\"“”„«»"
 
-TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"“”„«»]")
+TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"“”„«»,;:]")
 WORD = re.compile(r"[^\W\d_]+")
-CLAUSE_END = re.compile(r"[.!?;:,\n]")
+BORDERS, SENTENCE_ENDS = ",;:", ".!?\n"
+SENTENCE_END = re.compile(r"[.!?\n]")
+QUOTE = re.compile(f"[{QUOTES}]")
+SYMBOLS = "ITGNRQCO"
 PATTERNS = ("insult", "insult_target", "threat_target", "negated", "reported")
-NEGATION_SCOPE = 3
+#: Words after a negator that it reaches, clause borders not counted.
+NEGATION_SCOPE = 4
 
 
 @dataclass
@@ -70,7 +78,11 @@ def compose(machines: list[Transducer], symbols: list[str]) -> dict:
 
 
 def grammar() -> dict:
-    """Report, negation and pattern machines composed. Symbols: I insult, T threat, G target, N negation, R report, Q quote, O other."""
+    """Report, negation and pattern machines composed. Symbols: I insult, T threat, G target, N negation, R report, Q quote, C border, O other."""
+    return compose(machines(), list(SYMBOLS))
+
+
+def machines() -> list[Transducer]:
     report = Transducer("plain", {
         "plain": {"R": ("said", "O"), "Q": ("quoted", "O")},
         "said": {"I": ("said", "Ir"), "T": ("said", "Tr"), "R": ("said", "O"), "Q": ("quoted", "O")},
@@ -78,7 +90,7 @@ def grammar() -> dict:
     })
     negation = Transducer(0, {0: {"N": (NEGATION_SCOPE, "O")}})
     for k in range(1, NEGATION_SCOPE + 1):
-        negation.arcs[k] = {"N": (NEGATION_SCOPE, "O"), "I": (0, "In"), "T": (0, "Tn"), "Ir": (0, "Ir"), "Tr": (0, "Tr")}
+        negation.arcs[k] = {"N": (NEGATION_SCOPE, "O"), "C": (k, "C"), "I": (0, "In"), "T": (0, "Tn"), "Ir": (0, "Ir"), "Tr": (0, "Tr")}
         negation.passes[k] = k - 1
     insults = {"I": "insult", "In": "negated", "Ir": "reported"}
     pattern = Transducer("start", {
@@ -87,7 +99,9 @@ def grammar() -> dict:
         "threat": {"G": ("target", "threat_target"), **{s: ("insulted", p) for s, p in insults.items()}, "Tn": ("threat", "O"), "Tr": ("threat", "O")},
         "insulted": {"G": ("target", "insult_target"), "T": ("threat", "O"), **{s: ("insulted", p) for s, p in insults.items()}, "Tn": ("insulted", "O"), "Tr": ("insulted", "O")},
     })
-    return compose([report, negation, pattern], list("ITGNRQO"))
+    for state in pattern.arcs:
+        pattern.arcs[state]["C"] = ("start", "O")
+    return [report, negation, pattern]
 
 
 def one_of_each(texts: list[str]) -> list[int]:
@@ -138,7 +152,8 @@ class Grammar:
         self.lexicon = lexicon
         machine = grammar()
         self.start, self.table = machine["start"], machine["table"]
-        self.classes = dict.fromkeys(TARGETS, "G") | dict.fromkeys(NEGATIONS, "N") | dict.fromkeys(REPORTS, "R") | dict.fromkeys(THREATS, "T") | dict.fromkeys(QUOTES, "Q")
+        self.quoted = ("quoted", *self.start[1:])
+        self.classes = dict.fromkeys(BORDERS, "C") | dict.fromkeys(TARGETS, "G") | dict.fromkeys(NEGATIONS, "N") | dict.fromkeys(REPORTS, "R") | dict.fromkeys(THREATS, "T") | dict.fromkeys(QUOTES, "Q")
         self.anchors = ahocorasick.Automaton()
         for word in {*(k.strip() for k in lexicon), *THREATS}:
             self.anchors.add_word(word, len(word))
@@ -155,27 +170,41 @@ class Grammar:
         return symbol, 2.0 if symbol == "T" else 0.0
 
     def clauses(self, text: str) -> Iterator[tuple[int, int, dict[str, float]]]:
-        """Start, end and pattern weights of each clause with a match; only clauses with a lexicon entry are read at all."""
+        """Start, end and pattern weights of each clause with a match; only sentences with a lexicon entry are read at all."""
         low = text.lower()
         done = -1
         for end, length in self.anchors.iter(low):
             begin = end - length + 1
             if begin < done or (begin and low[begin - 1].isalpha()):
                 continue
-            stops = [low.rfind(c, 0, begin) for c in ".!?;:,\n"]
-            left = max(stops) + 1
-            found = CLAUSE_END.search(low, end + 1)
-            right = found.start() if found else len(low)
-            done = right
-            state, sums, carried = self.start, {}, 0.0
-            for token in TOKEN.findall(low, left, right):
-                symbol, weight = self.lex(token)
-                state, out = self.table[state, symbol]
-                carried = weight or carried
-                if out in PATTERNS:
-                    sums[out] = sums.get(out, 0.0) + (carried if out != "insult_target" or symbol == "I" else 0.5 * carried)
-            if sums:
-                yield left, right, sums
+            left = max(low.rfind(c, 0, begin) for c in SENTENCE_ENDS) + 1
+            found = SENTENCE_END.search(low, end + 1)
+            done = right = found.start() if found else len(low)
+            yield from self.matches(low, left, right)
+
+    def inside_quotes(self, low: str, left: int) -> bool:
+        """Whether a quotation of the same line is open at ``left``: an odd number of marks before it and one at least after it."""
+        line = low.rfind("\n", 0, left) + 1
+        if len(QUOTE.findall(low, line, left)) % 2 == 0:
+            return False
+        end = low.find("\n", left)
+        return QUOTE.search(low, left, end if end >= 0 else len(low)) is not None
+
+    def matches(self, low: str, left: int, right: int) -> Iterator[tuple[int, int, dict[str, float]]]:
+        """The clauses of one sentence."""
+        state, sums, carried, at = self.quoted if self.inside_quotes(low, left) else self.start, {}, 0.0, left
+        for m in TOKEN.finditer(low, left, right):
+            symbol, weight = self.lex(m.group())
+            state, out = self.table[state, symbol]
+            carried = weight or carried
+            if symbol == "C":
+                if sums:
+                    yield at, m.start(), sums
+                sums, carried, at = {}, 0.0, m.end()
+            elif out in PATTERNS:
+                sums[out] = sums.get(out, 0.0) + (carried if out != "insult_target" or symbol == "I" else 0.5 * carried)
+        if sums:
+            yield at, right, sums
 
     def features(self, text: str) -> tuple[np.ndarray, int]:
         total, n = np.zeros(len(PATTERNS)), 0

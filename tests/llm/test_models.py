@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -82,16 +83,96 @@ def test_grammar_patterns():
     assert found("the kill was clean") == [] and found("tomfool") == [] and found("doltish") == [["insult"]]
 
 
+def test_speech_and_negation_reach_over_borders():
+    g = T.Grammar({"fool ": 5.0})
+    found = lambda t: [sorted(s) for _, _, s in g.clauses(t)]
+    assert found('"Listen, you fool," she said') == [["reported"]] and found("He said: you fool") == [["reported"]]
+    assert found("You are not, in fact, a fool") == [["negated"]] and found("You are not happy, you hear, and a fool") == [["insult"]]
+    assert found("“Go away. You fool. Go,” he said") == [["reported"]] and found("“Go,” he said. You fool") == [["insult_target"]]
+    assert found('the 5" fool. You fool') == [["reported"], ["insult_target"]] and found("“Go\nYou fool”") == [["insult_target"]]
+    assert found("You, a fool") == [["insult"]] and found("He said no. You fool") == [["insult_target"]]
+    text = "Well, you fool, go; fool"
+    assert [text[a:b] for a, b, _ in g.clauses(text)] == [" you fool", " fool"]
+
+
 def test_composed_machine_equals_its_parts():
     rng = random.Random(0)
-    machine = T.grammar()
-    for _ in range(300):
-        word = [rng.choice("ITGNRQO") for _ in range(12)]
-        state, outs = machine["start"], []
-        for c in word:
-            state, out = machine["table"][state, c]
-            outs.append(out)
-        assert len(outs) == 12 and ("I" in word or "T" in word or not set(outs) & {"insult", "insult_target", "negated", "reported"} or "insulted" in str(outs))
+    whole, parts, seen = T.grammar(), T.machines(), set()
+    for _ in range(3000):
+        state, own = whole["start"], [m.start for m in parts]
+        for _ in range(12):
+            symbol = rng.choice(T.SYMBOLS)
+            state, out = whole["table"][state, symbol]
+            for k, m in enumerate(parts):
+                own[k], symbol = m.step(own[k], symbol)
+            assert (state, out) == (tuple(own), symbol)
+            seen.add(out)
+    assert seen >= set(T.PATTERNS)
+
+
+def by_rule(g, text):
+    """Pattern sums a document by the grammar's rules as plain code, over every sentence."""
+    total = dict.fromkeys(T.PATTERNS, 0.0)
+    for line in text.lower().split("\n"):
+        marks = 0
+        for sentence in re.split(r"[.!?]", line):
+            rest = line.count('"') - marks
+            speech = "quoted" if marks % 2 and rest else None
+            scope, before, weight = 0, None, 0.0
+            for token in re.findall(r"[a-z]+|[,;:\"]", sentence):
+                symbol, w = g.lex(token)
+                weight = w or weight
+                if symbol == "Q":
+                    marks += 1
+                    speech = None if speech == "quoted" else "quoted"
+                elif symbol == "R" and speech is None:
+                    speech = "said"
+                if symbol == "C":
+                    before, weight = None, 0.0
+                    continue
+                kind = "reported" if speech else "negated" if scope else "plain"
+                if symbol == "N":
+                    scope = T.NEGATION_SCOPE
+                else:
+                    scope = 0 if symbol in "IT" else max(0, scope - 1)
+                out = None
+                if symbol == "I":
+                    out = kind if kind != "plain" else "insult_target" if before == "target" else "insult"
+                    before = "target" if before == "target" and kind != "plain" else "insulted"
+                elif symbol == "T":
+                    if before == "target":
+                        out = kind if kind != "plain" else "threat_target"
+                    elif kind == "plain":
+                        before = "threat"
+                elif symbol == "G":
+                    out = {"threat": "threat_target", "insulted": "insult_target"}.get(before)
+                    before = "target"
+                if out:
+                    total[out] += 0.5 * weight if out == "insult_target" and symbol != "I" else weight
+    return total
+
+
+def test_clauses_equal_plain_code():
+    rng = random.Random(4)
+    g = T.Grammar({"fool ": 5.0, "dolt": 4.0})
+    words = ["you", "fool", "doltish", "not", "said", "kill", "tea", "hat", '"', ",", ";", ".", "!", "\n", "she", "and"]
+    for _ in range(4000):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(0, 30)))
+        # A quotation mark is counted for its line, so one that stands in a sentence without an entry matters too.
+        want = by_rule(g, text)
+        got = dict.fromkeys(T.PATTERNS, 0.0)
+        for _, _, sums in g.clauses(text):
+            for k, v in sums.items():
+                got[k] += v
+        assert got == pytest.approx(want), text
+
+
+def test_toxicity_of_odd_rows(docs_of):
+    model = {"lexicon": {"fool ": 5.0}, "coef": T.PRIOR.tolist(), "bias": -3.0}
+    rows = [(None, "you fool"), (1, "you fool"), (1, "you fool"), (2, "tea " * 100_000 + "you fool"), (3, None), (4, "")]
+    got = [tuple(r) for r in T.toxicity(docs_of(rows), model).collect()]
+    assert [r[0] for r in got] == [i for i, _ in rows] and len({r[1:] for r in got[:4]}) == 1 and got[0][2] == 1
+    assert got[4][1:] == got[5][1:] == (pytest.approx(1 / (1 + math.exp(3))), 0)
 
 
 def test_toxicity_of_held_out_rows(spark, docs_of):
