@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import wraps
@@ -133,6 +134,20 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = 5) -> Iterator[
             yield np.zeros(0, U64)
 
 
+#: What operators keep in a worker across tasks, by operator; the next other operator there drops it.
+kept: dict[str, dict] = {}
+
+
+def starts(operator: str) -> None:
+    """Say which operator runs in this worker now: what others kept is dropped, so that their memory doesn't add up."""
+    dropped = [name for name, cache in kept.items() if name != operator and cache]
+    for name in dropped:
+        kept[name].clear()
+    if dropped:
+        gc.collect()
+        give_back()
+
+
 def give_back() -> None:
     """Return freed memory to the system: a worker lives on after its task, and its peak would stay with it."""
     pa.default_memory_pool().release_unused()
@@ -169,8 +184,12 @@ def in_small_batches(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return run
 
 
-def by_bytes(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that each holds about ``most`` bytes of text, or one row; gives memory back after each batch."""
+def by_bytes(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4 << 20, operator: str = "") -> Iterator[pa.RecordBatch]:
+    """Cut record batches so that each holds about ``most`` bytes of text, or one row; gives memory back after each batch.
+
+    operator: whose ``kept`` values stay in the worker.
+    """
+    starts(operator)
     for batch in batches:
         give_back()
         if not batch.num_rows:

@@ -36,7 +36,7 @@ from codeweave.llm.components import connected_components
 from codeweave.plans.joins import counted, dealt_join, frequent, looked_up
 from codeweave.session import materialize
 
-BLOCK = 1_000_000
+BLOCK = 500_000
 MEET = 512
 #: Rows that share a prefix token are paired by a join up to this number; beyond it they are verified in blocks.
 MEET_ROWS = 64

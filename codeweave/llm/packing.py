@@ -37,17 +37,16 @@ ROUNDS = 40
 #: So many pieces or fewer go to best fit at once; of more, the program is solved again, TURNS times at most.
 LEFT_OVER, TURNS = 20_000, 12
 
-_tokenizers: dict[str, object] = {}
-_words: dict[str, WordIds] = {}
+_kept: dict[tuple[str, str], object] = common.kept.setdefault("packing", {})
 
 
 def tokenizer(path: str):
-    if path not in _tokenizers:
+    if ("tokenizer", path) not in _kept:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path)
-    return _tokenizers[path]
+        _kept["tokenizer", path] = Tokenizer.from_file(path)
+    return _kept["tokenizer", path]
 
 
 #: Words of these letters (ASCII and the letters of Latin-1, in UTF-8) are one token group that ends in a token that closes a word,
@@ -127,9 +126,9 @@ class WordIds:
 
 def word_ids(path: str) -> WordIds:
     """One a worker process, so that what it knows outlives a task."""
-    if path not in _words:
-        _words[path] = WordIds(path)
-    return _words[path]
+    if ("words", path) not in _kept:
+        _kept["words", path] = WordIds(path)
+    return _kept["words", path]
 
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -146,7 +145,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, name: str = TOKENIZER, cac
         words.cache = cache
         end = np.array([END_ID], "<u4").tobytes()
         step = 4 * capacity
-        for batch in common.by_bytes(batches, most=1 << 20):
+        for batch in common.by_bytes(batches, most=1 << 20, operator="packing"):
             column = batch.column(1).cast(pa.binary())
             texts = [x or b"" for x in column.to_pylist()]
             rows = []

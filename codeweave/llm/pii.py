@@ -510,7 +510,7 @@ def fit(docs: DataFrame, sample: int = 4000, windows: tuple[int, int, int] = TRA
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(few), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in common.by_bytes(batches, most=1 << 20):
+        for part in common.by_bytes(batches, most=1 << 19):
             for text in part.column(1).to_pylist():
                 found = list(training_windows(text, zlib.crc32(text.encode())))
                 for i in range(0, len(found), 2000):
@@ -545,7 +545,7 @@ def personal_data(docs: DataFrame, params: dict) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(params)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in common.by_bytes(batches, most=1 << 20):
+        for part in common.by_bytes(batches, most=1 << 19):
             if part.num_rows:
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 base, added = _found(shared.value, texts)
@@ -574,7 +574,7 @@ def redacted(docs: DataFrame, params: dict) -> DataFrame:
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in common.by_bytes(batches, most=1 << 20):
+        for part in common.by_bytes(batches, most=1 << 19):
             k = part.schema.get_field_index("text")
             if part.num_rows:
                 raw = part.column(k).to_pylist()
