@@ -9,6 +9,8 @@ one id as one document and a row without an id as a document of its text.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,17 @@ BATCH_ROWS = 500
 BROADCAST_IDS = 2_000_000
 
 
+def in_small_batches(stage):
+    """The stage with few rows of text a batch in all that it runs; what it returns holds no Python that reads texts."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with small_batches(spark, BATCH_ROWS):
+            return stage(spark, docs, sf_dir)
+
+    return run
+
+
 #: The column that tells rows apart inside a stage.
 KEY = "_pipeline_row"
 
@@ -52,12 +65,14 @@ def without(docs: DataFrame, found: DataFrame) -> DataFrame:
     return dealt_join(keyed(docs), ids, [KEY], "left_anti").select(docs.columns)
 
 
+@in_small_batches
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text the grammar accepts; a row goes if its score is 0.3 or more. Repeated rows go or stay together."""
     scored = toxicity(judged(docs), toxicity_model(docs, labels(spark, sf_dir)))
     return without(docs, scored.where("score >= 0.3"))
 
 
+@in_small_batches
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component of the Jaccard join, as one row: the least of those that repeat its id.
 
@@ -76,15 +91,19 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.join(again, KEY, "left_anti").select(docs.columns).unionByName(single.select("row.*"))
 
 
+@in_small_batches
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without a verified overlap with a benchmark item. Repeated rows go or stay together."""
     return without(docs, contaminations(judged(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
+@in_small_batches
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, repeated ones too, with personal data in the text replaced by its kind; n_chars follows the text."""
     new = pii.redacted(docs, pii.fit(docs))
-    return new.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))) if "n_chars" in new.columns else new
+    if "n_chars" in new.columns:
+        new = new.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return materialize(new, "private")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -107,10 +126,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        with small_batches(spark, BATCH_ROWS):
-            done = stage(spark, docs, sf_dir)
-            if k < len(STAGES) - 1:
-                done = materialize(done, "stage")
+        done = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            done = materialize(done, "stage")
         if k:
             discard(docs)
         docs = done
