@@ -1,25 +1,32 @@
-"""A small Cypher front end: text to DataFrame plans.
+"""A small Cypher front end: text to DataFrame plans. ``cypher_write`` adds the statements that change a graph.
 
-Clauses: MATCH, OPTIONAL MATCH, WHERE, UNWIND, WITH, RETURN [DISTINCT], ORDER BY, SKIP, LIMIT. Patterns: labelled nodes with property
-maps, typed edges either way, variable length ``*a..b`` (distinct end pairs), anonymous parts, comma products. Conditions: AND, OR,
-NOT, comparisons, IN, CONTAINS, STARTS WITH, ENDS WITH, IS [NOT] NULL, [NOT] EXISTS { MATCH ... }. Aggregates group by the other items.
+Clauses: MATCH, OPTIONAL MATCH, WHERE, UNWIND, WITH, RETURN [DISTINCT], ORDER BY, SKIP, LIMIT. Patterns: nodes with labels and
+property maps, edges of some types in either or both directions, variable length ``*a..b`` and ``*a..`` (distinct end pairs, walked
+until no new pair appears), anonymous parts, comma products. Conditions: AND, OR, NOT, comparisons, IN, CONTAINS, STARTS WITH,
+ENDS WITH, IS [NOT] NULL, EXISTS { MATCH ... WHERE ... } anywhere. Aggregates group by the other items. ``$name`` is a parameter.
+
+A query is read into patterns and conditions first and planned then, so conditions on one node narrow its table, and with it the
+first frontier of a variable-length edge, before anything is joined.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeweave.plans.joins import dealt_join
+from codeweave.session import materialize
+
 if TYPE_CHECKING:
     from codeweave.plans.graph import PropertyGraph
 
-_TOKEN = re.compile(r"\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<num>\d+(?:\.\d+)?(?!\.\d)|\d+(?=\.\.))|(?P<name>[A-Za-z_]\w*)|(?P<op><>|<=|>=|\.\.|<-|->|[-()\[\]{}.,:*=<>+/|]))")
+_TOKEN = re.compile(r"\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<num>\d+(?:\.\d+)?(?!\.\d)|\d+(?=\.\.))|(?P<name>[A-Za-z_]\w*)|(?P<op><>|<=|>=|\.\.|<-|->|[-()\[\]{}.,:;*=<>+/|$]))")
 _AGGREGATES = {"count": F.count, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "collect": F.collect_list}
-_SCALARS = {"tolower": F.lower, "toupper": F.upper, "size": F.length, "abs": F.abs, "tostring": lambda c: c.cast("string")}
+_SCALARS = {"tolower": F.lower, "lower": F.lower, "toupper": F.upper, "upper": F.upper, "size": F.length, "abs": F.abs, "id": lambda c: c, "tostring": lambda c: c.cast("string")}
 
 
 class CypherError(ValueError):
@@ -28,14 +35,58 @@ class CypherError(ValueError):
 
 @dataclass
 class Item:
+    """An expression: its column, its name, whether it aggregates, the variables in it, and the variable that it is."""
+
     column: Column
     name: str
-    aggregate: bool
+    aggregate: bool = False
+    used: frozenset[str] = frozenset()
+    bare: str | None = None
+
+
+@dataclass
+class Node:
+    var: str
+    label: str | None
+    props: dict[str, Item]
+
+
+@dataclass
+class Edge:
+    var: str
+    kinds: list[str]
+    way: str
+    low: int | None = None
+    high: int | None = None
+    props: dict[str, Item] = field(default_factory=dict)
+
+
+@dataclass
+class Is:
+    """A condition without EXISTS."""
+
+    column: Column
+    used: frozenset[str]
+
+
+@dataclass
+class Exists:
+    chains: list[list]
+    where: object
+
+
+@dataclass
+class Logic:
+    """and, or, not of conditions of which one has an EXISTS."""
+
+    op: str
+    parts: list
 
 
 class Parser:
-    def __init__(self, graph: PropertyGraph, text: str):
-        self.graph, self.tokens, self.at, self.fresh = graph, [], 0, 0
+    def __init__(self, graph: PropertyGraph, text: str, params: dict | None = None):
+        self.graph, self.tokens, self.at, self.fresh, self.params = graph, [], 0, 0, params or {}
+        self.kinds: dict[str, list[str]] = {}
         end = 0
         while text[end:].strip():
             m = _TOKEN.match(text, end)
@@ -43,6 +94,14 @@ class Parser:
                 raise CypherError(f"can't read {text[end : end + 20]!r}")
             self.tokens.append((m.lastgroup, m.group(m.lastgroup)))
             end = m.end()
+        # Properties that the text takes of each variable: what a node without a label must bring along.
+        names = [(k, v) for k, v in self.tokens]
+        self.wanted: dict[str, set[str]] = {}
+        for (k1, a), (_, dot), (k2, b) in zip(names, names[1:], names[2:]):
+            if k1 == k2 == "name" and dot == "." and b != "id":
+                self.wanted.setdefault(a, set()).add(b)
+
+    # --- tokens ------------------------------------------------------------------------------------------------------
 
     def peek(self, *words: str) -> bool:
         if self.at + len(words) > len(self.tokens):
@@ -55,348 +114,572 @@ class Parser:
             return True
         return False
 
-    def need(self, word: str) -> None:
-        if not self.take(word):
-            found = self.tokens[self.at][1] if self.at < len(self.tokens) else "the end"
-            raise CypherError(f"expected {word}, found {found}")
+    def need(self, *words: str) -> None:
+        for word in words:
+            if not self.take(word):
+                found = self.tokens[self.at][1] if self.at < len(self.tokens) else "the end"
+                raise CypherError(f"expected {word}, found {found}")
+
+    def kind(self) -> str:
+        return self.tokens[self.at][0] if self.at < len(self.tokens) else ""
 
     def name(self) -> str:
-        kind, value = self.tokens[self.at] if self.at < len(self.tokens) else ("", "")
+        kind, value = self.tokens[self.at] if self.at < len(self.tokens) else ("", "the end")
         if kind != "name":
-            raise CypherError(f"expected a name, found {value or 'the end'}")
+            raise CypherError(f"expected a name, found {value}")
         self.at += 1
         return value
 
+    def spark(self):
+        tables = [*self.graph.nodes.values(), *self.graph.edges.values()]
+        if tables:
+            return tables[0].sparkSession
+        from pyspark.sql import SparkSession
+
+        return SparkSession.getActiveSession()
+
     # --- clauses -----------------------------------------------------------------------------------------------------
 
     def query(self) -> DataFrame:
         rows, scope = None, {}
         while self.at < len(self.tokens):
-            if self.take("OPTIONAL", "MATCH"):
-                rows, scope = self.match(rows, scope, "left")
-            elif self.take("MATCH"):
-                rows, scope = self.match(rows, scope, "inner")
-            elif self.take("UNWIND"):
-                values = self.expression(scope)
-                self.need("AS")
-                alias = self.name()
-                spark = next(iter([*self.graph.nodes.values(), *self.graph.edges.values()])).sparkSession
-                rows = (rows if rows is not None else spark.range(1).drop("id")).withColumn(alias, F.explode(values.column))
-                scope = scope | {alias: None}
-            elif self.take("WHERE"):
-                rows = self.where(rows, scope)
-            elif self.take("WITH"):
-                rows = self.project(rows, scope)
-                scope = {c: None for c in rows.columns}
-                self.columns = set(rows.columns)
-                if self.take("WHERE"):
-                    rows = self.where(rows, scope)
-            elif self.take("RETURN"):
-                rows = self.project(rows, scope)
+            if self.peek("RETURN"):
+                self.take("RETURN")
+                rows, _ = self.project(rows, scope, True)
+                self.take(";")
                 if self.at < len(self.tokens):
                     raise CypherError(f"unexpected {self.tokens[self.at][1]}")
                 return rows
-            else:
-                raise CypherError(f"unexpected {self.tokens[self.at][1]}")
+            rows, scope = self.reading(rows, scope)
         raise CypherError("no RETURN")
 
-    def match(self, rows: DataFrame | None, scope: dict, how: str) -> tuple[DataFrame, dict]:
-        part, own = self.patterns()
-        if how == "left" and self.take("WHERE"):
-            part = self.where(part, own)
-        return self.joined(rows, scope, part, own, how), scope | own
+    def reading(self, rows: DataFrame | None, scope: dict[str, str]) -> tuple[DataFrame, dict[str, str]]:
+        """One clause that reads."""
+        if self.take("OPTIONAL", "MATCH"):
+            return self.match(rows, scope, "left")
+        if self.take("MATCH"):
+            return self.match(rows, scope, "inner")
+        if self.take("UNWIND"):
+            values = self.expression(scope)
+            self.need("AS")
+            alias = self.name()
+            rows = rows if rows is not None else self.spark().range(1).drop("id")
+            return rows.withColumn(alias, F.explode(values.column)), scope | {alias: "flat"}
+        if self.take("WITH"):
+            rows, scope = self.project(rows, scope, False)
+            if self.take("WHERE"):
+                rows = self.apply(rows, self.conjuncts(self.condition(scope)))
+            return rows, scope
+        raise CypherError(f"unexpected {self.tokens[self.at][1]}")
+
+    def match(self, rows: DataFrame | None, scope: dict[str, str], how: str) -> tuple[DataFrame, dict[str, str]]:
+        chains, own = self.chains()
+        where = []
+        if self.take("WHERE"):
+            where = self.conjuncts(self.condition(own if how == "left" else scope | own))
+        local = [c for c in where if isinstance(c, Is) and len(c.used) == 1 and own.get(next(iter(c.used))) == "node" and not c.used & scope.keys()]
+        part = self.build(chains, local)
+        if how == "left":
+            part = self.apply(part, where)
+            return self.joined(rows, scope, part, own, how), scope | own
+        rows = self.joined(rows, scope, part, own, how)
+        return self.apply(rows, where), scope | own
 
     def joined(self, rows: DataFrame | None, scope: dict, part: DataFrame, own: dict, how: str) -> DataFrame:
         if rows is None:
             return part
-        shared = [v for v in own if v in scope]
-        other = part
-        for v in shared:
-            other = other.drop(*(c for c in part.columns if c.startswith(f"{v}__") and c != f"{v}__id"))
-        keys = [f"{v}__id" for v in shared]
-        return rows.join(other, keys, how) if keys else rows.crossJoin(other)
-
-    def patterns(self) -> tuple[DataFrame, dict]:
-        rows, scope = self.pattern()
-        while self.take(","):
-            more, own = self.pattern()
-            rows, scope = self.joined(rows, scope, more, own, "inner"), scope | own
-        return rows, scope
+        keys = [f"{v}__id" for v in own if v in scope]
+        have = set(rows.columns) - set(keys)
+        other = part.drop(*(c for c in part.columns if c in have))
+        return rows.join(other, keys, how) if keys else rows.crossJoin(other) if how == "inner" else rows.join(other, F.lit(True), how)
 
-    def node(self) -> tuple[str, DataFrame | None]:
-        """The variable and its table, columns prefixed; no table for a bare node, whose rows its edge gives."""
-        self.need("(")
-        var = self.name() if self.tokens[self.at][0] == "name" else f"_n{self.fresh}"
-        self.fresh += 1
-        label = self.name() if self.take(":") else None
-        conditions = {}
-        if self.take("{"):
-            while not self.take("}"):
-                key = self.name()
-                self.need(":")
-                conditions[key] = self.literal()
-                self.take(",")
-        self.need(")")
-        if label is None and not conditions:
-            return var, None
-        if label is None and len(self.graph.nodes) != 1:
-            raise CypherError("a node with properties needs a label")
-        label = label or next(iter(self.graph.nodes))
-        if label not in self.graph.nodes:
-            raise CypherError(f"no label {label}")
-        table = self.graph.nodes[label]
-        for key, value in conditions.items():
-            table = table.where(F.col(key) == F.lit(value))
-        return var, table.select(*(F.col(c).alias(f"{var}__{c}") for c in table.columns))
+    # --- patterns ----------------------------------------------------------------------------------------------------
 
-    def literal(self):
-        kind, value = self.tokens[self.at]
-        self.at += 1
-        if kind == "str":
-            return re.sub(r"\\(.)", r"\1", value[1:-1])
-        if kind == "num":
-            return float(value) if "." in value else int(value)
-        raise CypherError(f"expected a value, found {value}")
+    def chains(self) -> tuple[list[list], dict[str, str]]:
+        """Comma-separated patterns as lists of nodes and edges, and the kinds of their variables."""
+        out, scope = [], {}
+        while True:
+            out.append(self.chain())
+            for part in out[-1]:
+                scope[part.var] = "node" if isinstance(part, Node) else "edge"
+            if not self.take(","):
+                return out, scope
 
-    def pattern(self) -> tuple[DataFrame, dict]:
-        left, rows = self.node()
-        scope = {left: None}
+    def chain(self) -> list:
+        out = [self.node()]
         while self.peek("-") or self.peek("<-"):
             back = self.take("<-")
             if not back:
                 self.need("-")
-            edge, kinds, low, high = f"_e{self.fresh}", [], None, None
+            edge = Edge(f"_e{self.fresh}", [], "")
             self.fresh += 1
             if self.take("["):
-                if self.tokens[self.at][0] == "name":
-                    edge = self.name()
+                if self.kind() == "name":
+                    edge.var = self.name()
                 if self.take(":"):
-                    kinds.append(self.name())
+                    edge.kinds.append(self.name())
                     while self.take("|"):
-                        kinds.append(self.name())
+                        self.take(":")
+                        edge.kinds.append(self.name())
                 if self.take("*"):
-                    low, high = 1, None
-                    if self.tokens[self.at][0] == "num":
-                        low = high = int(self.literal())
+                    edge.low = 1
+                    if self.kind() == "num":
+                        edge.low = edge.high = int(self.literal())
                     if self.take(".."):
-                        high = int(self.literal()) if self.tokens[self.at][0] == "num" else None
+                        edge.high = int(self.literal()) if self.kind() == "num" else None
+                edge.props = self.properties()
                 self.need("]")
-            if back:
-                self.need("-")
-            elif not self.take("->"):
+            if self.take("->"):
+                edge.way = "both" if back else "out"
+            else:
                 self.need("-")
-                raise CypherError("an edge needs a direction")
-            right, table = self.node()
-            steps = self.edges(edge, kinds, low, high)
-            a, b = (right, left) if back else (left, right)
-            steps = steps.withColumnRenamed("src", f"{a}__id").withColumnRenamed("dst", f"{b}__id")
-            rows = steps if rows is None else rows.join(steps, f"{left}__id")
+                edge.way = "in" if back else "both"
+            self.kinds[edge.var] = edge.kinds
+            out += [edge, self.node()]
+        return out
+
+    def node(self) -> Node:
+        self.need("(")
+        var = self.name() if self.kind() == "name" else f"_n{self.fresh}"
+        self.fresh += 1
+        label = self.name() if self.take(":") else None
+        props = self.properties()
+        self.need(")")
+        return Node(var, label, props)
+
+    def properties(self) -> dict[str, Item]:
+        out = {}
+        if self.take("{"):
+            while not self.take("}"):
+                key = self.name()
+                self.need(":")
+                out[key] = self.expression(self.outer)
+                self.take(",")
+        return out
+
+    #: Variables that property maps may refer to (only in statements that write).
+    outer: dict[str, str] = {}
+
+    def table(self, node: Node, local: list[Is]) -> DataFrame | None:
+        """The node's rows with columns prefixed, narrowed by its map and by conditions on it alone; None if its edges say all there is."""
+        mine = [c for c in local if node.var in c.used]
+        wanted = self.wanted.get(node.var, set()) | node.props.keys()
+        if node.label is None and not mine and not wanted:
+            return None
+        if node.label is not None:
+            if node.label not in self.graph.nodes:
+                raise CypherError(f"no label {node.label}")
+            table = self.graph.nodes[node.label]
+        else:
+            tables = [t for t in self.graph.nodes.values() if wanted <= set(t.columns)]
+            if not tables:
+                raise CypherError(f"no label has {', '.join(sorted(wanted))}")
+            if len({dict(t.dtypes)["id"] for t in tables}) > 1:
+                raise CypherError(f"{node.var} needs a label: ids have different types")
+            table = tables[0].select("id", *sorted(wanted - {"id"}))
+            for t in tables[1:]:
+                table = table.unionByName(t.select("id", *sorted(wanted - {"id"})))
+        for key, value in node.props.items():
+            table = table.where(F.col(key) == value.column)
+        table = table.select(*(F.col(c).alias(f"{node.var}__{c}") for c in table.columns))
+        for c in mine:
+            table = table.where(c.column)
+        return table
+
+    def build(self, chains: list[list], local: list[Is]) -> DataFrame:
+        rows, scope = None, {}
+        for chain in chains:
+            part, own = self.build_chain(chain, local)
+            rows, scope = self.joined(rows, scope, part, own, "inner"), scope | own
+        return rows
+
+    def build_chain(self, chain: list, local: list[Is]) -> tuple[DataFrame, dict[str, str]]:
+        left = chain[0]
+        narrow = lambda n: bool(n.props) or any(n.var in c.used for c in local)
+        rows, scope = self.table(left, local), {left.var: "node"}
+        seeded = narrow(left)
+        for edge, right in zip(chain[1::2], chain[2::2]):
+            table = self.table(right, local)
+            seeds = back = None
+            if edge.low is not None:
+                if seeded and rows is not None:
+                    seeds, back = rows.select(F.col(f"{left.var}__id").alias("id")).distinct(), edge.way == "in"
+                elif narrow(right):
+                    seeds, back = table.select(F.col(f"{right.var}__id").alias("id")).distinct(), edge.way != "in"
+            steps = self.steps(edge, seeds, back)
+            a, b = (right, left) if edge.way == "in" else (left, right)
+            if a.var == b.var:
+                steps = steps.where("src = dst").drop("dst").withColumnRenamed("src", f"{a.var}__id")
+            else:
+                steps = steps.withColumnRenamed("src", f"{a.var}__id").withColumnRenamed("dst", f"{b.var}__id")
+            keys = list(dict.fromkeys(f"{v}__id" for v in (left.var, right.var) if v in scope))
+            rows = steps if rows is None else rows.join(steps, keys)
             if table is not None:
-                rows = rows.join(table, f"{right}__id")
-            scope |= {edge: None, right: None}
-            left = right
+                fresh = right.var not in scope
+                rows = rows.join(table, f"{right.var}__id") if fresh else rows.join(table.select(f"{right.var}__id").distinct(), f"{right.var}__id", "left_semi")
+            scope |= {edge.var: "edge", right.var: "node"}
+            seeded, left = True, right
         if rows is None:
             raise CypherError("a lone node needs a label")
         return rows, scope
 
-    def edges(self, var: str, kinds: list[str], low: int | None, high: int | None) -> DataFrame:
-        for k in kinds or self.graph.edges:
+    def steps(self, edge: Edge, seeds: DataFrame | None, back: bool | None) -> DataFrame:
+        """(src, dst, ...) of an edge pattern; what it lays between its ends if it has a variable length."""
+        for k in edge.kinds:
             if k not in self.graph.edges:
                 raise CypherError(f"no edge type {k}")
-        tables = [self.graph.edges[k] for k in kinds or self.graph.edges]
-        if low is None:
-            table = tables[0]
-            for t in tables[1:]:
-                table = table.unionByName(t, allowMissingColumns=True)
-            return table.select("src", "dst", *(F.col(c).alias(f"{var}__{c}") for c in table.columns if c not in ("src", "dst")))
-        table = tables[0].select("src", "dst")
+        tables = [self.graph.edges[k] for k in edge.kinds or self.graph.edges]
+        if not tables:
+            raise CypherError("the graph has no edges")
+        table = tables[0]
         for t in tables[1:]:
-            table = table.unionAll(t.select("src", "dst"))
-        return walks(table.distinct(), low, high)
+            table = table.unionByName(t, allowMissingColumns=True)
+        for key, value in edge.props.items():
+            table = table.where(F.col(key) == value.column)
+        if edge.way == "both":
+            turned = table.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), *(c for c in table.columns if c not in ("src", "dst")))
+            table = table.unionByName(turned)
+        if edge.low is None:
+            own = [c for c in table.columns if c not in ("src", "dst", "id")]
+            return table.select("src", "dst", F.struct(*table.columns).alias(f"{edge.var}__id"), *(F.col(c).alias(f"{edge.var}__{c}") for c in own))
+        if edge.low == 0 and seeds is None:
+            seeds = None
+            for t in self.graph.nodes.values():
+                seeds = t.select("id") if seeds is None else seeds.unionAll(t.select("id"))
+            seeds = seeds.distinct()
+        return walks(table.select("src", "dst").distinct(), edge.low, edge.high, seeds, bool(back))
 
     # --- conditions --------------------------------------------------------------------------------------------------
 
-    def where(self, rows: DataFrame, scope: dict) -> DataFrame:
-        """Top-level conjuncts that are EXISTS become semi or anti joins, the others one filter."""
-        while True:
-            start = self.at
-            negated = self.take("NOT")
-            if self.take("EXISTS"):
-                self.need("{")
-                self.take("MATCH")
-                part, own = self.patterns()
-                if self.take("WHERE"):
-                    part = self.where(part, own)
-                self.need("}")
-                keys = [f"{v}__id" for v in own if v in scope]
-                rows = rows.join(part.select(keys).distinct(), keys, "left_anti" if negated else "left_semi")
-            else:
-                self.at = start
-                rows = rows.where(self.disjunction(scope))
-            if not self.take("AND"):
-                return rows
-
-    def disjunction(self, scope: dict) -> Column:
-        out = self.conjunction(scope)
+    def conjuncts(self, c) -> list:
+        return [p for part in c.parts for p in self.conjuncts(part)] if isinstance(c, Logic) and c.op == "and" else [c]
+
+    def apply(self, rows: DataFrame, conditions: list) -> DataFrame:
+        """rows that meet all conditions: semi and anti joins for EXISTS, marks for EXISTS below OR, filters for the rest."""
+        for c in conditions:
+            inner = c.parts[0] if isinstance(c, Logic) and c.op == "not" else c
+            if isinstance(inner, Exists):
+                part, keys = self.existing(inner, rows)
+                if keys:
+                    rows = rows.join(part, keys, "left_semi" if inner is c else "left_anti")
+                    continue
+            columns = rows.columns
+            column, rows = self.marked(c, rows)
+            rows = rows.where(column).select(columns)
+        return rows
+
+    def existing(self, e: Exists, rows: DataFrame) -> tuple[DataFrame, list[str]]:
+        """The distinct ids for which the pattern has a match, and the columns of rows that they are."""
+        own = {p.var: "node" if isinstance(p, Node) else "edge" for chain in e.chains for p in chain}
+        where = self.conjuncts(e.where) if e.where is not None else []
+        local = [c for c in where if isinstance(c, Is) and len(c.used) == 1 and own.get(next(iter(c.used))) == "node"]
+        part = self.apply(self.build(e.chains, local), where)
+        keys = [f"{v}__id" for v, kind in own.items() if kind == "node" and f"{v}__id" in rows.columns]
+        return part.select(keys).distinct(), keys
+
+    def marked(self, c, rows: DataFrame) -> tuple[Column, DataFrame]:
+        """The condition as a column of rows, which get a mark for each EXISTS in it."""
+        if isinstance(c, Is):
+            return c.column, rows
+        if isinstance(c, Exists):
+            part, keys = self.existing(c, rows)
+            mark = f"_mark{self.fresh}"
+            self.fresh += 1
+            if keys:
+                rows = rows.join(part.withColumn(mark, F.lit(True)), keys, "left")
+                return F.coalesce(mark, F.lit(False)), rows
+            return F.col(mark), rows.crossJoin(part.limit(1).agg((F.count("*") > 0).alias(mark)))
+        columns = []
+        for p in c.parts:
+            column, rows = self.marked(p, rows)
+            columns.append(column)
+        if c.op == "not":
+            return ~columns[0], rows
+        out = columns[0]
+        for x in columns[1:]:
+            out = out & x if c.op == "and" else out | x
+        return out, rows
+
+    def logic(self, op: str, parts: list):
+        if all(isinstance(p, Is) for p in parts) and op != "and":
+            out = parts[0].column
+            for p in parts[1:]:
+                out = out | p.column
+            return Is(~out if op == "not" else out, frozenset().union(*(p.used for p in parts)))
+        return Logic(op, parts)
+
+    def condition(self, scope: dict):
+        parts = [self.conjunction(scope)]
         while self.take("OR"):
-            out = out | self.conjunction(scope)
-        return out
-
-    def conjunction(self, scope: dict) -> Column:
-        out = self.condition(scope)
-        while self.peek("AND") and not self.peek("AND", "EXISTS") and not self.peek("AND", "NOT", "EXISTS"):
-            self.take("AND")
-            out = out & self.condition(scope)
-        return out
-
-    def condition(self, scope: dict) -> Column:
+            parts.append(self.conjunction(scope))
+        if len(parts) == 1:
+            return parts[0]
+        return self.logic("or", [self.closed(p) for p in parts])
+
+    def closed(self, c):
+        """An AND below another operator as one column, if it has no EXISTS."""
+        if isinstance(c, Logic) and c.op == "and":
+            parts = [self.closed(p) for p in c.parts]
+            if all(isinstance(p, Is) for p in parts):
+                out = parts[0].column
+                for p in parts[1:]:
+                    out = out & p.column
+                return Is(out, frozenset().union(*(p.used for p in parts)))
+        return c
+
+    def conjunction(self, scope: dict):
+        parts = [self.negation(scope)]
+        while self.take("AND"):
+            parts.append(self.negation(scope))
+        return parts[0] if len(parts) == 1 else Logic("and", parts)
+
+    def negation(self, scope: dict):
         if self.take("NOT"):
-            return ~self.condition(scope)
-        if self.take("("):
-            out = self.disjunction(scope)
-            self.need(")")
-            return out
-        left = self.expression(scope).column
+            return self.logic("not", [self.closed(self.negation(scope))])
+        if self.take("EXISTS"):
+            self.need("{")
+            self.take("MATCH")
+            chains, own = self.chains()
+            where = self.condition(own) if self.take("WHERE") else None
+            self.need("}")
+            return Exists(chains, where)
+        if self.peek("("):
+            start = self.at
+            self.take("(")
+            try:
+                out = self.condition(scope)
+                self.need(")")
+                if not any(self.peek(op) for op in ("=", "<>", "<=", ">=", "<", ">", "+", "-", "*", "/", "IN", "IS")):
+                    return out
+            except CypherError:
+                pass
+            self.at = start
+        return self.comparison(scope)
+
+    def comparison(self, scope: dict) -> Is:
+        first = self.expression(scope)
+        left, used = first.column, first.used
         for op in ("=", "<>", "<=", ">=", "<", ">"):
             if self.take(op):
-                right = self.expression(scope).column
-                return {"=": left == right, "<>": left != right, "<=": left <= right, ">=": left >= right, "<": left < right, ">": left > right}[op]
+                other = self.expression(scope)
+                right = other.column
+                column = {"=": left == right, "<>": left != right, "<=": left <= right, ">=": left >= right, "<": left < right, ">": left > right}[op]
+                return Is(column, used | other.used)
         if self.take("IN"):
-            self.need("[")
+            if self.peek("["):
+                return Is(left.isin(self.literal()), used)
+            other = self.expression(scope)
+            return Is(F.array_contains(other.column, left), used | other.used)
+        for words, f in ((("CONTAINS",), "contains"), (("STARTS", "WITH"), "startswith"), (("ENDS", "WITH"), "endswith")):
+            if self.take(*words):
+                other = self.expression(scope)
+                return Is(getattr(left, f)(other.column), used | other.used)
+        if self.take("IS", "NOT", "NULL"):
+            return Is(left.isNotNull(), used)
+        if self.take("IS", "NULL"):
+            return Is(left.isNull(), used)
+        return Is(left, used)
+
+    # --- expressions -------------------------------------------------------------------------------------------------
+
+    def literal(self):
+        """A plain value: string, number, truth value, null, parameter, list or map."""
+        if self.take("-"):
+            return -self.literal()
+        if self.take("$"):
+            name = self.name()
+            if name not in self.params:
+                raise CypherError(f"no parameter {name}")
+            return self.params[name]
+        if self.take("["):
             values = []
             while not self.take("]"):
                 values.append(self.literal())
                 self.take(",")
-            return left.isin(values)
-        if self.take("CONTAINS"):
-            return left.contains(self.expression(scope).column)
-        if self.take("STARTS", "WITH"):
-            return left.startswith(self.expression(scope).column)
-        if self.take("ENDS", "WITH"):
-            return left.endswith(self.expression(scope).column)
-        if self.take("IS", "NOT", "NULL"):
-            return left.isNotNull()
-        if self.take("IS", "NULL"):
-            return left.isNull()
-        return left
-
-    # --- items -------------------------------------------------------------------------------------------------------
+            return values
+        if self.take("{"):
+            values = {}
+            while not self.take("}"):
+                key = self.name()
+                self.need(":")
+                values[key] = self.literal()
+                self.take(",")
+            return values
+        for word, value in (("TRUE", True), ("FALSE", False), ("NULL", None)):
+            if self.take(word):
+                return value
+        kind, value = self.tokens[self.at] if self.at < len(self.tokens) else ("", "the end")
+        self.at += 1
+        if kind == "str":
+            return re.sub(r"\\(.)", r"\1", value[1:-1])
+        if kind == "num":
+            return float(value) if "." in value else int(value)
+        raise CypherError(f"expected a value, found {value}")
 
     def expression(self, scope: dict) -> Item:
+        """Sums of products of terms."""
+        out = self.product(scope)
+        while self.peek("+") or self.peek("-"):
+            out = self.combined(out, self.product, scope)
+        return out
+
+    def product(self, scope: dict) -> Item:
         out = self.term(scope)
-        while self.peek("+") or self.peek("-") or self.peek("*") or self.peek("/"):
-            op = self.tokens[self.at][1]
-            self.at += 1
-            right = self.term(scope)
-            column = {"+": out.column + right.column, "-": out.column - right.column, "*": out.column * right.column, "/": out.column / right.column}[op]
-            out = Item(column, f"{out.name}{op}{right.name}", out.aggregate or right.aggregate)
+        while self.peek("*") or self.peek("/"):
+            out = self.combined(out, self.term, scope)
         return out
 
+    def combined(self, left: Item, read, scope: dict) -> Item:
+        op = self.tokens[self.at][1]
+        self.at += 1
+        right = read(scope)
+        column = {"+": left.column + right.column, "-": left.column - right.column, "*": left.column * right.column, "/": left.column / right.column}[op]
+        return Item(column, f"{left.name}{op}{right.name}", left.aggregate or right.aggregate, left.used | right.used)
+
     def term(self, scope: dict) -> Item:
-        kind, value = self.tokens[self.at]
-        if kind in ("str", "num"):
+        kind, value = self.tokens[self.at] if self.at < len(self.tokens) else ("", "the end")
+        if kind in ("str", "num") or value in ("-", "[", "{", "$") or (kind == "name" and value.upper() in ("TRUE", "FALSE", "NULL") and value not in scope):
             v = self.literal()
-            return Item(F.lit(v), str(v), False)
-        if self.take("["):
-            values = []
-            while not self.take("]"):
-                values.append(F.lit(self.literal()))
-                self.take(",")
-            return Item(F.array(*values), "list", False)
+            return Item(column_of(v), "list" if isinstance(v, list) else "map" if isinstance(v, dict) else str(v))
+        if self.take("("):
+            inner = self.expression(scope)
+            self.need(")")
+            return inner
         var = self.name()
         if self.take("("):
             distinct = self.take("DISTINCT")
-            if self.take("*"):
-                inner = Item(F.lit(1), "*", False)
-            else:
-                inner = self.expression(scope)
+            arguments = [Item(F.lit(1), "*")] if self.take("*") else [self.expression(scope)]
+            while self.take(","):
+                arguments.append(self.expression(scope))
             self.need(")")
-            if var.lower() in _AGGREGATES:
+            inner, used = arguments[0], frozenset().union(*(a.used for a in arguments))
+            name = f"{var}({', '.join(a.name for a in arguments)})"
+            if var.lower() in _AGGREGATES and len(arguments) == 1:
                 fn = _AGGREGATES[var.lower()]
                 if distinct:
                     fn = {"count": F.count_distinct, "collect": F.collect_set}[var.lower()]
-                return Item(fn(inner.column), f"{var}({inner.name})", True)
-            if var.lower() in _SCALARS:
-                return Item(_SCALARS[var.lower()](inner.column), f"{var}({inner.name})", inner.aggregate)
+                return Item(fn(inner.column), name, True, used)
+            if var.lower() == "coalesce":
+                return Item(F.coalesce(*(a.column for a in arguments)), name, any(a.aggregate for a in arguments), used)
+            if var.lower() in _SCALARS and len(arguments) == 1:
+                return Item(_SCALARS[var.lower()](inner.column), name, inner.aggregate, used)
             raise CypherError(f"no function {var}")
-        if self.take("."):
-            key = self.name()
-            return Item(F.col(f"{var}__{key}" if var in scope else f"{var}.{key}"), f"{var}.{key}", False)
         if var not in scope:
             raise CypherError(f"no variable {var}")
-        return Item(F.col(f"`{var}`") if self.flat(var) else F.col(f"{var}__id"), var, False)
+        if self.take("."):
+            key = self.name()
+            return Item(F.col(f"`{var}`.`{key}`") if scope[var] == "flat" else F.col(f"{var}__{key}"), f"{var}.{key}", False, frozenset([var]))
+        return Item(F.col(f"`{var}`") if scope[var] == "flat" else F.col(f"{var}__id"), var, False, frozenset([var]), var)
 
-    def flat(self, var: str) -> bool:
-        return var in self.columns
+    # --- items -------------------------------------------------------------------------------------------------------
 
-    def project(self, rows: DataFrame | None, scope: dict) -> DataFrame:
-        if rows is None:
-            raise CypherError("nothing to return from")
-        self.columns = set(rows.columns)
-        distinct = self.take("DISTINCT")
-        items = []
+    def items(self, scope: dict) -> list[Item]:
+        out = []
         while True:
             item = self.expression(scope)
             if self.take("AS"):
                 item.name = self.name()
-            items.append(item)
+            out.append(item)
             if not self.take(","):
-                break
-        keys = [i.column.alias(i.name) for i in items if not i.aggregate]
+                return out
+
+    def project(self, rows: DataFrame | None, scope: dict, last: bool) -> tuple[DataFrame, dict[str, str]]:
+        """RETURN (``last``) or WITH; in WITH, a node or edge that is named as it stands keeps its properties."""
+        if rows is None:
+            raise CypherError("nothing to return from")
+        distinct = self.take("DISTINCT")
+        items = self.items(scope)
+        keys, names, kinds = [], [], {}
+        for i in items:
+            kind = scope.get(i.bare) if i.bare else None
+            if not last and kind in ("node", "edge"):
+                own = [c for c in rows.columns if c.startswith(f"{i.bare}__")]
+                new = [f"{i.name}__{c[len(i.bare) + 2 :]}" for c in own]
+                keys += [F.col(c).alias(n) for c, n in zip(own, new)]
+                names += new
+                kinds[i.name] = kind
+                self.wanted.setdefault(i.name, set()).update(self.wanted.get(i.bare, set()))
+            else:
+                if not i.aggregate:
+                    keys.append(i.column.alias(i.name))
+                names.append(i.name)
+                kinds[i.name] = "flat"
         values = [i.column.alias(i.name) for i in items if i.aggregate]
         if values:
             out = rows.groupBy(*keys).agg(*values) if keys else rows.agg(*values)
-            out = out.select(*(F.col(f"`{i.name}`") for i in items))
+            out = out.select(*(F.col(f"`{n}`") for n in names))
         else:
             out = rows.select(*keys)
         if distinct:
             out = out.distinct()
-        order = []
         if self.take("ORDER", "BY"):
-            names = {i.name for i in items}
-            plain = distinct or bool(values)
-            while True:
-                start = self.at
-                text = self.tokens[self.at][1]
-                if self.tokens[self.at][0] == "name" and text in names and not (self.at + 1 < len(self.tokens) and self.tokens[self.at + 1][1] in (".", "(")):
-                    self.at += 1
-                    column = F.col(f"`{text}`")
-                else:
-                    item = self.expression(scope)
-                    column = F.col(f"`{item.name}`") if item.name in names else item.column
-                    if plain and item.name not in names:
-                        raise CypherError(f"ORDER BY {self.tokens[start][1]} isn't returned")
-                order.append(column.desc() if self.take("DESC") or self.take("DESCENDING") else (self.take("ASC") and column.asc()) or column.asc())
-                if not self.take(","):
-                    break
-            out = out.orderBy(*order)
+            out = out.orderBy(*self.order(items, scope | {k: v for k, v in kinds.items() if k not in scope}, distinct or bool(values)))
         if self.take("SKIP"):
             out = out.offset(int(self.literal()))
         if self.take("LIMIT"):
             out = out.limit(int(self.literal()))
-        return out
+        return out, kinds
 
-    columns: set[str] = set()
-
-
-def walks(edges: DataFrame, low: int, high: int | None, most: int = 64) -> DataFrame:
-    """Distinct (src, dst) joined by a walk of low..high edges; without ``high`` until no new pair appears."""
-    from codeweave.session import materialize
-
-    step = edges.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
-    now = edges.select("src", "dst").distinct()
-    found = now if low <= 1 else None
-    for n in range(2, (high or most) + 1):
-        now = materialize(now.join(step, "dst").select("src", F.col("next").alias("dst")).distinct(), "walks")
-        if n >= low:
-            if high is None and found is not None:
-                now = materialize(now.join(found, ["src", "dst"], "left_anti"), "walks")
-            found = now if found is None else found.unionAll(now).distinct()
-        if not now.limit(1).count():
-            break
+    def order(self, items: list[Item], scope: dict, plain: bool) -> list[Column]:
+        names, out = {i.name for i in items}, []
+        while True:
+            start = self.at
+            text = self.tokens[self.at][1]
+            if self.tokens[self.at][0] == "name" and text in names and not (self.at + 1 < len(self.tokens) and self.tokens[self.at + 1][1] in (".", "(")):
+                self.at += 1
+                column = F.col(f"`{text}`")
+            else:
+                item = self.expression(scope)
+                column = F.col(f"`{item.name}`") if item.name in names else item.column
+                if plain and item.name not in names:
+                    raise CypherError(f"ORDER BY {self.tokens[start][1]} isn't returned")
+            if self.take("DESC") or self.take("DESCENDING"):
+                out.append(column.desc())
+            else:
+                self.take("ASC") or self.take("ASCENDING")
+                out.append(column.asc())
+            if not self.take(","):
+                return out
+
+
+def column_of(value) -> Column:
+    """A literal column; maps become structs, and the maps of a list get the same fields."""
+    if isinstance(value, dict):
+        return F.struct(*(column_of(v).alias(k) for k, v in value.items()))
+    if isinstance(value, list):
+        if value and all(isinstance(v, dict) for v in value):
+            keys = list(dict.fromkeys(k for v in value for k in v))
+            return F.array(*(column_of({k: v.get(k) for k in keys}) for v in value))
+        return F.array(*(column_of(v) for v in value))
+    return F.lit(value)
+
+
+def walks(edges: DataFrame, low: int, high: int | None, seeds: DataFrame | None = None, back: bool = False) -> DataFrame:
+    """Distinct (src, dst) joined by a walk of low..high of the distinct edges; without ``high``, of low or more.
+
+    seeds(id): only walks from these (to these if ``back``). Every level keeps the pairs that it found first and is stored; the
+    end is reached when one is empty, however long the walks are. With low 0, seeds reach themselves.
+    """
+    if back:
+        turned = walks(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), low, high, seeds)
+        return turned.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    step = materialize(edges.select(F.col("src").alias("dst"), F.col("dst").alias("next")), "steps")
+    first = edges if seeds is None else edges.join(seeds.withColumnRenamed("id", "src"), "src", "left_semi")
+    if low == 0:
+        now = materialize(seeds.select(F.col("id").alias("src"), F.col("id").alias("dst")).distinct(), "walks")
+    else:
+        now = materialize(first.select("src", "dst").distinct(), "walks")
+    n = 0 if low == 0 else 1
+    onward = lambda t: dealt_join(t, step, ["dst"]).select("src", F.col("next").alias("dst")).distinct()
+    while n < low:
+        now, n = materialize(onward(now), "walks"), n + 1
+    found = now
+    while (high is None or n < high) and now.limit(1).count():
+        now, n = materialize(onward(now).join(found, ["src", "dst"], "left_anti"), "walks"), n + 1
+        found = found.unionAll(now)
     return found
 
 
-def compile_query(graph: PropertyGraph, text: str) -> DataFrame:
+def compile_query(graph: PropertyGraph, text: str, params: dict | None = None) -> DataFrame:
     """The DataFrame of a query over the graph; raises CypherError where the text is outside the dialect."""
-    return Parser(graph, text).query()
+    return Parser(graph, text, params).query()

@@ -16,10 +16,17 @@ class PropertyGraph:
     nodes: dict[str, DataFrame] = field(default_factory=dict)
     edges: dict[str, DataFrame] = field(default_factory=dict)
 
-    def cypher(self, text: str) -> DataFrame:
+    def cypher(self, text: str, **params) -> DataFrame:
+        """The rows of a query; ``$name`` in it is a parameter."""
         from codeweave.plans.cypher import compile_query
 
-        return compile_query(self, text)
+        return compile_query(self, text, params)
+
+    def execute(self, text: str, **params) -> PropertyGraph:
+        """The graph after statements that create, merge, set, delete, copy or declare tables; this graph stays as it is."""
+        from codeweave.plans.cypher_write import execute
+
+        return execute(self, text, params)
 
     def schema(self) -> dict[str, list[str]]:
         """Columns of every label and edge type."""
@@ -44,20 +51,28 @@ class PropertyGraph:
         return PropertyGraph(nodes, {k: keep(e) for k, e in self.edges.items()})
 
     def save(self, folder: str) -> str:
-        """Write a new version below folder and make it the current one; readers of older versions are not disturbed."""
+        """Write a new version below folder and make it the current one; readers of older versions are not disturbed.
+
+        The version's list of tables is written last, under a name that counts up: it is there as a whole or not at all, so a reader
+        finds the old version or the new one, and a crash leaves the old one.
+        """
         version = f"v-{uuid.uuid4().hex}"
         for kind, tables in (("nodes", self.nodes), ("edges", self.edges)):
             for name, table in tables.items():
                 table.write.parquet(f"{folder}/{version}/{kind}/{name}")
         spark = next(iter([*self.nodes.values(), *self.edges.values()])).sparkSession
         rows = [(version, k, n) for k, t in (("nodes", self.nodes), ("edges", self.edges)) for n in t]
-        spark.createDataFrame(rows, "version string, kind string, name string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/_current")
+        turn = (_versions(spark, folder) or [0])[-1] + 1
+        spark.createDataFrame(rows, "version string, kind string, name string").coalesce(1).write.parquet(f"{folder}/_version-{turn:010d}")
         return version
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> PropertyGraph:
         out = cls()
-        for version, kind, name in spark.read.parquet(f"{folder}/_current").collect():
+        turns = _versions(spark, folder)
+        if not turns:
+            raise FileNotFoundError(f"no graph in {folder}")
+        for version, kind, name in spark.read.parquet(f"{folder}/_version-{turns[-1]:010d}").collect():
             getattr(out, kind)[name] = spark.read.parquet(f"{folder}/{version}/{kind}/{name}")
         return out
 
@@ -72,3 +87,11 @@ class PropertyGraph:
         from codeweave.operators.changes import merge
 
         return PropertyGraph(self.nodes | {label: merge(self.nodes[label], updates, "id")}, self.edges)
+
+
+def _versions(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the versions whose lists are complete, in order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_version-*/_SUCCESS")) or []
+    return sorted(int(f.getPath().getParent().getName().split("-")[1]) for f in found)

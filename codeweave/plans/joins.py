@@ -17,6 +17,8 @@ ROWS_A_TASK, FREQUENT_KEYS = 500, 500_000
 
 def frequent(large: DataFrame, keys: list[str], rows: int = ROWS_A_TASK) -> DataFrame | None:
     """(*keys, _deals): the frequent keys of a stored table, and over how many tasks each is to be dealt; None if there are none."""
+    if large.limit(rows + 1).count() <= rows:
+        return None
     counts = large.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > rows)
     counts = materialize(counts, "frequent")
     if not counts.limit(1).count():
