@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeweave.plans.joins import dealt_join, frequent, looked_up
 from codeweave.session import materialize
 
 
@@ -67,6 +68,20 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int | None = None, reverse:
     return seen if seen is not None else seeds.select("id").where("false").withColumn("level", F.lit(0))
 
 
+def hierarchy(inherits: DataFrame, way: str, depth: int | None = None) -> DataFrame:
+    """(id, other, level): every ancestor (way ``up``) or descendant (``down``) of every type, with its least distance, to any depth."""
+    a, b = ("src", "dst") if way == "up" else ("dst", "src")
+    step = materialize(inherits.select(F.col(a).alias("other"), F.col(b).alias("next")).distinct(), "steps")
+    now = materialize(step.select(F.col("other").alias("id"), F.col("next").alias("other"), F.lit(1).alias("level")), "hierarchy")
+    found, level = now, 1
+    while now.limit(1).count() and (depth is None or level < depth):
+        level += 1
+        new = dealt_join(now.select("id", "other"), step, ["other"]).select("id", F.col("next").alias("other")).distinct()
+        now = materialize(new.join(found, ["id", "other"], "left_anti").withColumn("level", F.lit(level)), "hierarchy")
+        found = found.unionByName(now)
+    return found
+
+
 def bfs_edges(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(level, src, dst): distinct edges that leave the nodes of each level of a forward search."""
     step = materialize(edges.distinct(), "steps")
@@ -112,24 +127,58 @@ def resolve(raw: DataFrame, candidates: DataFrame, imports: DataFrame | None = N
     candidates(id, name, file, kind, parent). Ranks: 0 learned(file, name, target), 1 parent equals the receiver, 2 the only
     candidate, 3 the id holds the receiver, 4 the candidate's file is imported (imports(file, target_file)). Candidates of the
     same file don't count; without a rank a call stays unresolved (no row). Ties to the smallest id.
+
+    A call never meets all candidates of its name: these are first summed up by name, by (name, parent) and by (name, file), each
+    with its two smallest ids in different files, and a call looks its answers up by these keys.
     """
-    c = candidates.select(F.col("id").alias("target"), "name", F.col("file").alias("target_file"), F.col("parent").alias("target_parent"))
-    pairs = raw.join(c, "name").where("file <> target_file")
-    alone = F.count("*").over(Window.partitionBy("call_id")) == 1
-    rank = F.when((F.col("receiver") != "") & (F.col("target_parent") == F.col("receiver")), 1).when(alone, 2)
-    rank = rank.when((F.col("receiver") != "") & F.col("target").cast("string").contains(F.col("receiver")), 3)
-    pairs = pairs.withColumn("rank", rank)
+    raw = materialize(raw.select("call_id", "name", "file", "receiver"), "raw")
+    c = materialize(candidates.select(F.col("id").alias("target"), "name", F.col("file").alias("target_file"), F.col("parent").alias("target_parent")), "candidates")
+    found = []
+    # The smallest candidate of a key in any other file: its smallest id overall, or the smallest outside that one's file.
+    by_file = c.groupBy("name", "target_file").agg(F.count("*").alias("n"), F.min("target").alias("least"))
+    unique = by_file.groupBy("name").agg(F.sum("n").alias("n"), F.count("*").alias("files"))
+    own = looked_up(raw, unique, ["name"], frequent(raw, ["name"]))
+    here = by_file.select("name", F.col("target_file").alias("file"), F.col("n").alias("own"))
+    own = looked_up(own.where("n is not null"), here, ["name", "file"], frequent(raw, ["name", "file"]))
+    alone = own.where("n - coalesce(own, 0) = 1").select("call_id", "name", "file")
+    one = least_elsewhere(c, ["name"])
+    found.append(pick_elsewhere(alone, one, ["name"]).withColumn("rank", F.lit(2)))
+    named = raw.where("receiver <> ''").withColumn("target_parent", F.col("receiver"))
+    found.append(pick_elsewhere(materialize(named, "named"), least_elsewhere(c.where("target_parent is not null"), ["name", "target_parent"]), ["name", "target_parent"]).withColumn("rank", F.lit(1)))
+    # Receivers are few beside calls: each (name, receiver) tests its name's candidates once.
+    asked = raw.where("receiver <> ''").select("name", "receiver").distinct()
+    holds = dealt_join(c, asked, ["name"]).where(F.col("target").cast("string").contains(F.col("receiver")))
+    found.append(pick_elsewhere(raw.where("receiver <> ''"), least_elsewhere(holds, ["name", "receiver"]), ["name", "receiver"]).withColumn("rank", F.lit(3)))
     if imports is not None:
-        known = imports.select("file", "target_file").distinct().withColumn("imported", F.lit(True))
-        pairs = pairs.join(known, ["file", "target_file"], "left").withColumn("rank", F.coalesce("rank", F.when(F.col("imported"), 4)))
-    found = pairs.where("rank is not null").select("call_id", "target", "rank")
+        known = materialize(imports.select("file", "target_file").where("file <> target_file").distinct(), "imports")
+        asked = materialize(raw.select("name", "file").distinct(), "asked")
+        near = dealt_join(asked, known, ["file"]).join(by_file.select("name", "target_file", "least"), ["name", "target_file"])
+        near = near.groupBy("name", "file").agg(F.min("least").alias("target"))
+        found.append(looked_up(raw, near, ["name", "file"], frequent(raw, ["name", "file"])).where("target is not null").select("call_id", "target").withColumn("rank", F.lit(4)))
     if learned is not None:
-        taught = raw.join(learned, ["file", "name"]).select("call_id", F.col("target"), F.lit(0).alias("rank"))
-        found = found.unionByName(taught)
-    best = found.groupBy("call_id").agg(F.min(F.struct("rank", "target")).alias("best"))
+        found.append(raw.join(learned, ["file", "name"]).select("call_id", F.col("target"), F.lit(0).alias("rank")))
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    best = every.groupBy("call_id").agg(F.min(F.struct("rank", "target")).alias("best"))
     return best.select("call_id", "best.target", "best.rank")
 
 
+def least_elsewhere(c: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, first, first_file, second): the smallest target of each key, its file, and the smallest target of the other files."""
+    files = materialize(c.groupBy(*keys, "target_file").agg(F.min("target").alias("target")), "files")
+    first = files.groupBy(*keys).agg(F.min(F.struct("target", "target_file")).alias("first"))
+    told = looked_up(files, first, keys, frequent(files, keys))
+    return told.groupBy(*keys).agg(F.first("first.target").alias("first"), F.first("first.target_file").alias("first_file"), F.min(F.when(F.col("target_file") != F.col("first.target_file"), F.col("target"))).alias("second"))
+
+
+def pick_elsewhere(calls: DataFrame, least: DataFrame, keys: list[str]) -> DataFrame:
+    """(call_id, target): for each call(call_id, file, *keys) the smallest target of its key that lies in another file, if any."""
+    calls = materialize(calls.select("call_id", "file", *keys), "asked")
+    told = looked_up(calls, least, keys, frequent(calls, keys))
+    return told.select("call_id", F.when(F.col("first_file") != F.col("file"), F.col("first")).otherwise(F.col("second")).alias("target")).where("target is not null")
+
+
 def louvain(edges: DataFrame, nodes: DataFrame, sweeps: int = 20) -> DataFrame:
     """(id, community): one level of modularity moves, as synchronous rounds of joins.
 

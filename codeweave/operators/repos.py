@@ -45,6 +45,15 @@ def rpc_clients(symbols: DataFrame, services: DataFrame) -> DataFrame:
     return symbols.join(F.broadcast(wanted), F.lower("name").contains(F.col("pattern"))).select("id", "service").distinct()
 
 
+def same_types(types: DataFrame) -> DataFrame:
+    """(src, dst, members, others): types(id, name, repo) of one name in different repositories, one representative a name and
+    repository (the smallest id) with the number of rows that it stands for: copies within a repository are not expanded."""
+    groups = types.where("name is not null").groupBy("repo", "name").agg(F.min("id").alias("rep"), F.count("*").alias("members"))
+    a = groups.select("name", F.col("repo").alias("ra"), F.col("rep").alias("src"), "members")
+    b = groups.select("name", F.col("repo").alias("rb"), F.col("rep").alias("dst"), F.col("members").alias("others"))
+    return a.join(b, "name").where("ra <> rb").select("src", "dst", "members", "others")
+
+
 def shared_parents(types: DataFrame, inherits: DataFrame) -> DataFrame:
     """More INHERITS (src, dst): an inheritor of a type also inherits the types of that name in other repositories than its own.
 

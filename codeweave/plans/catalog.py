@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweave.operators import changes, graph, text, vectors
+from codeweave.functions.rules import SECURITY, security_rules
+from codeweave.operators import changes, graph, repos, text, vectors
 from codeweave.plans.graph import PropertyGraph
 from codeweave.session import materialize
 from codeweave.sources import adapters as A
@@ -59,9 +60,9 @@ def graph_stats(s, d):
     return PropertyGraph({"symbols": A.symbols(s, d)}, {"calls": A.calls(s, d), "tested_by": A.tested_by(s, d), "inherits": A.inherits(s, d)}).stats()
 
 
-@query("SELECT DISTINCT id, name, file FROM symbols WHERE id IN (SELECT src FROM sparse) AND id NOT IN (SELECT dst FROM sparse)", "sparse symbols")
+@query("SELECT DISTINCT id, name, file FROM people WHERE id IN (SELECT src FROM inherits) AND id NOT IN (SELECT dst FROM inherits)", "inherits people")
 def entry_points(s, d):
-    return graph.entry_points(A.calls(s, d, 45), A.symbols(s, d)).select("id", "name", "file").distinct()
+    return graph.entry_points(A.inherits(s, d), A.people(s, d)).select("id", "name", "file").distinct()
 
 
 @query("SELECT 'out' AS side, id, degree FROM (SELECT src AS id, count(DISTINCT dst) AS degree FROM calls GROUP BY src HAVING count(DISTINCT dst) >= 15 ORDER BY degree DESC, id LIMIT 20) UNION ALL SELECT 'in', id, degree FROM (SELECT dst AS id, count(DISTINCT src) AS degree FROM calls GROUP BY dst HAVING count(DISTINCT src) >= 20 ORDER BY degree DESC, id LIMIT 20)", "calls")
@@ -85,9 +86,10 @@ def coverage(s, d):
     return rows.withColumn("percent", F.floor(F.lit(100.0) * F.col("covered") / F.col("symbols")).cast("long"))
 
 
-@query("SELECT id, name, file FROM symbols WHERE id NOT IN (SELECT dst FROM sparse) AND kind IN ('SMALL', 'PROMO', 'STANDARD') AND name <> 'main' AND name NOT LIKE 'test%'", "sparse symbols")
+# Every part is called in the dense graph of calls, so dead code is looked for among the nodes of INHERITS.
+@query("SELECT id, name, file FROM people WHERE id NOT IN (SELECT dst FROM inherits) AND kind IN ('BUILDING', 'Supplier', 'Nation') AND name <> 'Supplier#1' AND name NOT LIKE 'Customer#1%'", "inherits people")
 def dead_code(s, d):
-    return graph.dead_code(A.calls(s, d, 45), A.symbols(s, d), ["SMALL", "PROMO", "STANDARD"], ["main", "test*"]).select("id", "name", "file")
+    return graph.dead_code(A.inherits(s, d), A.people(s, d), ["BUILDING", "Supplier", "Nation"], ["Supplier#1", "Customer#1*"]).select("id", "name", "file")
 
 
 @query("SELECT dst AS parent, count(DISTINCT src) AS implementations, CASE WHEN count(DISTINCT src) >= 5 THEN 'high' ELSE 'medium' END AS confidence FROM inherits GROUP BY dst HAVING count(DISTINCT src) >= 3", "inherits")
@@ -105,71 +107,62 @@ def factory_pattern(s, d):
 
 # --- joins and traversal ------------------------------------------------------------------------------------------------
 
-@query("SELECT DISTINCT dst AS callee, id, name, file FROM sparse JOIN symbols ON src = id", "sparse symbols")
+@query("SELECT DISTINCT dst AS callee, id, name, file FROM calls JOIN symbols ON src = id", "calls symbols")
 def callers(s, d):
-    return graph.callers(A.calls(s, d, 45), A.symbols(s, d))
+    return graph.callers(A.calls(s, d), A.symbols(s, d))
 
 
-@query("SELECT DISTINCT src AS caller, id, name, file FROM sparse JOIN symbols ON dst = id", "sparse symbols")
+@query("SELECT DISTINCT src AS caller, id, name, file FROM calls JOIN symbols ON dst = id", "calls symbols")
 def callees(s, d):
-    return graph.callees(A.calls(s, d, 45), A.symbols(s, d))
+    return graph.callees(A.calls(s, d), A.symbols(s, d))
 
 
-_REACH = "walk(id, n) AS (SELECT {a}, 1 FROM sparse WHERE {seed} UNION SELECT e.{a}, n + 1 FROM walk JOIN sparse e ON e.{b} = walk.id WHERE n < {depth}) SELECT id, CAST(min(n) AS INTEGER) AS level FROM walk GROUP BY id"
+_REACH = "walk(id, n) AS (SELECT {a}, 1 FROM calls WHERE {seed} UNION SELECT e.{a}, n + 1 FROM walk JOIN calls e ON e.{b} = walk.id WHERE n < {depth}) SELECT id, CAST(min(n) AS INTEGER) AS level FROM walk GROUP BY id"
 
 
-@query(with_tables("sparse", ", " + _REACH.format(a="src", b="dst", seed="dst % 50 = 1", depth=3)))
+@query(with_tables("calls", ", " + _REACH.format(a="src", b="dst", seed="dst IN (SELECT p_partkey FROM part WHERE p_brand = 'Brand#2')", depth=3)))
 def impact_d3(s, d):
-    return graph.reach(A.calls(s, d, 45), A.symbols(s, d).where("id % 50 = 1"), 3, reverse=True)
+    return graph.reach(A.calls(s, d), A.symbols(s, d).where("file = 'Brand#2'"), 3, reverse=True)
 
 
-@query(with_tables("sparse", ", " + _REACH.format(a="dst", b="src", seed="src % 100 = 7", depth=200)))
+@query(with_tables("calls", ", " + _REACH.format(a="dst", b="src", seed="src IN (SELECT p_partkey FROM part WHERE p_brand = 'Brand#3')", depth=12)))
 def reachable(s, d):
-    return graph.reach(A.calls(s, d, 45), A.symbols(s, d).where("id % 100 = 7"))
+    return graph.reach(A.calls(s, d), A.symbols(s, d).where("file = 'Brand#3'"))
 
 
-@query(with_tables("inherits", ", up(id, parent, n) AS (SELECT src, dst, 1 FROM inherits UNION ALL SELECT up.id, e.dst, n + 1 FROM up JOIN inherits e ON e.src = up.parent) SELECT id, parent, CAST(n AS INTEGER) AS level FROM up"))
+@query(with_tables("inherits", ", up(id, other, n) AS (SELECT src, dst, 1 FROM inherits UNION ALL SELECT up.id, e.dst, n + 1 FROM up JOIN inherits e ON e.src = up.other) SELECT id, other, CAST(min(n) AS INTEGER) AS level FROM up GROUP BY ALL"))
 def hierarchy_up(s, d):
-    e = A.inherits(s, d)
-    out = e.select(F.col("src").alias("id"), F.col("dst").alias("parent"), F.lit(1).alias("level"))
-    step = e.select(F.col("src").alias("parent"), F.col("dst").alias("next"))
-    two = out.join(step, "parent").select("id", F.col("next").alias("parent"), F.lit(2).alias("level"))
-    three = two.join(step, "parent").select("id", F.col("next").alias("parent"), F.lit(3).alias("level"))
-    return out.unionAll(two).unionAll(three)
+    return graph.hierarchy(A.inherits(s, d), "up")
 
 
-@query(with_tables("inherits", ", down(root, id, n) AS (SELECT dst, src, 1 FROM inherits WHERE dst LIKE 'r:%' UNION ALL SELECT down.root, e.src, n + 1 FROM down JOIN inherits e ON e.dst = down.id) SELECT root, CAST(n AS INTEGER) AS level, count(*) AS descendants FROM down GROUP BY ALL"))
+@query(with_tables("inherits", ", down(id, other, n) AS (SELECT dst, src, 1 FROM inherits UNION ALL SELECT down.id, e.src, n + 1 FROM down JOIN inherits e ON e.dst = down.other), least AS (SELECT id, other, min(n) AS n FROM down GROUP BY ALL) SELECT id, CAST(n AS INTEGER) AS level, count(*) AS descendants FROM least GROUP BY ALL"))
 def hierarchy_down(s, d):
-    e = A.inherits(s, d)
-    one = e.where("dst like 'r:%'").select(F.col("dst").alias("root"), F.col("src").alias("id"), F.lit(1).alias("level"))
-    step = e.select(F.col("dst").alias("id"), F.col("src").alias("next"))
-    two = one.join(step, "id").select("root", F.col("next").alias("id"), F.lit(2).alias("level"))
-    return one.unionAll(two).groupBy("root", "level").agg(F.count("*").alias("descendants"))
+    return graph.hierarchy(A.inherits(s, d), "down").groupBy("id", "level").agg(F.count("*").alias("descendants"))
 
 
-@query(with_tables("sparse", ", walk(id, n) AS (SELECT src, 1 FROM sparse WHERE dst % 40 = 3 UNION SELECT e.src, n + 1 FROM walk JOIN sparse e ON e.dst = walk.id WHERE n < 2) SELECT DISTINCT id FROM walk WHERE id % 40 <> 3"))
+@query(with_tables("calls", ", walk(id, n) AS (SELECT src, 1 FROM calls WHERE dst IN (SELECT p_partkey FROM part WHERE p_brand = 'Brand#4') UNION SELECT e.src, n + 1 FROM walk JOIN calls e ON e.dst = walk.id WHERE n < 2) SELECT DISTINCT id FROM walk WHERE id NOT IN (SELECT p_partkey FROM part WHERE p_brand = 'Brand#4')"))
 def blast_radius(s, d):
-    return graph.reach(A.calls(s, d, 45), A.symbols(s, d).where("id % 40 = 3"), 2, reverse=True).where("id % 40 <> 3").select("id")
+    return graph.reach(A.calls(s, d), A.symbols(s, d).where("file = 'Brand#4'"), 2, reverse=True).join(A.symbols(s, d).where("file = 'Brand#4'").select("id"), "id", "left_anti").select("id")
 
 
-@query(with_tables("sparse", ", node(id, n) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey % 90 = 2 UNION SELECT e.dst, n + 1 FROM node JOIN sparse e ON e.src = node.id WHERE n < 2), least AS (SELECT id, min(n) AS n FROM node GROUP BY id) SELECT DISTINCT CAST(n + 1 AS INTEGER) AS level, src, dst FROM least JOIN sparse ON src = id"))
+@query(with_tables("calls", ", node(id, n) AS (SELECT p_partkey, 0 FROM part WHERE p_brand = 'Brand#9' UNION SELECT e.dst, n + 1 FROM node JOIN calls e ON e.src = node.id WHERE n < 2), least AS (SELECT id, min(n) AS n FROM node GROUP BY id) SELECT DISTINCT CAST(n + 1 AS INTEGER) AS level, src, dst FROM least JOIN calls ON src = id"))
 def bfs_edges(s, d):
-    return graph.bfs_edges(A.calls(s, d, 45), A.symbols(s, d).where("id % 90 = 2"), 3)
+    return graph.bfs_edges(A.calls(s, d), A.symbols(s, d).where("file = 'Brand#9'"), 3)
 
 
-@query(with_tables("sparse", ", two_way AS (SELECT src, dst FROM sparse UNION SELECT dst, src FROM sparse), node(id, n) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey % 200 = 5 UNION SELECT e.dst, n + 1 FROM node JOIN two_way e ON e.src = node.id WHERE n < 2) SELECT DISTINCT src, dst FROM sparse WHERE src IN (SELECT id FROM node) AND dst IN (SELECT id FROM node)"))
+@query(with_tables("calls", ", two_way AS (SELECT src, dst FROM calls UNION SELECT dst, src FROM calls), node(id, n) AS (SELECT p_partkey, 0 FROM part WHERE p_brand = 'Brand#12' UNION SELECT e.dst, n + 1 FROM node JOIN two_way e ON e.src = node.id WHERE n < 2) SELECT DISTINCT src, dst FROM calls WHERE src IN (SELECT id FROM node) AND dst IN (SELECT id FROM node)"))
 def neighbourhood(s, d):
-    return graph.subgraph(A.calls(s, d, 45), A.symbols(s, d).where("id % 200 = 5"), 2)
+    return graph.subgraph(A.calls(s, d), A.symbols(s, d).where("file = 'Brand#12'"), 2)
 
 
-@query("SELECT DISTINCT a.file, b.file AS other FROM (SELECT src, dst FROM sparse UNION ALL SELECT dst, src FROM sparse) e JOIN symbols a ON a.id = e.src JOIN symbols b ON b.id = e.dst WHERE a.file <> b.file", "sparse symbols")
+@query("SELECT DISTINCT a.file, b.file AS other FROM (SELECT src, dst FROM calls UNION ALL SELECT dst, src FROM calls) e JOIN symbols a ON a.id = e.src JOIN symbols b ON b.id = e.dst WHERE a.file <> b.file", "calls symbols")
 def cross_file_dependents(s, d):
-    return graph.cross_file(A.calls(s, d, 45), A.symbols(s, d))
+    return graph.cross_file(A.calls(s, d), A.symbols(s, d))
 
 
-@query("SELECT file, id, low, high FROM spans JOIN (SELECT s_suppkey AS file, 2 AS low, 3 AS high FROM supplier WHERE s_suppkey % 5 = 0) USING (file) WHERE start_line <= high AND end_line >= low", "spans")
+@query("SELECT file, id, low, high FROM spans JOIN (SELECT s_suppkey AS file, 2 AS low, 3 AS high FROM supplier) USING (file) WHERE start_line <= high AND end_line >= low", "spans")
 def interval_overlap(s, d):
-    ranges = table(s, d, "supplier").where("s_suppkey % 5 = 0").select(F.col("s_suppkey").alias("file"), F.lit(2).alias("low"), F.lit(3).alias("high"))
+    ranges = table(s, d, "supplier").select(F.col("s_suppkey").alias("file"), F.lit(2).alias("low"), F.lit(3).alias("high"))
     return graph.overlapping(A.spans(s, d), ranges).select("file", "id", "low", "high")
 
 
@@ -178,10 +171,10 @@ def innermost_interval(s, d):
     return graph.innermost(A.spans(s, d), table(s, d, "supplier").select(F.col("s_suppkey").alias("file"), F.lit(2).alias("line")))
 
 
-_RAW = "raw AS (SELECT id AS call_id, name, file, CASE WHEN id % 3 = 0 THEN kind ELSE '' END AS receiver FROM symbols), imports AS (SELECT DISTINCT a.file, b.file AS target_file FROM sparse JOIN symbols a ON a.id = src JOIN symbols b ON b.id = dst WHERE (src + dst) % 4 = 0)"
+_RAW = "raw AS (SELECT id AS call_id, name, file, CASE WHEN id % 3 = 0 THEN kind ELSE '' END AS receiver FROM symbols), imports AS (SELECT DISTINCT a.file, b.file AS target_file FROM calls JOIN symbols a ON a.id = src JOIN symbols b ON b.id = dst WHERE (src + dst) % 4 = 0)"
 
 
-@query(with_tables("sparse symbols", f""", {_RAW}, pairs AS (
+@query(with_tables("calls symbols", f""", {_RAW}, pairs AS (
   SELECT r.call_id, c.id AS target, r.receiver, c.kind AS parent, r.file, c.file AS target_file, count(*) OVER (PARTITION BY r.call_id) AS n
   FROM raw r JOIN symbols c USING (name) WHERE r.file <> c.file),
 ranked AS (SELECT call_id, target, CASE WHEN receiver <> '' AND parent = receiver THEN 1 WHEN n = 1 THEN 2
@@ -191,14 +184,13 @@ SELECT call_id, b % 1000000000000 AS target, CAST(b // 1000000000000 AS INTEGER)
 def name_resolution_ranked(s, d):
     sym = A.symbols(s, d)
     raw = sym.select(F.col("id").alias("call_id"), "name", "file", F.when(F.col("id") % 3 == 0, F.col("kind")).otherwise("").alias("receiver"))
-    ends = A.calls(s, d, 45).where("(src + dst) % 4 = 0").join(sym.select(F.col("id").alias("src"), "file"), "src").join(sym.select(F.col("id").alias("dst"), F.col("file").alias("target_file")), "dst")
+    ends = A.calls(s, d).where("(src + dst) % 4 = 0").join(sym.select(F.col("id").alias("src"), "file"), "src").join(sym.select(F.col("id").alias("dst"), F.col("file").alias("target_file")), "dst")
     return graph.resolve(raw, sym.withColumn("parent", F.col("kind")), ends.select("file", "target_file"))
 
 
-@query("SELECT DISTINCT a.src, b.dst AS parent FROM (SELECT doc_id AS src, source AS repo, substr(text, 1, 12) AS type FROM documents) a JOIN (SELECT doc_id AS dst, source AS repo, substr(text, 1, 12) AS type FROM documents) b ON a.type = b.type AND a.repo <> b.repo")
+@query("WITH t AS (SELECT doc_id AS id, text AS name, source AS repo FROM documents), k AS (SELECT repo, name, min(id) AS rep, count(*) AS members FROM t WHERE name IS NOT NULL GROUP BY ALL) SELECT a.rep AS src, b.rep AS dst, a.members, b.members AS others FROM k a JOIN k b ON a.name = b.name AND a.repo <> b.repo")
 def cross_repo_pairs(s, d):
-    side = lambda x, r: table(s, d, "documents").select(F.col("doc_id").alias(x), F.col("source").alias(r), F.substring("text", 1, 12).alias("type"))
-    return side("src", "ra").join(side("parent", "rb"), "type").where("ra <> rb").select("src", "parent").distinct()
+    return repos.same_types(table(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("name"), F.col("source").alias("repo")))
 
 
 @query("SELECT a.page_id AS caller, min(b.page_id) AS target, regexp_replace(a.url, '^https?://[^/]*', '') AS path FROM pages a JOIN pages b ON regexp_replace(a.url, '^https?://[^/]*', '') = regexp_replace(b.url, '^https?://[^/]*', '') AND a.page_id <> b.page_id GROUP BY a.page_id, a.url")
@@ -209,9 +201,9 @@ def contracts_cross(s, d):
     return a.join(b, "path").where("caller <> target").groupBy("caller", "path").agg(F.min("target").alias("target"))
 
 
-@query("SELECT p_partkey AS id, p_name AS name FROM part WHERE p_brand = 'Brand#11' AND p_size BETWEEN 5 AND 40 AND p_partkey NOT IN (SELECT dst FROM sparse) AND p_partkey IN (SELECT src FROM tested_by)", "sparse tested_by")
+@query("SELECT p_partkey AS id, p_name AS name FROM part WHERE p_brand = 'Brand#11' AND p_size BETWEEN 5 AND 40 AND p_partkey NOT IN (SELECT dst FROM calls) AND p_partkey IN (SELECT src FROM tested_by)", "calls tested_by")
 def cypher_exists(s, d):
-    g = PropertyGraph({"Symbol": A.symbols(s, d)}, {"CALLS": A.calls(s, d, 45), "TESTED_BY": A.tested_by(s, d)})
+    g = PropertyGraph({"Symbol": A.symbols(s, d)}, {"CALLS": A.calls(s, d), "TESTED_BY": A.tested_by(s, d)})
     return g.cypher("MATCH (n:Symbol {file: 'Brand#11'}) WHERE n.complexity >= 5 AND n.complexity <= 40 AND NOT EXISTS { MATCH ()-[:CALLS]->(n) } AND EXISTS { MATCH (n)-[:TESTED_BY]->() } RETURN n.id AS id, n.name AS name")
 
 
@@ -220,10 +212,10 @@ def cypher_hubs(s, d):
     return code_graph(s, d).cypher("MATCH (a:Symbol)-[:CALLS]->(b:Symbol) WHERE a.kind IN ['SMALL', 'PROMO'] OR b.name CONTAINS 'e' RETURN b.name AS name, count(*) AS calls, count(DISTINCT a.id) AS callers ORDER BY calls DESC, name LIMIT 10")
 
 
-@query(with_tables("sparse symbols", ", walk(a, b, n) AS (SELECT src, dst, 1 FROM sparse WHERE src % 60 = 4 UNION SELECT walk.a, e.dst, n + 1 FROM walk JOIN sparse e ON e.src = walk.b WHERE n < 3) SELECT DISTINCT walk.a AS start, s.name FROM walk JOIN symbols s ON s.id = walk.b"))
+@query(with_tables("calls symbols", ", walk(a, b, n) AS (SELECT src, dst, 1 FROM calls WHERE src IN (SELECT p_partkey FROM part WHERE p_brand = 'Brand#17') UNION SELECT walk.a, e.dst, n + 1 FROM walk JOIN calls e ON e.src = walk.b WHERE n < 3) SELECT DISTINCT walk.a AS start, s.name FROM walk JOIN symbols s ON s.id = walk.b"))
 def cypher_paths(s, d):
     sym = A.symbols(s, d)
-    g = PropertyGraph({"Symbol": sym, "Seed": sym.where("id % 60 = 4")}, {"CALLS": A.calls(s, d, 45)})
+    g = PropertyGraph({"Symbol": sym, "Seed": sym.where("file = 'Brand#17'")}, {"CALLS": A.calls(s, d)})
     return g.cypher("MATCH (a:Seed)-[:CALLS*1..3]->(b:Symbol) RETURN DISTINCT a.id AS start, b.name AS name")
 
 
@@ -299,15 +291,14 @@ def grep_lines(s, d):
     return text.grep(A.files(s, d), "[Ll]icense")
 
 
-RULES = [("R1", "High", ["md"], "License", "apache"), ("R2", "Low", [], "@", ""), ("R3", "Medium", [], "apache", "zzz"), ("R4", "Critical", ["py"], "license", "")]
+_RULE_ROWS = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in (r, sev, f" {ext} " if ext else "", pat.lower(), ex.lower())) + ")" for r, _, sev, ext, pat, ex in SECURITY)
 
 
-@query(with_tables("files", f""", {_LINES}, rules(rule_id, severity, pattern, exclude) AS (VALUES ('R1', 'High', 'license', 'apache'), ('R2', 'Low', '@', ''), ('R3', 'Medium', 'apache', 'zzz'))
-SELECT path, CAST(line AS BIGINT) AS line, rule_id, severity, strlen(string_split(lower(content), pattern)[1]) + 1 AS col, substr(trim(content), 1, 120) AS snippet FROM ln, rules
-WHERE contains(lower(content), pattern) AND NOT (exclude <> '' AND contains(lower(content), exclude))"""))
+@query(with_tables("files", f""", {_LINES.replace("SELECT id, path,", "SELECT id, path, extension,")}, rules(rule_id, severity, extensions, pattern, exclude) AS (VALUES {_RULE_ROWS})
+SELECT path, CAST(line AS BIGINT) AS line, rule_id, severity, strlen(string_split(lower(content), pattern)[1]) + 1 AS col, substr(trim(content), 1, 120) AS snippet FROM ln JOIN rules ON contains(lower(content), pattern)
+WHERE (extensions = '' OR contains(extensions, ' ' || extension || ' ')) AND NOT (exclude <> '' AND contains(lower(content), exclude))"""))
 def rule_scan(s, d):
-    rules = s.createDataFrame(RULES, "rule_id string, severity string, extensions array<string>, pattern string, exclude string")
-    return text.rule_scan(A.files(s, d).withColumn("extension", F.lit("md")), rules)
+    return text.rule_scan(A.files(s, d), security_rules(s))
 
 
 @query("SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS text, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title FROM pages")
@@ -356,10 +347,10 @@ def semantic_diff(s, d):
     return changes.semantic_diff(*A.snapshots(s, d))
 
 
-@query("SELECT path, id FROM files WHERE id % 10 = 0 OR id % 7 = 0", "files")
+@query("SELECT path, id FROM files WHERE language = 'es' OR contains(content, ' and ')", "files")
 def hash_skip(s, d):
     now = A.files(s, d)
-    stored = now.where("id % 10 <> 0").select("path", F.when(F.col("id") % 7 == 0, F.sha2(F.concat("content", F.lit("!")), 256)).otherwise(F.col("content_hash")).alias("content_hash"))
+    stored = now.where("language <> 'es'").select("path", F.when(F.col("content").contains(" and "), F.sha2(F.concat("content", F.lit("!")), 256)).otherwise(F.col("content_hash")).alias("content_hash"))
     return changes.changed_files(stored, now.select("path", "id", "content_hash")).select("path", "id")
 
 
@@ -384,21 +375,21 @@ def learned_confidence(s, d):
     return changes.learned_confidence(seen).withColumn("confidence", F.round("confidence", 6))
 
 
-@query("SELECT coalesce(u.id, f.id) AS id, coalesce(f.path, NULL) AS path, CASE WHEN u.id IS NOT NULL THEN u.language ELSE f.language END AS language FROM (SELECT * FROM files WHERE id % 5 <> 0) f FULL JOIN (SELECT id, 'xx' AS language FROM files WHERE id % 3 = 0) u ON f.id = u.id", "files")
+@query("SELECT coalesce(u.id, f.id) AS id, coalesce(f.path, NULL) AS path, CASE WHEN u.id IS NOT NULL THEN u.language ELSE f.language END AS language FROM (SELECT * FROM files WHERE language <> 'es') f FULL JOIN (SELECT id, 'xx' AS language FROM files WHERE repo = 'src8' OR language = 'es') u ON f.id = u.id", "files")
 def merge_upsert(s, d):
     f = A.files(s, d).select("id", "path", "language")
-    return changes.merge(f.where("id % 5 <> 0"), f.where("id % 3 = 0").select("id", F.lit("xx").alias("language")), "id")
+    return changes.merge(f.where("language <> 'es'"), A.files(s, d).where("repo = 'src8' or language = 'es'").select("id", F.lit("xx").alias("language")), "id")
 
 
-@query("SELECT src, dst FROM sparse WHERE src % 11 <> 0 AND dst % 11 <> 0", "sparse")
+@query("SELECT src, dst FROM calls WHERE src NOT IN (SELECT id FROM symbols WHERE file = 'Brand#25') AND dst NOT IN (SELECT id FROM symbols WHERE file = 'Brand#25')", "calls symbols")
 def detach_delete(s, d):
-    g = PropertyGraph({"Symbol": A.symbols(s, d)}, {"CALLS": A.calls(s, d, 45)})
-    return g.without(A.symbols(s, d).where("id % 11 = 0")).edges["CALLS"].select("src", "dst")
+    g = PropertyGraph({"Symbol": A.symbols(s, d)}, {"CALLS": A.calls(s, d)})
+    return g.without(A.symbols(s, d).where("file = 'Brand#25'")).edges["CALLS"].select("src", "dst")
 
 
-@query("SELECT DISTINCT src, dst FROM sparse WHERE src IN (SELECT id FROM symbols WHERE complexity > 10) AND dst IN (SELECT id FROM symbols WHERE complexity > 10)", "sparse symbols")
+@query("SELECT DISTINCT src, dst FROM calls WHERE src IN (SELECT id FROM symbols WHERE complexity > 10) AND dst IN (SELECT id FROM symbols WHERE complexity > 10)", "calls symbols")
 def checked_edges(s, d):
-    return PropertyGraph({"Symbol": A.symbols(s, d).where("complexity > 10")}, {"CALLS": A.calls(s, d, 45)}).checked().edges["CALLS"]
+    return PropertyGraph({"Symbol": A.symbols(s, d).where("complexity > 10")}, {"CALLS": A.calls(s, d)}).checked().edges["CALLS"]
 
 
 _SIGNALS = ", ".join(f"sum({' + '.join([f'CASE WHEN regexp_matches(lower(text), {chr(39)}{p}{chr(39)}) THEN {w} ELSE 0 END' for p, t, w in changes.SIGNALS if t == n])})::BIGINT AS {n}" for n in changes.TYPES)
@@ -429,7 +420,7 @@ def caller_median_outliers(s, d):
 
 @query(None)
 def louvain(s, d):
-    e = materialize(A.calls(s, d, 45), "calls")
+    e = materialize(A.calls(s, d), "calls")
     return graph.louvain(e, A.symbols(s, d))
 
 

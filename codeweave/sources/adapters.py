@@ -12,11 +12,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def calls(spark: SparkSession, sf_dir: str, least_quantity: float | None = None) -> DataFrame:
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CALLS edges (src, dst): consecutive parts of an order, with multiplicity."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", *_ORDER, "l_quantity")
-    if least_quantity is not None:
-        lines = lines.where(F.col("l_quantity") >= least_quantity)
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", *_ORDER)
     before = F.lag("l_partkey").over(Window.partitionBy("l_orderkey").orderBy(*_ORDER))
     return lines.select(before.alias("src"), F.col("l_partkey").alias("dst")).where("src is not null")
 
@@ -32,14 +30,24 @@ def inherits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edge("customer", "c:", "c_custkey", "n:", "c_nationkey").unionAll(edge("supplier", "s:", "s_suppkey", "n:", "s_nationkey")).unionAll(edge("nation", "n:", "n_nationkey", "r:", "n_regionkey"))
 
 
+def people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes (id, name, kind, file, complexity) at the ends of the INHERITS edges: customers, suppliers, nations and regions."""
+    node = lambda name, a, x, title, kind, file, size: table(spark, sf_dir, name).select(F.concat(F.lit(a), F.col(x)).alias("id"), F.col(title).alias("name"), kind.alias("kind"), file.cast("string").alias("file"), size.cast("int").alias("complexity"))
+    out = node("customer", "c:", "c_custkey", "c_name", F.col("c_mktsegment"), F.col("c_nationkey"), F.floor(F.abs("c_acctbal") / 100))
+    out = out.unionAll(node("supplier", "s:", "s_suppkey", "s_name", F.lit("Supplier"), F.col("s_nationkey"), F.floor(F.abs("s_acctbal") / 100)))
+    out = out.unionAll(node("nation", "n:", "n_nationkey", "n_name", F.lit("Nation"), F.col("n_regionkey"), F.lit(1)))
+    return out.unionAll(node("region", "r:", "r_regionkey", "r_name", F.lit("Region"), F.lit("world"), F.lit(1)))
+
+
 def tested_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TESTED_BY edges (src symbol, dst test): returned parts and their suppliers."""
     return table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files (id, path, repo, language, content, content_hash) from documents."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat_ws("", "source", F.lit("/"), "doc_id", F.lit(".md")).alias("path"), F.col("source").alias("repo"), F.col("lang").alias("language"), F.col("text").alias("content"), F.sha2("text", 256).alias("content_hash"))
+    """Files (id, path, extension, repo, language, content, content_hash) from documents; the extension goes by the language."""
+    extension = F.expr("case lang when 'en' then 'py' when 'de' then 'js' when 'fr' then 'java' else 'go' end")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat_ws("", "source", F.lit("/"), "doc_id", F.lit("."), extension).alias("path"), extension.alias("extension"), F.col("source").alias("repo"), F.col("lang").alias("language"), F.col("text").alias("content"), F.sha2("text", 256).alias("content_hash"))
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,25 +57,26 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Two versions of symbols (file, name, kind, hash, line) from documents: some removed, added, moved and changed."""
+    """Two versions of symbols (file, name, kind, hash) from documents: the old one has no Spanish and the new one no French ones, those
+    of one source have moved, and those with the word "and" have changed."""
     docs = table(spark, sf_dir, "documents")
     cut = lambda d, moved, text: d.select(moved.alias("file"), F.concat(F.lit("f"), F.col("doc_id")).alias("name"), F.col("lang").alias("kind"), F.substring(F.sha2(text, 256), 1, 16).alias("hash"))
-    old = cut(docs.where("doc_id % 10 <> 0"), F.col("source"), F.col("text"))
-    new = cut(docs.where("doc_id % 10 <> 1"), F.when(F.col("doc_id") % 13 == 5, F.concat("source", F.lit("_new"))).otherwise(F.col("source")), F.when(F.col("doc_id") % 7 == 0, F.concat(F.col("text"), F.lit("!"))).otherwise(F.col("text")))
+    old = cut(docs.where("lang <> 'es'"), F.col("source"), F.col("text"))
+    new = cut(docs.where("lang <> 'fr'"), F.when(F.col("source") == "src8", "src8_new").otherwise(F.col("source")), F.when(F.col("text").contains(" and "), F.concat(F.col("text"), F.lit("!"))).otherwise(F.col("text")))
     return old, new
 
 
 _LAG = "lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS src, l_partkey AS dst"
 SQL = {
     "calls": f"calls AS (SELECT src, dst FROM (SELECT {_LAG} FROM lineitem) WHERE src IS NOT NULL)",
-    "sparse": f"sparse AS (SELECT src, dst FROM (SELECT {_LAG} FROM lineitem WHERE l_quantity >= 45) WHERE src IS NOT NULL)",
     "symbols": "symbols AS (SELECT p_partkey AS id, p_name AS name, p_type AS kind, p_brand AS file, p_size AS complexity FROM part)",
     "inherits": "inherits AS (SELECT 'c:' || c_custkey AS src, 'n:' || c_nationkey AS dst FROM customer UNION ALL SELECT 's:' || s_suppkey, 'n:' || s_nationkey FROM supplier UNION ALL SELECT 'n:' || n_nationkey, 'r:' || n_regionkey FROM nation)",
+    "people": "people AS (SELECT 'c:' || c_custkey AS id, c_name AS name, c_mktsegment AS kind, CAST(c_nationkey AS VARCHAR) AS file, CAST(floor(abs(c_acctbal) / 100) AS INTEGER) AS complexity FROM customer UNION ALL SELECT 's:' || s_suppkey, s_name, 'Supplier', CAST(s_nationkey AS VARCHAR), CAST(floor(abs(s_acctbal) / 100) AS INTEGER) FROM supplier UNION ALL SELECT 'n:' || n_nationkey, n_name, 'Nation', CAST(n_regionkey AS VARCHAR), 1 FROM nation UNION ALL SELECT 'r:' || r_regionkey, r_name, 'Region', 'world', 1 FROM region)",
     "tested_by": "tested_by AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_returnflag = 'R')",
-    "files": "files AS (SELECT doc_id AS id, source || '/' || doc_id || '.md' AS path, source AS repo, lang AS language, text AS content, sha256(text) AS content_hash FROM documents)",
+    "files": "files AS (SELECT doc_id AS id, source || '/' || doc_id || '.' || e AS path, e AS extension, source AS repo, lang AS language, text AS content, sha256(text) AS content_hash FROM (SELECT *, CASE lang WHEN 'en' THEN 'py' WHEN 'de' THEN 'js' WHEN 'fr' THEN 'java' ELSE 'go' END AS e FROM documents))",
     "spans": "spans AS (SELECT l_suppkey AS file, l_partkey AS id, min(l_linenumber) AS start_line, max(l_linenumber) AS end_line FROM lineitem GROUP BY ALL)",
-    "snapshots": """old AS (SELECT source AS file, 'f' || doc_id AS name, lang AS kind, substr(sha256(text), 1, 16) AS hash FROM documents WHERE doc_id % 10 <> 0),
-new AS (SELECT CASE WHEN doc_id % 13 = 5 THEN source || '_new' ELSE source END AS file, 'f' || doc_id AS name, lang AS kind, substr(sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END), 1, 16) AS hash FROM documents WHERE doc_id % 10 <> 1)""",
+    "snapshots": """old AS (SELECT source AS file, 'f' || doc_id AS name, lang AS kind, substr(sha256(text), 1, 16) AS hash FROM documents WHERE lang <> 'es'),
+new AS (SELECT CASE WHEN source = 'src8' THEN 'src8_new' ELSE source END AS file, 'f' || doc_id AS name, lang AS kind, substr(sha256(CASE WHEN contains(text, ' and ') THEN text || '!' ELSE text END), 1, 16) AS hash FROM documents WHERE lang <> 'fr')""",
 }
 
 
