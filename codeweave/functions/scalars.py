@@ -32,12 +32,15 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
 
 
+# Beginnings of handler names by HTTP method.
+VERB_WORDS = (("GET", "get list find fetch read show index"), ("POST", "create add post save new"), ("PUT", "update put edit modify"), ("DELETE", "delete remove destroy"), ("PATCH", "patch"))
+
+
 def http_verb(name: Column) -> Column:
-    """HTTP method that a handler's name begins with."""
-    low = F.lower(name)
-    out = None
-    for method, words in (("GET", "get|fetch|list|find|show|index|read"), ("POST", "post|create|add|insert|save"), ("PUT", "put|update|replace|edit"), ("PATCH", "patch|modify"), ("DELETE", "delete|remove|destroy")):
-        out = (F.when if out is None else out.when)(low.rlike(f"^({words})"), method)
+    """HTTP method that a handler's name begins with; null without any."""
+    out = F
+    for method, words in VERB_WORDS:
+        out = out.when(F.lower(name).rlike(f"^({'|'.join(words.split())})"), method)
     return out
 
 
@@ -83,11 +86,14 @@ def is_test(name: Column, kind: Column, file: Column) -> Column:
     return (kind == "Test") | F.lower(name).startswith("test") | F.lower(file).rlike(r"(^|/)tests?/|_test\.|\.test\.|\.spec\.|(^|/)test_")
 
 
+# Folder names that say nothing of a symbol.
+DULL_FOLDERS = ("src", "source", "lib", "include", "_h", "test", "tests", "benchmark")
+
+
 def rich_text(kind: Column, name: Column, parameters: Column, returns: Column, path: Column, language: Column, doc: Column) -> Column:
     """Text of a symbol for embedding; a long path keeps its last four segments after common folder names are dropped."""
     parts = F.split(path, "/")
-    dull = ["src", "source", "lib", "include", "_h", "test", "tests", "benchmark"]
-    kept = F.filter(parts, lambda p: ~F.lower(p).isin(dull))
+    kept = F.filter(parts, lambda p: ~F.lower(p).isin(*DULL_FOLDERS))
     short = F.when(F.size(parts) <= 3, path).otherwise(F.array_join(F.when(F.size(kept) <= 4, kept).otherwise(F.slice(kept, -4, 4)), "/"))
     part = lambda before, c, after="": F.when(c != "", F.concat(F.lit(before), c, F.lit(after))).otherwise("")
     return F.concat(kind, F.lit(" "), name, parameters, part(" -> ", returns), F.lit(" in "), short, part(" [", language, "]"), part(": ", doc))

@@ -63,7 +63,7 @@ def hunks(diff: DataFrame) -> DataFrame:
     return heads.select("commit", "file", start.alias("start_line"), (start + F.greatest(count, F.lit(1)) - 1).alias("end_line"))
 
 
-#: Signals of a commit subject: (pattern, type, weight).
+# Signals of a commit subject: (pattern, type, weight).
 SIGNALS = (
     ("fix|bug|patch", "BugFix", 3), ("refactor|rename|move|clean", "Refactor", 3), ("add|new|feature|implement", "Feature", 3),
     ("migrat|upgrade|convert|sqlite", "Migration", 5), ("config|setting|version bump", "Config", 3), ("test", "Test", 3), ("doc|readme", "Docs", 3),
@@ -94,8 +94,11 @@ def compare_quality(now: DataFrame, baseline: DataFrame, higher_is_worse: list[s
 
 def outliers(named: DataFrame, least: int = 5) -> DataFrame:
     """(name, id, value, median): rows of named(name, id, value) more than 2 off their name's upper median, for names with ``least`` rows."""
-    groups = named.groupBy("name").agg(F.sort_array(F.collect_list("value")).alias("v")).where(F.size("v") >= least)
-    middle = groups.select("name", F.expr("v[cast(size(v) / 2 as int)]").alias("median"))
+    # The exact upper median from counts of distinct values, so that no name's values are gathered.
+    value = named.groupBy("name", "value").agg(F.count("*").alias("n"))
+    total = value.groupBy("name").agg(F.sum("n").alias("rows")).where(F.col("rows") >= least)
+    until = F.sum("n").over(Window.partitionBy("name").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    middle = value.withColumn("until", until).join(total, "name").where("until > floor(rows / 2)").groupBy("name").agg(F.min("value").alias("median"))
     return named.join(middle, "name").where(F.abs(F.col("value") - F.col("median")) > 2).select("name", "id", "value", "median")
 
 

@@ -13,11 +13,11 @@ def _row(df: DataFrame, pattern: str) -> DataFrame:
 
 
 def factories(symbols: DataFrame, calls: DataFrame, inherits: DataFrame) -> DataFrame:
-    """Functions named like makers that call a type with a parent; high with two or more such types."""
-    products = symbols.where(F.col("kind").isin(*_TYPES)).select(F.col("id").alias("dst")).join(inherits.select(F.col("src").alias("dst")), "dst", "left_semi")
-    makers = symbols.where(F.lower("name").rlike("create|make|build|factory|new")).where(F.col("kind").isin("Function", "Method"))
-    made = calls.join(products, "dst", "left_semi").groupBy(F.col("src").alias("id")).agg(F.count_distinct("dst").alias("n"))
-    return _row(makers.join(made, "id").withColumn("confidence", F.when(F.col("n") >= 2, "high").otherwise("medium")).withColumn("evidence", F.col("n")), "Factory")
+    """Methods that call a class or function with a parent; high if the name speaks of making. Evidence: the number of such products."""
+    products = symbols.where(F.col("kind").isin("Class", "Function")).select(F.col("id").alias("dst")).join(inherits.select(F.col("src").alias("dst")), "dst", "left_semi")
+    made = calls.distinct().join(products, "dst", "left_semi").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("evidence"))
+    sure = F.lower("name").rlike("create|build|make|factory|new_")
+    return _row(symbols.where("kind = 'Method'").join(made, "id").withColumn("confidence", F.when(sure, "high").otherwise("medium")), "Factory")
 
 
 def singletons(symbols: DataFrame) -> DataFrame:

@@ -70,3 +70,11 @@ def vulnerable(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
     """Dependencies (ecosystem, name, version) with an advisory (advisory_id, ecosystem, name, version, severity), worst first."""
     rank = F.expr("case severity when 'CRITICAL' then 0 when 'HIGH' then 1 when 'MEDIUM' then 2 when 'LOW' then 3 else 4 end")
     return dependencies.join(advisories, ["ecosystem", "name", "version"]).withColumn("rank", rank).orderBy("rank", "name", "advisory_id")
+
+
+def filtered(found: DataFrame, least: str | None = None, ecosystem: str | None = None) -> DataFrame:
+    """Rows of ``vulnerable`` of at least a severity and of one ecosystem."""
+    order = ("CRITICAL", "HIGH", "MEDIUM", "LOW")
+    if least is not None:
+        found = found.where(F.col("severity").isin(*order[: order.index(least) + 1]))
+    return found if ecosystem is None else found.where(F.col("ecosystem") == ecosystem)

@@ -34,17 +34,25 @@ def rule_scan(docs: DataFrame, rules: DataFrame) -> DataFrame:
     """One finding a line and rule: (path, line, rule_id, severity, col, snippet).
 
     docs(path, extension, content), rules(rule_id, severity, extensions, pattern, exclude). A rule without extensions is for all
-    files; matching ignores case; col is the 1-based byte offset of the first match; the snippet is trimmed to 120 characters. The
-    rule table is small by nature and broadcast; a document meets a rule only if it holds the pattern at all.
+    files; matching ignores case; col is the 1-based byte offset of the first match; the snippet is trimmed to 120 characters. Rules are
+    a table of some dozens, read at the driver; only documents that hold a pattern are split.
     """
-    rules = F.broadcast(rules.withColumn("pattern", F.lower("pattern")).withColumn("exclude", F.lower("exclude")))
-    fits = (F.size("extensions") == 0) | F.array_contains("extensions", F.col("extension"))
-    met = docs.join(rules, fits & F.lower("content").contains(F.col("pattern")))
-    rows = lines(met.select("path", "rule_id", "severity", "pattern", "exclude", "content"))
-    low = F.lower("content")
-    hit = low.contains(F.col("pattern")) & ~((F.col("exclude") != "") & low.contains(F.col("exclude")))
-    col = F.expr("octet_length(substring_index(lower(content), pattern, 1)) + 1")
-    return rows.where(hit).select("path", F.col("line").cast("long").alias("line"), "rule_id", "severity", col.cast("long").alias("col"), F.substring(F.trim("content"), 1, 120).alias("snippet"))
+    rules = rules.withColumn("pattern", F.lower("pattern")).withColumn("exclude", F.lower("exclude"))
+    # The rules as one array: each line meets them in an expression, so a document is split once and no row is copied per rule.
+    every = [r.asDict() for r in rules.select("rule_id", "severity", "extensions", "pattern", "exclude").collect()]
+    if not every:
+        return docs.select("path", F.lit(0).cast("long").alias("line"), F.lit("").alias("rule_id"), F.lit("").alias("severity"), F.lit(0).cast("long").alias("col"), F.lit("").alias("snippet")).where("false")
+    low = F.lower(F.col("content"))
+    own = lambda r: F.lit(True) if not r["extensions"] else F.col("extension").isin(r["extensions"])
+    some = F.lit(False)
+    for r in every:
+        some = some | (own(r) & low.contains(r["pattern"]))
+    rows = lines(docs.select("path", "extension", "content").where(some)).where(some)
+    fits = lambda r: own(r) & low.contains(r["pattern"]) & (~low.contains(r["exclude"]) if r["exclude"] else F.lit(True))
+    hits = F.filter(F.array(*(F.when(fits(r), F.struct(F.lit(r["rule_id"]).alias("rule_id"), F.lit(r["severity"]).alias("severity"), F.lit(r["pattern"]).alias("pattern"))) for r in every)), lambda x: x.isNotNull())
+    met = rows.select("path", "line", "content", F.explode(hits).alias("hit"))
+    col = F.expr("octet_length(substring_index(lower(content), hit.pattern, 1)) + 1")
+    return met.select("path", F.col("line").cast("long").alias("line"), "hit.rule_id", "hit.severity", col.cast("long").alias("col"), F.substring(F.trim("content"), 1, 120).alias("snippet"))
 
 
 def bm25(docs: DataFrame, query: str, k: int | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:

@@ -201,10 +201,30 @@ def contracts_cross(s, d):
     return a.join(b, "path").where("caller <> target").groupBy("caller", "path").agg(F.min("target").alias("target"))
 
 
-@query("SELECT p_partkey AS id, p_name AS name FROM part WHERE p_brand = 'Brand#11' AND p_size BETWEEN 5 AND 40 AND p_partkey NOT IN (SELECT dst FROM calls) AND p_partkey IN (SELECT src FROM tested_by)", "calls tested_by")
+@query("SELECT id, name FROM people p WHERE kind = 'BUILDING' AND complexity >= 5 AND id NOT IN (SELECT dst FROM inherits) AND (complexity > 40 OR EXISTS (SELECT 1 FROM inherits JOIN people n ON n.id = dst WHERE src = p.id AND n.file IN ('1', '2')))", "people inherits")
 def cypher_exists(s, d):
-    g = PropertyGraph({"Symbol": A.symbols(s, d)}, {"CALLS": A.calls(s, d), "TESTED_BY": A.tested_by(s, d)})
-    return g.cypher("MATCH (n:Symbol {file: 'Brand#11'}) WHERE n.complexity >= 5 AND n.complexity <= 40 AND NOT EXISTS { MATCH ()-[:CALLS]->(n) } AND EXISTS { MATCH (n)-[:TESTED_BY]->() } RETURN n.id AS id, n.name AS name")
+    g = PropertyGraph({"Symbol": A.people(s, d)}, {"INHERITS": A.inherits(s, d)})
+    return g.cypher("MATCH (n:Symbol {kind: 'BUILDING'}) WHERE n.complexity >= 5 AND NOT EXISTS { MATCH ()-[:INHERITS]->(n) } AND (n.complexity > 40 OR EXISTS { MATCH (n)-[:INHERITS]->(p:Symbol) WHERE p.file IN ['1', '2'] }) RETURN n.id AS id, n.name AS name")
+
+
+# Undirected edges, edge counts, zero hops and unbounded walks of the front end.
+@query("WITH e AS (SELECT src AS a, dst AS b FROM inherits UNION ALL SELECT dst, src FROM inherits) SELECT a AS id, count(*) AS n FROM e JOIN people ON id = a WHERE kind <> 'Supplier' GROUP BY a".replace("WITH ", "WITH " + A.SQL["inherits"] + ", " + A.SQL["people"] + ", ", 1))
+def cypher_undirected(s, d):
+    g = PropertyGraph({"Symbol": A.people(s, d)}, {"INHERITS": A.inherits(s, d)})
+    return g.cypher("MATCH (a:Symbol)-[r:INHERITS]-(b) WHERE a.kind <> 'Supplier' RETURN a.id AS id, count(r) AS n")
+
+
+@query(with_tables("inherits people", ", up(id, other) AS (SELECT id, id FROM people UNION SELECT up.id, e.dst FROM up JOIN inherits e ON e.src = up.other) SELECT id, other FROM up JOIN people p USING (id) WHERE p.kind IN ('Supplier', 'Nation')"))
+def cypher_unbounded(s, d):
+    g = PropertyGraph({"Symbol": A.people(s, d)}, {"INHERITS": A.inherits(s, d)})
+    return g.cypher("MATCH (a:Symbol)-[:INHERITS*0..]->(b:Symbol) WHERE a.kind IN ['Supplier', 'Nation'] RETURN a.id AS id, b.id AS other")
+
+
+@query("SELECT id, name, CASE WHEN id IN ('n:1', 'n:2') THEN 'seen' END AS note FROM people WHERE kind <> 'BUILDING' UNION ALL SELECT 'x:1', 'new', 'made'", "people")
+def cypher_writes(s, d):
+    g = PropertyGraph({"Symbol": A.people(s, d)}, {"INHERITS": A.inherits(s, d)})
+    h = g.execute("UNWIND [{id: 'n:1', name: 'a'}, {id: 'n:2'}, {id: 'x:1', name: 'new'}] AS p MERGE (n:Symbol {id: p.id}) ON CREATE SET n.name = p.name, n.note = 'made' ON MATCH SET n.note = 'seen'; MATCH (n:Symbol) WHERE n.kind = 'BUILDING' DETACH DELETE n")
+    return h.nodes["Symbol"].select("id", "name", "note")
 
 
 @query("SELECT b.name, count(*) AS calls, count(DISTINCT a.id) AS callers FROM calls JOIN symbols a ON a.id = src JOIN symbols b ON b.id = dst WHERE a.kind IN ('SMALL', 'PROMO') OR b.name LIKE '%e%' GROUP BY b.name ORDER BY calls DESC, b.name LIMIT 10", "calls symbols")
@@ -294,11 +314,11 @@ def grep_lines(s, d):
 _RULE_ROWS = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in (r, sev, f" {ext} " if ext else "", pat.lower(), ex.lower())) + ")" for r, _, sev, ext, pat, ex in SECURITY)
 
 
-@query(with_tables("files", f""", {_LINES.replace("SELECT id, path,", "SELECT id, path, extension,")}, rules(rule_id, severity, extensions, pattern, exclude) AS (VALUES {_RULE_ROWS})
+@query(with_tables("files", f""", {A.SQL["code"]}, {_LINES.replace("SELECT id, path,", "SELECT id, path, extension,").replace("FROM files", "FROM code")}, rules(rule_id, severity, extensions, pattern, exclude) AS (VALUES {_RULE_ROWS})
 SELECT path, CAST(line AS BIGINT) AS line, rule_id, severity, strlen(string_split(lower(content), pattern)[1]) + 1 AS col, substr(trim(content), 1, 120) AS snippet FROM ln JOIN rules ON contains(lower(content), pattern)
 WHERE (extensions = '' OR contains(extensions, ' ' || extension || ' ')) AND NOT (exclude <> '' AND contains(lower(content), exclude))"""))
 def rule_scan(s, d):
-    return text.rule_scan(A.files(s, d), security_rules(s))
+    return text.rule_scan(A.code(s, d), security_rules(s))
 
 
 @query("SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS text, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title FROM pages")

@@ -83,3 +83,40 @@ new AS (SELECT CASE WHEN source = 'src8' THEN 'src8_new' ELSE source END AS file
 def with_tables(names: str, query: str) -> str:
     """The query below the named common table expressions."""
     return "WITH RECURSIVE " + ",\n".join(SQL[n] for n in names.split()) + "\n" + query
+
+
+_KINDS = "case p_type when 'STANDARD' then 'Function' when 'ECONOMY' then 'Method' when 'MEDIUM' then 'Class' when 'PROMO' then 'Interface' when 'LARGE' then 'Route' else 'Test' end"
+_NAMES = "case p_type when 'ECONOMY' then 'create_' when 'STANDARD' then 'get_' when 'SMALL' then 'test_' else '' end || replace(p_name, ' ', '_') || case when p_type = 'LARGE' then '_handler' else '' end"
+_UNIT = f"p_partkey AS id, {_NAMES} AS name, {_KINDS} AS kind, p_brand AS file, p_size AS start_line, CAST(p_size + floor((p_retailprice - 900) / 10) AS INTEGER) AS end_line, p_size AS complexity, CASE WHEN p_retailprice >= 980 THEN 'public' ELSE '' END AS visibility, p_name || ' of ' || p_brand AS docstring, p_brand || '::' || p_type AS parent"
+SQL["units"] = f"units AS (SELECT {_UNIT} FROM part)"
+SQL["code"] = """code AS (SELECT id, path, extension, language, content || chr(10) || CASE extension
+  WHEN 'py' THEN 'lib = ctypes.CDLL("lib' || id || '.so")' || chr(10) || 'api_key = "k' || id || '"'
+  WHEN 'js' THEN 'WebAssembly.instantiate(buffer' || id || ', {})' || chr(10) || 'eval(text)'
+  WHEN 'java' THEN '  System.loadLibrary("core' || id || '");'
+  ELSE 'import "C"' || chr(10) || 'x := C.call_' || id || '(1)' END AS content FROM files)"""
+
+
+def units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols (id, name, kind, file, start_line, end_line, complexity, visibility, docstring, parent) from parts, named by their kind."""
+    return table(spark, sf_dir, "part").selectExpr(*_split(_UNIT))
+
+
+def code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files (id, path, extension, language, content) with two lines of code below each document, by its extension."""
+    line = F.expr("""case extension
+      when 'py' then concat('lib = ctypes.CDLL("lib', id, '.so")\\napi_key = "k', id, '"')
+      when 'js' then concat('WebAssembly.instantiate(buffer', id, ', {})\\neval(text)')
+      when 'java' then concat('  System.loadLibrary("core', id, '");')
+      else concat('import "C"\\nx := C.call_', id, '(1)') end""")
+    return files(spark, sf_dir).select("id", "path", "extension", "language", F.concat("content", F.lit("\n"), line).alias("content"))
+
+
+def _split(columns: str) -> list[str]:
+    """Top-level parts of a comma-separated list."""
+    out, depth, start = [], 0, 0
+    for i, c in enumerate(columns):
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            out.append(columns[start:i])
+            start = i + 1
+    return [*out, columns[start:]]
