@@ -179,13 +179,13 @@ def pick_elsewhere(calls: DataFrame, least: DataFrame, keys: list[str]) -> DataF
     return told.select("call_id", F.when(F.col("first_file") != F.col("file"), F.col("first")).otherwise(F.col("second")).alias("target")).where("target is not null")
 
 
-def louvain(edges: DataFrame, nodes: DataFrame, sweeps: int = 40) -> DataFrame:
+def louvain(edges: DataFrame, nodes: DataFrame, sweeps: int = 20, parts: int = 4) -> DataFrame:
     """(id, community): one level of modularity moves, as synchronous rounds of joins.
 
     Weights count parallel and antiparallel edges; loops don't count. In each round a node joins the neighbouring community with the
-    largest gain if that is positive; half of the nodes may move in a round and the other half in the next, and of two single nodes only the
-    larger id moves, so that they don't swap. It ends after four rounds without a move (two of either half). Ties to the smallest
-    community; a community is named by its smallest member at the end.
+    largest gain if that is positive. A sweep is ``parts`` rounds, each for the nodes of one part by hash, so that moves see most of the
+    others'; of two single nodes only the larger id moves. It ends when no part moved twice in turn. Ties to the smallest community;
+    a community is named by its smallest member at the end.
     """
     pair = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).groupBy("a", "b").agg(F.count("*").cast("double").alias("w"))
     both = materialize(pair.unionByName(pair.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")), "weights")
@@ -195,7 +195,7 @@ def louvain(edges: DataFrame, nodes: DataFrame, sweeps: int = 40) -> DataFrame:
         return place.select(F.col("a").alias("id"), "community")
     degree_of = materialize(both.groupBy("a").agg(F.sum("w").alias("k")), "degrees")
     quiet = 0
-    for turn in range(sweeps):
+    for turn in range(sweeps * parts):
         size = place.join(degree_of, "a").groupBy("community").agg(F.sum("k").alias("tot"), F.count("*").alias("members"))
         ends = both.join(place.select(F.col("a").alias("b"), "community"), "b").groupBy("a", "community").agg(F.sum("w").alias("inside"))
         own = place.join(degree_of, "a").join(size, "community").select("a", F.col("community").alias("mine"), "k", F.col("tot").alias("own_tot"), F.col("members").alias("own_members"))
@@ -203,14 +203,14 @@ def louvain(edges: DataFrame, nodes: DataFrame, sweeps: int = 40) -> DataFrame:
         stay = ends.select("a", F.col("community").alias("mine"), F.col("inside").alias("own_inside"))
         option = option.where("community <> mine").join(stay, ["a", "mine"], "left")
         gain = (F.col("inside") - F.coalesce("own_inside", F.lit(0.0))) / total - (F.col("tot") - (F.col("own_tot") - F.col("k"))) * F.col("k") / (total * total)
-        calm = ~((F.col("own_members") == 1) & (F.col("members") == 1) & (F.col("community") > F.col("mine"))) & (F.pmod(F.xxhash64("a", F.lit(turn // 2)) + turn, F.lit(2)) == 0)
+        calm = ~((F.col("own_members") == 1) & (F.col("members") == 1) & (F.col("community") > F.col("mine"))) & (F.pmod(F.xxhash64("a", F.lit(turn // parts)) + turn, F.lit(parts)) == 0)
         best = option.withColumn("gain", gain).where((F.col("gain") > 1e-12) & calm).groupBy("a").agg(F.min_by("community", F.struct(-F.col("gain"), "community")).alias("to"))
         place = materialize(place.join(best, "a", "left").select("a", F.coalesce("to", "community").alias("community"), F.col("to").isNotNull().alias("moved")), "place")
         moved = place.where("moved").limit(1).count()
         place = place.drop("moved")
         quiet = 0 if moved else quiet + 1
-        # Half of the nodes may move in a round: only after calm rounds of both halves nobody wants to.
-        if quiet >= 4:
+        # A part of the nodes may move in a round: only when every part has been calm in turn nobody wants to.
+        if quiet >= 2 * parts:
             break
     name = place.groupBy("community").agg(F.min("a").alias("name"))
     return place.join(name, "community").select(F.col("a").alias("id"), F.col("name").alias("community"))

@@ -11,9 +11,9 @@ from codeweave.operators.text import normalised_route
 
 
 def combined(nodes: dict[str, DataFrame], edges: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of repositories in one graph, ids prefixed with ``[repo]::`` and tagged with the repository."""
+    """Nodes and edges of repositories in one graph, ids prefixed with ``[repo]::`` and tagged with the repository; None for a side without tables."""
     tag = lambda t, repo, ids: reduce(lambda d, c: d.withColumn(c, F.concat(F.lit(f"[{repo}]::"), F.col(c).cast("string"))), ids, t).withColumn("repo", F.lit(repo))
-    union = lambda parts: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    union = lambda parts: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
     return union([tag(t, r, ["id"]) for r, t in nodes.items()]), union([tag(t, r, ["src", "dst"]) for r, t in edges.items()])
 
 

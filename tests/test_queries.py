@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from codeweave.plans import catalog
+from codeweave.plans import catalog, catalog_symbols  # noqa: F401 - registers its queries in the catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
