@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Longer texts are no training rows of the classifiers, which bring whole texts of a bounded number of rows to the driver.
 TRAINING_BYTES = 1 << 16
 
@@ -184,7 +184,7 @@ def in_small_batches(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return run
 
 
-def by_bytes(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4 << 20, operator: str = "") -> Iterator[pa.RecordBatch]:
+def by_bytes(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 2 << 20, operator: str = "") -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds about ``most`` bytes of text, or one row; gives memory back after each batch.
 
     operator: whose ``kept`` values stay in the worker.

@@ -107,6 +107,7 @@ def _support_sender(bits: int):
 
 
 def _support_receiver(table: pa.Table) -> pa.Table:
+    common.starts("jaccard")
     ids, lone, sizes = [], [], []
     pres = [np.frombuffer(x, np.uint32) for x in table["pres"].to_pylist()]
     res = [np.frombuffer(x, np.uint32) for x in table["res"].to_pylist()]
@@ -165,6 +166,7 @@ def _verify(percent: int):
     """Keep the pairs whose sets reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.starts("jaccard")
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
@@ -225,6 +227,7 @@ def _meet(percent: int):
         return [(ids[i], ids[j]) for i, j in link_forest(sets, percent)] if len(ids) > 1 else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.starts("jaccard")
         key, ids, sets, out = None, [], [], []
         for batch in batches:
             for k, h, block, i, grams in zip(*(batch.column(c).to_pylist() for c in range(5))):
@@ -254,6 +257,7 @@ def first_token_links(reps: DataFrame, percent: int) -> DataFrame:
 
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(comp, grams) to (h, comp), each hash once in a batch and component; hashes as signed longs."""
+    common.starts("jaccard")
     for batch in batches:
         comps, at = np.unique(batch.column(0).to_numpy(), return_inverse=True)
         grams = [np.frombuffer(x.as_buffer(), U64) for x in batch.column(1)]
@@ -271,6 +275,7 @@ def _shared_counter(broadcast, percent: int):
     """Keep rows (…, grams last) of which the threshold's part lies in the broadcast sorted array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.starts("jaccard")
         shared = np.frombuffer(broadcast.value, U64)
         for batch in batches:
             keep = []
@@ -286,6 +291,7 @@ def _shared_counter(broadcast, percent: int):
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    common.starts("jaccard")
     for batch in batches:
         for i, n, comp, x in zip(*(batch.column(k) for k in range(4))):
             g = np.frombuffer(x.as_buffer(), np.int64)
@@ -295,6 +301,7 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _prefixes(percent: int, orders: int):
     def run(table: pa.Table) -> pa.Table:
+        common.starts("jaccard")
         h, df = table["h"].to_numpy(), table["df"].to_numpy()
         n = int(table["n"][0].as_py())
         length = n - -(-percent * n // 100) + 1

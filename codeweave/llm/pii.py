@@ -90,7 +90,7 @@ STRIDE = WINDOW - SHARED
 #: Windows a matrix product of the prediction: so few that BLAS starts no threads, which cost more CPU time than they save.
 BLOCK = 128
 #: Windows whose states are held at once, and the gain of a character that lies in no text.
-HELD, OUTSIDE = 1024, -1e4
+HELD, OUTSIDE = 512, -1e4
 
 _class_table = np.full(0x250, 5, np.int8)
 for _c in range(0x250):
