@@ -10,7 +10,7 @@ from functools import wraps
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -208,6 +208,19 @@ def keyed_remainder(doc_id: Column | str, modulus: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % modulus
 
 
+def drawn(rows: DataFrame, sample: int, group: str) -> DataFrame:
+    """The distinct (doc_id, group) of rows with the smallest hashes of doc_id, at most ``sample`` a group; groups are few.
+
+    Rows whose hash is far beyond what a group's count lets through are dropped where they are read, so about four times the sample is
+    ranked, whatever the table holds.
+    """
+    hashed = rows.select("doc_id", group, F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)).alias("_hash"))
+    counts = rows.groupBy(group).agg(F.count("*").cast("double").alias("_rows"))
+    near = hashed.join(F.broadcast(counts), group).where(F.col("_hash") * F.col("_rows") < 4.0 * sample * (1 << 31)).select("doc_id", group, "_hash").distinct()
+    ranked = near.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy("_hash", "doc_id")))
+    return ranked.where(F.col("_rank") <= sample).select("doc_id", group)
+
+
 def fits(df: DataFrame, most: int) -> bool:
     """Whether df has at most ``most`` rows; reads no more than one row over."""
     return df.limit(most + 1).count() <= most

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeweave.llm import common
@@ -284,10 +284,8 @@ def labelled_texts(docs: DataFrame, train: str, sample: int) -> tuple[list[str],
     Languages are a closed set of a few names. Texts of more than ``common.TRAINING_BYTES`` bytes are no training rows, so what
     reaches the driver has a bound.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).where("doc_id is not null and lang is not null").where(train).distinct()
-    # Each task keeps its own first rows of a language before any are shuffled.
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("rank") <= sample)
-    few = docs.sparkSession.createDataFrame(ranked.select("doc_id", "lang").toArrow())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).where("doc_id is not null and lang is not null").where(train)
+    few = docs.sparkSession.createDataFrame(common.drawn(rows, sample, "lang").toArrow())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     texts = texts.where(F.octet_length("text") <= common.TRAINING_BYTES)
     got = texts.join(F.broadcast(few), ["doc_id", "lang"]).toPandas().sort_values(["doc_id", "lang", "text"])

@@ -505,8 +505,8 @@ def fit(docs: DataFrame, sample: int = 4000, windows: tuple[int, int, int] = TRA
     The rows are cut into labelled windows where they lie; of each sort at most ``windows`` reach the driver, drawn by a random
     number, 2 * TRAINED bytes each. Null ids and texts are no training rows; without any the network stays as it began.
     """
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    few = docs.sparkSession.createDataFrame(ids.toArrow())
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(1).alias("all")).where("doc_id is not null")
+    few = docs.sparkSession.createDataFrame(common.drawn(ids, sample, "all").select("doc_id").toArrow())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(few), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeweave.llm.common import TRAINING_BYTES, by_bytes, mix64, shingle_sets
+from codeweave.llm.common import TRAINING_BYTES, by_bytes, drawn, mix64, shingle_sets
 
 # Closed word classes of the grammar, in English, German, French and Spanish.
 THREATS = ("kill", "hurt", "destroy", "shoot", "burn", "attack", "smash", "töten", "umbringen", "schlagen", "vernichten", "tuer", "frapper", "détruire", "brûler", "matar", "golpear", "destruir", "quemar")
@@ -244,11 +244,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, train: str,
     """
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").where(train)
     rows = rows.groupBy("doc_id").agg(F.max("y").alias("y"))
-    picked = None
-    for y in (0, 1):
-        part = rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-        picked = part if picked is None else picked.union(part)
-    ids = picked.toPandas()
+    ids = drawn(rows, sample, "y").toPandas()
     if not len(ids):
         return [], []
     few = docs.sparkSession.createDataFrame(ids)

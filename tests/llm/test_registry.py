@@ -88,3 +88,17 @@ def test_base_columns_equal_sql(spark, tables):
     got = R.op2_context_tree(spark, folder).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score").orderBy("doc_id").collect()
     for g, w in zip(got, want, strict=True):
         assert tuple(g)[:5] == w[:5] and g[5] == pytest.approx(w[5], rel=1e-9)
+
+
+def test_drawn_rows_are_the_smallest_of_each_group(spark):
+    from pyspark.sql import functions as F
+
+    from codeweave.llm import common
+
+    rows = spark.range(5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 500 == 0, "few").otherwise("many").alias("g"))
+    rows = rows.unionAll(rows.where("doc_id < 2000")).unionAll(spark.createDataFrame([(None, "none")], "doc_id long, g string").where("false"))
+    got = common.drawn(rows, 40, "g").collect()
+    hashes = {r.doc_id: (r.h, r.doc_id) for r in rows.select("doc_id", F.expr("pmod(xxhash64(doc_id), 2147483648)").alias("h")).distinct().collect()}
+    many = sorted((i for i in range(5000) if i % 500), key=hashes.get)[:40]
+    assert {r.doc_id for r in got if r.g == "many"} == set(many) and sum(r.g == "few" for r in got) == 10 and len(got) == 50
+    assert common.drawn(rows.where("false"), 3, "g").collect() == []
