@@ -63,10 +63,11 @@ def bm25(docs: DataFrame, query: str, k: int | None = None, k1: float = 1.2, b:
     spark: SparkSession = docs.sparkSession
     wanted = [r[0] for r in spark.range(1).select(F.explode(tokens(F.lit(query)))).collect()]
     terms = sorted(set(wanted))
-    # One row a token, summed again within the task that made it: a row a document is shuffled.
-    token = docs.select("id", F.explode_outer(F.split(F.lower("content"), r"[^\p{L}\p{N}_]+")).alias("t"))
-    times = [F.count(F.when(F.col("t") == w, 1)).cast("double").alias(f"tf{i}") for i, w in enumerate(terms)]
-    counted = materialize(token.groupBy("id").agg(F.count(F.when(F.octet_length("t") > 1, 1)).cast("double").alias("dl"), *times), "terms")
+    # Counted inside each document, by what is left of its tokens without a term.
+    split = docs.select("id", F.split(F.lower("content"), r"[^\p{L}\p{N}_]+").alias("t"))
+    size = lambda c: F.greatest(F.size(c), F.lit(0))
+    times = [(size("t") - size(F.array_remove("t", w))).cast("double").alias(f"tf{i}") for i, w in enumerate(terms)]
+    counted = materialize(split.select("id", size(F.filter("t", lambda x: F.octet_length(x) > 1)).cast("double").alias("dl"), *times), "terms")
     stats = counted.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"), *(F.sum(F.when(F.col(f"tf{i}") > 0, 1.0).otherwise(0.0)).alias(f"df{i}") for i in range(len(terms))))
     if not terms:
         return counted.where("false").select("id", F.lit(0.0).alias("score"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,58 +36,78 @@ def hybrid(lexical: DataFrame, vector: DataFrame, alpha: float, k: int, times: i
 def similar_pairs(vectors: DataFrame, threshold: float, block: int = 2048) -> DataFrame:
     """(a, b, score): pairs a < b of vectors(id, owner, embedding) of different owners with dot product >= threshold.
 
-    Every pair has to be looked at, so vectors are packed into blocks by hash and each pair of blocks is one matrix product in
-    one task; only pairs over the threshold come out. The work is quadratic, as an exact answer without an index is.
+    Every pair has to be looked at, so vectors are packed into blocks by hash. Each block is dealt to the tasks of the pairs of blocks
+    that it is in, and a pair is one matrix product; only pairs over the threshold come out. The work is quadratic, as an exact
+    answer without an index is; a task holds two blocks, whatever the table.
     """
-    packed = vectors.select("id", "owner", "embedding", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-vectors.count() // block)))).alias("part"))
-    blocks = packed.groupBy("part").agg(F.collect_list(F.struct("id", "owner", "embedding")).alias("rows"))
-    pairs = blocks.select(F.col("part").alias("p"), F.col("rows").alias("x")).join(blocks.select(F.col("part").alias("q"), F.col("rows").alias("y")), F.col("p") <= F.col("q"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for p, x, q, y in batch[["p", "x", "q", "y"]].itertuples(index=False):
-                a, b = (np.array([r["embedding"] for r in rows], np.float64) for rows in (x, y))
-                ia, ib = (np.array([r["id"] for r in rows]) for rows in (x, y))
-                oa, ob = (np.array([r["owner"] for r in rows]) for rows in (x, y))
-                score = a @ b.T
-                i, j = np.nonzero((score >= threshold) & (oa[:, None] != ob[None]) & ((ia[:, None] < ib[None]) if p == q else (ia[:, None] != ib[None])))
-                yield pd.DataFrame({"a": np.minimum(ia[i], ib[j]), "b": np.maximum(ia[i], ib[j]), "score": score[i, j]})
-
-    return pairs.mapInPandas(run, "a long, b long, score double")
+    blocks = max(1, -(-vectors.count() // block))
+    packed = vectors.select("id", "owner", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    dealt = packed.withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other")})
+
+    def solve(table: pa.Table) -> pa.Table:
+        part = table["part"].to_numpy()
+        x = np.stack(table["embedding"].to_numpy(zero_copy_only=False)).astype(np.float64)
+        ids, owners = table["id"].to_numpy(), np.array(table["owner"].to_pylist(), dtype=object)
+        p, q = table["p"][0].as_py(), table["q"][0].as_py()
+        left, right = np.flatnonzero(part == p), np.flatnonzero(part == q)
+        score = x[left] @ x[right].T
+        ia, ib = ids[left], ids[right]
+        fits = (score >= threshold) & (owners[left][:, None] != owners[right][None])
+        i, j = np.nonzero(fits & ((ia[:, None] < ib[None]) if p == q else np.ones_like(fits)))
+        return pa.table({"a": np.minimum(ia[i], ib[j]), "b": np.maximum(ia[i], ib[j]), "score": score[i, j]})
+
+    return dealt.groupBy("p", "q").applyInArrow(solve, "a long, b long, score double")
+
+
+# Start and factor of the 64-bit FNV-1a hash, set by its definition.
+FNV_START, FNV_FACTOR = 0xCBF29CE484222325, 0x100000001B3
+
+
+def fnv(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hashes of many slices of one byte buffer at once: a step a byte of the longest."""
+    h = np.full(len(starts), FNV_START, np.uint64)
+    order = np.argsort(-sizes, kind="stable")
+    starts, sizes = starts[order], sizes[order]
+    out = np.empty_like(h)
+    for k in range(int(sizes[0]) if len(sizes) else 0):
+        n = int(np.searchsorted(-sizes, -k, "left"))
+        h[:n] = (h[:n] ^ data[starts[:n] + k]) * np.uint64(FNV_FACTOR)
+    out[order] = h
+    return out
+
+
+def trigram_vectors(texts: list[str], dim: int = 256) -> np.ndarray:
+    """Unit vectors of hashed character trigrams (single characters and the pair of shorter texts), whole tokens at half weight."""
+    rows, weights, pieces = [], [], []
+    for row, low in enumerate(texts):
+        short = len(low) < 3
+        grams = [low[i : i + 3] for i in range(len(low) - 2)]
+        tokens = [t for t in _NO_WORD.split(low) if len(t.encode()) > 1]
+        some = [bytes((ord(c) & 255,)) for c in low] if short else []
+        some += [low.encode()] if len(low) == 2 else []
+        own = some + [g.encode() for g in grams] + [t.encode() for t in tokens]
+        pieces += own
+        rows += [row] * len(own)
+        weights += [1.0] * (len(own) - len(tokens)) + [0.5] * len(tokens)
+    sizes = np.array([len(p) for p in pieces], np.int64)
+    data = np.frombuffer(b"".join(pieces), np.uint8).astype(np.uint64)
+    slot = (fnv(data, np.cumsum(sizes) - sizes, sizes) % np.uint64(dim)).astype(np.int64)
+    v = np.bincount(np.array(rows, np.int64) * dim + slot, weights, len(texts) * dim).reshape(-1, dim) if len(pieces) else np.zeros((len(texts), dim))
+    norm = np.sqrt((v * v).sum(1, keepdims=True))
+    return np.divide(v, norm, out=v, where=norm > 0)
+
+
+_NO_WORD = re.compile(r"[^\w]+", re.UNICODE)
 
 
 def trigram_embedding(dim: int = 256):
-    """A vectorised function text -> unit vector: hashed character trigrams, whole tokens at half weight."""
-    import re
-
-    split = re.compile(r"[^\w]+", re.UNICODE)
-
-    def fnv(raw: bytes) -> int:
-        # FNV-1a with 64 bits; both constants are fixed by its definition.
-        h = 0xCBF29CE484222325
-        for c in raw:
-            h = (h ^ c) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-        return h
-
-    def one(text: str | None) -> list[float]:
-        v, low = np.zeros(dim), (text or "").lower()
-        if len(low) < 3:
-            for c in low:
-                v[fnv(bytes((ord(c) & 255,))) % dim] += 1
-            if len(low) == 2:
-                v[fnv(low.encode()) % dim] += 1
-        for i in range(len(low) - 2):
-            v[fnv(low[i : i + 3].encode()) % dim] += 1
-        for t in split.split(low):
-            if len(t.encode()) > 1:
-                v[fnv(t.encode()) % dim] += 0.5
-        norm = float(np.sqrt((v * v).sum()))
-        return (v / norm if norm else v).astype(float).tolist()
+    """A vectorised function text -> unit vector, as ``trigram_vectors`` gives it; a null text is empty."""
 
     @F.pandas_udf("array<float>")
     def embed(texts: pd.Series) -> pd.Series:
-        known = {t: one(t) for t in set(texts)}
-        return texts.map(known.get)
+        known = {t: k for k, t in enumerate(dict.fromkeys((t or "").lower() for t in texts))}
+        vectors = trigram_vectors(list(known), dim).astype(float)
+        return pd.Series([vectors[known[(t or "").lower()]].tolist() for t in texts])
 
     return embed
 
@@ -101,4 +122,6 @@ def hashed_neighbours(vectors: DataFrame, queries: DataFrame, k: int, tables: in
     flipped = lambda i: F.expr(f"concat(left(key, length(key) - {i + 1}), translate(substr(key, -{i + 1}, 1), '01', '10'), right(key, {i}))")
     a = keyed(queries).select(F.col("id").alias("query"), F.col("embedding").alias("q"), F.explode(F.array("key", *map(flipped, range(bits)))).alias("key"))
     met = a.join(keyed(vectors), "key").where("query <> id").dropDuplicates(["query", "id"]).select("query", "id", dot(F.col("q"), F.col("embedding")).alias("score"))
-    return met.groupBy("query").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", (-F.col("id")).alias("minus"))), asc=False), 1, k).alias("best")).select("query", F.explode("best").alias("x")).select("query", (-F.col("x.minus")).alias("id"), "x.score")
+    # Each task keeps its own best rows of a query before any are shuffled, so no query's candidates are gathered.
+    best = met.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id")))
+    return best.where(F.col("rank") <= k).select("query", "id", "score")

@@ -37,3 +37,44 @@ def test_wiki(spark):
     stored = spark.createDataFrame([(1,), (2,), (3,)], "id long")
     write, gone = wiki.synchronised(stored, remote, "2024-02-01")
     assert rows(write, "id") == [(2,), (4,)] and rows(gone) == [(3,)]
+
+
+def test_trigram_vectors_equal_plain_code():
+    import re
+
+    import numpy as np
+
+    from codeweave.operators import vectors as V
+
+    def fnv(raw):
+        h = V.FNV_START
+        for c in raw:
+            h = (h ^ c) * V.FNV_FACTOR & 0xFFFFFFFFFFFFFFFF
+        return h
+
+    def one(low):
+        v = np.zeros(256)
+        short = [bytes((ord(c) & 255,)) for c in low] if len(low) < 3 else []
+        for piece in short + ([low.encode()] if len(low) == 2 else []) + [low[i : i + 3].encode() for i in range(len(low) - 2)]:
+            v[fnv(piece) % 256] += 1
+        for t in re.split(r"[^\w]+", low):
+            if len(t.encode()) > 1:
+                v[fnv(t.encode()) % 256] += 0.5
+        return v / np.sqrt((v * v).sum()) if v.any() else v
+
+    texts = ["hello world", "ab", "a", "", "é", "the é x_y 12 日本語", "hello world"]
+    assert np.allclose(V.trigram_vectors(texts), [one(t) for t in texts]) and V.trigram_vectors([]).shape == (0, 256)
+
+
+def test_similar_pairs_over_many_blocks(spark):
+    import random
+
+    from codeweave.operators import vectors as V
+
+    rng = random.Random(1)
+    rows = [(i, rng.randint(0, 2), [rng.gauss(0, 1) for _ in range(4)]) for i in range(60)] + [(60, None, [1.0] * 4)]
+    table = spark.createDataFrame(rows, "id long, owner int, embedding array<float>")
+    f = {r.id: [float(x) for x in r.embedding] for r in table.collect()}
+    dot = lambda a, b: sum(x * y for x, y in zip(f[a], f[b]))
+    want = {(a, b) for a, oa, _ in rows for b, ob, _ in rows if a < b and oa != ob and dot(a, b) >= 1.5}
+    assert {(r.a, r.b) for r in V.similar_pairs(table, 1.5, 7).collect()} == want and len(want) > 30
