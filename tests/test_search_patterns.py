@@ -7,7 +7,7 @@ def rows(df, *columns):
 
 
 def test_patterns(spark):
-    s = spark.createDataFrame([("B", "Base", "Class", ""), ("C1", "One", "Class", ""), ("C2", "Two", "Class", ""), ("mk", "create_it", "Function", ""), ("C1.get", "get_instance", "Method", "C1"), ("C1.i", "_instance", "Field", "C1"), ("C2.sub", "subscribe", "Method", "C2"), ("C2.n", "notify", "Method", "C2"), ("B.run", "run", "Method", "B"), ("C2.run", "run", "Method", "C2")], "id string, name string, kind string, parent string")
+    s = spark.createDataFrame([("B", "Base", "Class", ""), ("C1", "One", "Class", ""), ("C2", "Two", "Class", ""), ("mk", "create_it", "Method", ""), ("C1.get", "get_instance", "Method", "C1"), ("C1.i", "_instance", "Field", "C1"), ("C2.sub", "subscribe", "Method", "C2"), ("C2.n", "notify", "Method", "C2"), ("B.run", "run", "Method", "B"), ("C2.run", "run", "Method", "C2")], "id string, name string, kind string, parent string")
     calls = spark.createDataFrame([("mk", "C1"), ("mk", "C2"), ("C2.run", "B.run")], "src string, dst string")
     up = spark.createDataFrame([("C1", "B"), ("C2", "B"), ("C3", "B")], "src string, dst string")
     assert rows(patterns.detect(s, calls, up), "pattern", "id", "confidence") == [("Decorator", "C2", "medium"), ("Factory", "mk", "high"), ("Observer", "C2", "medium"), ("Singleton", "C1", "high"), ("Strategy", "B", "medium")]
