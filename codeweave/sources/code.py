@@ -81,20 +81,85 @@ def python_pack(path: str, content: str) -> tuple[list[tuple], list[tuple]]:
     return list(first.values()), relations
 
 
+_CLASS, _FN = r"^\s*(?:[\w@]+\s+)*class\s+(\w+)", r"^\s*(?:[\w@]+\s+)*(?:function|func|fun|fn|def|sub|proc|procedure)\s+(?:\w+[.:])?(\w+[?!]?)"
 #: Line patterns of languages without a parser here: (kind, pattern with the name as group 1).
 PATTERNS = {
-    "js ts jsx tsx": (("Class", r"^\s*(?:export\s+)?(?:default\s+)?class\s+(\w+)"), ("Function", r"^\s*(?:export\s+)?(?:async\s+)?function\s*\*?\s*(\w+)"), ("Function", r"^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?\([^)]*\)\s*=>"), ("Interface", r"^\s*(?:export\s+)?interface\s+(\w+)")),
-    "go": (("Function", r"^func\s+(?:\([^)]*\)\s*)?(\w+)\s*\("), ("Struct", r"^type\s+(\w+)\s+struct\b"), ("Interface", r"^type\s+(\w+)\s+interface\b")),
-    "rs": (("Function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+(\w+)"), ("Struct", r"^\s*(?:pub\s+)?struct\s+(\w+)"), ("Trait", r"^\s*(?:pub\s+)?trait\s+(\w+)"), ("Enum", r"^\s*(?:pub\s+)?enum\s+(\w+)")),
-    "java cs kt": (("Class", r"^\s*(?:\w+\s+)*class\s+(\w+)"), ("Interface", r"^\s*(?:\w+\s+)*interface\s+(\w+)"), ("Enum", r"^\s*(?:\w+\s+)*enum\s+(\w+)"), ("Method", r"^\s+(?:public|private|protected|internal|static|final|override|async|fun|\s)+[\w<>\[\],.? ]*?\b(\w+)\s*\([^;]*\)\s*(?:throws [\w, .]+)?\{")),
-    "rb": (("Class", r"^\s*class\s+(\w+)"), ("Module", r"^\s*module\s+(\w+)"), ("Method", r"^\s*def\s+(?:self\.)?(\w+[?!]?)")),
-    "php": (("Class", r"^\s*(?:abstract\s+|final\s+)?class\s+(\w+)"), ("Function", r"^\s*(?:(?:public|private|protected|static)\s+)*function\s+(\w+)")),
-    "c h cpp hpp": (("Function", r"^[\w*&:<>]+[\w\s*&:<>]*?\b(\w+)\s*\([^;]*\)\s*\{"), ("Struct", r"^\s*(?:typedef\s+)?struct\s+(\w+)"), ("Class", r"^\s*class\s+(\w+)")),
+    "js ts jsx tsx mjs cjs": (("Class", r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)"), ("Function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)"), ("Function", r"^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?\([^)]*\)\s*=>"), ("Interface", r"^\s*(?:export\s+)?interface\s+(\w+)"), ("Enum", r"^\s*(?:export\s+)?enum\s+(\w+)"), ("Method", r"^\s+(?:(?:public|private|protected|static|async|get|set)\s+)*(?!if\b|for\b|while\b|switch\b|catch\b|return\b)(\w+)\s*\([^;]*\)\s*(?::\s*[\w<>\[\]| ]+)?\{")),
+    "go": (("Function", r"^func\s+(?:\([^)]*\)\s*)?(\w+)\s*[\[(]"), ("Struct", r"^type\s+(\w+)\s+struct\b"), ("Interface", r"^type\s+(\w+)\s+interface\b")),
+    "rs": (("Function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:const\s+|async\s+|unsafe\s+|extern\s+\S+\s+)*fn\s+(\w+)"), ("Struct", r"^\s*(?:pub(?:\([^)]*\))?\s+)?struct\s+(\w+)"), ("Trait", r"^\s*(?:pub(?:\([^)]*\))?\s+)?trait\s+(\w+)"), ("Enum", r"^\s*(?:pub(?:\([^)]*\))?\s+)?enum\s+(\w+)"), ("Module", r"^\s*(?:pub\s+)?mod\s+(\w+)")),
+    "java cs kt kts groovy": (("Class", r"^\s*(?:\w+\s+)*class\s+(\w+)"), ("Interface", r"^\s*(?:\w+\s+)*interface\s+(\w+)"), ("Enum", r"^\s*(?:\w+\s+)*enum\s+(\w+)"), ("Struct", r"^\s*(?:\w+\s+)*(?:struct|record)\s+(\w+)"), ("Method", r"^\s*(?:\w+\s+)*fun\s+(?:<[^>]*>\s*)?(\w+)\s*\("), ("Method", r"^\s+(?:public|private|protected|internal|static|final|override|async|def|\s)+[\w<>\[\],.? ]*?\b(\w+)\s*\([^;]*\)\s*(?:throws [\w, .]+)?\{")),
+    "rb cr": (("Class", r"^\s*(?:abstract\s+)?class\s+(\w+)"), ("Module", r"^\s*module\s+(\w+)"), ("Method", r"^\s*def\s+(?:self\.)?(\w+[?!]?)")),
+    "php": (("Class", r"^\s*(?:abstract\s+|final\s+)?class\s+(\w+)"), ("Interface", r"^\s*interface\s+(\w+)"), ("Trait", r"^\s*trait\s+(\w+)"), ("Function", r"^\s*(?:(?:public|private|protected|static|abstract|final)\s+)*function\s+&?(\w+)")),
+    "c h cpp hpp cc cxx hh m mm cu": (("Function", r"^[\w*&:<>]+[\w\s*&:<>]*?\b(\w+)\s*\([^;]*\)\s*(?:const\s*)?\{"), ("Struct", r"^\s*(?:typedef\s+)?struct\s+(\w+)\s*(?:\{|:|$)"), ("Class", r"^\s*class\s+(\w+)"), ("Class", r"^@(?:interface|implementation)\s+(\w+)"), ("Enum", r"^\s*(?:typedef\s+)?enum\s+(?:class\s+)?(\w+)")),
+    "swift": (("Class", _CLASS), ("Struct", r"^\s*(?:\w+\s+)*struct\s+(\w+)"), ("Interface", r"^\s*(?:\w+\s+)*protocol\s+(\w+)"), ("Enum", r"^\s*(?:\w+\s+)*enum\s+(\w+)"), ("Function", r"^\s*(?:\w+\s+)*func\s+(\w+)")),
+    "scala sc": (("Class", r"^\s*(?:\w+\s+)*class\s+(\w+)"), ("Trait", r"^\s*(?:\w+\s+)*trait\s+(\w+)"), ("Module", r"^\s*(?:\w+\s+)*object\s+(\w+)"), ("Function", r"^\s*(?:\w+\s+)*def\s+(\w+)")),
+    "dart": (("Class", r"^\s*(?:abstract\s+)?class\s+(\w+)"), ("Enum", r"^\s*enum\s+(\w+)"), ("Function", r"^\s*(?:static\s+)?[\w<>?,]+\s+(?!return\b)(\w+)\s*\([^;]*\)\s*(?:async\s*)?\{")),
+    "lua": (("Function", r"^\s*(?:local\s+)?function\s+(?:\w+[.:])*(\w+)"),),
+    "pl pm": (("Module", r"^\s*package\s+([\w:]+)"), ("Function", r"^\s*sub\s+(\w+)")),
+    "r": (("Function", r"^\s*([\w.]+)\s*(?:<-|=)\s*function\s*\("),),
+    "jl": (("Struct", r"^\s*(?:mutable\s+)?struct\s+(\w+)"), ("Module", r"^\s*module\s+(\w+)"), ("Function", r"^\s*function\s+([\w.]+!?)"), ("Function", r"^(\w+!?)\([^)]*\)\s*=")),
+    "ex exs": (("Module", r"^\s*defmodule\s+([\w.]+)"), ("Interface", r"^\s*defprotocol\s+([\w.]+)"), ("Function", r"^\s*defp?\s+(\w+[?!]?)")),
+    "erl hrl": (("Module", r"^-module\((\w+)\)"), ("Function", r"^([a-z]\w*)\([^)]*\)\s*(?:when\b.*)?->")),
+    "hs": (("Module", r"^module\s+([\w.]+)"), ("Struct", r"^(?:data|newtype)\s+(\w+)"), ("Interface", r"^class\s+(?:.*=>\s*)?(\w+)"), ("Function", r"^([a-z]\w*)\s*::")),
+    "ml mli fs fsi": (("Module", r"^\s*module\s+(\w+)"), ("Struct", r"^\s*type\s+(\w+)"), ("Function", r"^\s*let\s+(?:rec\s+|inline\s+)*(\w+)")),
+    "clj cljs cljc": (("Module", r"^\(ns\s+([\w.-]+)"), ("Interface", r"^\(defprotocol\s+([\w-]+)"), ("Struct", r"^\(defrecord\s+([\w-]+)"), ("Function", r"^\(defn-?\s+([\w?!*-]+)")),
+    "el lisp scm rkt": (("Function", r"^\s*\((?:defun|define|defmacro)\s+\(?([\w?!*-]+)"),),
+    "sh bash zsh": (("Function", r"^\s*(?:function\s+)?(\w[\w-]*)\s*\(\)\s*\{?"), ("Function", r"^\s*function\s+(\w[\w-]*)")),
+    "ps1 psm1": (("Class", r"(?i)^\s*class\s+(\w+)"), ("Function", r"(?i)^\s*function\s+([\w-]+)")),
+    "vb bas cls frm ctl": (("Class", r"(?i)^\s*(?:\w+\s+)*class\s+(\w+)"), ("Module", r"(?i)^\s*(?:\w+\s+)*module\s+(\w+)"), ("Function", r"(?i)^\s*(?:(?:public|private|friend|static|shared)\s+)*(?:function|sub|property\s+(?:get|let|set))\s+(\w+)")),
+    "pas pp dpr": (("Class", r"(?i)^\s*(\w+)\s*=\s*class\b"), ("Function", r"(?i)^\s*(?:function|procedure|constructor|destructor)\s+(?:\w+\.)?(\w+)")),
+    "f f90 f95 for": (("Module", r"(?i)^\s*module\s+(?!procedure)(\w+)"), ("Function", r"(?i)^\s*(?!end\b)(?:[\w()=*]+\s+)*(?:subroutine|function)\s+(\w+)")),
+    "cob cbl": (("Module", r"(?i)^\s*program-id\.\s+([\w-]+)"), ("Function", r"(?i)^\s{7,11}([\w-]+)\s+section\.")),
+    "adb ads": (("Module", r"(?i)^\s*package\s+(?:body\s+)?([\w.]+)"), ("Function", r"(?i)^\s*(?:function|procedure)\s+(\w+)")),
+    "zig": (("Function", r"^\s*(?:pub\s+)?(?:export\s+)?fn\s+(\w+)"), ("Struct", r"^\s*(?:pub\s+)?const\s+(\w+)\s*=\s*(?:packed\s+|extern\s+)?struct\b")),
+    "nim": (("Function", r"^\s*(?:proc|func|method|iterator|template|macro)\s+(\w+)"), ("Struct", r"^\s*(\w+)\*?\s*=\s*(?:ref\s+)?object\b")),
+    "d": (("Class", _CLASS), ("Struct", r"^\s*struct\s+(\w+)"), ("Interface", r"^\s*interface\s+(\w+)"), ("Function", r"^\s*[\w!()\[\]]+\s+(?!return\b)(\w+)\s*\([^;]*\)\s*\{")),
+    "v sv vh": (("Module", r"^\s*module\s+(\w+)"), ("Function", r"^\s*(?:function|task)\s+(?:automatic\s+)?(?:[\w\[\]:]+\s+)?(\w+)")),
+    "vhd vhdl": (("Module", r"(?i)^\s*entity\s+(\w+)"), ("Function", r"(?i)^\s*(?:function|procedure)\s+(\w+)")),
+    "sol": (("Class", r"^\s*(?:abstract\s+)?contract\s+(\w+)"), ("Interface", r"^\s*interface\s+(\w+)"), ("Struct", r"^\s*struct\s+(\w+)"), ("Function", r"^\s*(?:function|modifier|event)\s+(\w+)")),
+    "gd": (("Class", r"^\s*class(?:_name)?\s+(\w+)"), ("Function", r"^\s*(?:static\s+)?func\s+(\w+)")),
+    "proto": (("Class", r"^\s*service\s+(\w+)"), ("Struct", r"^\s*message\s+(\w+)"), ("Enum", r"^\s*enum\s+(\w+)"), ("Method", r"^\s*rpc\s+(\w+)")),
+    "graphql gql": (("Struct", r"^\s*(?:type|input)\s+(\w+)"), ("Interface", r"^\s*interface\s+(\w+)"), ("Enum", r"^\s*enum\s+(\w+)"), ("Function", r"^\s*(?:query|mutation|subscription|fragment)\s+(\w+)")),
+    "thrift": (("Class", r"^\s*service\s+(\w+)"), ("Struct", r"^\s*(?:struct|exception|union)\s+(\w+)"), ("Enum", r"^\s*enum\s+(\w+)")),
+    "tf hcl": (("Struct", r"^\s*(?:resource|data)\s+\"[\w-]+\"\s+\"([\w-]+)\""), ("Variable", r"^\s*(?:variable|output|module|provider)\s+\"([\w-]+)\"")),
+    "cmake": (("Function", r"(?i)^\s*(?:function|macro)\s*\(\s*(\w+)"), ("Module", r"(?i)^\s*add_(?:executable|library)\s*\(\s*([\w-]+)")),
+    "mk": (("Function", r"^([\w./-]+)\s*:(?!=)"),),
+    "md rst": (("Section", r"^#{1,6}\s+(.+?)\s*$"),),
 }
 
+# Words that look like calls but aren't, words that branch, comment and attribute openings.
+NO_CALLS = frozenset("if for while switch catch return sizeof typeof new function fn func def sub class and or not in match when until unless elif else elsif foreach using lock fixed print defer go select case where with except raise throw assert let var const val".split())
+CONTROL = frozenset("if for while switch catch return else do try using lock foreach elif when until match".split())
+BRANCHES = re.compile(r"\b(?:if|elif|elsif|else if|for|foreach|while|until|unless|case|when|catch|except|rescue|guard)\b|&&|\|\||\?\?|\band\b|\bor\b")
+COMMENT = re.compile(r"^\s*(?://[/!]?|#(?!\[)|--|;+|%|'|\*(?!/)|/\*+!?|\"\"\")\s?(.*?)(?:\*/)?\s*$")
+ATTRIBUTE = re.compile(r"^\s*(?:@\w|#\[|\[\w)")
+IMPORT = re.compile(r"^\s*(?:import|from|use|using|require|require_once|include|#include|open|alias|library|source|@import)\b[\s(]*(?:static\s+|\w+\s+from\s+|\{[^}]*\}\s+from\s+|\*\s+as\s+\w+\s+from\s+)?[\"'<]?([\w./:\\@-]+)")
+INHERIT = re.compile(r"\b(?:class|interface|struct|contract|protocol|trait)\s+\w+(?:<[^>]*>)?\s*(?:\(([^)]*)\)|(?:extends|:|<(?!\w+>)|is|inherits)\s*([\w.,:<> ]+))?(?:\s+implements\s+([\w.,<> ]+))?")
+CALL = re.compile(r"(?:(\w+)\s*(?:\.|->|::)\s*)?\b([A-Za-z_]\w*[?!]?)\s*\(")
+
+
+def _documented(lines: list[str], n: int) -> str:
+    """Comment and attribute lines right above line n (from 1), comment marks and ends dropped."""
+    out, at = [], n - 2
+    while at >= 0:
+        row = lines[at]
+        m = COMMENT.match(row)
+        if ATTRIBUTE.match(row):
+            out.append(row.strip())
+        elif m and row.strip():
+            out.append(m[1].strip())
+        elif row.strip() not in ("*/", "/**", "/*"):
+            break
+        at -= 1
+    return "\n".join(x for x in reversed(out) if x)
+
 
 def line_pack(patterns) -> Pack:
-    """A pack that finds declarations by line; a symbol ends before the next one."""
+    """A pack that finds declarations by line; a symbol ends before the next one.
+
+    Its documentation is the comment above it, its complexity one more than its branches. Relations: calls within a symbol with what
+    they are called on, imports, and the parents that a type's line names.
+    """
     compiled = [(kind, re.compile(p)) for kind, p in patterns]
 
     def run(path: str, content: str) -> tuple[list[tuple], list[tuple]]:
@@ -102,15 +167,31 @@ def line_pack(patterns) -> Pack:
         for n, line in enumerate(lines, 1):
             for kind, p in compiled:
                 m = p.match(line)
-                if m:
+                if m and m[1] not in CONTROL:
                     found.setdefault(f"{path}::{m[1]}", (m[1], kind, n))
                     break
         starts = sorted(v[2] for v in found.values()) + [len(lines) + 1]
-        symbols = []
+        symbols, relations = [], []
+        for n, line in enumerate(lines, 1):
+            if m := IMPORT.match(line):
+                relations.append((path, f"{path}::{m[1]}", "IMPORTS", path, n, ""))
         for own, (name, kind, n) in found.items():
             end = next(s for s in starts if s > n) - 1
-            symbols.append((own, name, kind, path, n, end, hashlib.sha256("\n".join(lines[n - 1 : end]).encode()).hexdigest()[:16], "", "", 0, "", ""))
-        return symbols, []
+            body = lines[n - 1 : end]
+            branches = sum(len(BRANCHES.findall(x)) for x in body) if kind in ("Function", "Method") else 0
+            symbols.append((own, name, kind, path, n, end, hashlib.sha256("\n".join(body).encode()).hexdigest()[:16], "", _documented(lines, n), 1 + branches if kind in ("Function", "Method") else 0, "", ""))
+            if kind in ("Class", "Interface", "Struct", "Trait") and (m := INHERIT.search(body[0])):
+                parents = ",".join(g for g in m.groups() if g)
+                for parent in re.findall(r"[\w.:]+", re.sub(r"<[^>]*>|\b(?:public|private|protected|virtual|with|extends|implements)\b", "", parents)):
+                    relations.append((own, f"{path}::{re.split(r'[.:]+', parent)[-1]}", "INHERITS", path, n, ""))
+            if kind in ("Function", "Method"):
+                for k, line in enumerate(body):
+                    if IMPORT.match(line) or (COMMENT.match(line) and line.strip()):
+                        continue
+                    for m in CALL.finditer(line):
+                        if m[2].lower() not in NO_CALLS and not (k == 0 and m[2] == name):
+                            relations.append((own, f"{path}::{m[2]}", "CALLS", path, n + k, m[1] or ""))
+        return symbols, relations
 
     return run
 

@@ -131,3 +131,18 @@ def test_review_and_sinks(spark):
     assert set(got) == {"1", "2", "3"} and got["2"] == [5.0] and len(got["1"]) == 8
     s = spark.createDataFrame([(1, "2024-01-01 01:00", "a", "x", ["f"]), (1, "2024-01-01 02:00", "b", "", ["g", "f"]), (1, "2024-01-01 03:00", "c", "y", [])], "user_id int, ts string, summary string, decision string, files array<string>").withColumn("ts", F.col("ts").cast("timestamp"))
     assert rows(sinks.merged_sessions(s), "summary", "decisions", "files") == [("c", "x | y", ["f", "g"])]
+
+
+def test_line_packs_give_symbols_and_relations():
+    from codeweave.sources.code import PACKS
+
+    java = 'import java.util.List;\n\n/** Adds\n * numbers. */\n@Fast\npublic class Sum extends Base implements Run, Stop {\n    // one\n    public int add(int a) {\n        if (a > 0 && a < 9) { return helper(a) + this.other(a); }\n        return util.twice(a);\n    }\n}\n'
+    symbols, relations = PACKS["java"]("S.java", java)
+    assert [(s[1], s[2], s[4], s[9]) for s in symbols] == [("Sum", "Class", 6, 0), ("add", "Method", 8, 3)]
+    assert symbols[0][8] == "Adds\nnumbers.\n@Fast" and symbols[1][8] == "one"
+    assert {(r[1].split("::")[1], r[2], r[4], r[5]) for r in relations} == {("java.util.List", "IMPORTS", 1, ""), ("Base", "INHERITS", 6, ""), ("Run", "INHERITS", 6, ""), ("Stop", "INHERITS", 6, ""), ("helper", "CALLS", 9, ""), ("other", "CALLS", 9, "this"), ("twice", "CALLS", 10, "util")}
+    one = {"swift": "final class A {\n  func f() {}\n}", "ex": "defmodule A.B do\n  def f(x), do: g(x)\nend", "hs": "module M where\nf :: Int -> Int", "lua": "local function f(x)\n return g(x)\nend", "sh": "f() {\n  echo x\n}", "vb": "Public Class A\n  Private Sub F()\n", "sol": "contract A is B {\n function f() public {}\n}", "proto": "service S {\n  rpc Get(A) returns (B);\n}", "tf": 'resource "aws_x" "web" {\n}', "clj": "(ns a.b)\n(defn f [x] x)", "f90": "module m\n subroutine f(x)\nend subroutine f", "jl": "struct P\nend\nfunction f!(x)\nend"}
+    want = {"swift": ["A", "f"], "ex": ["A.B", "f"], "hs": ["M", "f"], "lua": ["f"], "sh": ["f"], "vb": ["A", "F"], "sol": ["A", "f"], "proto": ["S", "Get"], "tf": ["web"], "clj": ["a.b", "f"], "f90": ["m", "f"], "jl": ["P", "f!"]}
+    assert {e: [s[1] for s in PACKS[e](f"x.{e}", t)[0]] for e, t in one.items()} == want
+    assert [r[1] for r in PACKS["sol"]("x.sol", one["sol"])[1] if r[2] == "INHERITS"] == ["x.sol::B"]
+    assert len(PACKS) >= 90
