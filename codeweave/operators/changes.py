@@ -82,6 +82,35 @@ def change_type(subjects: DataFrame) -> DataFrame:
     return scored.select("change", kind.alias("type"), best.alias("score"))
 
 
+# Signals of a change's files (pattern, type, weight, least share of the files; 0: any) and of its symbols (change, type, weight, share above).
+FILE_SIGNALS = (("test|spec", "Test", 5, 0.7), (r"\.(json|xml|yaml|yml|csproj|sln|cfg|pkg)$", "Config", 5, 0.7), (r"\.(md|txt|rst)$", "Docs", 5, 0.7), ("schema|migration|sql", "Migration", 3, 0))
+DIFF_SIGNALS = (("MOVED", "Refactor", 3, 0.3), ("ADDED", "Feature", 3, 0.5), ("REMOVED", "Refactor", 2, 0.3))
+
+
+def change_context(subjects: DataFrame, files: DataFrame, diff: DataFrame) -> DataFrame:
+    """(change, type, scope, files, symbols): what a change is about, by subjects(change, subject), files(change, file), diff(change, kind_of_change).
+
+    The type has the highest sum of signals of subjects (each kind of signal once), files and symbols; the first of equals, Mixed without any. The
+    scope is Standalone up to two top folders.
+    """
+    told = {n: [(p, w) for p, t, w in SIGNALS if t == n] for n in TYPES}
+    said = subjects.groupBy("change").agg(*(sum((F.max(F.when(F.lower("subject").rlike(p), w).otherwise(0)) for p, w in told[n]), F.lit(0)).alias(f"s_{n}") for n in TYPES))
+    rows = files.select("change", "file").distinct()
+    hits = rows.groupBy("change").agg(F.count("*").alias("files"), F.count_distinct(F.split_part("file", F.lit("/"), F.lit(1))).alias("folders"), *(F.count(F.when(F.col("file").rlike(p), 1)).alias(f"f_{k}") for k, (p, _, _, _) in enumerate(FILE_SIGNALS)))
+    kinds = diff.groupBy("change").agg(F.count("*").alias("symbols"), *(F.count(F.when(F.col("kind_of_change") == c, 1)).alias(f"d_{k}") for k, (c, _, _, _) in enumerate(DIFF_SIGNALS)))
+    both = hits.join(said, "change", "left").join(kinds, "change", "left").na.fill(0)
+    score = {n: F.col(f"s_{n}") for n in TYPES}
+    for k, (_, n, w, share) in enumerate(FILE_SIGNALS):
+        score[n] = score[n] + F.when(F.col(f"f_{k}") > F.col("files") * share, w).otherwise(0)
+    for k, (_, n, w, share) in enumerate(DIFF_SIGNALS):
+        score[n] = score[n] + F.when(F.col(f"d_{k}") > F.greatest(F.col("symbols"), F.lit(1)) * share, w).otherwise(0)
+    best = F.greatest(*score.values())
+    kind = F.when(best == 0, "Mixed")
+    for n in TYPES:
+        kind = kind.when(score[n] == best, n)
+    return both.select("change", kind.alias("type"), F.when(F.col("folders") <= 2, "Standalone").otherwise("CrossModule").alias("scope"), "files", "symbols")
+
+
 def compare_quality(now: DataFrame, baseline: DataFrame, higher_is_worse: list[str]) -> DataFrame:
     """(metric, baseline, value, change, regression) for metrics (metric, value): percent change cut to whole numbers, over 2 % worse fails."""
     both = now.join(baseline.withColumnRenamed("value", "baseline"), "metric")

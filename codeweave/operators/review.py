@@ -83,3 +83,45 @@ def review(diff: DataFrame, symbols: DataFrame, edges: DataFrame, findings: Data
     out = out.crossJoin(count(touched.where(~is_test(F.col("name"), F.col("kind"), F.col("file"))).join(tested, "id", "left_anti"), "untested"))
     out = out.crossJoin(count(outside.select("src").distinct(), "outside_callers"))
     return out.crossJoin(count(findings.join(changed.select("file").distinct().withColumnRenamed("file", "path"), "path", "left_semi"), "findings"))
+
+
+SECTIONS = ("changed", "blast_radius", "affected_tests", "api_surface", "security", "complexity", "dead_code", "clones", "consistency")
+
+
+def report(diff: DataFrame, symbols: DataFrame, edges: DataFrame, findings: DataFrame, similar: DataFrame | None = None, callers: DataFrame | None = None, limit: int = 100, complex_from: int = 10) -> DataFrame:
+    """(section, file, name, detail): the sections of a change's review, a row an entry.
+
+    diff(file, name, kind, change); symbols(id, name, kind, file, visibility, complexity); edges(src, dst); findings(path, line, rule_id,
+    severity); similar(a, b, score), callers(name, id, value, median) as ``changes.outliers`` gives them. The blast radius is all that
+    reaches a changed symbol by calls, cut to ``limit`` by file and name; tests are looked for in what is left.
+    """
+    from codeweave.operators.graph import dead_code, reach
+    from codeweave.operators.symbols import clones_of
+    from codeweave.session import materialize
+
+    section = lambda df, name, detail: df.select(F.lit(name).alias("section"), "file", "name", detail.cast("string").alias("detail"))
+    keys, files = diff.select("file", "name", "kind").distinct(), diff.select("file").distinct()
+    touched = symbols.join(keys, ["file", "name", "kind"], "left_semi")
+    near = symbols.join(files, "file", "left_semi")
+    far = reach(edges, touched.select("id"), None, reverse=True).select("id")
+    blast = materialize(symbols.join(far, "id", "left_semi").orderBy("file", "name", "id").limit(limit), "blast")
+    parts = [
+        section(diff, "changed", F.col("change")),
+        section(blast, "blast_radius", F.col("kind")),
+        section(blast.where(is_test(F.col("name"), F.col("kind"), F.col("file"))), "affected_tests", F.col("kind")),
+        section(touched.where("visibility = 'public' or kind = 'Route'"), "api_surface", F.col("kind")),
+        section(findings.withColumnRenamed("path", "file").join(files, "file", "left_semi").withColumn("name", F.col("rule_id")), "security", F.concat_ws(":", "severity", "line")),
+        section(near.where(F.col("complexity") >= complex_from), "complexity", F.col("complexity")),
+        section(dead_code(edges, near, ["Function", "Method"]), "dead_code", F.col("kind")),
+    ]
+    if similar is not None:
+        names = symbols.select("id", "name", "file")
+        pairs = clones_of(near.select("id"), similar).join(names.withColumnRenamed("id", "a"), "a").join(names.select(F.col("id").alias("b"), F.col("name").alias("other")), "b")
+        parts.append(section(pairs, "clones", F.concat_ws(":", "other", "score")))
+    if callers is not None:
+        odd = callers.join(touched.select("id", "file"), "id")
+        parts.append(section(odd, "consistency", F.concat_ws(" of ", "value", "median")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out

@@ -261,6 +261,31 @@ def changes_in_order(s, d):
     return symbols.ordered_changes(changes.semantic_diff(*A.snapshots(s, d)), 20).select("file", "name", "kind", "change")
 
 
+@query(with_tables("calls units", """, touched AS (SELECT * FROM units WHERE file = 'Brand#2' AND kind IN ('Function', 'Class', 'Route')),
+up(id) AS (SELECT src FROM calls WHERE dst IN (SELECT id FROM touched) UNION SELECT e.src FROM up JOIN calls e ON e.dst = up.id),
+blast AS (SELECT * FROM units WHERE id IN (SELECT id FROM up) ORDER BY file, name, id LIMIT 60)
+SELECT 'changed' AS section, file, name, 'MODIFIED' AS detail FROM (SELECT DISTINCT file, name, kind FROM touched)
+UNION ALL SELECT 'blast_radius', file, name, kind FROM blast
+UNION ALL SELECT 'affected_tests', file, name, kind FROM blast WHERE kind = 'Test' OR lower(name) LIKE 'test%'
+UNION ALL SELECT 'api_surface', file, name, kind FROM touched WHERE visibility = 'public' OR kind = 'Route'
+UNION ALL SELECT 'security', file, 'SEC', 'High:' || id FROM (SELECT id, file FROM units WHERE kind = 'Test' AND file = 'Brand#2')
+UNION ALL SELECT 'complexity', file, name, CAST(complexity AS VARCHAR) FROM units WHERE file = 'Brand#2' AND complexity >= 10
+UNION ALL SELECT 'dead_code', file, name, kind FROM units WHERE file = 'Brand#2' AND kind IN ('Function', 'Method') AND id NOT IN (SELECT dst FROM calls)"""))
+def review_report(s, d):
+    u = A.units(s, d)
+    diff = u.where("file = 'Brand#2' and kind in ('Function', 'Class', 'Route')").select("file", "name", "kind", F.lit("MODIFIED").alias("change")).distinct()
+    found = u.where("kind = 'Test'").select(F.col("file").alias("path"), F.col("id").alias("line"), F.lit("SEC").alias("rule_id"), F.lit("High").alias("severity"))
+    return review.report(diff, u, A.calls(s, d), found, limit=60)
+
+
+@query("WITH f AS (SELECT source AS change, lang || '/' || doc_id || CASE lang WHEN 'en' THEN '.md' ELSE '_test.py' END AS file, CASE lang WHEN 'en' THEN 'ADDED' ELSE 'REMOVED' END AS k FROM documents), a AS (SELECT change, count(*) AS files, count(DISTINCT split_part(file, '/', 1)) AS folders, count(*) FILTER (WHERE k = 'REMOVED') AS t, count(*) FILTER (WHERE k = 'ADDED') AS d FROM f GROUP BY change) SELECT change, CASE WHEN d > 0.7 * files THEN 'Docs' WHEN t > 0.7 * files THEN 'Test' WHEN d > 0.5 * files THEN 'Feature' WHEN t > 0.3 * files THEN 'Refactor' ELSE 'Mixed' END AS type, CASE WHEN folders <= 2 THEN 'Standalone' ELSE 'CrossModule' END AS scope, files, files AS symbols FROM a")
+def change_contexts(s, d):
+    kind = F.col("lang") == "en"
+    f = table(s, d, "documents").select(F.col("source").alias("change"), F.concat("lang", F.lit("/"), "doc_id", F.when(kind, ".md").otherwise("_test.py")).alias("file"), F.when(kind, "ADDED").otherwise("REMOVED").alias("kind_of_change"))
+    subjects = f.select("change", F.lit("wip").alias("subject")).distinct()
+    return changes.change_context(subjects, f, f)
+
+
 @query("SELECT s.id, s.file AS repo, c.file AS other, count(DISTINCT c.id) AS callers FROM units s JOIN calls ON dst = s.id JOIN units c ON c.id = src WHERE s.kind = 'Interface' AND s.file <> c.file GROUP BY ALL", "calls units")
 def repo_callers(s, d):
     u = A.units(s, d).withColumn("repo", F.col("file"))
