@@ -14,6 +14,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -89,7 +90,7 @@ TRAINED, WINDOW, SHARED = 96, 224, 32
 STRIDE = WINDOW - SHARED
 #: Windows a matrix product of the prediction: so few that BLAS starts no threads, which cost more CPU time than they save.
 BLOCK = 128
-#: Windows whose states are held at once, and the gain of a character that lies in no text.
+#: Windows whose emissions are held at once, and the gain of a character that lies in no text.
 HELD, OUTSIDE = 512, -1e4
 
 _class_table = np.full(0x250, 5, np.int8)
@@ -104,6 +105,15 @@ def classes(text: str) -> np.ndarray:
     return np.where(points < 0x250, _class_table[np.minimum(points, 0x24F)], 2).astype(np.int8)
 
 
+@cache
+def slow_tanh() -> bool:
+    """Whether numpy's tanh of 32-bit floats takes longer than its exp and a division: where it has no AVX-512 form, or can't tell."""
+    if not hasattr(np.lib, "introspect"):
+        return True
+    forms = np.lib.introspect.opt_func_info(func_name="^tanh$", signature="float32").get("tanh", {})
+    return not any("AVX512" in form["current"] for form in forms.values())
+
+
 class Tagger:
     """Embedding, forward and backward LSTM, linear emissions, CRF transitions; forward, gradients and Viterbi in numpy."""
 
@@ -219,44 +229,66 @@ class Tagger:
                     self.p[k] = self.p[k] - rate * (m[k] / (1 - 0.9**n)) / (np.sqrt(v[k] / (1 - 0.999**n)) + 1e-8)
         return loss
 
-    def states(self, x: np.ndarray, d: str) -> np.ndarray:
-        """The states of direction d for classes (T, n * BLOCK), as (T, n, H, BLOCK). All gates share one tanh, as sigmoid(z) = (1 + tanh(z / 2)) / 2."""
-        hidden = self.p[f"wh_{d}"].shape[0]
-        table = self.tables()["fb".index(d)]
-        w = np.concatenate([self.p[f"wh_{d}"], table]).T.astype(np.float32)
-        w[: 3 * hidden] *= 0.5
-        n = x.shape[1] // BLOCK
-        block, column = np.divmod(np.arange(x.shape[1]), BLOCK)
-        # Hidden states above the one-hot classes.
-        s = np.zeros((n, hidden + len(table), BLOCK), np.float32)
-        z, c, new = np.empty((n, 4 * hidden, BLOCK), np.float32), np.zeros((n, hidden, BLOCK), np.float32), np.empty((n, hidden, BLOCK), np.float32)
-        out = np.empty((len(x), n, hidden, BLOCK), np.float32)
-        before = None
-        for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
-            if before is not None:
-                s[block, before, column] = 0
-            before = x[t].astype(np.int64) + hidden
-            s[block, before, column] = 1
-            np.tanh(np.matmul(w, s, out=z), out=z)
-            gates = z[:, : 3 * hidden]
-            gates *= 0.5
-            gates += 0.5
-            c *= z[:, hidden : 2 * hidden]
-            c += np.multiply(z[:, :hidden], z[:, 3 * hidden :], out=new)
-            s[:, :hidden] = np.multiply(z[:, 2 * hidden : 3 * hidden], np.tanh(c, out=new), out=out[t])
-        return out
-
     def scores(self, x: np.ndarray) -> np.ndarray:
-        """Emissions (T, tags, B) for classes (B, T): those of ``emissions``, in less time."""
+        """Emissions (T, tags, B) for classes (B, T): those of ``emissions``, in less time.
+
+        Both directions take their steps together, and one product a step gives the gates of the step and the emissions of the states
+        before it. All gates share one tanh, as sigmoid(z) = (1 + tanh(z / 2)) / 2; the halves are in the weights and in one product.
+        Where numpy's tanh is slow, 1 + tanh(z) = 2 / (1 + exp(-2 z)).
+        """
+        by_exp = slow_tanh()
         batch, steps = x.shape
-        xt = np.zeros((steps, -(-batch // BLOCK) * BLOCK), np.int8)
+        (width, hidden), tags = (self.p["emb"].shape[1], self.p["wh_f"].shape[0]), len(self.p["bo"])
+        blocks = -(-batch // BLOCK)
+        block = -(-batch // blocks)
+        columns = blocks * block
+        xt = np.zeros((steps, columns), np.intp)
         xt[:, :batch] = x.T
-        wo = self.p["wo"].T.astype(np.float32)
-        hidden = wo.shape[1] // 2
-        e = wo[:, :hidden] @ self.states(xt, "f")
-        e += wo[:, hidden:] @ self.states(xt, "b")
-        e += self.p["bo"].astype(np.float32)[:, None]
-        return e.transpose(0, 2, 1, 3).reshape(steps, len(wo), -1)[:, :, :batch]
+        seen = np.take(self.p["emb"].T.astype(np.float32), xt, axis=1, mode="clip").transpose(1, 0, 2)
+        # Rows of the weights: input, forget and output gates, candidates, tags; columns: states (here twice the usual), embedding, one.
+        w = np.zeros((2, 1, 4 * hidden + tags, hidden + width + 1), np.float32)
+        for k, d in enumerate("fb"):
+            w[k, 0, : 4 * hidden] = np.concatenate([self.p[f"wh_{d}"] / 2, self.p[f"wx_{d}"], self.p[f"b_{d}"][None]]).T
+            w[k, 0, 4 * hidden :, :hidden] = self.p["wo"][k * hidden : (k + 1) * hidden].T / 2
+        w[:, :, : 3 * hidden] *= 0.5
+        if by_exp:
+            w[:, :, : 4 * hidden] *= -2
+        w[0, 0, 4 * hidden :, -1] = self.p["bo"]
+        s, z = np.zeros((2, hidden + width + 1, columns), np.float32), np.empty((2, 4 * hidden + tags, columns), np.float32)
+        s[:, -1] = 1
+        c, bent = np.zeros((2, hidden, columns), np.float32), np.empty((2, hidden, columns), np.float32)
+        s_blocks, z_blocks = (a.reshape(2, -1, blocks, block).transpose(0, 2, 1, 3) for a in (s, z))
+        state, ahead, back, said = s[:, :hidden], s[0, hidden:-1], s[1, hidden:-1], z[:, 4 * hidden :]
+        inner, gates = z[:, : 4 * hidden], z[:, : 3 * hidden]
+        enter, forget, leave, cand = (z[:, k * hidden : (k + 1) * hidden] for k in range(4))
+        e = np.empty((steps, tags, columns), np.float32)
+        for t in range(steps + 1):
+            if t < steps:
+                ahead[:], back[:] = seen[t], seen[-1 - t]
+            np.matmul(w, s_blocks, out=z_blocks)
+            if t:
+                # The directions meet in the middle; each character's second direction adds to its first.
+                for k, at in enumerate((t - 1, steps - t)):
+                    if 2 * t <= steps or (2 * t == steps + 1 and not k):
+                        e[at] = said[k]
+                    else:
+                        e[at] += said[k]
+            if t < steps:
+                if by_exp:
+                    with np.errstate(over="ignore"):
+                        np.exp(inner, out=inner)
+                    inner += 1
+                    np.divide(2, inner, out=inner)
+                    cand -= 1
+                else:
+                    np.tanh(inner, out=inner)
+                    gates += 1
+                c *= forget
+                enter *= cand
+                c += enter
+                c *= 0.5
+                np.multiply(leave, np.tanh(c, out=bent), out=state)
+        return e[:, :, :batch]
 
     def viterbi(self, e: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Tags (B, T) of the best path over the first ``lengths`` steps of e (T, B, tags); ties go to the tag that comes first."""
@@ -281,15 +313,16 @@ class Tagger:
         """
         trans = self.p["trans"].astype(np.float64) - self.p["trans"][0, 0]
         enter, stay, leave = trans[0, 1:].max(), trans[1:, 1:].max(), trans[1:, 0].max()
-        gain = gain.astype(np.float64)
+        total = np.zeros(len(gain) + 1)
+        np.add(gain, stay, out=total[1:])
         # Nothing is entered before a text's first character nor left after its last.
-        gain[first] -= enter
-        gain[last] -= leave
-        # The best stretch that ends at t: a running sum of (gain + stay) less its least value before, one pass either way.
-        total = np.concatenate([[0.0], np.cumsum(gain + stay)])
-        until = enter - stay + total[1:] - np.minimum.accumulate(total[:-1])
-        since = leave - stay + np.maximum.accumulate(total[:0:-1])[::-1] - total[:-1]
-        return until + since - gain > -slack
+        total[first + 1] -= enter
+        total[last + 1] -= leave
+        # The best stretch over t: of a running sum of (gain + stay) the largest value from t on, less the least one before.
+        np.cumsum(total, out=total)
+        best = np.maximum.accumulate(total[:0:-1])[::-1]
+        best -= np.minimum.accumulate(total[:-1])
+        return best > stay - enter - leave - slack
 
 
 def window_counts(lengths: np.ndarray) -> np.ndarray:
@@ -297,6 +330,11 @@ def window_counts(lengths: np.ndarray) -> np.ndarray:
     return np.maximum(1, -(-(lengths - SHARED) // STRIDE))
 
 
+def evenly(windows: np.ndarray) -> list[np.ndarray]:
+    """Windows in lots of about one size, at most HELD: a small lot costs nearly as much as a full one."""
+    return np.array_split(windows, -(-len(windows) // HELD)) if len(windows) else []
+
+
 class Windows:
     """The overlapping windows of some texts, and the slots of their characters: STRIDE a window and one more STRIDE a text."""
 
@@ -324,13 +362,13 @@ class Windows:
 
     def rows(self, windows: np.ndarray) -> np.ndarray:
         """Classes (windows, WINDOW)."""
-        return self.codes[(self.place[windows] * STRIDE)[:, None] + np.arange(WINDOW)]
+        strides, place = self.codes.reshape(-1, STRIDE), self.place[windows]
+        return np.concatenate([strides[place], strides[place + 1, :SHARED]], 1)
 
     def gains(self, tagger: Tagger) -> np.ndarray:
         """For each slot an upper bound of what any tag's merged emission is above O's: a mean of maxima is no less than the maximum of means."""
         out = np.zeros((self.slots // STRIDE, STRIDE), np.float32)
-        for a in range(0, self.n, HELD):
-            w = np.arange(a, min(a + HELD, self.n))
+        for w in evenly(np.arange(self.n)):
             e = tagger.scores(self.rows(w))
             g = np.ascontiguousarray((e[:, 1:].max(1) - e[:, 0]).T)
             g[:, :SHARED] *= self.left[w]
@@ -350,8 +388,7 @@ class Windows:
         shared = (at < SHARED) & (before >= 0)
         needed = np.unique(np.concatenate([own[own >= 0], before[shared]]))
         out = np.zeros((len(slots), len(tagger.p["bo"])), np.float32)
-        for a in range(0, len(needed), HELD):
-            w = needed[a : a + HELD]
+        for w in evenly(needed):
             e = tagger.scores(self.rows(w))
             for at_window, there, add, weights in ((own, own >= 0, 0, self.left), (before, shared, STRIDE, self.right)):
                 k = np.searchsorted(w, at_window)

@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -100,6 +101,51 @@ def test_scores_equal_emissions(trained):
     assert np.abs(trained.scores(x) - trained.emissions(x)[0].transpose(0, 2, 1)).max() < 1e-3
 
 
+@pytest.mark.parametrize("batch, steps", [(1, 1), (1, 2), (5, 7), (129, 3), (300, 8)])
+@pytest.mark.parametrize("by_exp", [False, True])
+def test_scores_of_any_size(trained, batch, steps, by_exp, monkeypatch):
+    monkeypatch.setattr(P, "slow_tanh", lambda: by_exp)
+    x = np.random.RandomState(batch).randint(0, P.CLASSES, (batch, steps)).astype(np.int8)
+    assert np.abs(trained.scores(x) - trained.emissions(x)[0].transpose(0, 2, 1)).max() < 1e-3
+
+
+@pytest.mark.parametrize("by_exp", [False, True])
+def test_gates_far_out_stay_finite(by_exp, monkeypatch):
+    monkeypatch.setattr(P, "slow_tanh", lambda: by_exp)
+    t = P.Tagger.fresh()
+    t.p |= {k: v * 200 for k, v in t.p.items() if k[:2] in ("wx", "wh")}
+    x = np.random.RandomState(5).randint(0, P.CLASSES, (9, 12)).astype(np.int8)
+    with np.errstate(all="raise", under="ignore"):
+        assert np.abs(t.scores(x) - t.emissions(x)[0].transpose(0, 2, 1)).max() < 1e-2
+
+
+def test_scores_cost_less_than_a_recurrence_over_one_hot_classes(trained):
+    """CPU time of all emissions against that of the steps alone (a fifth more, for noise), with one-hot products and a pass each for the halves of the gates."""
+    hidden, tall = len(trained.p["wh_f"]), P.HELD // P.BLOCK
+    rng = np.random.RandomState(4)
+    x = rng.randint(1, P.CLASSES, (P.HELD, P.WINDOW)).astype(np.int8)
+    w, s = rng.randn(4 * hidden, hidden + P.CLASSES).astype(np.float32), rng.rand(tall, hidden + P.CLASSES, P.BLOCK).astype(np.float32)
+    z, (c, new) = np.empty((tall, 4 * hidden, P.BLOCK), np.float32), np.zeros((2, tall, hidden, P.BLOCK), np.float32)
+
+    def steps():
+        for _ in range(2 * P.WINDOW):
+            np.tanh(np.matmul(w, s, out=z), out=z)
+            gates = z[:, : 3 * hidden]
+            gates *= 0.5
+            gates += 0.5
+            np.multiply(c, z[:, hidden : 2 * hidden], out=c)
+            np.add(c, np.multiply(z[:, :hidden], z[:, 3 * hidden :], out=new), out=c)
+            s[:, :hidden] = np.multiply(z[:, 2 * hidden : 3 * hidden], np.tanh(c, out=new), out=new)
+
+    def cpu(f):
+        began = time.process_time()
+        f()
+        return time.process_time() - began
+
+    took = [(cpu(lambda: trained.scores(x)), cpu(steps)) for _ in range(8)]
+    assert min(a for a, _ in took) < 1.2 * min(b for _, b in took)
+
+
 def test_viterbi_equals_enumeration():
     rng = np.random.RandomState(1)
     t = P.Tagger.fresh(classes=5, tags=3, hidden=3, width=2)
