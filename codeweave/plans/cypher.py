@@ -178,13 +178,24 @@ class Parser:
         if self.take("WHERE"):
             where = self.conjuncts(self.condition(own if how == "left" else scope | own))
         local = [c for c in where if isinstance(c, Is) and len(c.used) == 1 and own.get(next(iter(c.used))) == "node" and not c.used & scope.keys()]
-        part = self.build(chains, local)
+        told = chains[0][-1].var if rows is None and how == "inner" and len(chains) == 1 and self.only_told(chains[0]) else None
+        part = self.build(chains, local, told)
         if how == "left":
             part = self.apply(part, where)
             return self.joined(rows, scope, part, own, how), scope | own
         rows = self.joined(rows, scope, part, own, how)
         return self.apply(rows, where), scope | own
 
+    def only_told(self, chain: list) -> bool:
+        """Whether what follows is DISTINCT without aggregates and takes properties of the last node, but not the node or its id."""
+        var, rest = chain[-1].var, self.tokens[self.at :]
+        if not (self.peek("RETURN", "DISTINCT") or self.peek("WITH", "DISTINCT")) or not self.wanted.get(var) or sum(n.var == var for n in chain) > 1:
+            return False
+        # Conditions are in the text before, so all of it counts but the pattern's own mention of the node.
+        uses = [i for i, (kind, text) in enumerate(self.tokens) if kind == "name" and text == var]
+        bare = [i for i in uses if i + 2 >= len(self.tokens) or self.tokens[i + 1][1] != "." or self.tokens[i + 2][1] == "id"]
+        return len(bare) == 1 and not any(a[1].lower() in _AGGREGATES and b[1] == "(" for a, b in zip(rest, rest[1:]))
+
     def joined(self, rows: DataFrame | None, scope: dict, part: DataFrame, own: dict, how: str) -> DataFrame:
         if rows is None:
             return part
@@ -286,14 +297,15 @@ class Parser:
             table = table.where(c.column)
         return table
 
-    def build(self, chains: list[list], local: list[Is]) -> DataFrame:
+    def build(self, chains: list[list], local: list[Is], told: str | None = None) -> DataFrame:
         rows, scope = None, {}
         for chain in chains:
-            part, own = self.build_chain(chain, local)
+            part, own = self.build_chain(chain, local, told)
             rows, scope = self.joined(rows, scope, part, own, "inner"), scope | own
         return rows
 
-    def build_chain(self, chain: list, local: list[Is]) -> tuple[DataFrame, dict[str, str]]:
+    def build_chain(self, chain: list, local: list[Is], told: str | None = None) -> tuple[DataFrame, dict[str, str]]:
+        """told: the last node, if only the distinct values of its properties count; a walk to it then keeps no pairs of nodes."""
         left = chain[0]
         narrow = lambda n: bool(n.props) or any(n.var in c.used for c in local)
         rows, scope = self.table(left, local), {left.var: "node"}
@@ -306,6 +318,15 @@ class Parser:
                     seeds, back = rows.select(F.col(f"{left.var}__id").alias("id")).distinct(), edge.way == "in"
                 elif narrow(right):
                     seeds, back = table.select(F.col(f"{right.var}__id").alias("id")).distinct(), edge.way != "in"
+                elif rows is not None:
+                    # A label narrows as well.
+                    seeds, back = rows.select(F.col(f"{left.var}__id").alias("id")).distinct(), edge.way == "in"
+                elif table is not None:
+                    seeds, back = table.select(F.col(f"{right.var}__id").alias("id")).distinct(), edge.way != "in"
+                if right.var == told and seeds is not None and back == (edge.way == "in") and {f"{told}__{c}" for c in self.wanted[told]} <= set(table.columns):
+                    values = table.select(F.col(f"{told}__id").alias("id"), *(f"{told}__{c}" for c in sorted(self.wanted[told])))
+                    found = self.steps(edge, seeds, back, values).withColumnRenamed("src", f"{left.var}__id")
+                    return rows.join(found, f"{left.var}__id"), scope | {edge.var: "edge", told: "node"}
             steps = self.steps(edge, seeds, back)
             a, b = (right, left) if edge.way == "in" else (left, right)
             if a.var == b.var:
@@ -323,8 +344,11 @@ class Parser:
             raise CypherError("a lone node needs a label")
         return rows, scope
 
-    def steps(self, edge: Edge, seeds: DataFrame | None, back: bool | None) -> DataFrame:
-        """(src, dst, ...) of an edge pattern; what it lays between its ends if it has a variable length."""
+    def steps(self, edge: Edge, seeds: DataFrame | None, back: bool | None, told: DataFrame | None = None) -> DataFrame:
+        """(src, dst, ...) of an edge pattern; what it lays between its ends if it has a variable length.
+
+        told(id, ...): instead of a walk's end its values, as ``told_walks`` gives them.
+        """
         for k in edge.kinds:
             if k not in self.graph.edges:
                 raise CypherError(f"no edge type {k}")
@@ -347,6 +371,9 @@ class Parser:
             for t in self.graph.nodes.values():
                 seeds = t.select("id") if seeds is None else seeds.unionAll(t.select("id"))
             seeds = seeds.distinct()
+        if told is not None:
+            turned = table.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if back else table.select("src", "dst")
+            return told_walks(turned.distinct(), edge.low, edge.high, seeds, told)
         return walks(table.select("src", "dst").distinct(), edge.low, edge.high, seeds, bool(back))
 
     # --- conditions --------------------------------------------------------------------------------------------------
@@ -683,6 +710,39 @@ def walks(edges: DataFrame, low: int, high: int | None, seeds: DataFrame | None
     return found
 
 
+def told_walks(edges: DataFrame, low: int, high: int | None, seeds: DataFrame, told: DataFrame) -> DataFrame:
+    """Distinct (src, *values): the values that told(id, *values) has for the ends of walks of low..high from seeds(id).
+
+    As ``walks``, but the last hop is one to the values that lie an edge away, which are fewer than the nodes that have them, and a
+    seed that has every value there is walks no farther.
+    """
+    values = [c for c in told.columns if c != "id"]
+    step = materialize(edges.select(F.col("src").alias("dst"), F.col("dst").alias("next")), "steps")
+    near = materialize(step.join(told.withColumnRenamed("id", "next"), "next").select("dst", *values).distinct(), "near")
+    every = told.select(*values).distinct().count()
+    onward = lambda t: dealt_join(t, step, ["dst"]).select("src", F.col("next").alias("dst")).distinct()
+    meets = lambda t: dealt_join(t, near, ["dst"]).select("src", *values).distinct()
+    now = materialize(seeds.select(F.col("id").alias("src"), F.col("id").alias("dst")).distinct(), "walks")
+    own, n = now.join(told.withColumnRenamed("id", "dst"), "dst").select("src", *values), 1
+    while n < low:
+        now, n = materialize(onward(now), "walks"), n + 1
+    if high == 0:
+        return own.distinct()
+    walked, found = now, materialize(meets(now).unionAll(own).distinct() if low == 0 else meets(now), "found")
+    while high is None or n < high:
+        done = found.groupBy("src").agg(F.count("*").alias("values")).where(F.col("values") >= every)
+        now = onward(materialize(now.join(done, "src", "left_anti"), "walks")).join(walked, ["src", "dst"], "left_anti")
+        now, n = materialize(now, "walks"), n + 1
+        if not now.limit(1).count():
+            break
+        found = materialize(found.unionAll(meets(now)).distinct(), "found")
+        walked = walked.unionAll(now)
+        if n % 8 == 0:
+            # One table again, so that long walks don't read one table a level.
+            walked = materialize(walked, "walks")
+    return found
+
+
 def compile_query(graph: PropertyGraph, text: str, params: dict | None = None) -> DataFrame:
     """The DataFrame of a query over the graph; raises CypherError where the text is outside the dialect."""
     return Parser(graph, text, params).query()

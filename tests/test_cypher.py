@@ -136,3 +136,36 @@ def test_versions(g, spark, tmp_path):
     (tmp_path / "graph" / "_version-0000000009").mkdir()
     assert len(rows(PropertyGraph.load(spark, folder).nodes["Symbol"])) == 3
     assert len(list(itertools.chain(tmp_path.glob("graph/_version-*")))) == 3
+
+
+@pytest.mark.parametrize("low, high", [(0, 2), (1, None), (2, 4)])
+def test_values_at_the_ends_of_walks_are_those_of_all_pairs(spark, low, high):
+    rng = random.Random(low * 11 + (high or 0))
+    edges = spark.createDataFrame(list({(rng.randint(0, 9), rng.randint(0, 9)) for _ in range(12)}), "src long, dst long")
+    nodes = spark.createDataFrame([(i, None if i % 4 == 3 else f"n{i % 4}", i % 3) for i in range(9)], "id long, name string, x int")
+    g = PropertyGraph({"N": nodes, "Some": nodes.where("x > 0")}, {"E": edges})
+    for pattern in (f"(a:Some)-[:E*{low}..{'' if high is None else high}]->(b:N)", f"(a:Some)<-[:E*{low}..{'' if high is None else high}]-(b:N)"):
+        every = {r[:2] for r in rows(g.cypher(f"MATCH {pattern} WHERE b.x < 2 AND a.x <= b.x RETURN a.id AS a, b.name AS n, b.id AS b"))}
+        assert rows(g.cypher(f"MATCH {pattern} WHERE b.x < 2 AND a.x <= b.x RETURN DISTINCT a.id AS a, b.name AS n")) == sorted(every, key=str)
+
+
+def test_walks_start_at_a_label_and_keep_no_pairs_for_distinct_values(spark, monkeypatch):
+    from codeweave.plans import cypher
+
+    stored = []
+
+    def counting(df, name="table", **more):
+        out = materialize(df, name, **more)
+        stored.append((name, out.count()))
+        return out
+
+    materialize = cypher.materialize
+    monkeypatch.setattr(cypher, "materialize", counting)
+    n = spark.range(60).withColumn("name", (F.col("id") % 2).cast("string"))
+    e = n.select(F.col("id").alias("src")).crossJoin(n.select(F.col("id").alias("dst")))
+    g = PropertyGraph({"N": n, "Seed": n.where("id < 3")}, {"E": e})
+    assert g.cypher("MATCH (a:Seed)-[:E*1..3]->(b:N) RETURN DISTINCT a.id AS a, b.name AS name").count() == 6
+    assert all(rows <= 3 for name, rows in stored if name == "walks")
+    stored.clear()
+    assert g.cypher("MATCH (a:Seed)-[:E*1..2]->(b:N) RETURN a.id AS a, b.id AS b").count() == 180
+    assert all(rows <= 180 for name, rows in stored if name == "walks")
