@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,16 +113,79 @@ def trigram_embedding(dim: int = 256):
     return embed
 
 
-def hashed_neighbours(vectors: DataFrame, queries: DataFrame, k: int, tables: int = 12, bits: int = 5, seed: int = 4) -> DataFrame:
-    """(query, id, score): about the k nearest of each query by random hyperplanes and probes one bit away, re-ranked by exact dot products."""
-    dim = len(vectors.select("embedding").first()[0])
-    planes = np.random.RandomState(seed).randn(tables, bits, dim)
-    sign = lambda t: F.concat(*(F.when(dot(F.col("embedding"), F.array(*map(F.lit, planes[t, i].tolist()))) >= 0, "1").otherwise("0") for i in range(bits)))
-    keyed = lambda d: d.select("id", "embedding", F.explode(F.array(*(F.concat(F.lit(f"{t}:"), sign(t)) for t in range(tables)))).alias("key"))
-    # A query also looks into the buckets that differ from its own in one bit.
-    flipped = lambda i: F.expr(f"concat(left(key, length(key) - {i + 1}), translate(substr(key, -{i + 1}, 1), '01', '10'), right(key, {i}))")
-    a = keyed(queries).select(F.col("id").alias("query"), F.col("embedding").alias("q"), F.explode(F.array("key", *map(flipped, range(bits)))).alias("key"))
-    met = a.join(keyed(vectors), "key").where("query <> id").dropDuplicates(["query", "id"]).select("query", "id", dot(F.col("q"), F.col("embedding")).alias("score"))
+def hashed_neighbours(vectors: DataFrame, queries: DataFrame, k: int, tables: int = 12, bits: int = 5, seed: int = 4, block: int = 2048) -> DataFrame:
+    """(query, id, score): about the k nearest of each query by random hyperplanes and probes one bit away, re-ranked by exact dot products.
+
+    A query meets the vectors whose signs in some table differ from its own in one bit at most. With few bits these are most of all
+    vectors, so pairs are never rows: vectors and queries are packed into blocks by hash, a task takes one block of either, finds its
+    pairs and scores by array operations and returns the k best of each of its queries. The work grows with the product of both tables,
+    a task's memory does not. Vectors with nulls, NaN or another length than the first are left out; of rows with one id one counts.
+    """
+    fit = lambda d: d.where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x)))
+    vectors, queries = fit(vectors), fit(queries)
+    first = vectors.select("embedding").first()
+    kind = vectors.schema["id"].dataType.simpleString()
+    out = f"query {queries.schema['id'].dataType.simpleString()}, id {kind}, score double"
+    if first is None:
+        return vectors.sparkSession.createDataFrame([], out)
+    dim = len(first[0])
+    vectors, queries = (d.where(F.size("embedding") == dim).select("id", "embedding") for d in (vectors, queries))
+    planes = np.random.RandomState(seed).randn(tables, bits, dim).reshape(-1, dim)
+    # A task a pair of blocks: every row goes to as many tasks as the other side has blocks, so those of the few queries are larger.
+    left, right = (max(1, -(-d.count() // rows)) for d, rows in ((queries, 4 * block), (vectors, block)))
+    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = queries.select("id", "embedding", F.lit(True).alias("asks"), part(left).alias("p"), spread(right).alias("q"))
+    b = vectors.select("id", "embedding", F.lit(False).alias("asks"), spread(left).alias("p"), part(right).alias("q"))
+
+    def solve(table: pa.Table) -> pa.Table:
+        asks = table["asks"].to_numpy()
+        if asks.all() or not asks.any():
+            return pa.table({"query": table["id"].slice(0, 0), "id": table["id"].slice(0, 0), "score": pa.array([], pa.float64())})
+        x = table["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+        codes, known = sign_codes(x, planes), table["id"].combine_chunks()
+        named = known.dictionary_encode()
+        key = np.argsort(pc.sort_indices(named.dictionary).to_numpy())[named.indices.to_numpy()]
+        once = lambda rows: rows[np.sort(np.unique(key[rows], return_index=True)[1])]
+        rows, others = once(np.flatnonzero(asks)), once(np.flatnonzero(~asks))
+        # Slices of queries, so that the pairs in memory are a quarter of a million.
+        step = max(1, (1 << 18) // len(others))
+        best = [best_of(x, codes, key, rows[i : i + step], others, k, bits) for i in range(0, len(rows), step)]
+        i, j, score = (np.concatenate(c) for c in zip(*best))
+        return pa.table({"query": known.take(pa.array(i)), "id": known.take(pa.array(j)), "score": score})
+
+    met = a.unionByName(b).groupBy("p", "q").applyInArrow(solve, out)
     # Each task keeps its own best rows of a query before any are shuffled, so no query's candidates are gathered.
     best = met.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id")))
     return best.where(F.col("rank") <= k).select("query", "id", "score")
+
+
+def sign_codes(x: np.ndarray, planes: np.ndarray) -> np.ndarray:
+    """Whether each row is on the upper side of each plane."""
+    side = np.zeros((len(x), len(planes)))
+    # Sums in order, as ``dot`` makes them.
+    for i in range(x.shape[1]):
+        side += x[:, i, None] * planes[:, i]
+    return side >= 0
+
+
+def best_of(x: np.ndarray, codes: np.ndarray, key: np.ndarray, rows: np.ndarray, others: np.ndarray, k: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, other, score) of the k best others that each row meets, ties to the smallest key."""
+    own, far = (np.where(codes[r], 1.0, -1.0).astype(np.float32) for r in (rows, others))
+    met = np.zeros((len(rows), len(others)), bool)
+    # One bit apart or none: the product of the signs is bits - 2 or bits.
+    for t in range(0, codes.shape[1], bits):
+        met |= own[:, t : t + bits] @ far[:, t : t + bits].T > bits - 3
+    met &= key[rows][:, None] != key[others][None]
+    about = np.where(met, x[rows] @ x[others].T, -np.inf)
+    least = -np.partition(-about, min(k, len(others)) - 1, axis=1)[:, min(k, len(others)) - 1]
+    # The product's sums come in another order: what is in doubt stays in, and the scores are summed in order.
+    doubt = 1e-9 * (1 + np.linalg.norm(x[rows], axis=1) * np.linalg.norm(x[others], axis=1).max())
+    i, j = np.nonzero(met & (about >= (least - doubt)[:, None]))
+    i, j = rows[i], others[j]
+    score = np.zeros(len(i))
+    for c in range(x.shape[1]):
+        score += x[i, c] * x[j, c]
+    order = np.lexsort((key[j], -score, i))
+    order = order[np.arange(len(i)) - np.searchsorted(i[order], i[order]) < k]
+    return i[order], j[order], score[order]
