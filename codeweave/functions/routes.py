@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweave.functions.scalars import extension, http_verb, path_in_text
+from codeweave.plans.joins import frequent, looked_up
 
 # Words that make a docstring one of a route, verbs looked for in it, and frameworks by their words, in order.
 CONTEXT = ("route", "endpoint", "api", "handler", "@app.", "@router.", "handlefunc", "mapping")
@@ -103,10 +104,15 @@ def handler_edges(symbols: DataFrame) -> DataFrame:
 
     symbols(id, name, kind, file, start_line, end_line).
     """
-    route = symbols.where("kind = 'Route'").select(F.col("id").alias("src"), "file", F.col("start_line").alias("low"), F.col("end_line").alias("high"))
-    code = symbols.where("kind in ('Function', 'Method')").select("id", "file", "start_line", "end_line")
-    met = route.join(code, "file").where("start_line <= high and end_line >= low")
-    return met.groupBy("src").agg(F.min(F.struct("start_line", "id")).getField("id").alias("dst"))
+    route = symbols.where("kind = 'Route'").select(F.col("id").alias("src"), "file", F.col("start_line").alias("line"), F.col("end_line").alias("high")).where("file is not null and line is not null")
+    code = symbols.where("kind in ('Function', 'Method')").where("file is not null and start_line is not null and end_line is not null")
+    # No route meets the code of its file: of what ends at its first line or later it needs the first only, which is one for each line.
+    ends = code.groupBy("file", F.col("end_line").alias("line")).agg(F.min(F.struct("start_line", "id")).alias("first"))
+    lines = ends.unionByName(route.select("file", "line").distinct().withColumn("first", F.lit(None).cast(ends.schema["first"].dataType)))
+    later = Window.partitionBy("file").orderBy(F.desc("line")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    first = lines.withColumn("first", F.min("first").over(later)).groupBy("file", "line").agg(F.min("first").alias("first")).where("first is not null")
+    met = looked_up(route, first, ["file", "line"], frequent(route, ["file", "line"])).where("first.start_line <= high")
+    return met.groupBy("src").agg(F.min("first").getField("id").alias("dst"))
 
 
 def quoted_paths(docs: DataFrame, text: str) -> DataFrame:

@@ -78,3 +78,23 @@ def test_similar_pairs_over_many_blocks(spark):
     dot = lambda a, b: sum(x * y for x, y in zip(f[a], f[b]))
     want = {(a, b) for a, oa, _ in rows for b, ob, _ in rows if a < b and oa != ob and dot(a, b) >= 1.5}
     assert {(r.a, r.b) for r in V.similar_pairs(table, 1.5, 7).collect()} == want and len(want) > 30
+
+
+def test_route_handlers_equal_brute_force_and_meet_by_line(spark):
+    import random
+
+    from codeweave.functions.routes import handler_edges
+
+    rng = random.Random(3)
+    some = lambda n: None if rng.random() < 0.05 else rng.randint(0, n)
+    made = [(i, rng.choice(["Route", "Function", "Method", "Class"]), rng.choice(["a", "b", None]), lo := some(40), None if lo is None else rng.choice([None, lo, lo + 2, lo + 9])) for i in range(300)]
+    made += [(made[k][0], *made[k + 1][1:]) for k in range(20)]  # some ids twice
+    want = {}
+    for src, kind, file, low, high in made:
+        for i, k, f, start, end in made:
+            if kind == "Route" and k in ("Function", "Method") and file and f == file and None not in (low, high, start, end) and start <= high and end >= low:
+                want[src] = min(want.get(src, (start, i)), (start, i))
+    df = handler_edges(spark.createDataFrame(made, "id long, kind string, file string, start_line int, end_line int"))
+    assert {r.src: r.dst for r in df.collect()} == {k: v[1] for k, v in want.items()}
+    joins = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+    assert joins and all("line" in x for x in joins) and not any("end_line" in x for x in joins)
