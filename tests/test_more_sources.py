@@ -1,4 +1,5 @@
 import os
+import random
 import re
 import struct
 import subprocess
@@ -189,3 +190,18 @@ def test_louvain_is_as_good_as_a_sequential_sweep(spark):
         groups.setdefault(c, []).append(i)
     want = sum(sum(near[i].get(j, 0) for i in g for j in g) / m2 - (sum(k[i] for i in g) / m2) ** 2 for g in groups.values())
     assert got >= want - 0.02 and os.cpu_count()
+
+
+@pytest.mark.parametrize("ids_a_row", [1 << 16, 3])
+def test_commits_meet_lists_of_symbols_and_give_each_once(spark, ids_a_row):
+    rng = random.Random(ids_a_row)
+    some = lambda *c: rng.choice(c)
+    commits = [(c, some("x", "xy", "z", None)) for c in range(12)] + [(3, "x"), (None, "x")]
+    hunks = [(some(*range(12), None), some("f", "g", "h", None), lo := some(1, 2, 7, None), None if lo is None else lo + some(0, 3)) for _ in range(60)]
+    spans = [(some("f", "g", "h", None), some(*range(9), None), lo := rng.randint(1, 9), lo + rng.randint(0, 2)) for _ in range(30)]
+    want = {(c, a, i) for c, a in commits for d, f, low, high in hunks for g, i, start, end in spans if a and "x" in a and c is not None and c == d and f and f == g and low and start <= high and end >= low}
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = symbols.commit_symbols(df(commits, "commit long, author string"), df(hunks, "commit long, file string, start_line int, end_line int"), df(spans, "file string, id long, start_line int, end_line int"), author="x", ids_a_row=ids_a_row)
+    assert rows(got, "commit", "author", "id") == sorted(want, key=str)
+    if ids_a_row > 3:
+        assert "array_distinct" in got._jdf.queryExecution().optimizedPlan().toString()
