@@ -97,3 +97,20 @@ def test_stream_matches_batch(spark, tmp_path):
     q = streams.ingest(spark.readStream.schema(files.schema).parquet(str(tmp_path / "files")), str(tmp_path / "state"), lambda df, n: seen.extend(rows(df, "path", "content")))
     q.awaitTermination()
     assert sorted(seen) == [("a", "y"), ("b", "z")]
+
+
+def test_louvain_shuffles_a_part_of_the_edges_once_a_round(spark, monkeypatch):
+    plans, materialize = [], graph.materialize
+
+    def watched(df, name="table", **more):
+        if name == "place":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialize(df, name, **more)
+
+    monkeypatch.setattr(graph, "materialize", watched)
+    e = spark.range(300).select((F.col("id") % 20).alias("src"), (F.col("id") * 7 % 23).alias("dst"))
+    place = graph.louvain(e, spark.range(25).select("id"), sweeps=1)
+    assert place.count() == 25 and place.where("id >= 23 and id <> community").count() == 0
+    scans = [x for x in plans[-1].splitlines() if "FileScan" in x and "w#" in x]
+    assert len(scans) == 1 and "Bucketed: true" in scans[0]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("codeweave_")]
